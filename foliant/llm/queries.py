@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, pii, token_counts
+from . import fingerprints, jaccard_join, mixing, packing, pii, token_counts, toxicity
 
 QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_packing": packing.op8_packing,
+    "op9_mixing": mixing.op9_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
