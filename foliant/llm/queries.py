@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, mixing, packing, pii, token_counts, toxicity
+from . import fingerprints, hnsw, jaccard_join, mixing, packing, pii, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_pii": pii.op3_pii,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_token_counts": token_counts.op5_token_counts,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
+    "op10_embedding_dedup": hnsw.op10_embedding_dedup,
 }
 
 SQL: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
