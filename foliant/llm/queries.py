@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, hnsw, jaccard_join, mixing, packing, pii, substring_dedup, token_counts, toxicity
+from . import fingerprints, hnsw, jaccard_join, lm_scoring, mixing, packing, pii, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_pii": pii.op3_pii,
     "op4_fingerprints": fingerprints.op4_fingerprints,
