@@ -190,17 +190,33 @@ def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the spans of find_pii (joined by doc_id) by <KIND>, overlapping spans as one; other columns stay."""
-    kept = [c for c in docs.columns if c != text]
-    found = spans.select("doc_id", "spans").dropDuplicates(["doc_id", "spans"])
-    raise_if = docs.join(found, "doc_id", "left")
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """docs with every span of find_pii replaced by <KIND>, overlapping spans as one; n_chars, if there, follows.
 
-    @F.pandas_udf("string")
-    def cut(texts, lists):
-        return texts.combine(lists, redacted)
+    Base spans are found again in the pass that rewrites the texts, so only the discovered ones, few, are joined.
+    Null texts stay null; rows without spans stay as they are.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("_row", F.md5(F.coalesce("text", F.lit(""))))
+    found = stage(scan(docs))
+    more = discover(found).select("doc_id", F.col("row").alias("_row"), F.struct("s", "kind", "e").alias("x"))
+    more = more.groupBy("doc_id", "_row").agg(F.collect_list("x").alias("_more"))
+    joined = keyed.join(more, ["doc_id", "_row"], "left")
+    at = columns.index("text")
 
-    return raise_if.select(*kept, cut(F.col(text), F.col("spans")).alias(text)).select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, extra = batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()
+            new = []
+            for t, m in zip(texts, extra):
+                spans = base_spans(t or "") + [(x["s"], x["kind"], x["e"]) for x in m or ()]
+                new.append(redacted(t, digest(sorted(spans))))
+            out = {c: batch.column(i) for i, c in enumerate(columns)} | {"text": pa.array(new, batch.column(at).type)}
+            if "n_chars" in columns:
+                out["n_chars"] = pa.array([n if a is b else len(b) for n, a, b in zip(out["n_chars"].to_pylist(), texts, new)], out["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([out[c] for c in columns], columns)
+
+    return joined.select(*columns, "_more").mapInArrow(run, docs.schema)
 
 
 def redacted(text: str | None, spans: str | None) -> str | None:
