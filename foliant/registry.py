@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from foliant.plans import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+SQL: dict[str, str] = {**text_queries.SQL}
