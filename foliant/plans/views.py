@@ -34,7 +34,8 @@ STEPS = """steps AS (SELECT user_id AS run_id, event_id AS step_id, ts, op_type,
  (event_id % 4)::INTEGER AS retries, round(value, 3) AS duration_ms, (event_id % 9)::INTEGER AS n_targets, event_type, event_id % 6 = 0 AS approved
  FROM (SELECT *, ['set_font', 'set_size', 'merge_paragraph', 'set_bold', 'inspect', 'set_alignment', 'split_paragraph'][event_id % 7 + 1] AS op_type FROM events))"""
 
-OPS = """ops AS (SELECT l_orderkey AS doc_id, l_linenumber AS seq, (l_partkey % 8)::INTEGER AS run_no,
+SEQ = "(l_linenumber * 1000000000000 + l_partkey * 10000000 + l_suppkey * 100 + l_quantity::BIGINT)"
+OPS = f"""ops AS (SELECT l_orderkey AS doc_id, {SEQ} AS seq, (l_partkey % 8)::INTEGER AS run_no,
  CASE l_linenumber % 5 WHEN 0 THEN 'font_name' WHEN 1 THEN 'font_size_pt' WHEN 2 THEN 'is_bold' WHEN 3 THEN 'font_color' ELSE 'highlight_color' END AS attribute,
  CASE l_linenumber % 5 WHEN 0 THEN l_returnflag WHEN 1 THEN (l_quantity::INTEGER % 20)::VARCHAR WHEN 2 THEN CASE WHEN l_linestatus = 'O' THEN 'true' ELSE 'maybe' END
  WHEN 3 THEN '#00ff0' || l_suppkey % 10 ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'Yellow' ELSE 'mauve' END END AS value FROM lineitem)"""
@@ -44,4 +45,5 @@ transcripts AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN w || '<|im_start|>a
 
 
 def query(sql: str, *views: str) -> str:
+    """The views as common tables before sql; sql may begin with ", name AS (...)" to add its own."""
     return "WITH " + ",\n".join(views) + "\n" + sql if views else sql

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans import text_queries
+from foliant.plans import table_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-SQL: dict[str, str] = {**text_queries.SQL}
+QUERIES: dict = {**text_queries.QUERIES, **table_queries.QUERIES}
+SQL: dict[str, str] = {**text_queries.SQL, **table_queries.SQL}
