@@ -123,3 +123,20 @@ def role_bind_check(selectors: DataFrame, role_counts: DataFrame) -> DataFrame:
     """Selectors with whether their role occurs in the document."""
     joined = selectors.join(role_counts.select("doc_id", F.col("role").alias("scope"), "n"), ["doc_id", "scope"], "left")
     return joined.select("doc_id", "scope", F.col("n").isNotNull().alias("binds"))
+
+
+def template_targets(blocks: DataFrame, paragraphs: DataFrame, nodes: DataFrame, sections: DataFrame) -> DataFrame:
+    """Targets of template blocks by selector scope: paragraph, run, section, style, settings, numbering_level, path.
+
+    blocks: (semantic_key, scope, key), a template's few rows; paragraphs carry the semantic that they match.
+    """
+    few = F.broadcast(blocks)
+    rows = lambda df, scope, target: df.join(few.filter(F.col("scope") == scope), "semantic_key").select("doc_id", "semantic_key", "scope", target.alias("target_id"))
+    every = paragraphs.select("doc_id", "semantic_key").distinct()
+    run = nodes.join(paragraphs.select("doc_id", "paragraph_id", "semantic_key"), ["doc_id", "paragraph_id"])
+    part = sections.join(every, "doc_id")
+    out = rows(paragraphs, "paragraph", F.concat(F.lit("target:block:"), "paragraph_id"))
+    out = out.unionByName(rows(run, "run", F.concat(F.lit("target:inline:"), "run_id"))).unionByName(rows(part, "section", F.concat(F.lit("target:section:"), F.col("section").cast("string"))))
+    for scope, head in (("style", "target:style:"), ("settings", "target:settings:"), ("numbering_level", "target:numbering:"), ("path", "")):
+        out = out.unionByName(rows(every, scope, F.concat(F.lit(head), "key")))
+    return out.distinct()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import table_queries, text_queries
+from foliant.plans import log_queries, table_queries, template_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **table_queries.QUERIES}
-SQL: dict[str, str] = {**text_queries.SQL, **table_queries.SQL}
+_PARTS = (text_queries, table_queries, template_queries, log_queries)
+QUERIES: dict = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
