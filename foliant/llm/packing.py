@@ -13,6 +13,7 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,48 +21,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, slices
-from .token_counts import CACHE_WORDS, Splitter
+from .token_counts import CACHE_WORDS, Merger, Splitter
 
 CAPACITY = 4096
-END_ID = 2
+END_ID, END_WORD = 2, "\0end"
 BLOCK_TOKENS = 1 << 20
 SENTENCE_PENALTY, INNER_PENALTY, GRID = 12, 48, 32
 
 
 class Encoder:
-    """Token ids of texts by the tokenizers library; it is asked once for each new word."""
+    """Token ids of texts as the tokenizers library gives them: new words go through Merger, whose ids are the
+    library's (tests compare them), and their ids are kept in a table of bounded size."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         spec = json.load(open(path, encoding="utf-8"))
-        self.library, self.split = Tokenizer.from_file(path), Splitter(spec)
-        self.code: dict[str, int] = {}
-        self._reset()
+        self.split, self.merge = Splitter(spec), Merger(spec)
         vocab = spec["model"]["vocab"]
-        self.ends_sentence = np.zeros(max(vocab.values()) + 3 + len(self.split.special), bool)
+        self.ends_sentence = np.zeros(max([*vocab.values(), *self.split.special.values()]) + 1, bool)
         for token, i in vocab.items():
             bare = token.removesuffix("</w>")
             self.ends_sentence[i] = bare[:1] in ".!?" and bool(bare)
+        self._reset()
 
     def _reset(self) -> None:
-        self.code.clear()
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        for token, i in self.split.special.items():
-            self._learn(token, [i])
-
-    def _learn(self, word: str, ids: list[int]) -> None:
-        c = len(self.code)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if c >= len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[c], self.length[c] = self.used, len(ids)
-        self.used += len(ids)
-        self.code[word] = c
+        fixed = {**self.split.special, END_WORD: END_ID}
+        self.code = {w: c for c, w in enumerate(fixed)}
+        self.flat = np.array(list(fixed.values()), np.uint32)
+        self.length = np.ones(len(fixed), np.int64)
+        self.start = np.arange(len(fixed))
+
+    def _learn(self, words: list[str]) -> None:
+        ids, n = self.merge.symbols(words)
+        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, END_ID after each, and the row offsets."""
@@ -72,20 +66,17 @@ class Encoder:
                 row += words
                 if special is not None:
                     row.append(special)
+            row.append(END_WORD)
             rows.append(row)
         if len(self.code) > CACHE_WORDS:
             self._reset()
-        new = list({w for row in rows for w in row if w not in self.code})
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self._learn(w, e.ids)
-        if "\0end" not in self.code:
-            self._learn("\0end", [END_ID])
-        code, end = self.code, self.code["\0end"]
-        sizes = np.fromiter((len(r) + 1 for r in rows), np.int64, len(rows))
-        codes = np.fromiter((c for r in rows for c in (*map(code.__getitem__, r), end)), np.int64, int(sizes.sum()))
+        self._learn(list(set(chain.from_iterable(rows)).difference(self.code)))
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
-        at = np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        at = np.repeat(self.start[codes] - (ends - lengths), lengths)
+        at += np.arange(len(at))
         return self.flat[at], np.concatenate([[0], ends[np.cumsum(sizes) - 1]]).astype(np.int64)
 
 
@@ -122,10 +113,10 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY)
         while queue and key[queue[-1]] >= k:
             queue.pop()
         queue.append(j)
-    chain = [len(p) - 1]
-    while chain[-1]:
-        chain.append(back[chain[-1]])
-    return places[chain[::-1]]
+    path = [len(p) - 1]
+    while path[-1]:
+        path.append(back[path[-1]])
+    return places[path[::-1]]
 
 
 def powers(length: int) -> list[int]:

@@ -8,6 +8,7 @@ known pair. What survives is counted.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,12 @@ CACHE_WORDS = 400_000
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 
 
+# Texts of these characters alone are split by the standard library, whose classes agree with the pattern's there:
+# letters, decimal digits and signs up to U+024F without the superscript digits and fractions.
+_UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
+_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in for each byte value, by the public byte-level rule."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,7 +50,10 @@ class Splitter:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE), regex.V0).findall
+        self._words = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE), regex.V0).findall
+
+    def words(self, text: str) -> list[str]:
+        return self._words(text) if _UNUSUAL(text) else _PLAIN_WORDS(text)
 
     @staticmethod
     def normal(text: str) -> str:
@@ -77,50 +87,62 @@ class Merger:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             rows.append((vocab[a] * size + vocab[b], rank, vocab[a + b]))
         table = np.array(sorted(rows), np.int64)
-        self.keys, self.ranks, self.results = table[:, 0], table[:, 1], table[:, 2]
+        self.keys, self.ranks = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
         by_rank = np.argsort(self.ranks)
-        self.left, self.right, self.made = self.keys[by_rank] // size, self.keys[by_rank] % size, self.results[by_rank]
+        self.made = table[by_rank, 2]
 
     def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbol ids of all words, flat, and the number of each word's symbols."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-        flat = self.inner[np.frombuffer(b"".join(raw), np.uint8)]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        flat = self.inner[data]
         ends = np.cumsum(lengths)
-        flat[ends - 1] = self.last[np.frombuffer(b"".join(raw), np.uint8)[ends - 1]]
+        flat[ends - 1] = self.last[data[ends - 1]]
         owner = np.repeat(np.arange(len(raw)), lengths)
-        done_ids, done_owner, none = [], [], len(self.made)
+        none = len(self.made)
+        done_ids, done_owner = [], []
+        rank = np.append(self._rank(flat[:-1], flat[1:]), none)
+        rank[ends - 1] = none
         while len(flat):
-            keys = flat[:-1] * self.size + flat[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == keys) & (owner[:-1] == owner[1:]), self.ranks[at], none)
-            rank = np.append(rank, none)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            best = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.append(starts, len(flat)))
-            best = np.repeat(best, sizes)
-            settled = best == none
-            if settled.any():
+            least = np.minimum.reduceat(rank, starts)
+            best = np.repeat(least, np.diff(np.append(starts, len(flat))))
+            if (least == none).any():
+                settled = best == none
                 done_ids.append(flat[settled])
                 done_owner.append(owner[settled])
                 flat, owner, rank, best = flat[~settled], owner[~settled], rank[~settled], best[~settled]
                 if not len(flat):
                     break
-            hit = rank == best
+            hit = np.flatnonzero(rank == best)
             # Of overlapping hits (a a a) every second one of a run counts, from the left.
-            run = np.flatnonzero(hit & ~np.append(False, hit[:-1]))
-            place = np.arange(len(flat))
-            since = np.zeros(len(flat), np.int64)
-            since[run] = run - np.append(0, run[:-1])
-            hit &= (place - np.cumsum(since)) % 2 == 0
-            flat = np.where(hit, self.made[np.minimum(best, none - 1)], flat)
-            keep = ~np.append(False, hit[:-1])
-            flat, owner = flat[keep], owner[keep]
-        if not done_ids:
-            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+            first = np.append(True, np.diff(hit) != 1)
+            run = np.flatnonzero(first)
+            hit = hit[(np.arange(len(hit)) - run[np.cumsum(first) - 1]) % 2 == 0]
+            flat[hit] = self.made[best[hit]]
+            keep = np.ones(len(flat), bool)
+            keep[hit + 1] = False
+            # The pairs on both sides of a merged symbol are new; all others keep their rank.
+            place = np.cumsum(keep) - 1
+            flat, owner, rank = flat[keep], owner[keep], rank[keep]
+            now = place[hit]
+            changed = np.concatenate([now, now[now > 0] - 1])
+            inside = changed[changed < len(flat) - 1]
+            inside = inside[owner[inside] == owner[inside + 1]]
+            rank[changed] = none
+            rank[inside] = self._rank(flat[inside], flat[inside + 1])
         ids, own = np.concatenate(done_ids), np.concatenate(done_owner)
         return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(words))
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; one beyond the last where it is no merge."""
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], len(self.made))
+
 
 class Counter49k:
     """Token counts of texts; the counts of words seen before are kept in a table of bounded size."""
