@@ -104,7 +104,7 @@ def corpus_counts(counted: DataFrame, bits: int, min_count: int) -> DataFrame:
     return counted.groupBy("gram", "part").applyInPandas(total, TABLE)
 
 
-def score_slice(texts: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]], order: int, alpha: float, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_texts(texts: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]], order: int, alpha: float, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, summed natural-log scores and backed-off words of each text."""
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
@@ -133,10 +133,24 @@ def score_slice(texts: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray
     # A word backs off once for each order that it could have and missed before a hit.
     score += steps * np.log(alpha)
     missed = np.concatenate([[0], np.cumsum(steps > 0)])
-    per_doc = np.array([score[a:b].sum() for a, b in zip(at[:-1], at[1:])]) if n else np.zeros(len(texts))
+    per_doc = np.array([score[a:b].sum() for a, b in zip(at[:-1], at[1:])])
     return np.diff(at), per_doc, missed[at[1:]] - missed[at[:-1]]
 
 
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about a million characters, so that a slice's arrays stay small."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= 1 << 20:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 RESULT = "doc_id long, n_words long, log_score double, n_backoff long"
 
 
@@ -172,7 +186,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
             own = own.sort_values("part")
             keys = np.concatenate([unpack_keys(r, int(p) >> (bits - 8)) for r, p in zip(own["keys"], own["part"])])
             tables[int(k)] = keys, np.concatenate([unpack_counts(r) for r in own["counts"]])
-        n, sums, missed = score_slice(texts["text"].tolist(), tables, order, alpha, total)
+        parts = [score_texts(part, tables, order, alpha, total) for part in chunks(texts["text"].tolist())]
+        n, sums, missed = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
         return pd.DataFrame({"doc_id": texts["doc_id"], "n_words": n, "log_score": sums, "n_backoff": missed})
 
     scored = rows.groupBy("slice").cogroup(back.groupBy("slice")).applyInPandas(score, RESULT)
