@@ -26,7 +26,7 @@ from .token_counts import CACHE_WORDS, Merger, Splitter
 CAPACITY = 4096
 END_ID, END_WORD = 2, "\0end"
 BLOCK_TOKENS = 1 << 20
-SENTENCE_PENALTY, INNER_PENALTY, GRID = 12, 48, 32
+SENTENCE_PENALTY, INNER_PENALTY, GRID = 4, 10, 16
 
 
 class Encoder:
@@ -97,7 +97,7 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY)
     """The cheapest chain of places from first to last with steps of at most capacity.
 
     cost[j] = min over i in reach of cost[i] + capacity - (p[j] - p[i]) + penalty[j]; cost[i] + p[i] is kept in a
-    queue of rising values.
+    queue of rising values. The last step pays no padding: it stays open or is cut into powers of two.
     """
     p, pen = places.tolist(), penalty.tolist()
     key, back = [p[0]] + [0] * (len(p) - 1), [0] * len(p)
@@ -113,6 +113,9 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY)
         while queue and key[queue[-1]] >= k:
             queue.pop()
         queue.append(j)
+    reach = range(int(np.searchsorted(places, places[-1] - capacity)), len(p) - 1)
+    if len(reach):
+        back[-1] = min(reach, key=lambda i: key[i] - p[i])
     path = [len(p) - 1]
     while path[-1]:
         path.append(back[path[-1]])
@@ -135,19 +138,20 @@ class Stream:
         self.sequence = task << 40
         self.ends_sentence = ends_sentence
         self.ids, self.size = [], 0
-        self.rows: list[tuple[np.ndarray, ...]] = []  # doc_id, start in its document, length here, tokens of the document
+        self.rows: list[tuple[np.ndarray, ...]] = []  # doc_id, whether it is null, start in its document, length here, tokens of the document
 
-    def add(self, doc_ids: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
         n = np.diff(offsets)
         self.ids.append(ids)
-        self.rows.append((doc_ids, np.zeros(len(n), np.int64), n, n))
+        missing = doc_ids.is_null().to_numpy(zero_copy_only=False)
+        self.rows.append((doc_ids.fill_null(0).to_numpy(zero_copy_only=False), missing, np.zeros(len(n), np.int64), n, n))
         self.size += len(ids)
 
     def flush(self, last: bool) -> pa.RecordBatch | None:
         if not self.size:
             return None
         ids = np.concatenate(self.ids)
-        doc, base, here, total = (np.concatenate(c) for c in zip(*self.rows))
+        doc, missing, base, here, total = (np.concatenate(c) for c in zip(*self.rows))
         offsets = np.concatenate([[0], np.cumsum(here)])
         cuts = best_cuts(*candidates(ids, offsets, self.ends_sentence))
         if last:
@@ -161,7 +165,7 @@ class Stream:
         window = np.searchsorted(cuts, s, side="right") - 1
         raw = ids.astype("<u4").tobytes()
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(s.tolist(), e.tolist())]
-        columns = [doc[own], s - offsets[own] + base[own], e - s, np.array(crc, np.int64), total[own], self.sequence + window, s - cuts[window]]
+        numbers = [s - offsets[own] + base[own], e - s, np.array(crc, np.int64), total[own], self.sequence + window, s - cuts[window]]
         self.sequence += len(cuts) - 1
         k = int(np.searchsorted(offsets, limit, side="right")) - 1
         self.ids, self.size = [ids[limit:]], len(ids) - int(limit)
@@ -170,14 +174,15 @@ class Stream:
         if len(rest):
             base[0] += limit - offsets[k]
             rest[0] -= limit - offsets[k]
-        self.rows = [(doc[k:], base, rest, total[k:])]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], NAMES)
+        self.rows = [(doc[k:], missing[k:], base, rest, total[k:])]
+        return pa.RecordBatch.from_arrays([pa.array(doc[own], pa.int64(), mask=missing[own]), *(pa.array(c.astype(np.int64)) for c in numbers)], NAMES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """One row per piece of a document in a sequence. One pass without a shuffle; each partition packs its own rows.
 
-    Null and empty texts are the end id alone. Repeated rows are packed once each. doc_id must not be null.
+    Null and empty texts are the end id alone. Repeated rows are packed once each; a null
+    doc_id stays null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
         stream = Stream(TaskContext.get().partitionId(), encoder.ends_sentence)
         for batch in slices(batches):
             ids, offsets = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            stream.add(batch.column(0).to_numpy(zero_copy_only=False), ids, offsets)
+            stream.add(batch.column(0), ids, offsets)
             if stream.size >= BLOCK_TOKENS:
                 yield stream.flush(False)
         done = stream.flush(True)
