@@ -22,11 +22,11 @@ KINDS = ("email", "ip", "card", "phone")
 # The four base patterns. Each is scanned in a form whose time is linear in the text.
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
-_CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*")
+_CANDIDATE = re.compile(r"[0-9@]\S*+")  # the rest of a word; its beginning is found by stepping back
 _EDGE = ".,;:!?()[]{}<>\"'"
 
 
@@ -80,7 +80,7 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 def shape(token: str) -> str:
     """A token with letters and digits of any value as one: what makes tokens of a kind look alike."""
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", token))[:40]
+    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", token[:200]))[:40]
 
 
 def context(text: str, s: int, e: int) -> tuple[str, str]:
@@ -112,6 +112,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                     near.append((k, s, e))
                 for m in _CANDIDATE.finditer(t):
                     s, e = m.span()
+                    while s and not t[s - 1].isspace():
+                        s -= 1
                     while s < e and t[s] in _EDGE:
                         s += 1
                     while e > s and t[e - 1] in _EDGE:

@@ -19,24 +19,25 @@ from pyspark.sql import functions as F
 from .common import documents, slices, stage
 
 MIN_WORDS = 5
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+\Z")
+_SENTENCE_END = re.compile(r"[.!?]+(?:\s+|\Z)")
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of the units of at least min_words words."""
     at = 0
     for line in text.split("\n"):
-        start = end = at
+        start = at
         words: list[str] = []
-        for m in _SENTENCE.finditer(line):
-            own = m.group().lower().split()
+        begin = 0
+        for stop in [*(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]:
+            own = line[begin:stop].lower().split()
             words += own
-            end = at + m.end()
+            begin = stop
             if len(own) >= min_words:
-                yield start, end, " ".join(words)
-                start, words = end, []
+                yield start, at + stop, " ".join(words)
+                start, words = at + stop, []
         if len(words) >= min_words:
-            yield start, end, " ".join(words)
+            yield start, at + len(line), " ".join(words)
         at += len(line) + 1
 
 
@@ -106,6 +107,7 @@ def remove_repeats(docs: DataFrame, spans: DataFrame, text: str = "text") -> Dat
         return texts.combine(lists, without_spans)
 
     kept = spans.select("doc_id", F.col("spans").alias("removed_spans")).dropDuplicates(["doc_id"])
+    docs = docs.drop("removed_spans")
     joined = docs.join(kept, "doc_id", "left")
     return joined.select(*[cut(text, "removed_spans").alias(c) if c == text else c for c in docs.columns], "removed_spans")
 
