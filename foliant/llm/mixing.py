@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
+SALTS = 32
 
 
 def uniform(*parts: Column) -> Column:
@@ -49,29 +50,31 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(temperature))
     sizes = sizes.withColumn("w", weight)
-    sums = sizes.groupBy(F.lit(1).alias("one")).agg(F.sum("w").alias("sum_w"), F.sum("n").alias("sum_n"))  # one row
-    goal = F.lit(float(total)) if total is not None else F.col("sum_n").cast("double")
-    rate = F.when(F.col("sum_w") > 0, goal * F.col("w") / F.col("sum_w") / F.col("n")).otherwise(F.lit(0.0))
-    return sizes.withColumn("one", F.lit(1)).join(F.broadcast(sums), "one").select("source_key", rate.alias("rate"))
+    sums = sizes.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()  # two numbers
+    goal = float(total) if total is not None else float(sums["n"] or 0)
+    rate = F.lit(goal) * F.col("w") / F.lit(sums["w"]) / F.col("n") if sums["w"] else F.lit(0.0)
+    return sizes.select("source_key", rate.alias("rate"))
 
 
 def replicate(docs: DataFrame, seed: str = SEED, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None) -> DataFrame:
     """docs with n_copies and copy_no, each row repeated by its Poisson count and spread over the output at random.
 
-    Rows of count 0 leave; that is the method. Equal doc_ids draw equal counts. Null texts and sources are kept as
-    they are; an empty table gives no rows. The rates join by source as a table (a broadcast only under Spark's own
-    size check), and a source of a third of all rows is split by Spark's skew join.
+    Rows of count 0 leave; that is the method. Equal doc_ids draw equal counts; columns of docs named n_copies or copy_no are replaced. Null texts and sources are kept as
+    they are; an empty table gives no rows. The rates join by source and one of SALTS salts, each rate once for every
+    salt, so a source of a third of all rows is dealt out over many tasks.
     """
-    columns = docs.columns
-    rates = source_rates(docs, weights, temperature, total).withColumn("table", poisson_table(F.col("rate")))
+    columns = [c for c in docs.columns if c not in ("n_copies", "copy_no")]
+    # Whole rows travel in one struct, so no column of theirs can meet a name used here.
+    whole = docs.select(F.struct(*columns).alias("row"), "doc_id", F.struct("source").alias("source_key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    rates = source_rates(docs.select("source"), weights, temperature, total).withColumn("table", poisson_table(F.col("rate")))
+    rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    key = docs.withColumn("source_key", F.struct(F.col("source"))).join(rates, "source_key")
     below = F.size(F.filter("table.cdf", lambda c: c < u)).cast("long")
     count = F.when(F.col("rate") <= 0, F.lit(0).cast("long")).otherwise(F.col("table.first") + below)
-    drawn = key.select(*columns, count.alias("n_copies")).filter("n_copies > 0")
+    drawn = whole.join(rates, ["source_key", "salt"]).select("row", "doc_id", count.alias("n_copies")).filter("n_copies > 0")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
-    place = F.xxhash64(F.lit(seed), "doc_id", "copy_no", "source")
-    return copies.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").drop("_place")
+    placed = copies.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "copy_no"))
+    return placed.repartition("place").sortWithinPartitions("place").select("row.*", "n_copies", "copy_no")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
