@@ -24,7 +24,8 @@ def register_check(name: str, check: Callable[..., DataFrame]) -> None:
 
 
 def run_checks(matched: DataFrame, context: DataFrame, rules: DataFrame, checks: dict | None = None) -> DataFrame:
-    out = None
+    """The union of all checks. Matches and context are kept once for all of them, in memory or on the executors' disks."""
+    matched, context, out = matched.persist(), context.persist(), None
     for check in (checks if checks is not None else _CHECKS).values():
         part = check(matched, context, rules).select(*ISSUE)
         out = part if out is None else out.unionByName(part)

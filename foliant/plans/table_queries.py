@@ -496,10 +496,10 @@ add("w16_change_diff", w16, " UNION ALL ".join([_diff("font_name", "f0", "font_n
 
 def w17(s, d):
     e = corpus.table(s, d, "events").select("event_id", c("user_id").alias("run_id"), "event_type")
-    return wr.state_as_of(e, e.filter("event_type = 'error'"))
+    return wr.state_as_of(e, e.filter("event_type = 'error' AND event_id % 16 = 0"))
 
 
-add("w17_state_as_of", w17, "SELECT event_id, user_id AS run_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error')")
+add("w17_state_as_of", w17, "SELECT event_id, user_id AS run_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.event_id % 16 = 0)")
 add("w18_write_summary", lambda s, d: wr.write_summary(corpus.steps(s, d).withColumn("dry_run", c("step_id") % 10 == 0)).select("step_id", "summary"), "SELECT step_id, CASE WHEN step_id % 10 = 0 THEN op_type || ': dry run, ' || n_targets || ' targets' WHEN n_targets = 1 THEN op_type || ': 1 target' WHEN n_targets = 0 THEN op_type || ': pending' ELSE op_type || ': ' || n_targets || ' targets' END AS summary FROM steps", views.STEPS)
 
 
