@@ -95,8 +95,20 @@ def aggregate_conflicts(conflicts: DataFrame, semantics: tuple[str, ...]) -> Dat
     return out
 
 
-def rules_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.createDataFrame(rows, names)
+def rules_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A template's rows as a local relation of the plan, whose size Spark knows. schema: "name TYPE, ..."."""
+
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "r'" + v + "'" if "'" not in v else '"' + v.replace("\\", "\\\\") + '"'
+        return str(v).lower() if isinstance(v, bool) else repr(v)
+
+    columns = [c.split() for c in schema.split(",")]
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in columns)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(n for n, _ in columns)})")
 
 
 def position_ok(context: DataFrame, rules: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import audit as au
 from foliant.operators import package as pk
 from foliant.operators import structure as ops
+from foliant.operators.classify import rules_table
 from foliant.operators import write as wr
 from foliant.functions import structure as st
 from foliant.sources import corpus
@@ -59,7 +60,7 @@ reg("s2_part_kind", parts, "SELECT * FROM parts", PARTS)
 
 def s3(s, d):
     over = parts(s, d).filter("kind = 'main_document' AND doc_id % 2 = 0").select("doc_id", "part_path", F.lit("main+xml").alias("content_type"))
-    default = s.createDataFrame([("xml", "application/xml"), ("png", "image/png"), ("rels", "rels+xml")], "ext STRING, content_type STRING")
+    default = rules_table(s, [("xml", "application/xml"), ("png", "image/png"), ("rels", "rels+xml")], "ext STRING, content_type STRING")
     return pk.resolve_content_types(parts(s, d), over, default)
 
 
@@ -251,7 +252,7 @@ def r7(s, d):
     lines = p.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     prefix = F.element_at(F.array(*map(F.lit, corpus.PREFIXES)), ((c("doc_id") + c("pos")) % 9 + 1).cast("int"))
     ps = lines.select("doc_id", F.concat(F.lit("p_"), c("pos").cast("string")).alias("paragraph_id"), F.concat(prefix, "line").alias("text"), F.when(c("pos") == 0, "heading").otherwise("body").alias("role"))
-    return ev.available(ev.stream_warnings(ps, s.createDataFrame([("body", "body_numbering_prefix")], "role STRING, code STRING")))
+    return ev.available(ev.stream_warnings(ps, rules_table(s, [("body", "body_numbering_prefix")], "role STRING, code STRING")))
 
 
 from .text_queries import PREFIX_SQL  # noqa: E402

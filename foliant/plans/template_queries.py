@@ -214,7 +214,7 @@ reg("v11_unclassified", lambda s, d: va.check_unmatched(none_matched(s, d)), FAL
 
 
 def v15(s, d):
-    template = s.createDataFrame([("official letter with seal",)], "text STRING")
+    template = cl.rules_table(s, [("official letter with seal",)], "text STRING")
     return va.check_seal(template, ops.evidence_summary(context(s, d)))
 
 
@@ -268,7 +268,7 @@ _OPS = [(b, o, a, str(v)) for b, *vals in _BLOCKS for (o, a), v in zip((("set_fo
 
 
 def style_blocks(s):
-    return s.createDataFrame(_BLOCKS, "block STRING, font_name STRING, font_size_pt DOUBLE, space_before_pt DOUBLE, space_after_pt DOUBLE")
+    return cl.rules_table(s, _BLOCKS, "block STRING, font_name STRING, font_size_pt DOUBLE, space_before_pt DOUBLE, space_after_pt DOUBLE")
 
 
 BLOCK_OPS = ", block_ops(block, op, attribute, value) AS (VALUES " + ", ".join(map(str, _OPS)) + "), items AS (SELECT doc_id, p.block, paragraph_id, op, attribute, value, p.block || ':' || op || ':' || attribute || ':' || paragraph_id AS item_id FROM plan p JOIN block_ops b ON b.block = p.block)"
@@ -372,7 +372,7 @@ def j15(s, d):
     from foliant.operators import select as sel
 
     sections = corpus.table(s, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), (c("doc_id") % 2).cast("int"))).alias("section"))
-    return sel.template_targets(s.createDataFrame(_TARGET_BLOCKS, "semantic_key STRING, scope STRING, key STRING"), matched(s, d), nodes(s, d), sections)
+    return sel.template_targets(cl.rules_table(s, _TARGET_BLOCKS, "semantic_key STRING, scope STRING, key STRING"), matched(s, d), nodes(s, d), sections)
 
 
 reg("j15_template_selector_targets", j15, NODES + f""", b(semantic_key, scope, key) AS (VALUES {', '.join(map(str, _TARGET_BLOCKS))}), e AS (SELECT DISTINCT doc_id, semantic_key FROM matched),
