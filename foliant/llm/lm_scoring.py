@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import _STEP, documents, mix, shuffle_partitions, slices, text_buffers, word_hashes
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-SLICE_CHARS, PARTITION_WORDS = 24 << 20, 1 << 21
+SLICE_CHARS, PARTITION_WORDS, HELD_WORDS = 24 << 20, 1 << 21, 3 << 20
 
 
 def grams(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,29 +60,44 @@ TABLE = "slice int, gram int, part long, keys binary, counts binary"
 def slice_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """Distinct n-grams of the rows of each slice with counts, one row per hash partition of 2**bits."""
 
+    def table(grams_of: dict[int, list[np.ndarray]], slices_of: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+        rows = []
+        for k in list(grams_of):
+            key, own = np.concatenate(grams_of.pop(k)), np.concatenate(slices_of.pop(k))
+            by = np.argsort(own, kind="stable")
+            key, own = key[by], own[by]
+            edges = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)) if len(own) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                u, n = np.unique(key[a:b], return_counts=True)
+                part = u >> np.uint64(64 - bits)
+                cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(u))
+                rows += [(int(own[a]), k, int(part[x]), pack_keys(u[x:y]), pack_counts(n[x:y])) for x, y in zip(cuts[:-1], cuts[1:])]
+        columns = list(zip(*rows)) or [()] * 5
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["slice", "gram", "part", "keys", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = {}, {}, 0
         for batch in slices(batches):
-            data, offsets = text_buffers(batch.column(1))
-            words, at = word_hashes(data, offsets)
+            words, at = word_hashes(*text_buffers(batch.column(1)))
             own = np.repeat(batch.column(0).to_numpy(), np.diff(at))
-            rows = []
             for k in range(1, order + 1):
                 key, ok = grams(words, at, k)
-                for s in np.unique(own[ok]).tolist():
-                    u, n = np.unique(key[ok & (own == s)], return_counts=True)
-                    part = u >> np.uint64(64 - bits)
-                    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(u))
-                    rows += [(s, k, int(part[a]), pack_keys(u[a:b]), pack_counts(n[a:b])) for a, b in zip(edges[:-1], edges[1:])]
-            columns = list(zip(*rows)) or [()] * 5
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["slice", "gram", "part", "keys", "counts"])
+                keys.setdefault(k, []).append(key[ok])
+                owners.setdefault(k, []).append(own[ok])
+            held += len(words)
+            if held >= HELD_WORDS:  # a repeated n-gram is sent once for so many words
+                yield table(keys, owners)
+                held = 0
+        if held:
+            yield table(keys, owners)
 
     return docs.select("slice", "text").mapInArrow(run, TABLE)
 
 
 def corpus_counts(counted: DataFrame, bits: int, min_count: int) -> DataFrame:
-    """For each slice and partition, the slice's n-grams with their counts over all slices; 2-grams and longer ones
-    under min_count are left out, as in a count table with a cut-off."""
+    """For each slice and partition, the slice's n-grams with their counts over all slices. 2-grams and longer ones
+    under min_count are left out, as in a count table with a cut-off; words counted once are implied."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         k, part = int(pdf["gram"].iloc[0]), int(pdf["part"].iloc[0])
@@ -90,7 +105,7 @@ def corpus_counts(counted: DataFrame, bits: int, min_count: int) -> DataFrame:
         keys = [unpack_keys(r, top) for r in pdf["keys"]]
         u, place = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(place, np.concatenate([unpack_counts(r) for r in pdf["counts"]])).astype(np.int64)
-        keep = n >= (min_count if k > 1 else 1)
+        keep = n >= (min_count if k > 1 else 2)
         ends = np.cumsum([len(x) for x in keys])
         rows = []
         of = pdf["slice"].to_numpy()
@@ -118,8 +133,8 @@ def score_texts(texts: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray
         if len(keys):
             place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             found = np.where(ok & (keys[place] == key), values[place], 0)
-        counts[k] = found
-    score = np.log(np.maximum(counts[1], 1) / max(total, 1))
+        counts[k] = found if k > 1 else np.maximum(found, 1)
+    score = np.log(counts[1] / max(total, 1))
     open_words = np.ones(n, bool)
     steps = np.zeros(n, np.int64)
     place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
