@@ -260,8 +260,8 @@ def j7(s, d):
 add("j7_target_status", j7, NODES + """, w AS (SELECT DISTINCT doc_id, paragraph_id FROM nodes),
  g AS (SELECT p.doc_id, p.role, count(*) AS m, count(w.doc_id) AS n, count(*) FILTER (paragraph_index > 60) AS x FROM paragraphs p LEFT JOIN w ON w.doc_id = p.doc_id AND w.paragraph_id = p.paragraph_id GROUP BY ALL)
  SELECT doc_id, role, CASE WHEN role = 'title' THEN NULL WHEN x > 0 THEN 'E_PARAGRAPH_TARGETS_MISSING' WHEN n = 0 THEN 'E_SELECTOR_TARGETS_EMPTY' END AS error FROM g""", CTE)
-_PART = F.when(c("part_kind") != "main_document", F.concat(F.lit("word/"), "part_kind", F.lit(".xml"))).alias("part_path")
-add("j8_part_paths", lambda s, d: sel.part_paths(nodes(s, d), corpus.paragraphs(s, d).select("doc_id", "paragraph_id", _PART)), NODES + " SELECT DISTINCT n.doc_id, CASE WHEN part_kind = 'main_document' THEN 'word/document.xml' ELSE 'word/' || part_kind || '.xml' END AS part_path FROM nodes n JOIN paragraphs p USING (doc_id, paragraph_id)", CTE)
+_PART = lambda: F.when(c("part_kind") != "main_document", F.concat(F.lit("word/"), "part_kind", F.lit(".xml"))).alias("part_path")
+add("j8_part_paths", lambda s, d: sel.part_paths(nodes(s, d), corpus.paragraphs(s, d).select("doc_id", "paragraph_id", _PART())), NODES + " SELECT DISTINCT n.doc_id, CASE WHEN part_kind = 'main_document' THEN 'word/document.xml' ELSE 'word/' || part_kind || '.xml' END AS part_path FROM nodes n JOIN paragraphs p USING (doc_id, paragraph_id)", CTE)
 _INTENTS = [("op1", "set_font", "body"), ("op2", "merge_paragraph", "heading"), ("op3", "split_paragraph", "list_item")]
 
 
@@ -321,9 +321,9 @@ add(
     "j14_synthetic_targets", lambda s, d: sel.synthetic_targets(corpus.table(s, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, _IDS))).alias("target_id"))),
     f"WITH t AS (SELECT doc_id, unnest({_IDS}) AS target_id FROM documents) SELECT doc_id, target_id, CASE WHEN target_id LIKE 'target:style:%' OR target_id = 'target:docDefaults' THEN 'word/styles.xml' WHEN target_id LIKE 'target:numbering:%' THEN 'word/numbering.xml' ELSE 'word/settings.xml' END AS part_path, nullif(regexp_extract(target_id, '^target:[a-zA-Z]+:(.*)$', 1), '') AS key FROM t WHERE target_id NOT LIKE 'target:inline:%'",
 )
-_FOUND = F.concat(F.lit("p_"), ((c("doc_id") + c("place")) % 30).cast("string"), F.lit("_r_"), c("place").cast("string"))
+_FOUND = lambda: F.concat(F.lit("p_"), ((c("doc_id") + c("place")) % 30).cast("string"), F.lit("_r_"), c("place").cast("string"))
 add(
-    "j16_locate_node_ids", lambda s, d: sel.locate_node_ids(corpus.table(s, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place")).select("doc_id", _FOUND.alias("run_id")), corpus.runs(s, d)),
+    "j16_locate_node_ids", lambda s, d: sel.locate_node_ids(corpus.table(s, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place")).select("doc_id", _FOUND().alias("run_id")), corpus.runs(s, d)),
     ", a AS (SELECT doc_id, (doc_id + i) % 30 AS p, i AS r FROM documents, range(4) t(i)), b AS (SELECT doc_id, 'p_' || p || '_r_' || r AS run_id, p::INTEGER AS p, r::INTEGER AS r FROM a) SELECT b.*, x.run_id IS NOT NULL AS found FROM b LEFT JOIN runs x ON x.doc_id = b.doc_id AND x.run_id = b.run_id", CTE,
 )
 add("j17_role_bind_check", lambda s, d: sel.role_bind_check(intents(s, d).select("doc_id", "scope"), ops.role_counts(corpus.paragraphs(s, d))), NODES + INTENTS + " SELECT doc_id, i.scope, EXISTS (SELECT 1 FROM paragraphs p WHERE p.doc_id = t.doc_id AND p.role = i.scope) AS binds FROM documents t, intents i", CTE)
@@ -384,7 +384,7 @@ def w5(s, d):
     f = F.when(c("l_linenumber") % 2 == 0, "paper_size").otherwise("margin_top_cm")
     v = F.when(c("l_linenumber") % 2 == 0, F.element_at(F.array(*map(F.lit, ["a4", "Letter", "A3"])), (c("l_partkey") % 3 + 1).cast("int"))).otherwise((c("l_quantity") - 25).cast("string"))
     docs = corpus.table(s, d, "orders").select(c("o_orderkey").alias("doc_id"), F.lit("A5").alias("paper_size"), F.lit(2.5).alias("margin_top_cm"))
-    return wr.page_layout(docs, i.select(c("l_orderkey").alias("doc_id"), corpus.SEQ.alias("seq"), f.alias("field"), v.alias("value")))
+    return wr.page_layout(docs, i.select(c("l_orderkey").alias("doc_id"), corpus.SEQ().alias("seq"), f.alias("field"), v.alias("value")))
 
 
 add("w5_page_layout", w5, f"""WITH o AS (SELECT l_orderkey AS doc_id, arg_max(['A4', 'Letter', NULL][l_partkey % 3 + 1], {views.SEQ}) FILTER (l_linenumber % 2 = 0 AND l_partkey % 3 < 2) AS p, arg_max(l_quantity - 25, {views.SEQ}) FILTER (l_linenumber % 2 = 1 AND l_quantity > 25) AS t FROM lineitem GROUP BY ALL)
@@ -398,10 +398,10 @@ add("w7_split_paragraphs", lambda s, d: wr.split_paragraphs(corpus.runs(s, d), c
  n AS (SELECT *, (sum(fresh) OVER (PARTITION BY doc_id ORDER BY paragraph_index, run_index, part) - 1)::BIGINT AS paragraph_no FROM z),
  r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, paragraph_no ORDER BY run_index, part) - 1)::INTEGER AS run_no FROM n)
  SELECT doc_id, paragraph_no, run_no, text, 'p_' || paragraph_no || '_r_' || run_no AS run_id FROM r""", CTE)
-_MIXED = F.concat(F.lit("这是"), F.substring("text", 1, 6), F.lit(",模型2025报告"))
+_MIXED = lambda: F.concat(F.lit("这是"), F.substring("text", 1, 6), F.lit(",模型2025报告"))
 MIXED = "mixed AS (SELECT doc_id, run_id, paragraph_id, '这是' || substr(text, 1, 6) || ',模型2025报告' AS text FROM runs)"
 _kind = "CASE WHEN regexp_matches(ch, '\\p{Han}') THEN 'zh' WHEN regexp_matches(ch, '[\\p{Latin}\\p{Nd}]') THEN 'en' WHEN regexp_matches(ch, '\\p{P}') THEN 'punct' ELSE 'other' END"
-add("w8_split_language", lambda s, d: wr.split_language(corpus.runs(s, d).withColumn("text", _MIXED)), f""", {MIXED}, ch AS (SELECT doc_id, run_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM mixed),
+add("w8_split_language", lambda s, d: wr.split_language(corpus.runs(s, d).withColumn("text", _MIXED())), f""", {MIXED}, ch AS (SELECT doc_id, run_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM mixed),
  k AS (SELECT *, {_kind} AS kind FROM ch WHERE ch <> ''),
  b AS (SELECT *, last_value(CASE WHEN kind <> 'punct' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id, run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bef,
  first_value(CASE WHEN kind <> 'punct' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id, run_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM k),

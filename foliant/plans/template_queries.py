@@ -17,7 +17,7 @@ from .text_queries import PREFIX_SQL, T
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 c = F.col
-K = c("doc_id") + c("paragraph_index")
+K = lambda: c("doc_id") + c("paragraph_index")
 
 # The sample template: key, rank, required, multiple, min, max, hint, negative, position, numbering, placement, other, role, in_table, image, empty, level, forbidden.
 RULES = [
@@ -55,9 +55,9 @@ conflicts AS (SELECT doc_id, paragraph_id, paragraph_index, unnest(['list', 'bod
 
 def predictions(s, d):
     p = corpus.paragraphs(s, d)
-    key = F.when((c("paragraph_index") == 0) | (K % 53 == 0), "title").when(K % 41 == 0, "Picture").when(K % 43 == 0, "mystery").when(c("role") == "heading", "heading").when(c("role") == "body", "body").when(c("role") == "list_item", "list")
+    key = F.when((c("paragraph_index") == 0) | (K() % 53 == 0), "title").when(K() % 41 == 0, "Picture").when(K() % 43 == 0, "mystery").when(c("role") == "heading", "heading").when(c("role") == "body", "body").when(c("role") == "list_item", "list")
     first = p.select("doc_id", "paragraph_id", "paragraph_index", key.alias("semantic_key"), ((50 + (c("doc_id") * 7 + c("paragraph_index") * 3) % 52).cast("double") / 100).alias("confidence"), "role", "text").filter("semantic_key IS NOT NULL")
-    again = first.filter(K % 10 == 3).withColumn("semantic_key", F.lit("list")).withColumn("confidence", c("confidence") / 2)
+    again = first.filter(K() % 10 == 3).withColumn("semantic_key", F.lit("list")).withColumn("confidence", c("confidence") / 2)
     return first.unionByName(again)
 
 
@@ -66,7 +66,7 @@ def matched(s, d):
 
 
 def conflicts(s, d):
-    p = corpus.paragraphs(s, d).filter(K % 12 == 5)
+    p = corpus.paragraphs(s, d).filter(K() % 12 == 5)
     return p.select("doc_id", "paragraph_id", "paragraph_index", F.explode(F.array(*map(F.lit, ["list", "body", "heading"]))).alias("semantic_key"), F.concat(F.lit("torn-"), (c("paragraph_index") % 2).cast("string")).alias("reason"))
 
 
@@ -100,7 +100,7 @@ def c3(s, d):
 
 
 reg("c3_aggregate_predictions", c3, " " + agg_sql("matched"))
-reg("c3_unmatched_paragraphs", lambda s, d: cl.unmatched_paragraphs(corpus.paragraphs(s, d), matched(s, d), corpus.paragraphs(s, d).filter(K % 25 == 0)), " SELECT doc_id, paragraph_id FROM paragraphs p WHERE (doc_id + paragraph_index) % 25 = 0 OR NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id)")
+reg("c3_unmatched_paragraphs", lambda s, d: cl.unmatched_paragraphs(corpus.paragraphs(s, d), matched(s, d), corpus.paragraphs(s, d).filter(K() % 25 == 0)), " SELECT doc_id, paragraph_id FROM paragraphs p WHERE (doc_id + paragraph_index) % 25 = 0 OR NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id)")
 reg("c3_overall_confidence", lambda s, d: cl.overall_confidence(cl.aggregate_predictions(matched(s, d))), f", a AS ({agg_sql('matched')}), k AS (SELECT *, len(string_split(paragraph_ids, '|')) AS n FROM a) SELECT doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS overall FROM k GROUP BY doc_id")
 
 
@@ -129,7 +129,7 @@ reg("c7_refinement_targets", lambda s, d: targets(s, d).withColumn("candidates",
 
 
 def decisions(s, d):
-    p = corpus.paragraphs(s, d).filter(K % 9 != 8)
+    p = corpus.paragraphs(s, d).filter(K() % 9 != 8)
     m = c("paragraph_index") % 8
     key = F.when(m == 0, "blank_or_unknown").when(m <= 2, "body").when(m == 3, "nonsense").when(m == 4, "list")
     return p.select("doc_id", "paragraph_id", "paragraph_index", key.alias("semantic_key"), F.when(m == 1, 0.3).when(m == 2, 0.95).when(m == 0, 0.1).alias("second_confidence"), F.when(m == 5, 2).otherwise(0).alias("n_candidates"), (m == 6).alias("unmatched"))

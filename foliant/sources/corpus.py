@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Line numbers repeat within an order; part, supplier and quantity make the order of operations total.
-SEQ = F.col("l_linenumber") * F.lit(10**12).cast("long") + F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")
+SEQ = lambda: F.col("l_linenumber") * F.lit(10**12).cast("long") + F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")
 PREFIXES = ["1. ", "2.1 ", "(3) ", "A. ", "一、", "0.7003", "", "", ""]
 
 
@@ -89,7 +89,7 @@ def write_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem")
     kind = F.col("l_linenumber") % 5
     return i.select(
-        F.col("l_orderkey").alias("doc_id"), SEQ.alias("seq"), (F.col("l_partkey") % 8).cast("int").alias("run_no"),
+        F.col("l_orderkey").alias("doc_id"), SEQ().alias("seq"), (F.col("l_partkey") % 8).cast("int").alias("run_no"),
         F.when(kind == 0, "font_name").when(kind == 1, "font_size_pt").when(kind == 2, "is_bold").when(kind == 3, "font_color").otherwise("highlight_color").alias("attribute"),
         F.when(kind == 0, F.col("l_returnflag")).when(kind == 1, (F.col("l_quantity").cast("int") % 20).cast("string"))
         .when(kind == 2, F.when(F.col("l_linestatus") == "O", "true").otherwise("maybe")).when(kind == 3, F.concat(F.lit("#00ff0"), (F.col("l_suppkey") % 10).cast("string")))
