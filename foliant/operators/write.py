@@ -30,7 +30,12 @@ def _flag(p: Column) -> Column:
     return tx.loose_boolean(p).cast("string")
 
 
-# Operation types and the attribute each one writes.
+def _record(p: Column) -> Column:
+    """A JSON object with at least one field."""
+    return F.when(p.rlike('^\\s*\\{\\s*"'), p)
+
+
+# The 25 operation types and the attribute each one writes.
 SPECS = (
     OperationSpec("set_font", "font_name", tx.first_text),
     OperationSpec("set_size", "font_size_pt", _number("positive")),
@@ -48,6 +53,15 @@ SPECS = (
     OperationSpec("set_text", "text", lambda p: F.coalesce(p, F.lit(""))),
     OperationSpec("split_paragraph", "split_offset", lambda p: tx.first_number("integer", p).cast("long").cast("string")),
     OperationSpec("merge_paragraph", "merge", lambda p: F.lit("next")),
+    OperationSpec("set_page_layout", "paper_size", tx.paper_size),
+    OperationSpec("set_style_definition", "style_definition", _record),
+    OperationSpec("set_numbering_level", "numbering_level", _record),
+    OperationSpec("set_settings_flag", "settings_flag", _record),
+    OperationSpec("set_attr", "attr", tx.first_text),
+    OperationSpec("remove_attr", "removed_attr", tx.first_text),
+    OperationSpec("remove_node", "removed_node", lambda p: F.coalesce(p, F.lit(""))),
+    OperationSpec("ensure_node", "tag", tx.first_text),
+    OperationSpec("replace_node_xml", "xml", tx.first_text),
 )
 
 

@@ -330,8 +330,8 @@ add("j17_role_bind_check", lambda s, d: sel.role_bind_check(intents(s, d).select
 
 # ---------------------------------------------------------------- writes
 
-_PAYLOADS = [("set_font", " SimSun "), ("set_size", "12.5"), ("set_size", "-1"), ("set_bold", "TRUE"), ("set_bold", "maybe"), ("set_font_color", "#a0b1c2"), ("set_highlight_color", "Dark Blue"), ("set_highlight_color", "mauve"), ("split_paragraph", "5"), ("split_paragraph", "0"), ("set_table_style", "x"), ("merge_paragraph", None), ("set_alignment", "  ")]
-_RESULTS = [("font_name", "SimSun"), ("font_size_pt", "12.5"), ("font_size_pt", None), ("is_bold", "true"), ("is_bold", None), ("font_color", "A0B1C2"), ("highlight_color", "darkBlue"), ("highlight_color", None), ("split_offset", "5"), ("split_offset", None), (None, None), ("merge", "next"), ("paragraph_alignment", None)]
+_PAYLOADS = [("set_font", " SimSun "), ("set_size", "12.5"), ("set_size", "-1"), ("set_bold", "TRUE"), ("set_bold", "maybe"), ("set_font_color", "#a0b1c2"), ("set_highlight_color", "Dark Blue"), ("set_highlight_color", "mauve"), ("split_paragraph", "5"), ("split_paragraph", "0"), ("set_table_style", "x"), ("merge_paragraph", None), ("set_alignment", "  "), ("set_page_layout", "a4"), ("set_page_layout", "A3"), ("set_style_definition", '{"font":"x"}'), ("set_numbering_level", "{}"), ("set_settings_flag", '{"on":1}'), ("set_attr", " w:val "), ("remove_attr", ""), ("remove_node", None), ("ensure_node", "w:p"), ("replace_node_xml", "<w:p/>")]
+_RESULTS = [("font_name", "SimSun"), ("font_size_pt", "12.5"), ("font_size_pt", None), ("is_bold", "true"), ("is_bold", None), ("font_color", "A0B1C2"), ("highlight_color", "darkBlue"), ("highlight_color", None), ("split_offset", "5"), ("split_offset", None), (None, None), ("merge", "next"), ("paragraph_alignment", None), ("paper_size", "A4"), ("paper_size", None), ("style_definition", '{"font":"x"}'), ("numbering_level", None), ("settings_flag", '{"on":1}'), ("attr", "w:val"), ("removed_attr", None), ("removed_node", ""), ("tag", "w:p"), ("xml", "<w:p/>")]
 
 
 def w1(s, d):
