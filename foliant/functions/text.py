@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Transcript markers.
 START, END = "<|im_start|>", "<|im_end|>"
 _BLOCK = "<\\|im_start\\|>([^\\n]*)\\n([\\s\\S]*?)(?:<\\|im_end\\|>\\n?|$)"
 
@@ -24,6 +25,7 @@ OPERATION_LABELS = {
     "remove_attr": "XML 属性移除", "set_text": "XML 文本", "remove_node": "XML 节点移除", "ensure_node": "XML 节点补齐",
     "replace_node_xml": "XML 节点替换", "merge_paragraph": "段落合并", "split_paragraph": "段落拆分",
 }
+# Selector scopes, placeholder ids and the Chinese numerals of numbering.
 SCOPES = ["body", "heading", "list_item", "paragraph_ids", "all_text"]
 PLACEHOLDERS = ["placeholder", "unused", "target", "todo", "tbd"]
 CHINESE = "一二三四五六七八九十"
@@ -100,6 +102,7 @@ def _matched(c: Column, pattern: str) -> Column:
 def numbering_prefix(c: Column | str) -> Column:
     """The numbering at the start of a paragraph; a bare decimal such as 0.7003 is none."""
     t = _c(c)
+    # The numbering forms.
     many, one = "^\\s*([1-9][0-9]*(?:\\.[0-9]{1,2})+)", "^\\s*([0-9]+[.)、．])"
     words = "(?:\\s+\\S|[A-Za-z\\u4E00-\\u9FFF（(])"
     rest = F.regexp_replace(t, many, "")
@@ -220,6 +223,7 @@ def id_list(c: Column | str) -> Column:
 def expand_body_scope(goal: Column | str, said: Column | str) -> Column:
     """Whether a request that names body text also means list items: no list word and no exclusion in it."""
     g, both = _c(goal), F.concat(_c(said), F.lit("\n"), _c(goal))
+    # Words for lists and for their exclusion.
     lists = "(?i)(list_item|列表项|列表段落|项目符号|编号段落|编号列表|有序列表|无序列表|bullet|numbered)"
     without = "(普通正文|纯正文|正文（不含列表）|正文\\(不含列表\\)|不含列表|不包括列表|排除列表)"
     return both.contains("正文") & ~g.contains("普通正文和项目符号/编号段落") & ~both.rlike(lists) & ~both.rlike(without)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Bucket order, the fallback semantic and the image aliases.
 BUCKET_ORDER = ("heading", "title", "subtitle", "body", "list_item", "table_text", "unknown")
 FALLBACK = "blank_or_unknown"
 COVER_IMAGE = "cover_image"
