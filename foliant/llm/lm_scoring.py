@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import _STEP, documents, mix, shuffle_partitions, slices, text_buffers, word_hashes
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-SLICE_CHARS, PARTITION_WORDS, HELD_WORDS = 24 << 20, 1 << 21, 3 << 20
+SLICE_CHARS, PARTITION_WORDS, HELD_WORDS = 24 << 20, 1 << 21, 3 << 19
 
 
 def grams(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
