@@ -1,16 +1,19 @@
 """Personal data: fixed patterns for seeds, then bootstrapped contextual extraction.
 
-Seeds are the spans of four fixed patterns. The words beside a span are its lexical patterns; candidates are other
-tokens that hold digits or an at sign. A bipartite graph of patterns and instances is scored by turns: a pattern is
-worth the mean belief of the instances it holds, an instance what its patterns support together. Confident patterns
-then mark the candidates they surround as spans of their kind.
+Seeds are the spans of four fixed patterns. The words beside a span are its lexical patterns, with its shape and
+without; candidates are other words that hold digits or an at sign, runs of number words, and addresses with a
+written-out at sign. A bipartite graph of patterns and instances is scored by turns: a pattern is worth the mean belief
+of the instances it holds, an instance what its patterns support together, shapes are scored beside, and each round
+adds the patterns that instances of high belief stand in. Confident patterns then mark the candidates they surround.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,16 @@ _NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
+_WORD = re.compile(r"[^ \xa0]+")
 _CANDIDATE = re.compile(r"[0-9@]\S*+")  # the rest of a word; its beginning is found by stepping back
 _EDGE = ".,;:!?()[]{}<>\"'"
+_RUN = re.compile(r"(?<![^\s\"'\[<{,;:=])[+(]{0,2}[0-9*][0-9*().+/-]*+(?:[ \xa0]{1,2}(?:[-/.][ \xa0])?[+(]{0,2}[0-9*][0-9*().+/-]*+)++")
+_AT = re.compile(
+    r"(?:\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s(?:at|@)\s)[a-z0-9-]++(?:(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)[a-z0-9-]++)++", re.I
+)
+_FOUR = re.compile(r"[0-9]{1,3}(?:(?:[.,:_ -]|[\[(](?:\.|dot)[\])])[0-9]{1,3}){3}(?::[0-9]{1,5}|/[0-9]{1,2})?")
+_SIX = re.compile(r"(?=.*::|(?:[^:]*:){3})[0-9A-Fa-f:]{4,39}(?:/[0-9]{1,3})?")
+RUN_WORDS = 6  # words of a part of a run of number words; the whole run is a candidate too
 
 
 def luhn(digits: str) -> bool:
@@ -83,6 +94,58 @@ def shape(token: str) -> str:
     return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", token[:200]))[:40]
 
 
+def fits(token: str) -> int:
+    """Bits of the kinds whose data a token can be, in whatever form: by what it is made of and how much of it."""
+    if len(token) > 128:
+        return 0
+    n = sum(c in "0123456789*" for c in token)
+    plain = not any(c.isalpha() for c in token)
+    at = "@" in token[1:-1] or _AT.search(token) is not None
+    ip = _FOUR.fullmatch(token) or _SIX.fullmatch(token)
+    return at | (ip is not None) << 1 | (plain and not at and 12 <= n <= 19) << 2 | (plain and not at and 7 <= n <= 15) << 3
+
+
+def value(token: str) -> int:
+    """What is the same in all writings of an instance, as 64 bits: the digits, or the lower-cased token."""
+    plain = token.lower() if any(c.isalpha() or c in "@*" for c in token) else _DIGITS.sub("", token)
+    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what may be an unseen instance and touches no base span."""
+    starts, reach = [s for s, _, _ in spans], [0, *accumulate((e for _, _, e in spans), max)]
+    free = lambda s, e: reach[bisect_left(starts, e)] <= s
+    out = set()
+    for m in _CANDIDATE.finditer(text):
+        s, e = m.span()
+        while s and not text[s - 1].isspace():
+            s -= 1
+        while s < e and text[s] in _EDGE:
+            s += 1
+        while e > s and text[e - 1] in _EDGE:
+            e -= 1
+        if s and text[s - 1] == "(" and e - s < 128 and text[s:e].count(")") > text[s:e].count("("):
+            s -= 1
+        if e - s >= 4 and free(s, e):
+            out.add((s, e))
+    for m in _RUN.finditer(text):
+        words = [(w.start(), w.end()) for w in _WORD.finditer(text, *m.span())]
+        parts = [(i, j) for i in range(len(words)) for j in range(i + 1, min(len(words), i + RUN_WORDS))] + [(0, len(words) - 1)]
+        for i, j in parts:
+            s, e = words[i][0], words[j][1]
+            while e > s and text[e - 1] in ".,-/(+":
+                e -= 1
+            if e - s <= 128 and text[s] != "/" and free(s, e) and fits(text[s:e]):
+                out.add((s, e))
+    for m in _AT.finditer(text):
+        s = at = m.start()
+        while s and at - s < 64 and text[s - 1] in _EMAIL_HEAD:
+            s -= 1
+        if s < at and free(s, m.end()):
+            out.add((s, m.end()))
+    return sorted(out)
+
+
 def context(text: str, s: int, e: int) -> tuple[str, str]:
     """Two words to the left and one to the right, lower-cased, digits as 0, without edge marks."""
     left = [w.strip(_EDGE).lower() for w in text[max(0, s - 60) : s].split()][-2:]
@@ -91,8 +154,8 @@ def context(text: str, s: int, e: int) -> tuple[str, str]:
     return clean(left), clean(right)
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, row string, near array<struct<kind:int,s:int,e:int,token:string,left:string,right:string>>"
-_NEAR = pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("token", pa.string()), ("left", pa.string()), ("right", pa.string())]))
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, row string, near array<struct<kind:int,s:int,e:int,token:string,value:long,fit:int,left:string,right:string>>"
+_NEAR = pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("token", pa.string()), ("value", pa.int64()), ("fit", pa.int32()), ("left", pa.string()), ("right", pa.string())]))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -105,28 +168,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 t = t or ""
                 spans = base_spans(t)
                 n = [0, 0, 0, 0]
-                near = []
-                taken = 0
-                for s, k, e in spans:
+                for _, k, _ in spans:
                     n[k] += 1
-                    near.append((k, s, e))
-                for m in _CANDIDATE.finditer(t):
-                    s, e = m.span()
-                    while s and not t[s - 1].isspace():
-                        s -= 1
-                    while s < e and t[s] in _EDGE:
-                        s += 1
-                    while e > s and t[e - 1] in _EDGE:
-                        e -= 1
-                    if e - s < 4:
-                        continue
-                    while taken < len(spans) and spans[taken][0] + 40 < s and spans[taken][2] <= s:
-                        taken += 1
-                    if not any(a < e and s < b for a, _, b in spans[taken:]):
-                        near.append((-1, s, e))
+                near = [(k, s, e) for s, k, e in spans] + [(-1, s, e) for s, e in candidates(t, spans)]
                 counts.append(n)
                 bases.append(digest(spans))
-                nears.append([{"kind": k, "s": s, "e": e, "token": shape(t[s:e]), "left": c[0], "right": c[1]} for k, s, e in near for c in [context(t, s, e)]])
+                nears.append([
+                    {"kind": k, "s": s, "e": e, "token": shape(t[s:e]), "value": value(t[s:e]), "fit": fits(t[s:e]) if k < 0 else 1 << k, "left": c[0], "right": c[1]}
+                    for k, s, e in near for c in [context(t, s, e)]
+                ])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(bases, pa.string()), batch.column(2), pa.array(nears, _NEAR)],
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "row", "near"],
@@ -136,37 +186,80 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", docs[text].alias("text"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("row")).mapInArrow(run, FOUND)
 
 
-def discover(found: DataFrame, rounds: int = 3, least_support: int = 5, confidence: float = 0.9) -> DataFrame:
+def discover(found: DataFrame, rounds: int = 3, least_support: int = 5, confidence: float = 0.9, least_shape: float = 0.5) -> DataFrame:
     """Unseen identifiers: rows (doc_id, row, kind, s, e).
 
-    A pattern is (left words, right word, token shape) or (left words, shape); a base span supports its kind fully,
-    a candidate as far as the patterns of the round before support it. Patterns of fewer than least_support base
-    spans, or of a mean belief under confidence, mark nothing. Counts cover all documents.
+    A pattern is the left words, or the left words and the right word; each also with the token shape. One with a
+    shape holds the candidates of that shape, one without those that can be of its kind at all, in any form. A base
+    span supports its kind fully, a candidate as far as the patterns of the round before support its value anywhere;
+    a shape is worth the mean belief of its members in known patterns (least_support trials in its favour before) and
+    weighs what patterns without a shape say. Each round adds patterns that hold least_support base spans and
+    candidates whose value has a belief of at least confidence. Patterns of fewer, or of a mean belief under
+    confidence, mark nothing, nor do those without a shape where the shape's worth is under least_shape. Counts cover
+    all documents. Of overlapping marks the longest stays, then the one of the highest belief.
     """
-    spans = found.select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.*")
+    spans = found.select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.*").filter("left <> ''")
+    key = lambda *parts: F.concat_ws("\x1f", *parts)
     keys = F.array(
-        F.when(F.col("left") != "", F.concat_ws("", F.lit("l"), "left", "token")),
-        F.when((F.col("left") != "") & (F.col("right") != ""), F.concat_ws("", F.lit("b"), "left", "right", "token")),
+        F.struct(key(F.lit("l"), "left").alias("pattern"), F.lit(False).alias("keyed")),
+        F.struct(key(F.lit("lt"), "left", "token").alias("pattern"), F.lit(True).alias("keyed")),
+        F.when(F.col("right") != "", F.struct(key(F.lit("b"), "left", "right").alias("pattern"), F.lit(False).alias("keyed"))),
+        F.when(F.col("right") != "", F.struct(key(F.lit("bt"), "left", "right", "token").alias("pattern"), F.lit(True).alias("keyed"))),
     )
-    held = spans.select("doc_id", "row", "kind", "s", "e", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("pattern"))
-    seeds = held.filter("kind >= 0").groupBy("pattern", F.col("kind").alias("k")).agg(F.count("*").alias("hits"))
-    best = F.max(F.struct("hits", "k"))
-    seeds = seeds.groupBy("pattern").agg(best["k"].alias("k"), best["hits"].alias("hits"), F.sum("hits").alias("seeds"))
-    seeds = seeds.filter(F.col("hits") >= least_support)
-    edges = stage(held.filter("kind < 0").join(seeds, "pattern").drop("kind"))  # only candidates beside a seed pattern
-    scores = seeds.withColumn("score", F.col("hits") / F.col("seeds"))
+    based = spans.filter("kind >= 0").groupBy("token").count()
+    able = spans.filter("kind >= 0 or fit > 0").unionByName(spans.filter("kind < 0 and fit = 0").join(based, "token", "left_semi").select(*spans.columns))
+    held = able.select("doc_id", "row", "kind", "s", "e", "token", "value", "fit", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+    held = stage(held.select(*held.columns[:-1], "key.*"))
     instance = ["doc_id", "row", "s", "e"]
+    free = held.filter("kind < 0").drop("kind")
+    holds = F.expr("keyed or (fit & shiftleft(1, k)) <> 0")
+    seeds = stage(held.filter("kind >= 0").groupBy("pattern", "keyed", F.col("kind").alias("k")).agg(F.count("*").alias("hits")))
+    shape_seeds = spans.filter("kind >= 0").groupBy("token", F.col("kind").alias("k")).agg(F.count("*").alias("n"))
+
+    def best(support: DataFrame) -> DataFrame:
+        """pattern, keyed, k, hits, seeds of the patterns of enough support; hits and seeds are base spans."""
+        top = F.max(F.struct("support", "hits", "k"))
+        out = support.groupBy("pattern", "keyed").agg(top.alias("top"), F.sum("hits").alias("seeds"))
+        return out.filter(F.col("top.support") >= least_support).select("pattern", "keyed", "top.k", "top.hits", "seeds")
+
+    patterns = best(seeds.withColumn("support", F.col("hits")))
+    members = free.join(patterns.drop("keyed"), "pattern").filter(holds).groupBy("pattern").agg(F.count("*").alias("n"))
+    others = F.when(F.col("keyed"), 0).otherwise(F.coalesce("n", F.lit(0)))
+    scores = stage(patterns.join(members, "pattern", "left").withColumn("score", F.col("hits") / (F.col("seeds") + others)).drop("n"))
+    shapes = None
+
+    def edges() -> DataFrame:
+        out = free.join(scores.select("pattern", "k", "score"), "pattern").filter(holds)
+        out = out.withColumn("worth", F.lit(1.0)) if shapes is None else out.join(shapes, ["token", "k"], "left").withColumn("worth", F.coalesce("worth", F.lit(1.0)))
+        return out.withColumn("weight", F.when(F.col("keyed"), F.col("score")).otherwise(F.col("score") * F.col("worth")))
+
+    together = 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))))
     for _ in range(rounds):
-        belief = edges.join(scores.select("pattern", "score"), "pattern")
-        belief = belief.groupBy(*instance, "k").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("belief"))
-        mean = edges.join(belief, [*instance, "k"]).groupBy("pattern").agg(F.sum("belief").alias("b"), F.count("*").alias("n"))
-        scores = seeds.join(mean, "pattern", "left").select(
-            "pattern", "k", ((F.col("hits") + F.coalesce("b", F.lit(0.0))) / (F.col("seeds") + F.coalesce("n", F.lit(0)))).alias("score")
-        )
-        scores = stage(scores)
-    chosen = edges.join(scores.filter(F.col("score") >= confidence).select("pattern", "score"), "pattern")
-    top = F.max(F.struct("score", "k"))["k"]
-    return chosen.groupBy(*instance).agg(top.alias("kind"))
+        belief = stage(edges().groupBy(*instance, "token", "value", "k").agg(together.alias("belief")))
+        values = stage(belief.groupBy("value", "k").agg(F.max("belief").alias("belief")))
+        worth = belief.groupBy("token", "k").agg(F.sum("belief").alias("b"), F.count("*").alias("n"))
+        worth = worth.select("token", "k", "b", "n").unionByName(shape_seeds.select("token", "k", F.col("n").cast("double").alias("b"), "n"))
+        worth = worth.groupBy("token", "k").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+        every = worth.groupBy("token").agg(F.sum("n").alias("n"))
+        shapes = stage(worth.drop("n").join(every, "token").select("token", "k", ((F.col("b") + least_support) / (F.col("n") + least_support)).alias("worth")))
+        sure = free.join(values.filter(F.col("belief") >= confidence).select("value", "k"), "value").filter(holds)
+        sure = sure.groupBy("pattern", "keyed", "k").agg(F.count("*").alias("support"), F.lit(0).cast("long").alias("hits"))
+        support = sure.unionByName(seeds.select("pattern", "keyed", "k", F.col("hits").alias("support"), "hits"))
+        support = support.groupBy("pattern", "keyed", "k").agg(F.sum("support").alias("support"), F.sum("hits").alias("hits"))
+        known = scores.select("pattern", "keyed", "k", "hits", "seeds")
+        patterns = stage(known.unionByName(best(support).join(known.select("pattern"), "pattern", "left_anti").select(*known.columns)))
+        mean = free.join(patterns.select("pattern", "k"), "pattern").filter(holds).join(values, ["value", "k"], "left")
+        mean = mean.groupBy("pattern").agg(F.sum(F.coalesce("belief", F.lit(0.0))).alias("b"), F.count("*").alias("n"))
+        score = (F.col("hits") + F.coalesce("b", F.lit(0.0))) / (F.col("seeds") + F.coalesce("n", F.lit(0)))
+        scores = stage(patterns.join(mean, "pattern", "left").withColumn("score", score).select(*known.columns, "score"))
+    chosen = edges().filter(F.col("score") >= confidence).filter(F.col("keyed") | (F.col("worth") >= least_shape))
+    marks = chosen.groupBy(*instance, "k").agg(together.alias("belief")).groupBy(*instance).agg(F.max(F.struct("belief", "k")).alias("top"))
+    mark = F.struct((F.col("s") - F.col("e")).alias("less"), (-F.col("top.belief")).alias("order"), "s", "e", F.col("top.k").alias("kind"))
+    marks = marks.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(mark)).alias("all"))
+    none = F.filter("all", lambda _: F.lit(False))
+    apart = lambda held, x: ~F.exists(held, lambda h: (h["s"] < x["e"]) & (x["s"] < h["e"]))
+    kept = F.aggregate("all", none, lambda held, x: F.when(apart(held, x), F.concat(held, F.array(x))).otherwise(held))
+    return marks.select("doc_id", "row", F.explode(kept).alias("x")).select("doc_id", "row", "x.s", "x.e", "x.kind")
 
 
 def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:

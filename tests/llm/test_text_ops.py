@@ -143,6 +143,27 @@ def test_pii_context(spark):
     assert got[90]["spans"] == "card:23:39" and got[90]["n_card"] == 0 and got[91]["spans"] == ""
 
 
+def test_pii_unseen_forms(spark):
+    """Forms that no base pattern has are found in known contexts, and contexts that such instances stand in are learnt."""
+    say = lambda x: f"Please call our office number {x} today"
+    ring = lambda x: f"You can ring us under {x} after noon"
+    rows = [(i, say(f"+1 (743) 555-38{i}"), "a") for i in range(10, 18)]
+    rows += [(i, say(f"(743) 555-38{i}"), "a") for i in range(20, 25)] + [(i + 10, ring(f"(743) 555-38{i}"), "a") for i in range(20, 25)]
+    rows += [(40, ring("(212) 999 1234"), "a"), (41, say("10:30"), "a"), (42, "We had sold (743) 555-3899 of them", "a")]
+    cards = ["4539 5787 6376 2148", "4716-2580-5095-8645"]
+    rows += [(50 + i, f"Pay with the card number {n} soon", "a") for i, n in enumerate(("4539578763621486", "4716258050958645", "4929144317631246", "4485040993287616", "4532015112830366", "4556737586899855"))]
+    rows += [(60, f"Pay with the card number {cards[0]} soon", "a")]
+    rows += [(70 + i, f"write to me at jo{i}@ex.com please", "a") for i in range(6)] + [(80, "write to me at jo [at] ex dot com please", "a")]
+    text = {d: t for d, t, _ in rows}
+    assert all(not base(text[d]) for d in (*range(20, 25), *range(30, 35), 40, 41, 42, 60, 80))
+    want = {**{d: "(743) 555-38%d" % d for d in range(20, 25)}, **{d + 10: "(743) 555-38%d" % d for d in range(20, 25)}, 40: "(212) 999 1234", 41: None, 42: None, 60: cards[0], 80: "jo [at] ex dot com"}
+    got = {r["doc_id"]: r for r in pii.find_pii(shaped(spark, rows)).collect()}
+    kind = lambda d: "card" if d == 60 else "email" if d == 80 else "phone"
+    for d, x in want.items():
+        at = text[d].index(x) if x else 0
+        assert got[d]["spans"] == (f"{kind(d)}:{at}:{at + len(x)}" if x else ""), (d, got[d]["spans"])
+
+
 def words5(text):
     w = re.sub("[A-Z]", lambda m: m.group().lower(), text).split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
