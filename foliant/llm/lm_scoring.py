@@ -3,7 +3,8 @@
 Count tables of 1..ORDER-grams are partitioned by hash and joined to the exploded n-grams of the documents, whose log
 scores are summed per document. Nothing is broadcast: documents are dealt into slices by doc_id, a slice sends each
 distinct n-gram once with its count to the n-gram's hash partition, gets back the counts of the whole corpus for the
-n-grams it holds, and scores its documents. A frequent n-gram is one entry per slice, so no key is hot.
+n-grams it holds, in the order of their keys and without these, which the slice's own texts give again, and scores its
+documents. A frequent n-gram is one entry per slice, so no key is hot. The query is registered with ORDER, uncut.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, documents, mix, shuffle_partitions, slices, text_buffers, word_hashes
+from .common import _STEP, SLICE_BYTES, documents, mix, shuffle_partitions, slices, text_buffers, word_hashes
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-SLICE_CHARS, PARTITION_WORDS, HELD_WORDS = 24 << 20, 1 << 21, 3 << 19
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+SLICE_CHARS, PARTITION_WORDS, HELD_WORDS, HELD_BYTES = 16 << 20, 1 << 21, 1 << 21, 32 << 20
 
 
 def grams(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,24 +33,34 @@ def grams(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, n
     return mix(key + np.uint64(k)), place >= k - 1
 
 
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def expand(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Low seven bytes of sorted keys, byte plane by byte plane; the top byte is the partition's."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes()
+    """Low seven bytes of sorted keys as steps, byte plane by byte plane; the top byte is the partition's."""
+    low = keys & np.uint64((1 << 56) - 1)
+    return squeeze(np.ascontiguousarray(np.diff(low, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes())
 
 
-def unpack_keys(raw: bytes, top: int) -> np.ndarray:
+def unpack_keys(blob: bytes, top: int) -> np.ndarray:
+    raw = expand(blob)
     n = len(raw) // 7
-    out = np.empty((n, 8), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
     out[:, :7] = np.frombuffer(raw, np.uint8).reshape(7, n).T
-    out[:, 7] = top
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+    return np.cumsum(out.reshape(-1).view("<u8"), dtype=np.uint64) | np.uint64(top << 56)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return squeeze(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def unpack_counts(raw: bytes) -> np.ndarray:
+def unpack_counts(blob: bytes) -> np.ndarray:
+    raw = expand(blob)
     n = len(raw) // 8
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).reshape(-1).view("<u8").astype(np.int64)
 
@@ -96,8 +107,8 @@ def slice_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
 
 
 def corpus_counts(counted: DataFrame, bits: int, min_count: int) -> DataFrame:
-    """For each slice and partition, the slice's n-grams with their counts over all slices. 2-grams and longer ones
-    under min_count are left out, as in a count table with a cut-off; words counted once are implied."""
+    """For each slice and partition, the counts over all slices of the slice's n-grams in the order of their keys.
+    2-grams and longer ones under min_count count 0, as in a count table with a cut-off."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         k, part = int(pdf["gram"].iloc[0]), int(pdf["part"].iloc[0])
@@ -105,35 +116,32 @@ def corpus_counts(counted: DataFrame, bits: int, min_count: int) -> DataFrame:
         keys = [unpack_keys(r, top) for r in pdf["keys"]]
         u, place = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(place, np.concatenate([unpack_counts(r) for r in pdf["counts"]])).astype(np.int64)
-        keep = n >= (min_count if k > 1 else 2)
+        if k > 1:
+            n[n < min_count] = 0
         ends = np.cumsum([len(x) for x in keys])
         rows = []
         of = pdf["slice"].to_numpy()
         for s in np.unique(of).tolist():
             mine = np.unique(np.concatenate([place[e - len(x) : e] for x, e, o in zip(keys, ends, of) if o == s]))
-            mine = mine[keep[mine]]
-            if len(mine):
-                rows.append((s, k, part, pack_keys(u[mine]), pack_counts(n[mine])))
-        return pd.DataFrame(rows, columns=["slice", "gram", "part", "keys", "counts"])
+            rows.append((s, k, part, pack_counts(n[mine])))
+        return pd.DataFrame(rows, columns=["slice", "gram", "part", "counts"])
 
-    return counted.groupBy("gram", "part").applyInPandas(total, TABLE)
+    return counted.groupBy("gram", "part").applyInPandas(total, TABLE.replace("keys binary, ", ""))
 
 
-def score_texts(texts: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]], order: int, alpha: float, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, summed natural-log scores and backed-off words of each text."""
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
-    words, at = word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+def score_words(words: np.ndarray, at: np.ndarray, tables: dict[int, np.ndarray], order: int, alpha: float, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, summed natural-log scores and backed-off words of each text of a slice; tables: counts by order of keys."""
     n = len(words)
     counts = {}
     for k in range(1, order + 1):
         key, ok = grams(words, at, k)
-        keys, values = tables.get(k, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        found = np.zeros(n, np.int64)
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            found = np.where(ok & (keys[place] == key), values[place], 0)
-        counts[k] = found if k > 1 else np.maximum(found, 1)
+        u, place = np.unique(key[ok], return_inverse=True)
+        own = tables.pop(k, np.zeros(0, np.int64))
+        if len(own) != len(u):
+            raise RuntimeError(f"{len(own)} counts for {len(u)} {k}-grams of a slice")
+        counts[k] = np.zeros(n, np.int64)
+        counts[k][ok] = own[place]
+        del key, u, place
     score = np.log(counts[1] / max(total, 1))
     open_words = np.ones(n, bool)
     steps = np.zeros(n, np.int64)
@@ -152,24 +160,50 @@ def score_texts(texts: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray
     return np.diff(at), per_doc, missed[at[1:]] - missed[at[:-1]]
 
 
-def chunks(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about a million characters, so that a slice's arrays stay small."""
-    part: list[str] = []
-    size = 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= 1 << 20:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+PACKED = "slice int, ids binary, sizes binary, texts binary"
+
+
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slice, doc_id, text) as one compressed block for each slice of about HELD_BYTES of text."""
+
+    def blocks(held: dict[int, list[tuple[int, bytes]]]) -> pa.RecordBatch:
+        columns = [], [], [], []
+        for s, rows in held.items():
+            ids, texts = zip(*rows)
+            row = s, np.array(ids, np.int64).tobytes(), np.array([len(x) for x in texts], np.int64).tobytes(), squeeze(b"".join(texts))
+            for c, x in zip(columns, row):
+                c.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], ["slice", "ids", "sizes", "texts"])
+
+    held, size = {}, 0
+    for batch in slices(batches):
+        for s, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            raw = t.encode()
+            held.setdefault(s, []).append((d, raw))
+            size += len(raw)
+        if size >= HELD_BYTES:
+            yield blocks(held)
+            held, size = {}, 0
+    if held:
+        yield blocks(held)
+
+
+def block_words(sizes: bytes, texts: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words of a block and the number of words of each text, a few MB of text at a time."""
+    ends = np.append(0, np.cumsum(np.frombuffer(sizes, np.int64)))
+    data = np.frombuffer(expand(texts), np.uint8)
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_BYTES, side="right")) - 1)
+        words, at = word_hashes(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+        yield words, np.diff(at)
+        a = b
 
 
 RESULT = "doc_id long, n_words long, log_score double, n_backoff long"
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, text: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_count: int = MIN_COUNT, text: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), n_backoff, mean_log_score for every row.
 
     S(w | context) = count(context w) / count(context) if the n-gram was counted min_count times, else
@@ -196,18 +230,19 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
     back = corpus_counts(slice_counts(rows, order, bits), bits, min_count)
 
     def score(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        tables = {}
-        for k, own in table.groupby("gram"):
-            own = own.sort_values("part")
-            keys = np.concatenate([unpack_keys(r, int(p) >> (bits - 8)) for r, p in zip(own["keys"], own["part"])])
-            tables[int(k)] = keys, np.concatenate([unpack_counts(r) for r in own["counts"]])
-        parts = [score_texts(part, tables, order, alpha, total) for part in chunks(texts["text"].tolist())]
-        n, sums, missed = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
-        return pd.DataFrame({"doc_id": texts["doc_id"], "n_words": n, "log_score": sums, "n_backoff": missed})
-
-    scored = rows.groupBy("slice").cogroup(back.groupBy("slice")).applyInPandas(score, RESULT)
+        tables = {int(k): np.concatenate([unpack_counts(r) for r in own.sort_values("part")["counts"]]) for k, own in table.groupby("gram")}
+        parts = [x for block in zip(texts["sizes"], texts["texts"]) for x in block_words(*block)]
+        if not parts:
+            return pd.DataFrame({"doc_id": [], "n_words": [], "log_score": [], "n_backoff": []})
+        words, at = np.concatenate([w for w, _ in parts]), np.append(0, np.cumsum(np.concatenate([m for _, m in parts])))
+        n, sums, missed = score_words(words, at, tables, order, alpha, total)
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in texts["ids"]])
+        return pd.DataFrame({"doc_id": ids, "n_words": n, "log_score": sums, "n_backoff": missed})
+
+    packed = rows.select("slice", "doc_id", "text").mapInArrow(pack_texts, PACKED)
+    scored = packed.groupBy("slice").cogroup(back.groupBy("slice")).applyInPandas(score, RESULT)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(documents(spark, sf_dir))
+    return backoff_scores(documents(spark, sf_dir), ORDER, min_count=1)
