@@ -113,6 +113,25 @@ def test_embeddings(spark):
     assert hnsw.near_components(vectors(spark, bad)).count() == 6
 
 
+def test_embedding_audit():
+    """Nodes that no links reach, and small groups beside a large one, are found after the audit."""
+    rng = np.random.default_rng(7)
+    x = hnsw.unit(rng.standard_normal((600, 24)))
+    x[200:400] = x[:200]  # 200 pairs
+    x[400:] = hnsw.unit(x[399] + 0.01 * rng.standard_normal((200, 24)))  # one large group
+    for lost in (np.arange(600), np.arange(200)):  # all nodes, or one of each pair, lose their links
+        graph = hnsw.Hierarchy(x)
+        nodes, links = graph.layers[-1]
+        gone = np.isin(nodes, lost)
+        links[gone] = -1
+        links[np.isin(links, np.flatnonzero(gone))] = -1
+        del graph.layers[:-1]
+        assert graph.audit(0.9) >= 0.99
+        graph = hnsw.Hierarchy.load(x, graph.dump())
+        q, node = graph.within(x, 0.9)
+        assert set(zip(q.tolist(), node.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.9))))
+
+
 def test_toxicity_held_out(spark):
     """The English words are learnt from the rows of the other folds and found in the held-out one, disguised ones too."""
     rng = np.random.default_rng(1)
