@@ -47,6 +47,21 @@ def fold(text: str) -> str:
     return text.translate(_FOLD) if _ODD.search(text) else text
 
 
+_SIGNS = "[" + re.escape("".join(sorted({chr(c) for c, plain in _FOLD.items() if plain and not chr(c).isalnum()}))) + "]++"
+_TAIL, _HEAD = re.compile(f"(?<=[^\\W_]){_SIGNS}(?![^\\W_])"), re.compile(f"(?<![^\\W_]){_SIGNS}(?=[^\\W_])")
+_CALL = re.compile(f"[!¡]++(?![^\\W_]|{_SIGNS})")
+
+
+def forms(text: str) -> list[str]:
+    """fold(text), and forms of the same length in which signs at the ends or beginnings of words stay punctuation."""
+    text = text.lower()
+    if not text.isascii() and re.search("[＀-￯]", text):
+        text = unicodedata.normalize("NFKC", text).lower()
+    blank = lambda m: "\ue000" * len(m.group())
+    ends = dict.fromkeys((text, _CALL.sub(blank, text), _TAIL.sub(blank, text)))
+    return list(dict.fromkeys(fold(y) for x in ends for y in (x, _HEAD.sub(blank, x))))
+
+
 def features(folded: str) -> set[str]:
     """Word beginnings, and whole words marked by a final blank."""
     out = set()
@@ -106,13 +121,20 @@ def phrases(folded: str, start: int, end: int) -> tuple[str, str]:
     return (f"{before[0]} {word}" if before else ""), (f"{word} {after[0]}" if after else "")
 
 
-def evidence(folded: str, model: Model, automaton: ahocorasick.Automaton | None) -> tuple[float, float]:
-    """Summed weight of hits outside exception phrases, plain and normalised by the root of the length in words."""
+def evidence(folded: str, model: Model, automaton: ahocorasick.Automaton | None, *others: str) -> tuple[float, float]:
+    """Summed weight of hits outside exception phrases, plain and normalised by the root of the length in words.
+
+    A hit in one of the other forms counts where no form before has one.
+    """
     total = 0.0
-    for start, (_, weight, end) in hits(folded, automaton).items():
-        if model.exceptions and not model.exceptions.isdisjoint(phrases(folded, start, end)):
-            continue
-        total += weight
+    taken: set[int] = set()
+    for form in (folded, *others):
+        found = [x for x in hits(form, automaton).items() if not others or taken.isdisjoint(range(x[0], x[1][2]))]
+        for start, (_, weight, end) in found:
+            taken.update(range(start, end) if others else ())
+            if model.exceptions and not model.exceptions.isdisjoint(phrases(form, start, end)):
+                continue
+            total += weight
     return math.log1p(total), math.log1p(10 * total / math.sqrt(1 + len(folded) / 6))
 
 
@@ -132,7 +154,7 @@ def _count(train: DataFrame, toxic: int, only: frozenset | None = None) -> DataF
         bag: Counter = Counter()
         for pdf in frames:
             for t in pdf["text"]:
-                f = features(fold(t))
+                f = set().union(*map(features, forms(t)))
                 bag.update(f if only is None else f & only)
         yield pd.DataFrame({"feature": list(bag), "n": list(bag.values())})
 
@@ -202,8 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions:
         for pdf in frames:
             rows = []
             for t, y in zip(pdf["text"], pdf["toxic"]):
-                f = fold(t)
-                found = {p for s, (_, _, e) in hits(f, automaton).items() for p in phrases(f, s, e) if p}
+                found = {p for f in forms(t) for s, (_, _, e) in hits(f, automaton).items() for p in phrases(f, s, e) if p}
                 rows += [(p, int(y)) for p in found]
             yield pd.DataFrame(rows, columns=["phrase", "toxic"])
 
@@ -214,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions:
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = model.matcher()
         for pdf in frames:
-            got = [evidence(fold(t), model, automaton) for t in pdf["text"]]
+            got = [evidence(f[0], model, automaton, *f[1:]) for f in map(forms, pdf["text"])]
             yield pd.DataFrame(got, columns=["a", "b"]).assign(y=pdf["toxic"].to_numpy())
 
     data = train.mapInPandas(measured, "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])  # TRAIN_ROWS rows at most
@@ -233,7 +254,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in slices(batches):
             out = []
             for t in batch.column(1).to_pylist():
-                x, y = evidence(fold(t or ""), model, automaton)
+                whole, *others = forms(t or "")
+                x, y = evidence(whole, model, automaton, *others)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c + a * x + b * y)))))
             s = pa.array(out, pa.float64())
             flag = pa.array([int(v >= THRESHOLD) for v in out], pa.int32())
@@ -257,7 +279,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             keep = []
             for t in batch.column(at).to_pylist():
-                x, y = evidence(fold(t or ""), model, automaton)
+                whole, *others = forms(t or "")
+                x, y = evidence(whole, model, automaton, *others)
                 keep.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c + a * x + b * y)))) < THRESHOLD)
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import importlib
+import math
 import zlib
 
 import numpy as np
@@ -163,6 +164,14 @@ def test_toxicity_exceptions():
     assert toxicity.evidence("a clown swims", model, automaton)[0] > 0
 
 
+def test_toxicity_signs_at_word_ends():
+    model = toxicity.Model({"clown ": 5.0, "ass ": 5.0})
+    automaton = model.matcher()
+    for text, n in (("you clown!!", 1), ("¡clown!", 1), ("you a$$!", 1), ("an as$ here", 1), ("@ss clown|", 2), ("clowning!", 0)):
+        whole, *others = toxicity.forms(text)
+        assert toxicity.evidence(whole, model, automaton, *others)[0] == math.log1p(5.0 * n), text
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 1), (None, 1, 1), (5, None, None), (2, 0, 0)], "doc_id LONG, quality INT, toxic INT")
     for table in (labels, labels.limit(0)):
