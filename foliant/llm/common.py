@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -27,24 +27,68 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session of one machine (master local or local[n]) gets a new folder; any other is an error,
+    as executors don't see each other's folders.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+_written: list[str] = []  # folders that stage() wrote and nothing has deleted yet
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged() -> int:
+    """A mark for drop_staged(): how many folders stage() has written and kept."""
+    return len(_written)
+
+
+def drop_staged(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the folders that stage() wrote between two marks, once nothing reads them any more."""
+    for path in _written[first:last]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[first:last]
+
+
+# ---------------------------------------------------------------- ranges of a number
+
+
+def quantiles(numbers: DataFrame, n: int) -> list[int]:
+    """At most n - 1 cuts that deal the only column of numbers into n parts of about equal size; nulls don't count."""
+    marks = [i / n for i in range(1, n)]
+    return sorted(set(numbers.agg(F.percentile_approx(numbers.columns[0], marks or [0.5], 10 * n + 1000)).first()[0] or []))
+
+
+def bucket_of(spark: SparkSession, cuts: list[int]):
+    """A function of a long column: how many of the sorted cuts lie below it, by binary search; null for null."""
+    shared = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    @F.arrow_udf("int")
+    def place(x: pa.Array) -> pa.Array:
+        known = x.is_valid().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(shared.value, x.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(at.astype(np.int32), mask=~known)
+
+    return place
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 
@@ -103,27 +147,50 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = _sequence(23, 64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[str, list[np.ndarray]] = {}
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, kept for the worker's lifetime."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64; those for SLICE_BYTES are kept for the worker's lifetime."""
+    if n > SLICE_BYTES + 1:
+        return _powers_to(n)
+    if "both" not in _powers:
+        _powers["both"] = _powers_to(SLICE_BYTES + 1)
+    return _powers["both"]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (maximal run without blank, tab or line ends) and the word offsets of each row."""
+    """Hash of every word (maximal run without blank, tab or line ends) and the word offsets of each row.
+
+    Long data is hashed a slice at a time, cut before white space, so memory follows the slice and the longest word.
+    """
+    hashes, at, a, words = [], np.zeros(len(offsets), np.int64), 0, 0
+    while a < len(data):
+        b = min(len(data), a + SLICE_BYTES)
+        while b < len(data) and not _SPACE[data[b]]:
+            gap = np.flatnonzero(_SPACE[data[b : b + 4096]])
+            b += int(gap[0]) if len(gap) else min(4096, len(data) - b)
+        i, j = np.searchsorted(offsets, [a, b], side="left")
+        h, own = _slice_hashes(data[a:b], np.concatenate([offsets[i:j] - a, [b - a]]), lower)
+        at[i:j] = own[:-1] + words
+        hashes.append(h)
+        words += len(h)
+        a = b
+    at[np.searchsorted(offsets, a, side="left") :] = words
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), at
+
+
+def _slice_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = ~_SPACE[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
@@ -159,19 +226,19 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Smallest reachable id for every id in an edge list: rows (id, component).
 
-    Alternates large-star and small-star contraction (Kiveris et al. 2014); every round is two aggregations and two
-    joins on the remaining edges and is checkpointed, so a lost executor costs one round at most. The stars of a hub
-    are joined, never gathered into one row.
+    Alternates large-star and small-star contraction (Kiveris et al. 2014) until the edges stay as they are; every
+    round is two aggregations and two joins on the remaining edges and is checkpointed, so a lost executor costs one
+    round at most. The stars of a hub are joined, never gathered into one row.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a > b").distinct()
     shared_dir(spark)
     e = e.checkpoint()
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

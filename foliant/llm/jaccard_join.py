@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import components, documents, mix, shingles, slices, stage, text_buffers, word_hashes
 
-LOCAL_COMMON = 8  # a shingle of so many documents of a slice is reported as common
+LOCAL_COMMON, LOCAL_SHINGLES = 8, 1 << 19  # a shingle of so many of the documents that hold so many shingles is reported as common
 COMMON_LIMIT = 200_000  # most common shingles that the order knows: a broadcast of 3 MB
 BLOCK_DOCS = 512
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
 _SALTS = [np.uint64(0), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)]
 BITS = 4  # words of 64 bits of each prefix vector
 
@@ -43,19 +43,27 @@ def row_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 
 
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of common shingles, the rarest first. Every document is counted; slices report what is common in them.
+    """Hashes of common shingles, the rarest first. Every document is counted; groups of slices report what is common in them.
 
     Any such list is a valid order. The COMMON_LIMIT most frequent are kept, so the broadcast has a fixed bound.
     """
 
+    def report(sets: list[np.ndarray]) -> pa.RecordBatch:
+        u, n = np.unique(np.concatenate(sets), return_counts=True)
+        keep = n >= LOCAL_COMMON
+        return pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in slices(batches):
-            sets = list(row_sets(batch, k))
-            if not sets:
-                continue
-            u, n = np.unique(np.concatenate(sets), return_counts=True)
-            keep = n >= LOCAL_COMMON
-            yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
+            for s in row_sets(batch, k):
+                held.append(s)
+                size += len(s)
+                if size >= LOCAL_SHINGLES:
+                    yield report(held)
+                    held, size = [], 0
+        if held:
+            yield report(held)
 
     counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).collect()
@@ -105,11 +113,16 @@ def folded(bits: bytes, width: int) -> bytes:
     return (x[:width] ^ x[width:]).tobytes()
 
 
-SUMMARY = "doc_id long, n long, sig binary, prefix binary, other binary, parity binary"
+SUMMARY = "doc_id long, row binary, n long, sig binary, prefix binary, other binary, parity binary"
+
 
+def row_key(text: str = "text") -> Column:
+    """A digest of doc_id and text: equal for repeated rows only."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))))
 
-def summaries(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    spread = docs.sparkSession.sparkContext.broadcast(common)
+
+def summaries(rows: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
+    spread = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(spread.value)
@@ -123,10 +136,10 @@ def summaries(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
                 firsts.append(order.prefix(s, p, _SALTS[0]).tobytes() if n else None)
                 others.append(b"".join(prefix_bits(order.prefix(s, p, salt)).tobytes() for salt in _SALTS[1:]) if n else None)
                 parities.append(parity_bits(s).tobytes() if n else None)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (sigs, firsts, others, parities))]
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (sigs, firsts, others, parities))]
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SUMMARY.split(", ")])
 
-    return docs.mapInArrow(run, SUMMARY)
+    return rows.mapInArrow(run, SUMMARY)
 
 
 # ---------------------------------------------------------------- pairs inside a block
@@ -150,36 +163,50 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]
     return out
 
 
-def plausible(rows: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that pass the size, prefix and parity filters. Rows are taken in strips, so memory is bounded.
+def plausible(n: np.ndarray, other: np.ndarray, parities: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the index pairs that pass the size, prefix and parity filters, of the most similar pairs.
 
-    Sets that can link have parity vectors of one width or of neighbouring widths; the wider one is folded.
+    Sets that can link have parity vectors of one width or of neighbouring widths; the wider one is folded. Rows are
+    compared in strips, so memory is bounded by the square of a block.
     """
-    left, right = [], []
-    widths = np.array([len(r["parity"]) for r in rows])
-    sizes = np.array([r["n"] for r in rows], np.int64)
+    m = len(n)
+    near = np.zeros((m, m), np.float32)  # bound of the similarity of a pair, 0 where it can't link
+    widths, half = np.array([len(p) for p in parities]), other.shape[1] // 2
     for width in np.unique(widths).tolist():
         at = np.flatnonzero((widths == width) | (widths == 2 * width))
-        own, n, m = widths[at] == width, sizes[at], len(at)
-        other = _matrix([rows[i]["other"] for i in at])
-        parity = _matrix([folded(rows[i]["parity"], width) for i in at])
-        half = other.shape[1] // 2
-        strip = max(1, (1 << 21) // (m * (parity.shape[1] + other.shape[1])))
-        for a in range(0, m, strip):
-            i = np.arange(a, min(m, a + strip))
-            x, y = n[i, None], n[None, :]
-            ok = (i[:, None] < np.arange(m)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (own[i, None] | own)
-            if not ok.any():
-                continue
-            both = other[i, None, :] & other[None, :, :]
+        own, size, bits = widths[at] == width, n[at], other[at]
+        parity = _matrix([folded(parities[i], width) for i in at])
+        strip = max(1, (1 << 19) // (len(at) * (parity.shape[1] + bits.shape[1])))
+        for a in range(0, len(at), strip):
+            i = slice(a, a + strip)
+            x, y = size[i, None], size[None, :]
+            ok = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (own[i, None] | own)
+            both = bits[i, None, :] & bits[None, :, :]
             ok &= both[..., :half].any(axis=2) & both[..., half:].any(axis=2)
             # |x & y| <= (|x| + |y| - differing parities) / 2, and the link needs (100 + p) |x & y| >= p (|x| + |y|).
             differ = np.bitwise_count(parity[i, None, :] ^ parity[None, :, :]).sum(axis=2, dtype=np.int64)
-            ok &= (100 + percent) * (x + y - differ) >= 2 * percent * (x + y)
+            most = x + y - differ
+            ok &= (100 + percent) * most >= 2 * percent * (x + y)
             r, c = np.nonzero(ok)
-            left.append(at[i[r]])
-            right.append(at[c])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+            near[at[r + a], at[c]] = (most / (2 * (x + y) - most))[r, c]
+    np.fill_diagonal(near, 0)
+    return spanning(near)
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the largest weights of a symmetric matrix (0: no edge), by Prim's rule."""
+    m = len(near)
+    best, origin, left = np.zeros(m, np.float32), np.full(m, -1), np.ones(m, bool)
+    out = []
+    for _ in range(m):
+        i = int(np.where(left, best, -1).argmax())
+        left[i] = False
+        if best[i] > 0:
+            out.append((int(origin[i]), i))
+        nearer = near[i] > best
+        best[nearer] = near[i][nearer]
+        origin[nearer] = i
+    return out
 
 
 def linked(sets: list[np.ndarray], percent: int, order: Order) -> list[tuple[int, int]]:
@@ -236,11 +263,12 @@ def in_blocks(df: DataFrame, key: str, member: Column, blocks: Column, rows: lis
     """
     b = F.pmod(F.xxhash64(member), blocks)
     dealt = df.withColumn("_b", b).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return (
-        dealt.groupBy(key, F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"))
-        .agg(F.collect_list(F.struct(*rows)).alias("rows"))
-        .filter(F.size("rows") > 1)
-    )
+    return _gathered(dealt, key, rows)
+
+
+def _gathered(dealt: DataFrame, key: str, rows: list[str]) -> DataFrame:
+    met = dealt.groupBy(key, F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"))
+    return met.agg(F.collect_list(F.struct(*rows)).alias("rows")).filter(F.size("rows") > 1)
 
 
 def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
@@ -251,87 +279,168 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
             prefixes = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             if prefixes:
                 n = list(map(len, prefixes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["h", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["h", "node"])
 
-    postings = reps.select("doc_id", "prefix").mapInArrow(explode, "h long, doc_id long")
+    postings = reps.select("node", "prefix").mapInArrow(explode, "h long, node long")
     often = postings.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = postings.join(often, "h")
     blocks = F.ceil(F.col("df") / BLOCK_DOCS)
-    groups = in_blocks(shared, "h", F.col("doc_id"), blocks, ["doc_id"])
+    groups = in_blocks(shared, "h", F.col("node"), blocks, ["node"])
     # Near copies share many shingles: equal groups of documents are looked at once.
-    groups = groups.select(F.array_sort(F.col("rows.doc_id")).alias("ids")).dropDuplicates(["ids"])
+    groups = groups.select(F.array_sort(F.col("rows.node")).alias("ids")).dropDuplicates(["ids"])
     groups = groups.withColumn("g", F.xxhash64("ids"))
-    rows = groups.select("g", F.explode("ids").alias("doc_id")).join(reps.select("doc_id", "n", "other", "parity"), "doc_id")
-    met = rows.groupBy("g").agg(F.collect_list(F.struct("doc_id", "n", "other", "parity")).alias("rows"))
+    rows = groups.select("g", F.explode("ids").alias("node")).join(reps.select("node", "n", "other", "parity"), "node")
+    met = rows.groupBy("g").agg(F.collect_list(F.struct("node", "n", "other", "parity")).alias("rows"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            column = batch.column(0)
-            for i in range(batch.num_rows):
-                rows = column[i].as_py()
-                ids = [r["doc_id"] for r in rows]
-                out += [(ids[a], ids[b]) for a, b in forest(*plausible(rows, percent), len(rows))]
-            yield _edges(out)
+            groups = batch.column(0)
+            node, n, other, parity = (groups.flatten().field(i) for i in range(4))
+            ids, sizes, bits = node.to_numpy(), n.to_numpy(), _matrix(other.to_pylist())
+            at = groups.offsets.to_numpy() - groups.offsets[0].as_py()
+            first, pair = at[:-1], np.diff(at) == 2
+            # Most groups are pairs: those that fail a filter leave all at once.
+            x, y = first[pair], first[pair] + 1
+            both = (bits[x] & bits[y]).reshape(len(x), 2, BITS).any(axis=2).all(axis=1)
+            go = ~pair
+            go[pair] = both & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+            for a, b in zip(first[go].tolist(), at[1:][go].tolist()):
+                found = plausible(sizes[a:b], bits[a:b], parity[a:b].to_pylist(), percent)
+                if found:
+                    yield _edges([(ids[a + i], ids[a + j]) for i, j in found])
 
     return met.select("rows").mapInArrow(check, EDGES)
 
 
-def verified_edges(docs: DataFrame, members: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """A forest of the true links among members (id, n, component), from their whole texts."""
-    spread = docs.sparkSession.sparkContext.broadcast(common)
-    sizes = members.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
-    blocks = F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("docs") / (2 * BLOCK_DOCS)))
-    placed = members.join(sizes.select("component", blocks.alias("blocks")), "component")
+def whole_sets(rows: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """node, component and s, the set's sorted hashes, of all placed (node, row, component), from their whole texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = pa.array([s.tobytes() for s in row_sets(batch, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), got], ["doc_id", "component", "blocks", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), got], ["node", "component", "s"])
+
+    texts = rows.select("row", "text").join(placed, "row").dropDuplicates(["row"])
+    return texts.select("node", "component", "text").mapInArrow(sets, "node long, component long, s binary")
 
-    # Of equal doc_ids with different texts each keeps its own set.
-    texts = docs.join(placed.select(F.col("id").alias("doc_id"), "component", "blocks"), "doc_id")
-    whole = texts.select("doc_id", "text", "component", "blocks").mapInArrow(sets, "doc_id long, component long, blocks long, s binary")
-    groups = in_blocks(whole, "component", F.col("doc_id"), F.col("blocks"), ["doc_id", "s"])
+
+def links_inside(groups: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
+    """A forest of the true links inside each group of rows (node, s)."""
+    spread = groups.sparkSession.sparkContext.broadcast(common)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(spread.value)
         for batch in batches:
-            out = []
-            column = batch.column(0)
-            for i in range(batch.num_rows):
-                rows = [r for r in column[i].as_py() if r["s"]]
-                if len(rows) > 1:
-                    found = linked([np.frombuffer(r["s"], np.uint64) for r in rows], percent, order)
-                    out += [(rows[a]["doc_id"], rows[b]["doc_id"]) for a, b in found]
-            yield _edges(out)
+            for rows in batch.column(0):
+                node, s = rows.values.field(0).to_numpy(), rows.values.field(1)
+                found = linked([np.frombuffer(x.as_buffer(), np.uint64) for x in s], percent, order)
+                if found:
+                    yield _edges([(node[a], node[b]) for a, b in found])
 
     return groups.select("rows").mapInArrow(check, EDGES)
 
 
+def true_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) that link. Each pair meets its two sets by joins; nothing is gathered."""
+    u, v = sets.select(F.col("node").alias("u"), F.col("s").alias("x")), sets.select(F.col("node").alias("v"), F.col("s").alias("y"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append((100 + percent) * both >= percent * (len(x) + len(y)))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "x", "y").mapInArrow(check, EDGES)
+
+
+def verified_edges(rows: DataFrame, members: DataFrame, candidates: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
+    """A forest of the true links among members (node, row, n, component), from their whole texts.
+
+    A component of one block is compared whole. In a larger one the candidate pairs are verified first: where they
+    all link, it is connected. Else what they connect falls into classes, and only the largest class is not compared
+    with itself: the sets outside it meet each other and every block of it.
+    """
+    sizes = members.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
+    fits = (F.col("total") <= BLOCK_SHINGLES) & (F.col("docs") <= 2 * BLOCK_DOCS)
+    placed = stage(members.join(sizes.select("component", (~fits).alias("large")), "component"))
+    small = whole_sets(rows, placed.filter("not large").select("node", "row", "component"), k)
+    none = F.lit(0).cast("long")
+    found = links_inside(_gathered(small.withColumn("_b", none).withColumn("_o", none), "component", ["node", "s"]), percent, common)
+    large = placed.filter("large")
+    if large.isEmpty():
+        return found
+    sets = stage(whole_sets(rows, large.select("node", "row", "component"), k).withColumn("n", F.length("s") / 8))
+    pairs = candidates.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sure = stage(true_pairs(pairs.join(sets.select(F.col("node").alias("u")), "u", "left_semi"), sets, percent))
+    classes = components(sure).select(F.col("id").alias("node"), F.col("component").alias("class"))
+    classed = sets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    weight = classed.groupBy("component", "class").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    main = F.max(F.struct("docs", "total", "class"))
+    parts = weight.groupBy("component").agg(main.alias("main"), F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs > main.docs")
+    blocks = lambda total, docs: F.ceil(F.greatest(total / BLOCK_SHINGLES, docs / BLOCK_DOCS))
+    inner = blocks(F.col("main.total"), F.col("main.docs"))
+    outer = blocks(F.col("total") - F.col("main.total"), F.col("docs") - F.col("main.docs"))
+    open_sets = classed.join(parts.select("component", "main.class", inner.alias("inner"), outer.alias("outer")).withColumnRenamed("class", "main"), "component")
+    own = F.col("class") == F.col("main")
+    hashed = F.xxhash64("node")
+    block = F.when(own, F.pmod(hashed, F.col("inner"))).otherwise(F.col("inner") + F.pmod(hashed, F.col("outer")))
+    facing = F.sequence(F.when(own, F.col("inner")).otherwise(none), F.col("inner") + F.col("outer") - 1)
+    dealt = open_sets.withColumn("_b", block).withColumn("_o", F.explode(facing))
+    rest = links_inside(_gathered(dealt, "component", ["node", "s"]), percent, common)
+    return found.unionByName(sure).unionByName(rest)
+
+
+def linked_rows(docs: DataFrame, k: int, percent: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All rows as (doc_id, row, n, sig), and every distinct set of shingles as (sig, component_id, first).
+
+    component_id is the smallest doc_id of the rows whose sets the set's links reach; first is the row of that doc_id
+    (of equal ids the smallest digest), the same in the whole component. Null ids come last.
+    """
+    rows = docs.select("doc_id", row_key(text).alias("row"), F.col(text).alias("text"))
+    common = common_shingles(rows, k)
+    all_rows = stage(summaries(rows, k, percent, common))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    same = F.first(F.struct("row", "n", "prefix", "other", "parity")).alias("one")
+    reps = all_rows.filter("n > 0").groupBy("sig").agg(same, F.min(rank).alias("head"))
+    reps = stage(reps.select("sig", "one.*", "head", F.monotonically_increasing_id().alias("node")))
+    candidates = stage(candidate_edges(reps, percent))
+    groups = components(candidates)
+    members = reps.join(groups.withColumnRenamed("id", "node"), "node").select("node", "row", "n", "component")
+    links = verified_edges(rows, members, candidates, k, percent, common)
+    found = components(stage(links)).withColumnRenamed("id", "node")
+    labelled = reps.select("node", "sig", "head").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = labelled.groupBy("component").agg(F.min("head").alias("head"))
+    of = labelled.select("sig", "component").join(heads, "component").select("sig", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("first"))
+    return all_rows.select("doc_id", "row", "n", "sig"), of
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links of Jaccard >= percent / 100 reach.
+    """doc_id, n_shingles, component_id for every row: the smallest doc_id that links of Jaccard >= percent / 100 reach.
 
-    Null, empty and blank texts have no shingles and are their own component. Rows with equal sets link; repeated
-    doc_ids are one document, of the set that its first text by signature gives. An empty table gives no rows.
+    Rows are the documents: repeated rows and rows of one doc_id with other texts each keep their own set, and rows
+    with equal sets link. A null doc_id stays null and takes part; where a component has no other id, its component_id
+    is null. Null, empty and blank texts have no shingles and are their own component. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", docs[text].alias("text")).filter("doc_id is not null")
-    common = common_shingles(docs, k)
-    all_rows = stage(summaries(docs, k, percent, common))
-    sets = all_rows.filter("n > 0")
-    reps = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    of = sets.select("doc_id", "n", "sig").join(reps, "sig")
-    first = sets.join(reps.select(F.col("rep").alias("doc_id"), F.col("sig").alias("own")), "doc_id").filter("sig = own").dropDuplicates(["doc_id"])
-    first = stage(first.drop("own"))
-    groups = components(candidate_edges(first, percent))
-    members = groups.join(first.select(F.col("doc_id").alias("id"), "n"), "id")
-    links = verified_edges(docs, stage(members), k, percent, common)
-    found = components(stage(links)).withColumnRenamed("component", "c")
-    # Copies hang on their representative: one join instead of rounds over all of them.
-    label = of.join(found, of["rep"] == found["id"], "left").select("doc_id", F.coalesce("c", "rep").alias("component_id"))
-    label = label.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows, of = linked_rows(docs, k, percent, text)
+    # Copies hang on their set: one join instead of rounds over all of them.
+    out = rows.join(of, "sig", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group that links connect: the first row of its smallest doc_id. Texts without words all stay."""
+    columns = docs.columns
+    _, of = linked_rows(docs.select("doc_id", "text"), k, percent)
+    first = of.select(F.col("first").alias("row")).distinct().withColumn("stays", F.lit(True))
+    blank = ~F.coalesce("text", F.lit("")).rlike("[^ \\t-\\r]")
+    whole = docs.select(F.struct(*columns).alias("whole"), row_key().alias("row"), blank.alias("blank"))
+    kept = whole.join(first, "row", "left").filter("blank or stays")
+    # Repeated rows of one doc_id have one key: the join has brought them together, so this needs no shuffle of its own.
+    kept = kept.withColumn("each", F.when(F.col("blank"), F.monotonically_increasing_id())).dropDuplicates(["row", "each"])
+    return kept.select("whole.*")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

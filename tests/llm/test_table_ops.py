@@ -23,23 +23,34 @@ def sets(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
-def brute(texts, k, percent):
-    s = {d: sets(t, k) for d, t in texts.items()}
-    parent = {d: d for d in s}
+def brute_rows(rows, k, percent):
+    """(doc_id, set size, component_id) of every (doc_id, text), and the groups as lists of row numbers."""
+    s = [sets(t, k) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = [d for d in sorted(s) if s[d]]
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            n = len(s[a] & s[b])
-            if n and 100 * n >= percent * (len(s[a]) + len(s[b]) - n):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return {d: (len(s[d]), root(d)) for d in s}
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(s[i] & s[j])
+            if n and 100 * n >= percent * (len(s[i]) + len(s[j]) - n):
+                parent[root(i)] = root(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[root(i)].append(i)
+    least = {g: min((rows[i][0] for i in at if rows[i][0] is not None), default=None) for g, at in groups.items()}
+    return [(rows[i][0], len(s[i]), least[root(i)]) for i in range(len(rows))], list(groups.values())
+
+
+def brute(texts, k, percent):
+    return {d: (n, c) for d, n, c in brute_rows(list(texts.items()), k, percent)[0]}
+
+
+def ordered(rows):
+    return sorted(map(tuple, rows), key=lambda r: [(x is None, x) for x in r])
 
 
 @pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
@@ -60,24 +71,54 @@ def test_jaccard(spark, sf, k, percent):
     assert got == brute({d: t for d, t, _ in rows}, k, percent)
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    """Groups beyond a block are dealt into pairs of blocks and stay whole."""
+def near_copies(seed, m):
+    """m texts of one source text: most near it, some farther, some far from it but near each other."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{i}" for i in range(100)]
+    out = []
+    for i in range(m):
+        new = list(base)
+        for _ in range(int(rng.integers(0, 5)) + (i % 4 == 0) * int(rng.integers(0, 6))):
+            new[rng.integers(100)] = f"x{rng.integers(40)}"
+        out.append(" ".join(new))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_blocks(spark, monkeypatch, seed):
+    """Groups beyond a block are verified along their candidate pairs, and by blocks where these don't all link."""
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 5)
-    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 800)
+    rows = [(i, t, "a") for i, t in enumerate(near_copies(seed, 60))]
+    got = jaccard_join.jaccard_components(shaped(spark, rows)).collect()
+    assert ordered(got) == ordered(brute_rows([r[:2] for r in rows], 4, 85)[0])
     base = [f"t{i}" for i in range(100)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :]), "a") for i in range(40)]
     got = jaccard_join.jaccard_components(shaped(spark, rows)).collect()
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_jaccard_rows(spark):
+    """Repeated ids of different texts, repeated rows and rows without id keep their own sets and links."""
+    x, y = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, x), (1, y), (3, x + " more"), (5, y), (9, y + " end"), (None, x), (None, None), (None, "alone here"), (7, x), (7, x), (8, ""), (8, "")]
+    got = jaccard_join.jaccard_components(shaped(spark, [(d, t, "a") for d, t in rows])).collect()
+    assert ordered(got) == ordered(brute_rows(rows, 4, 85)[0])
+    docs = shaped(spark, [(d, t, "a") for d, t in rows]).selectExpr("*", "'clash' AS whole", "1 AS row", "2 AS stays")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs).collect()]
+    first = [min((rows[i] for i in at), key=lambda r: (r[0] is None, r[0])) for at in brute_rows(rows, 5, 80)[1]]
+    assert ordered(kept) == ordered(first)
+
+
 def test_jaccard_odd(spark, odd, none):
     got = jaccard_join.jaccard_components(odd).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == odd.filter("doc_id IS NOT NULL").count()
+    assert len(got) == odd.count()
     assert by[1]["n_shingles"] == by[2]["n_shingles"] == by[3]["n_shingles"] == 0 and by[2]["component_id"] == 2
-    assert {r["component_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
-    assert by[7]["n_shingles"] == 1
+    assert sorted(r["component_id"] for r in got if r["doc_id"] in (4, 5)) == [4, 4, 4, 5]
+    assert by[7]["n_shingles"] == 1 and by[None]["component_id"] is None
     assert jaccard_join.jaccard_components(none).count() == 0
+    assert jaccard_join.one_of_each(none).count() == 0 and jaccard_join.one_of_each(odd).columns == odd.columns
 
 
 def test_components(spark):
@@ -229,7 +270,16 @@ def test_registered(spark):
     assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
 
 
-def test_mixing_sql(spark, sf):
+def test_mixing_many_sources(spark, monkeypatch):
+    """Beyond the size for a broadcast, rows meet the tables by source and salt, with the same counts."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 7) AS source")
+    want = sorted(map(tuple, mixing.replicate(docs).collect()))
+    monkeypatch.setattr(mixing, "TABLE_DOUBLES", 10)
+    monkeypatch.setattr(mixing, "SALT_ROWS", 100)
+    assert sorted(map(tuple, mixing.replicate(docs).collect())) == want
+
+
+def test_sql(spark, sf):
     from foliant.llm import queries
     from tests.oracle import actual, expected
 
