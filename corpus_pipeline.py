@@ -11,7 +11,6 @@ tests/llm/test_pipeline.py compares the stages with brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliant.llm import jaccard_join, mixing, packing, pii, toxicity
 from foliant.llm.common import stage
@@ -27,10 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of five-word-shingle Jaccard >= 0.8 connect, the row of the smallest doc_id stays."""
-    groups = jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group that links of five-word-shingle Jaccard >= 0.8 connect, one row of the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
