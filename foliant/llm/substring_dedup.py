@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, stage
@@ -41,54 +41,67 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str
         at += len(line) + 1
 
 
-UNITS = "doc_id long, s int, e int, hi long, lo long, again boolean"
+UNITS = "doc_id long, row long, of int, s int, e int, hi long, lo long, again boolean"
+
+
+def row_of(text: str = "text") -> Column:
+    """Tells the rows of one doc_id apart; repeated rows are equal."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def unit_digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit; again: the same text holds it earlier."""
+    """One row per unit of docs (doc_id, text, row); of: units of the text; again: the same text holds it earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            doc, s, e, hi, lo, again = [], [], [], [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            columns = [[] for _ in range(8)]
+            for d, t, r in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 seen = set()
-                for a, b, norm in units(t or "", min_words):
+                found = list(units(t or "", min_words))
+                for a, b, norm in found:
                     h = xxhash.xxh3_128_digest(norm)
-                    doc.append(d)
-                    s.append(a)
-                    e.append(b)
-                    hi.append(int.from_bytes(h[:8], "big", signed=True))
-                    lo.append(int.from_bytes(h[8:], "big", signed=True))
-                    again.append(h in seen)
+                    values = d, r, len(found), a, b, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), h in seen
+                    for column, x in zip(columns, values):
+                        column.append(x)
                     seen.add(h)
-            arrays = [pa.array(doc, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(again, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "s", "e", "hi", "lo", "again"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in UNITS.split(", ")])
 
     return docs.mapInArrow(run, UNITS)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_units, n_removed, chars_removed, spans ("start:end" by start, comma-joined).
+    """Per row of docs: doc_id, row, n_units, n_removed, chars_removed, spans ("start:end" by start, comma-joined).
 
     Null, empty and short texts have no units. Rows of one doc_id count as one document: they don't remove each
-    other's units. Counting is an aggregation with map-side sums and the decision a join, so a line that a third of
-    all documents holds is split by Spark's skew join and never gathered.
+    other's units, but each has the spans of its own text. Rows without doc_id come after all others, by a hash of
+    their text, each for itself. Counting is an aggregation with map-side sums and the decision a join, so a line that
+    a third of all documents holds is split by Spark's skew join and never gathered.
     """
-    docs = docs.select("doc_id", docs[text].alias("text")).filter("doc_id is not null")
+    docs = docs.select("doc_id", F.col(text).alias("text"), row_of(text).alias("row"))
     found = stage(unit_digests(docs, min_words))
-    first = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = found.join(first, ["hi", "lo"]).filter(F.col("again") | (F.col("doc_id") > F.col("first")))
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("gone"))
-    counts = found.groupBy("doc_id").agg(F.count("*").alias("n_units"))
-    out = docs.select("doc_id").join(counts, "doc_id", "left").join(gone, "doc_id", "left")
+    rest = F.when(F.col("doc_id").isNull(), F.col("row"))
+    first = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.min(rest).alias("first_rest"), F.count("*").alias("n")).filter("n > 1")
+    later = (F.col("doc_id") > F.col("first")) | F.col("doc_id").isNull() & (F.col("first").isNotNull() | (F.col("row") > F.col("first_rest")))
+    gone = found.join(first, ["hi", "lo"]).filter(F.col("again") | later)
+    gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("gone"))
+    counts = found.groupBy("doc_id", "row").agg(F.max("of").cast("long").alias("n_units"))
+    out = _beside(_beside(docs.select("doc_id", "row"), counts), gone)
     spans = F.coalesce("gone", F.array().cast("array<struct<s:int,e:int>>"))
     size = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["s"]))
     return out.select(
-        "doc_id", F.coalesce("n_units", F.lit(0)).alias("n_units"), F.size(spans).cast("long").alias("n_removed"),
+        "doc_id", "row", F.coalesce("n_units", F.lit(0)).alias("n_units"), F.size(spans).cast("long").alias("n_removed"),
         size.alias("chars_removed"), F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",").alias("spans"),
     )
 
 
+def _beside(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """rows with the other columns of more, one row per doc_id and row; a null doc_id meets a null one."""
+    # The row hash comes first and alone decides the partition, so that null ids don't meet in one task.
+    other = more.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), *more.columns[2:])
+    return rows.join(other, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_row")
+
+
 def without_spans(text: str | None, spans: str | None) -> str | None:
     if not text or not spans:
         return text
@@ -100,16 +113,17 @@ def without_spans(text: str | None, spans: str | None) -> str | None:
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the spans of repeated_spans cut out of the text and kept in removed_spans."""
+    """docs with the spans of repeated_spans cut out of each row's text and kept in removed_spans, by original offsets."""
 
     @F.pandas_udf("string")
     def cut(texts, lists):
         return texts.combine(lists, without_spans)
 
-    kept = spans.select("doc_id", F.col("spans").alias("removed_spans")).dropDuplicates(["doc_id"])
-    docs = docs.drop("removed_spans")
-    joined = docs.join(kept, "doc_id", "left")
-    return joined.select(*[cut(text, "removed_spans").alias(c) if c == text else c for c in docs.columns], "removed_spans")
+    columns = [c for c in docs.columns if c != "removed_spans"]
+    whole = docs.select(F.struct(*columns).alias("whole"), "doc_id", row_of(text).alias("row"))
+    kept = spans.select("doc_id", "row", F.col("spans").alias("removed_spans")).dropDuplicates(["doc_id", "row"])
+    joined = _beside(whole, kept).select("whole.*", "removed_spans")
+    return joined.select(*[cut(text, "removed_spans").alias(c) if c == text else c for c in columns], "removed_spans")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
