@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, shingles, shuffle_partitions, word_hashes
+from .common import SLICE_BYTES, bucket_of, documents, mix, quantiles, shingles, shuffle_partitions, slices, word_hashes
 
 BINS, BITS, WORDS = 256, 8, 5
+RANGE_ROWS = 20_000
 _PROBES = 64
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _probe = (
@@ -73,11 +74,9 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fingerprint of every whole text; a map over rows. Null and blank texts: the empty fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 512):
-                got = [_hex(s) for s in sketches(texts[i : i + 512])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.array(got, pa.string())], ["doc_id", "fingerprint"])
+        for batch in slices(batches):
+            got = [_hex(s) for s in sketches([t or "" for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -112,7 +111,7 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     bucket = None
-    for batch in batches:
+    for batch in slices(batches):
         for b, d, ahead, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
             row = (d, t or "")
             if bucket is not None and b != bucket:
@@ -125,7 +124,7 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             held.append(row)
             size += len(row[1])
-            if size > 1 << 20 and len(held) > 1:
+            if size > SLICE_BYTES and len(held) > 1:
                 yield emit(held[:-1], row)
                 held, size = [row], len(row[1])
 
@@ -134,33 +133,40 @@ def edited_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each document, its edited text and the next document by descending doc_id (after the last: the first).
 
     The edit replaces the last third by the start of the next document. Texts move once: rows go to ranges of doc_id,
-    sorted there, and the first row of every range is also sent to the range before it. Null texts are empty; rows of
-    equal doc_id are ordered by their text; an only document is its own next. An empty table gives no rows.
+    sorted there, and the first row of every range is also sent to the range before it. Ranges hold RANGE_ROWS rows
+    or fewer. Null texts are empty; rows of equal doc_id are ordered by their text, rows without doc_id come last; an
+    only document is its own next. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(docs[text], F.lit("")).alias("text")).filter("doc_id is not null")
-    n = shuffle_partitions(spark)
-    quantiles = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n + 1000).alias("q")).first()["q"]
-    cuts = sorted(set(quantiles or []))
-    # Bucket 0 holds the largest ids: number of cuts above the id.
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    # One row for each range: its greatest id, the row that the range before it must see.
-    heads = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(heads)
-    if not order:
+    rows = docs.select("doc_id", F.coalesce(docs[text], F.lit("")).alias("text"))
+    size = docs.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("no_id")).first()
+    cuts = quantiles(rows.select("doc_id"), max(shuffle_partitions(spark), -(-size["n"] // RANGE_ROWS)))
+    tail = max(1, -(-size["no_id"] // RANGE_ROWS))
+    # Range 0 holds the largest ids: number of cuts above the id. Rows without id are ordered and dealt by a hash.
+    order = F.coalesce("doc_id", F.xxhash64("text"))
+    last = F.least(F.floor((0.5 - order / F.lit(2.0**64)) * tail), F.lit(tail - 1)).cast("int")
+    place = F.when(F.col("doc_id").isNull(), len(cuts) + 1 + last).otherwise(len(cuts) - bucket_of(spark, cuts)("doc_id"))
+    rows = rows.select("doc_id", order.alias("o"), place.alias("place"), "text")
+    # One row for each range: what leads it, the row that the range before it must see.
+    tops = {r["place"]: r["top"] for r in rows.groupBy("place").agg(F.max("o").alias("top")).collect()}
+    ranges = sorted(tops)
+    if not ranges:
         return spark.createDataFrame([], RESULT)
-    before = {heads[b]: order[i - 1] for i, b in enumerate(order)}  # the first range comes after the last
-    target = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("doc_id"))
-    own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("ahead"))
-    copy = F.struct(target.cast("int").alias("to"), F.lit(True).alias("ahead"))
-    sent = rows.withColumn("s", F.explode(F.when(target.isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    sent = sent.select(F.col("s.to").alias("bucket"), "doc_id", F.col("s.ahead").alias("ahead"), "text")
-    dense = {b: i for i, b in enumerate(order)}
-    part = F.element_at(F.create_map(*[F.lit(x) for pair in dense.items() for x in pair]), F.col("bucket"))
-    placed = sent.repartitionById(len(order), part.cast("int"))
-    sorted_rows = placed.sortWithinPartitions("bucket", "ahead", F.desc("doc_id"), "text")
-    return sorted_rows.select("bucket", "doc_id", "ahead", "text").mapInArrow(_with_next, RESULT)
+    dense = {x: i for i, x in enumerate(ranges)}
+    shared = spark.sparkContext.broadcast((np.array([dense.get(x, 0) for x in range(ranges[-1] + 1)]), np.array([tops[x] for x in ranges], np.int64)))
+
+    @F.arrow_udf("array<struct<bucket: int, ahead: boolean>>")
+    def targets(places: pa.Array, orders: pa.Array) -> pa.Array:
+        """The row's own range, and the range before it where it leads its own; the first range follows the last."""
+        to, top = shared.value
+        at = to[places.to_numpy()]
+        leads = top[at] == orders.to_numpy()
+        both = [[(b, False), ((b - 1) % len(top), True)] if lead else [(b, False)] for b, lead in zip(at.tolist(), leads.tolist())]
+        return pa.array([[{"bucket": b, "ahead": a} for b, a in x] for x in both], pa.list_(pa.struct([("bucket", pa.int32()), ("ahead", pa.bool_())])))
+
+    sent = rows.withColumn("to", F.explode(targets("place", "o"))).select("to.bucket", "doc_id", "to.ahead", "text", "o")
+    placed = sent.repartitionById(len(ranges), "bucket").sortWithinPartitions("bucket", "ahead", F.desc("o"), "text")
+    return placed.select("bucket", "doc_id", "ahead", "text").mapInArrow(_with_next, RESULT)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
