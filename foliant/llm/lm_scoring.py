@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, SLICE_BYTES, documents, mix, shuffle_partitions, slices, text_buffers, word_hashes
+from .common import _STEP, SLICE_BYTES, bucket_of, documents, mix, quantiles, shuffle_partitions, slices, text_buffers, word_hashes
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-SLICE_CHARS, PARTITION_WORDS, HELD_WORDS, HELD_BYTES = 16 << 20, 1 << 21, 1 << 21, 32 << 20
+SLICE_CHARS, WEIGHT_CHARS, PARTITION_WORDS, HELD_WORDS, HELD_BYTES = 16 << 20, 4096, 1 << 21, 1 << 21, 32 << 20
 
 
 def grams(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,20 +160,23 @@ def score_words(words: np.ndarray, at: np.ndarray, tables: dict[int, np.ndarray]
     return np.diff(at), per_doc, missed[at[1:]] - missed[at[:-1]]
 
 
-PACKED = "slice int, ids binary, sizes binary, texts binary"
+PACKED = "slice int, ids binary, known binary, sizes binary, texts binary"
 
 
 def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (slice, doc_id, text) as one compressed block for each slice of about HELD_BYTES of text."""
 
     def blocks(held: dict[int, list[tuple[int, bytes]]]) -> pa.RecordBatch:
-        columns = [], [], [], []
+        columns = [], [], [], [], []
         for s, rows in held.items():
             ids, texts = zip(*rows)
-            row = s, np.array(ids, np.int64).tobytes(), np.array([len(x) for x in texts], np.int64).tobytes(), squeeze(b"".join(texts))
+            known = np.array([d is not None for d in ids])
+            lengths = np.array([len(x) for x in texts], np.int64)
+            row = s, np.array([d or 0 for d in ids], np.int64).tobytes(), known.tobytes(), lengths.tobytes(), squeeze(b"".join(texts))
             for c, x in zip(columns, row):
                 c.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], ["slice", "ids", "sizes", "texts"])
+        arrays = [pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in PACKED.split(", ")])
 
     held, size = {}, 0
     for batch in slices(batches):
@@ -208,10 +211,10 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_co
 
     S(w | context) = count(context w) / count(context) if the n-gram was counted min_count times, else
     alpha * S(w | shorter context); at the end count(w) / words. Counts are of all rows. Null, empty and blank texts
-    have no words, a sum of 0 and a null mean. Repeated rows are counted and scored each.
+    have no words, a sum of 0 and a null mean. Repeated rows and rows without doc_id are counted and scored each.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(docs[text], F.lit("")).alias("text")).filter("doc_id is not null")
+    rows = docs.select("doc_id", F.coalesce(docs[text], F.lit("")).alias("text"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -223,10 +226,10 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_co
     total, chars = seen["w"] or 0, seen["c"] or 0
     n_slices = max(shuffle_partitions(spark), -(-chars // SLICE_CHARS))
     bits = max(8, (total // PARTITION_WORDS).bit_length())
-    marks = [i / n_slices for i in range(1, n_slices)]
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", marks or [0.5], 10 * n_slices + 1000).alias("q")).first()["q"] or []))
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("slice", below.cast("int"))
+    # Slices are ranges of doc_id of about equal size: a row weighs by its length. Rows without id are dealt by text.
+    weighted = rows.select("doc_id", F.explode(F.sequence(F.lit(0), (F.length("text") / WEIGHT_CHARS).cast("int")))).select("doc_id")
+    dealt = F.pmod(F.xxhash64("text"), F.lit(n_slices)).cast("int")
+    rows = rows.withColumn("slice", F.coalesce(bucket_of(spark, quantiles(weighted, n_slices))("doc_id"), dealt))
     back = corpus_counts(slice_counts(rows, order, bits), bits, min_count)
 
     def score(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
@@ -236,8 +239,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_co
             return pd.DataFrame({"doc_id": [], "n_words": [], "log_score": [], "n_backoff": []})
         words, at = np.concatenate([w for w, _ in parts]), np.append(0, np.cumsum(np.concatenate([m for _, m in parts])))
         n, sums, missed = score_words(words, at, tables, order, alpha, total)
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in texts["ids"]])
-        return pd.DataFrame({"doc_id": ids, "n_words": n, "log_score": sums, "n_backoff": missed})
+        ids = pd.Series(np.concatenate([np.frombuffer(x, np.int64) for x in texts["ids"]]), dtype="Int64")
+        known = np.concatenate([np.frombuffer(x, bool) for x in texts["known"]])
+        return pd.DataFrame({"doc_id": ids.where(known, pd.NA), "n_words": n, "log_score": sums, "n_backoff": missed})
 
     packed = rows.select("slice", "doc_id", "text").mapInArrow(pack_texts, PACKED)
     scored = packed.groupBy("slice").cogroup(back.groupBy("slice")).applyInPandas(score, RESULT)
@@ -245,4 +249,21 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_co
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(documents(spark, sf_dir), ORDER, min_count=1)
+    """Sums to six and means to eight decimals, so that the order of addition does not show."""
+    out = backoff_scores(documents(spark, sf_dir), ORDER, min_count=1)
+    return out.withColumn("log_score", F.round("log_score", 6)).withColumn("mean_log_score", F.round("mean_log_score", 8))
+
+
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words, row_number() OVER () AS r FROM documents),
+i AS (SELECT r, words, unnest(range(1, len(words) + 1)) AS p FROM w),
+g AS (SELECT r, p, k, words[p - k + 1 : p] AS gram FROM i, range(1, {ORDER + 1}) AS o(k) WHERE k <= p),
+c AS (SELECT gram, count(*) AS n FROM g GROUP BY gram),
+t AS (SELECT count(*) AS n FROM i),
+s AS (SELECT g.r, g.p, g.k, CASE WHEN g.k = 1 THEN ln(c.n / (SELECT n FROM t)) ELSE ln(c.n / b.n) END AS v
+ FROM g JOIN c ON g.gram = c.gram LEFT JOIN c AS b ON b.gram = g.gram[:-2]),
+d AS (SELECT r, count(*) AS n, sum(v) AS v FROM (SELECT r, p, arg_max(v, k) AS v FROM s GROUP BY r, p) GROUP BY r)
+SELECT doc_id, coalesce(d.n, 0) AS n_words, round(coalesce(d.v, 0.0), 6) AS log_score, 0::BIGINT AS n_backoff, round(d.v / d.n, 8) AS mean_log_score
+FROM w LEFT JOIN d ON w.r = d.r
+"""
