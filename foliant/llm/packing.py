@@ -1,7 +1,7 @@
 """Order-preserving packing of token streams by dynamic programming over window cuts.
 
-A task strings its documents together in order. Cuts may fall at document ends (free), sentence ends and, in long
-stretches without either, at a grid of token places (each with a truncation penalty). The least sum of padding and
+A task strings its documents together in order. Cuts may fall at document ends (free), sentence ends and, only in
+stretches without either that are longer than a sequence, at a grid of token places (each with a truncation penalty). The least sum of padding and
 penalties over all ways to cut windows of at most CAPACITY tokens is found in one sweep: the best earlier cut is the
 minimum of a sliding window, kept in a monotone queue. The last, open window moves on to the next block, so only a
 partition's end leaves a partial window, which is cut into powers of two that need no padding.
@@ -25,7 +25,7 @@ from .token_counts import CACHE_WORDS, Merger, Splitter
 
 CAPACITY = 4096
 END_ID, END_WORD = 2, "\0end"
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
 SENTENCE_PENALTY, INNER_PENALTY, GRID = 4, 10, 16
 
 
@@ -80,11 +80,11 @@ class Encoder:
         return self.flat[at], np.concatenate([[0], ends[np.cumsum(sizes) - 1]]).astype(np.int64)
 
 
-def candidates(ids: np.ndarray, offsets: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(ids: np.ndarray, offsets: np.ndarray, ends_sentence: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, first and last included, and the penalty of each."""
     sentence = np.flatnonzero(ends_sentence[ids]) + 1
     places = np.union1d(sentence, offsets)
-    gaps = np.flatnonzero(np.diff(places) > 2 * GRID)
+    gaps = np.flatnonzero(np.diff(places) > capacity)
     inner = [np.arange(places[g] + GRID, places[g + 1], GRID) for g in gaps]
     all_places = np.union1d(places, np.concatenate(inner)) if inner else places
     penalty = np.full(len(all_places), INNER_PENALTY)
