@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stage
+
 SEED = "mix-1"
 TEMPERATURE = 0.5
-SALTS = 32
+TABLE_DOUBLES = 1 << 20  # distribution tables of at most so many numbers (8 MB) are broadcast
+SALT_ROWS = 1_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -42,7 +45,7 @@ def poisson_table(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None) -> DataFrame:
-    """source_key, rate. weights: target weight by source (missing: 0); else size ** temperature. A null source is its own."""
+    """source_key, n, rate. weights: target weight by source (missing: 0); else size ** temperature. A null source is its own."""
     sizes = docs.groupBy(F.struct(F.col("source")).alias("source_key")).agg(F.count("*").alias("n"))
     if weights is not None:
         pairs = [F.lit(x) for s, w in weights.items() for x in (s, float(w))]
@@ -53,27 +56,37 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     sums = sizes.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()  # two numbers
     goal = float(total) if total is not None else float(sums["n"] or 0)
     rate = F.lit(goal) * F.col("w") / F.lit(sums["w"]) / F.col("n") if sums["w"] else F.lit(0.0)
-    return sizes.select("source_key", rate.alias("rate"))
+    return sizes.select("source_key", "n", rate.alias("rate"))
 
 
 def replicate(docs: DataFrame, seed: str = SEED, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None) -> DataFrame:
     """docs with n_copies and copy_no, each row repeated by its Poisson count and spread over the output at random.
 
-    Rows of count 0 leave; that is the method. Equal doc_ids draw equal counts; columns of docs named n_copies or copy_no are replaced. Null texts and sources are kept as
-    they are; an empty table gives no rows. The rates join by source and one of SALTS salts, each rate once for every
-    salt, so a source of a third of all rows is dealt out over many tasks.
+    Rows of count 0 leave; that is the method. Equal doc_ids draw equal counts, rows without doc_id by a hash of the
+    row; columns of docs named n_copies or
+    copy_no are replaced. Null texts and sources are kept as they are; an empty table gives no rows. The tables of the
+    sources are measured: up to TABLE_DOUBLES numbers they are broadcast and texts move once, in the global shuffle;
+    beyond, rows meet them by source and a salt, of which there are as many as the largest source has SALT_ROWS rows.
     """
     columns = [c for c in docs.columns if c not in ("n_copies", "copy_no")]
     # Whole rows travel in one struct, so no column of theirs can meet a name used here.
-    whole = docs.select(F.struct(*columns).alias("row"), "doc_id", F.struct("source").alias("source_key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    rates = source_rates(docs.select("source"), weights, temperature, total).withColumn("table", poisson_table(F.col("rate")))
-    rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    whole = docs.select(F.struct(*columns).alias("row"), "doc_id", F.struct("source").alias("source_key"))
+    rates = source_rates(docs.select("source"), weights, temperature, total)
+    tables = stage(rates.withColumn("table", poisson_table(F.col("rate"))))
+    measured = tables.agg(F.sum(F.size("table.cdf") + 8).alias("size"), F.max("n").alias("most")).first()  # two numbers
+    if (measured["size"] or 0) <= TABLE_DOUBLES:
+        met = whole.join(F.broadcast(tables), "source_key")
+    else:
+        salts = -(-measured["most"] // SALT_ROWS)
+        salted = tables.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = whole.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(salted, ["source_key", "salt"])
+    own = F.coalesce("doc_id", F.xxhash64("row"))
+    u = uniform(F.lit(seed), own.cast("string"))
     below = F.size(F.filter("table.cdf", lambda c: c < u)).cast("long")
     count = F.when(F.col("rate") <= 0, F.lit(0).cast("long")).otherwise(F.col("table.first") + below)
-    drawn = whole.join(rates, ["source_key", "salt"]).select("row", "doc_id", count.alias("n_copies")).filter("n_copies > 0")
+    drawn = met.select("row", own.alias("own"), count.alias("n_copies")).filter("n_copies > 0")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
-    placed = copies.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "copy_no"))
+    placed = copies.withColumn("place", F.xxhash64(F.lit(seed), "own", "copy_no"))
     return placed.repartition("place").sortWithinPartitions("place").select("row.*", "n_copies", "copy_no")
 
 
