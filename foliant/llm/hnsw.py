@@ -24,7 +24,7 @@ from .jaccard_join import forest
 THRESHOLD = 0.9
 LINKS, BASE_LINKS, BUILD_BEAM = 16, 32, 48
 FIRST_BEAM, RECALL, AUDIT = 24, 0.99, 192
-SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 250_000, 4096
+SHARDS, SHARD_ROWS, QUERY_ROWS, SALTS = 8, 250_000, 4096, 4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -285,7 +285,6 @@ def near_components(table: DataFrame, threshold: float = THRESHOLD, shards: int
     reps = stage(vectors.groupBy("dim", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     n = reps.count()
     shards = shards or max(SHARDS, -(-n // SHARD_ROWS))
-    blocks = max(shards, -(-n // QUERY_ROWS))
     placed = reps.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -300,19 +299,15 @@ def near_components(table: DataFrame, threshold: float = THRESHOLD, shards: int
     index = "dim int, shard int, ids binary, copies binary, data binary, graph binary, beam int, recall double"
     index = stage(placed.groupBy("dim", "shard").applyInPandas(build, index))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    queries = reps.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int")).select("dim", "block", "rep", "raw")
-    queries = queries.withColumn("shard", every(shards))
-    shown = index.withColumn("block", every(blocks))
-
-    def search(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(part):
-            return pd.DataFrame({"u": [], "v": [], "n": []})
-        row = part.iloc[0]
-        ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
-        data = np.frombuffer(row["data"], kind).reshape(len(ids), -1)
-        graph = Hierarchy.load(unit(data), row["graph"])
-        own = asked["rep"].to_numpy(np.int64)
-        raw = _rows(asked["raw"], kind)
+    # An index goes to SALTS tasks, however many queries there are; these stream through in blocks behind it.
+    salt = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(SALTS)).cast("int").alias("salt")
+    queries = reps.select("dim", every(shards).alias("shard"), salt, "rep", "raw")
+    indexed = index.select("dim", "shard", every(SALTS).alias("salt"), F.struct("ids", "copies", "data", "graph").alias("index"))
+    both = indexed.unionByName(queries, allowMissingColumns=True).withColumn("rank", F.col("index").isNull())
+    dealt = both.repartitionById(shards * SALTS, F.col("shard") * SALTS + F.col("salt")).sortWithinPartitions("dim", "shard", "salt", "rank")
+
+    def search(own: np.ndarray, raw: np.ndarray, index: dict) -> pa.RecordBatch:
+        ids, copies, data, graph = (index[x] for x in ("ids", "copies", "data", "graph"))
         q, node = graph.within(unit(raw), threshold - 1e-5)
         q, node = q[own[q] != ids[node]], node[own[q] != ids[node]]
         a, b = raw[q].astype(np.float64), data[node].astype(np.float64)
@@ -324,10 +319,31 @@ def near_components(table: DataFrame, threshold: float = THRESHOLD, shards: int
         pairs = forest(place[: len(q)], place[len(q) :], len(every_id))
         left = [*own[some].tolist(), *(int(every_id[x]) for x, _ in pairs)]
         right = [*own[some].tolist(), *(int(every_id[y]) for _, y in pairs)]
-        return pd.DataFrame({"u": left, "v": right, "n": [*count[some].tolist(), *[0] * len(pairs)]})
+        columns = pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array([*count[some].tolist(), *[0] * len(pairs)], pa.int64())
+        return pa.RecordBatch.from_arrays(list(columns), ["u", "v", "n"])
 
-    key = ("dim", "shard", "block")
-    found = queries.groupBy(*key).cogroup(shown.groupBy(*key)).applyInPandas(search, "u long, v long, n long")
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = index = None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            starts = [i for i in range(batch.num_rows) if not i or any(c[i] != c[i - 1] for c in columns)]
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                now = tuple(c[a] for c in columns)
+                if now != key:
+                    key, index = now, None
+                head = batch.column(3)[a]
+                if head.is_valid:
+                    row = head.as_py()
+                    ids = np.frombuffer(row["ids"], np.int64)
+                    data = np.frombuffer(row["data"], kind).reshape(len(ids), -1)
+                    index = {"ids": ids, "copies": np.frombuffer(row["copies"], np.int64), "data": data, "graph": Hierarchy.load(unit(data), row["graph"])}
+                    a += 1
+                if index is not None:  # a shard without vectors of this length has no index
+                    for i in range(a, b, QUERY_ROWS):
+                        part = batch.slice(i, min(b - i, QUERY_ROWS))
+                        yield search(part.column(4).to_numpy(), _rows(part.column(5).to_pylist(), kind), index)
+
+    found = dealt.select("dim", "shard", "salt", "index", "rep", "raw").mapInArrow(stream, "u long, v long, n long")
     found = stage(found)
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     groups = components(found.filter("u <> v").select("u", "v")).withColumnRenamed("id", "rep")
