@@ -16,10 +16,10 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, slices, stage
 
 KINDS = ("email", "ip", "card", "phone")
 # The four base patterns. Each is scanned in a form whose time is linear in the text.
@@ -162,7 +162,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row: base counts and spans, and every span and candidate with its context (kind -1: candidate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, bases, nears = [], [], []
             for t in batch.column(1).to_pylist():
                 t = t or ""
@@ -182,8 +182,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "row", "near"],
             )
 
-    # Rows of one doc_id are told apart by their text, so repeated rows keep the same spans.
-    return docs.select("doc_id", docs[text].alias("text"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("row")).mapInArrow(run, FOUND)
+    return docs.select("doc_id", docs[text].alias("text"), row_key(text).alias("row")).mapInArrow(run, FOUND)
+
+
+def row_key(text: str = "text") -> Column:
+    """A digest of doc_id (null or not) and text: repeated rows are equal and get the same spans, others are apart."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
 
 
 def discover(found: DataFrame, rounds: int = 3, least_support: int = 5, confidence: float = 0.9, least_shape: float = 0.5) -> DataFrame:
@@ -269,7 +273,7 @@ def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
     texts are read once; what goes on is spans and contexts.
     """
     found = stage(scan(docs, text))
-    more = discover(found, rounds).groupBy("doc_id", "row").agg(F.collect_list(F.struct("s", "kind", "e")).alias("more"))
+    more = discover(found, rounds).groupBy("row").agg(F.collect_list(F.struct("s", "kind", "e")).alias("more"))
     own = F.transform(F.filter("near", lambda x: x["kind"] >= 0), lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
     names = F.array(*[F.lit(k) for k in KINDS])
     both = F.array_sort(F.concat("own", F.coalesce("more", F.array().cast("array<struct<s:int,kind:int,e:int>>"))))
@@ -277,7 +281,7 @@ def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
     return (
         found.withColumn("own", own)
         .drop("near")
-        .join(more, ["doc_id", "row"], "left")
+        .join(more, "row", "left")
         .select(
             "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"),
             F.array_join(text_of, ",").alias("spans"), F.size(F.coalesce("more", F.array())).cast("long").alias("n_discovered"),
@@ -292,15 +296,15 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     Null texts stay null; rows without spans stay as they are.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_row", F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("_row", row_key())
     found = stage(scan(docs))
-    more = discover(found).select("doc_id", F.col("row").alias("_row"), F.struct("s", "kind", "e").alias("x"))
-    more = more.groupBy("doc_id", "_row").agg(F.collect_list("x").alias("_more"))
-    joined = keyed.join(more, ["doc_id", "_row"], "left")
+    more = discover(found).select(F.col("row").alias("_row"), F.struct("s", "kind", "e").alias("x"))
+    more = more.groupBy("_row").agg(F.collect_list("x").alias("_more"))
+    joined = keyed.join(more, "_row", "left")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, extra = batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()
             new = []
             for t, m in zip(texts, extra):

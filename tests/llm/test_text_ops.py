@@ -83,7 +83,22 @@ def test_packing(spark, odd, none, sf):
         used[r["sequence_id"]] += r["length"]
     assert sum(4096 - n for n in used.values() if n & (n - 1)) < 0.02 * sum(used.values())
     assert packing.pack(none, PATH).count() == 0
-
+    # Cuts inside documents are at sentence ends, but for the powers of two at the end of each of the three tasks.
+    texts = {r["doc_id"]: ids(r["text"]) for r in docs.collect()}
+    last = {s for s in used if s >= max(x for x in used if x >> 40 == s >> 40) - 12}
+    inside = [r for r in rows if r["sequence_id"] not in last and r["start"] + r["length"] < r["doc_tokens"]]
+    assert inside and all(ENCODER.ends_sentence[texts[r["doc_id"]][r["start"] + r["length"] - 1]] for r in inside)
+
+
+def test_cut_places():
+    """Grid places only in stretches beyond the capacity."""
+    ends = np.array([False, True])
+    ids_ = np.zeros(200, np.int64)
+    ids_[[49, 89]] = 1
+    places, penalty = packing.candidates(ids_, np.array([0, 60, 200]), ends, 100)
+    assert places.tolist() == [0, 50, 60, 90, *range(106, 200, 16), 200] and penalty[1] == packing.SENTENCE_PENALTY and penalty[2] == 0
+    places, _ = packing.candidates(ids_, np.array([0, 60, 200]), ends, 150)
+    assert places.tolist() == [0, 50, 60, 90, 200]
 
 @settings(max_examples=100, deadline=None)
 @given(some.lists(some.integers(1, 9), min_size=1, max_size=12), some.data())
@@ -141,6 +156,11 @@ def test_pii_context(spark):
     rows = [(i, t, "a") for i, t in enumerate(good)] + [(90, "Please use card number 4539578763621487 today", "a"), (91, "We counted up 4539578763621487 today", "a")]
     got = {r["doc_id"]: r for r in pii.find_pii(shaped(spark, rows)).collect()}
     assert got[90]["spans"] == "card:23:39" and got[90]["n_card"] == 0 and got[91]["spans"] == ""
+    rows += [(None, rows[-2][1], "a"), (None, rows[-1][1], "a"), (90, rows[-2][1], "a")]  # no id, and a repeated row
+    got = collections.Counter((r["doc_id"], r["spans"]) for r in pii.find_pii(shaped(spark, rows)).collect() if r["doc_id"] in (90, None))
+    assert got == {(90, "card:23:39"): 2, (None, "card:23:39"): 1, (None, ""): 1}
+    texts = [r["text"] for r in pii.redact_documents(shaped(spark, rows)).collect() if r["doc_id"] is None]
+    assert sorted(texts) == ["Please use card number <CARD> today", rows[7][1]]
 
 
 def test_pii_unseen_forms(spark):
@@ -186,7 +206,7 @@ def test_fingerprints(spark, sf, odd, none):
         errors.append(abs(len(a & b) / len(a | b) - r["near_edited"]))
     assert np.mean(errors) < 0.04
     rows = fingerprints.edited_fingerprints(odd).collect()
-    assert len(rows) == odd.filter("doc_id IS NOT NULL").count()
+    assert len(rows) == odd.count() and sum(r["doc_id"] is None for r in rows) == 1
     prints = {r["fingerprint"] for r in rows if r["doc_id"] == 4}
     assert len(prints) == 1
     assert fingerprints.edited_fingerprints(none).count() == 0
@@ -219,7 +239,8 @@ def test_lm_scores(spark, sf, odd, none):
                         factor += math.log(0.4)
             assert abs(got[d]["log_score"] - want) < 1e-6 * max(1, abs(want)) and got[d]["n_words"] == len(w)
     assert got[-1]["mean_log_score"] is None
-    assert lm_scoring.backoff_scores(odd).count() == odd.filter("doc_id IS NOT NULL").count()
+    rows = lm_scoring.backoff_scores(odd).collect()
+    assert len(rows) == odd.count() and [r["n_words"] for r in rows if r["doc_id"] is None] == [9]
     assert lm_scoring.backoff_scores(none).count() == 0
 
 
@@ -248,11 +269,38 @@ def test_substring_dedup(spark, sf, odd, none):
             seen.add(norm)
         assert got[r["doc_id"]]["spans"] == ",".join(spans)
     out = substring_dedup.repeated_spans(odd).collect()
-    assert len(out) == odd.filter("doc_id IS NOT NULL").count()
-    assert {r["spans"] for r in out if r["doc_id"] == 4} == {""} and any(r["spans"] for r in out if r["doc_id"] == 5)
+    assert len(out) == odd.count()
+    assert {r["spans"] for r in out if r["doc_id"] == 4} == {""} and sorted(r["chars_removed"] > 0 for r in out if r["doc_id"] == 5) == [False, True]
     assert substring_dedup.repeated_spans(none).count() == 0
 
 
+def test_substring_rows(spark):
+    """Rows of one doc_id lose the spans of their own text only; rows without id come last, each for itself."""
+    one, two = "The first long sentence that stands in many texts.", "Another sentence of more than five words here."
+    rows = [(1, one), (2, f"{one} Then short."), (2, two), (None, f"{two} {one}"), (None, "Only this row has these five words."), (None, "Only this row has these five words. And more of its own words."), (1, one)]
+    docs = shaped(spark, [(d, t, "a") for d, t in rows]).selectExpr("*", "'x' AS row", "'y' AS whole")
+    spans = substring_dedup.repeated_spans(docs)
+    got = sorted(((r["doc_id"], r["text"], r["row"]) for r in substring_dedup.remove_repeats(docs, spans).collect()), key=str)
+    texts = [t for _, t, _ in got]
+    assert len(got) == len(rows) and all(x == "x" for _, _, x in got)
+    assert texts.count(one) == 2 and texts.count(two) == 1 and texts.count("Then short.") == 1 and texts.count("") in (1, 2)
+    assert sum(t.count("Only this row") for t in texts) == 1
+    assert {r["n_units"] for r in spans.filter("doc_id = 1").collect()} == {1}
+
+
+def test_next_without_ids(spark):
+    """Rows without doc_id come after all others; every row has the next one of one order, whatever the ranges."""
+    rows = [(i, f"text {i} " * (i % 5 + 3), "a") for i in range(50)] + [(None, f"no id {i} " * 4, "a") for i in range(60)]
+    docs = shaped(spark, rows)
+    edited = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    got = fingerprints.edited_fingerprints(docs).collect()
+    hashes = collections.Counter(r["edited_sha256"] for r in got)
+    some = [t for d, t, _ in rows if d is None]
+    of = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = [t for d, t, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0])] + sorted(some, key=lambda t: -of[t])
+    assert hashes == collections.Counter(edited(t, n) for t, n in zip(order, order[1:] + order[:1]))
+
+
 def test_passage_anywhere(spark):
     passage = " ".join(f"This sentence number {i} of the shared passage has its own words." for i in range(6))
     docs = shaped(spark, [(1, f"Start here with something. {passage} The end of it.", "a"), (2, f"Other words open this one\nand {passage} Then more.", "a")])
