@@ -2,46 +2,31 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import structure as st
+from foliant.sources import packages
 
 
 def scan_docx_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, part_path, xml, kind) of every package under path; .rels parts and folders are left out.
+    """(doc_id, part_path, xml, error, kind, part_order) of every package under path; .rels parts and folders are left out.
 
-    binaryFile reads the packages apart; a package that is no zip gives no parts. Media parts keep no text.
+    part_order is the reading order: main document, headers, footers, footnotes, endnotes, the rest. A package that is
+    no zip is one row with an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-
-    def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for part in z.namelist():
-                            if not part.endswith("/") and not part.endswith(".rels"):
-                                text = z.read(part).decode("utf-8", "replace") if part.endswith(".xml") else None
-                                rows.append((name.rsplit("/", 1)[-1].removesuffix(".docx"), part, text))
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["doc_id", "part_path", "xml"])
-
-    parts = files.select("path", "content").mapInPandas(unzip, "doc_id string, part_path string, xml string")
-    return parts.withColumn("kind", st.part_kind("part_path", F.lit(None).cast("string")))
+    return content_parts(packages.package_parts(packages.read_packages(spark, path)))
+
+
+def content_parts(parts: DataFrame) -> DataFrame:
+    return parts.filter("part_path is null or not part_path like '%.rels'")
 
 
 def resolve_content_types(parts: DataFrame, overrides: DataFrame, defaults: DataFrame) -> DataFrame:
-    """An override by part name beats the default of the lower-cased extension."""
+    """An override by part name beats the default of the lower-cased extension; defaults may be each document's own."""
     ext = F.lower(F.regexp_extract("part_path", "\\.([^./]+)$", 1))
-    out = parts.withColumn("ext", ext).join(overrides.withColumnRenamed("content_type", "_o"), ["doc_id", "part_path"], "left").join(defaults.withColumnRenamed("content_type", "_d"), "ext", "left")
+    out = parts.withColumn("ext", ext).join(overrides.withColumnRenamed("content_type", "_o"), ["doc_id", "part_path"], "left")
+    out = out.join(defaults.withColumnRenamed("content_type", "_d"), ["doc_id", "ext"] if "doc_id" in defaults.columns else "ext", "left")
     return out.withColumn("content_type", F.coalesce("_o", "_d")).drop("_o", "_d", "ext")
 
 
@@ -52,9 +37,14 @@ def relationship_edges(rels: DataFrame) -> DataFrame:
     return whole.withColumn("target", resolved)
 
 
-def part_models(parts: DataFrame, edges: DataFrame) -> DataFrame:
+def part_models(parts: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Outgoing relationships of each part and, from its XML nodes, the name of its root element."""
     n = edges.groupBy("doc_id", F.col("source_part").alias("part_path")).agg(F.count("*").alias("relationship_count"))
-    return parts.join(n, ["doc_id", "part_path"], "left").withColumn("relationship_count", F.coalesce("relationship_count", F.lit(0)))
+    out = parts.join(n, ["doc_id", "part_path"], "left").withColumn("relationship_count", F.coalesce("relationship_count", F.lit(0)))
+    if nodes is None:
+        return out
+    roots = nodes.filter("node = 0").select("doc_id", "part_path", F.col("tag").alias("root_name"))
+    return out.join(roots, ["doc_id", "part_path"], "left")
 
 
 def package_meta(parts: DataFrame, edges: DataFrame, sections: DataFrame) -> DataFrame:
@@ -80,10 +70,18 @@ def header_footer_bindings(sections: DataFrame, edges: DataFrame) -> DataFrame:
     return refs.join(edges.select("doc_id", "rel_id", "target"), ["doc_id", "rel_id"]).select("doc_id", "section", "kind", F.col("target").alias("part_path"))
 
 
-def document_meta(paragraphs: DataFrame, warnings: DataFrame) -> DataFrame:
-    totals = paragraphs.groupBy("doc_id").agg(F.count_if(F.col("part_kind") == "main_document").alias("n_paragraphs"), F.count_if("in_table").alias("n_table"), F.sum("n_images").alias("n_images"))
+NOTE_TOTALS = ("n_header", "n_footer", "n_footnotes", "n_endnotes")
+
+
+def document_meta(paragraphs: DataFrame, warnings: DataFrame, package: DataFrame) -> DataFrame:
+    """Totals of paragraphs, images and formulas, of the package's headers, footers and notes, and all warnings."""
+    totals = paragraphs.groupBy("doc_id").agg(
+        F.count_if(F.col("part_kind") == "main_document").alias("n_paragraphs"), F.count_if("in_table").alias("n_table"),
+        F.sum("n_images").alias("n_images"), F.sum("n_formulas").alias("n_formulas"),
+    )
     warned = warnings.groupBy("doc_id").agg(F.array_sort(F.collect_set("message")).alias("warnings"))
-    out = totals.join(warned, "doc_id", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+    out = totals.join(package.select("doc_id", *NOTE_TOTALS), "doc_id", "left").join(warned, "doc_id", "left")
+    out = out.select(*totals.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in NOTE_TOTALS], F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
     return out.withColumn("first_warning", F.try_element_at("warnings", F.lit(1)))
 
 
@@ -111,11 +109,21 @@ def block_nodes(runs: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "paragraph_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("text"), first.alias("font_name"))
 
 
-def materialize(final: DataFrame, sources: DataFrame, path: str) -> DataFrame:
-    """Write final rows by document bucket and read them back; rows of a document without a source are refused."""
-    kept = final.join(sources.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-    kept.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return final.sparkSession.read.parquet(path).drop("bucket")
+BUCKET_ROWS = 1_000_000
+
+
+def materialize(final: DataFrame, sources: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+    """Write final rows by document bucket and read them back, with the number of rows written.
+
+    Rows of a document without a source are refused. There are as many buckets as bucket_rows go into the rows, so
+    files stay of one size whatever the corpus; the count that decides is one of ids and reads no other column.
+    """
+    known = final.join(sources.select("doc_id").distinct(), "doc_id", "left_semi")
+    buckets = max(1, -(-known.select("doc_id").count() // bucket_rows))
+    written = Observation()
+    kept = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).observe(written, F.count("*").alias("n"))
+    kept.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return final.sparkSession.read.parquet(path).drop("bucket"), written.get["n"]
 
 
 def rebuild_paragraphs(nodes: DataFrame) -> DataFrame:

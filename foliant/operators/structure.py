@@ -53,37 +53,40 @@ def role_counts(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.filter(F.trim("role") != "").groupBy("doc_id", "role").agg(F.count("*").alias("n"))
 
 
-def resolve_styles(styles: DataFrame, defaults: DataFrame, attributes: tuple[str, ...] = STYLE_ATTRIBUTES, depth: int = 8) -> DataFrame:
+def resolve_styles(styles: DataFrame, defaults: DataFrame, attributes: tuple[str, ...] = STYLE_ATTRIBUTES) -> DataFrame:
     """Each attribute from the nearest style of the based_on chain that sets it, else from the document's defaults.
 
-    The chain is followed by joins on (doc_id, style_id), at most depth times; a style already visited ends it.
+    Chains may be of any length. The styles of a document meet in one row, a table of a few hundred at most; there
+    every style takes over from the ancestor that it points to and then points as far again, so a chain of n styles
+    needs log2(n) steps and no further shuffle. In a cycle every style sees all of its members.
     """
-    own = styles.select("doc_id", "style_id", "based_on", *attributes)
-    walk = own.select("doc_id", F.col("style_id").alias("leaf"), "style_id", "based_on", F.array("style_id").alias("seen"), F.lit(0).alias("level"))
-    parts, step = [walk], walk
-    for level in range(1, depth):
-        parent = own.select("doc_id", F.col("style_id").alias("next"), F.col("based_on").alias("above"))
-        step = (
-            step.join(parent, (step["doc_id"] == parent["doc_id"]) & (step["based_on"] == parent["next"]))
-            .filter(~F.array_contains("seen", F.col("next")))
-            .select(step["doc_id"], "leaf", F.col("next").alias("style_id"), F.col("above").alias("based_on"), F.concat("seen", F.array("next")).alias("seen"), F.lit(level).alias("level"))
-        )
-        parts.append(step)
-    chain = parts[0]
-    for part in parts[1:]:
-        chain = chain.unionByName(part)
-    with_values = chain.select("doc_id", "leaf", "style_id", "level").join(own.drop("based_on"), ["doc_id", "style_id"])
-    nearest = [F.min_by(F.when(F.col(a).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col("level"))).alias(a) for a in attributes]
-    found = with_values.groupBy("doc_id", F.col("leaf").alias("style_id")).agg(*nearest)
+    fields = F.struct("style_id", "based_on", *attributes)
+    whole = styles.groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("s")).withColumn("ids", F.transform("s", lambda x: x["style_id"]))
+    up = lambda x: F.nullif(F.array_position("ids", x["based_on"]).cast("int"), F.lit(0))
+    start = F.transform("s", lambda x: F.struct(x["style_id"].alias("style_id"), up(x).alias("up"), *[x[a].alias(a) for a in attributes]))
+    doubled = lambda acc, x: F.struct(
+        x["style_id"].alias("style_id"), F.element_at(acc, x["up"])["up"].alias("up"), *[F.coalesce(x[a], F.element_at(acc, x["up"])[a]).alias(a) for a in attributes]
+    )
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("s") + 1)).cast("int"))
+    done = F.aggregate(rounds, start, lambda acc, _: F.transform(acc, lambda x: doubled(acc, x)))
+    found = whole.select("doc_id", F.explode(done).alias("x")).select("doc_id", "x.*").drop("up")
     base = defaults.select("doc_id", *[F.col(a).alias(f"_{a}") for a in attributes])
     return found.join(base, "doc_id", "left").select("doc_id", "style_id", *[F.coalesce(a, f"_{a}").alias(a) for a in attributes])
 
 
-def resolve_run_style(runs: DataFrame, styles: DataFrame, defaults: DataFrame, constants: dict, attributes: tuple[str, ...] = ("font_name", "font_size_pt", "font_color")) -> DataFrame:
-    """Per attribute: direct, character style, paragraph style, Normal, document defaults, constants."""
+def resolve_run_style(
+    runs: DataFrame, styles: DataFrame, defaults: DataFrame, constants: dict,
+    attributes: tuple[str, ...] = ("font_name", "font_size_pt", "font_color"), paragraph_attributes: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per attribute: direct, character style, paragraph style, Normal, document defaults, constants.
+
+    paragraph_attributes (alignment, say) come from the run's paragraph, its style, Normal and the constants only;
+    line_spacing, if runs has it, is the paragraph's own.
+    """
+    every = (*attributes, *paragraph_attributes)
 
     def level(name: str) -> DataFrame:
-        return styles.select("doc_id", F.col("style_id").alias(f"{name}_id"), *[F.col(a).alias(f"{name}_{a}") for a in attributes])
+        return styles.select("doc_id", F.col("style_id").alias(f"{name}_id"), *[F.col(a).alias(f"{name}_{a}") for a in every])
 
     out = runs
     for name, key in (("char", "char_style"), ("para", "para_style")):
@@ -92,18 +95,24 @@ def resolve_run_style(runs: DataFrame, styles: DataFrame, defaults: DataFrame, c
     base = defaults.select("doc_id", *[F.col(a).alias(f"base_{a}") for a in attributes])
     out = out.join(normal, "doc_id", "left").join(base, "doc_id", "left")
     chosen = [F.coalesce(a, f"char_{a}", f"para_{a}", f"normal_{a}", f"base_{a}", F.lit(constants[a])).alias(a) for a in attributes]
-    return out.select("doc_id", "run_id", *chosen)
+    chosen += [F.coalesce(a, f"para_{a}", f"normal_{a}", F.lit(constants[a])).alias(a) for a in paragraph_attributes]
+    return out.select("doc_id", "run_id", *chosen, *(["line_spacing"] if "line_spacing" in runs.columns else []))
 
 
 def run_properties(raw: DataFrame, keys: tuple[str, ...] = ("doc_id", "run_id")) -> DataFrame:
-    """Direct properties: fonts by script order, half points to points, auto colour unset, toggles with three states."""
+    """Direct properties: fonts by script order, half points to points, auto colour unset, toggles with three states.
+
+    Columns that raw lacks (i, strike, caps, highlight) give no attribute.
+    """
     toggle = lambda c: F.when(F.lower(c).isin("", "1", "true", "on"), True).when(F.lower(c).isin("0", "false", "off", "none"), False)
+    more = [toggle(F.col(c)).alias(n) for c, n in (("i", "is_italic"), ("strike", "is_strike"), ("caps", "is_all_caps")) if c in raw.columns]
+    more += [F.nullif(F.col("highlight"), F.lit("")).alias("highlight_color")] if "highlight" in raw.columns else []
     return raw.select(
         *keys, tx.first_text("east_asia", "ascii", "h_ansi", "cs").alias("font_name"),
         (F.col("sz").try_cast("double") / 2).alias("font_size_pt"),
         F.when(F.lower("color") != "auto", F.upper("color")).alias("font_color"),
         toggle(F.col("b")).alias("is_bold"),
-        F.when(F.col("u").isNotNull(), ~F.lower("u").isin("none", "false")).alias("is_underline"),
+        F.when(F.col("u").isNotNull(), ~F.lower("u").isin("none", "false")).alias("is_underline"), *more,
     )
 
 

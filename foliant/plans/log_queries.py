@@ -89,14 +89,18 @@ reg("s8_header_footer_bindings", lambda s, d: pk.header_footer_bindings(sections
 
 
 def s9(s, d):
-    p = corpus.paragraphs(s, d)
+    p = corpus.paragraphs(s, d).withColumn("n_formulas", (c("doc_id") + c("paragraph_index")) % 3)
     w = p.filter("paragraph_index > 5 AND in_table").select("doc_id", F.concat(F.lit("table at "), "paragraph_id").alias("message"))
-    return pk.document_meta(p, w).withColumn("warnings", F.array_join("warnings", "|"))
+    package = pk.package_meta(parts(s, d), edges(s, d), sections(s, d))
+    return pk.document_meta(p, w, package).withColumn("warnings", F.array_join("warnings", "|"))
 
 
 reg("s9_document_meta", s9, """, w AS (SELECT doc_id, list_sort(list('table at ' || paragraph_id)) AS ws FROM paragraphs WHERE paragraph_index > 5 AND in_table GROUP BY ALL),
- t AS (SELECT doc_id, count(*) FILTER (part_kind = 'main_document') AS n_paragraphs, count(*) FILTER (in_table) AS n_table, sum(n_images)::BIGINT AS n_images FROM paragraphs GROUP BY ALL)
- SELECT t.*, coalesce(array_to_string(ws, '|'), '') AS warnings, ws[1] AS first_warning FROM t LEFT JOIN w USING (doc_id)""", CTE)
+ t AS (SELECT doc_id, count(*) FILTER (part_kind = 'main_document') AS n_paragraphs, count(*) FILTER (in_table) AS n_table, sum(n_images)::BIGINT AS n_images,
+  sum((doc_id + paragraph_index) % 3)::BIGINT AS n_formulas FROM paragraphs GROUP BY ALL),
+ k AS (SELECT doc_id, """ + ", ".join(f"count(*) FILTER (kind = '{x[2:]}') AS {x}" for x in pk.NOTE_TOTALS) + """ FROM parts GROUP BY doc_id)
+ SELECT t.*, """ + ", ".join(f"coalesce(k.{x}, 0) AS {x}" for x in pk.NOTE_TOTALS) + """, coalesce(array_to_string(ws, '|'), '') AS warnings, ws[1] AS first_warning
+ FROM t LEFT JOIN k USING (doc_id) LEFT JOIN w USING (doc_id)""", CTE, PARTS)
 
 
 def contracts(s, d):
@@ -118,7 +122,7 @@ def s12(s, d):
     import uuid
 
     r = corpus.runs(s, d).select("doc_id", "run_id", "text", "font_name")
-    return pk.materialize(r, corpus.table(s, d, "documents").filter("doc_id % 3 <> 0"), f"{ev.shared_folder(s)}/corpus-{uuid.uuid4().hex}")
+    return pk.materialize(r, corpus.table(s, d, "documents").filter("doc_id % 3 <> 0"), f"{ev.shared_folder(s)}/corpus-{uuid.uuid4().hex}")[0]
 
 
 reg("s12_materialize_corpus", s12, "SELECT doc_id, run_id, text, font_name FROM runs WHERE doc_id % 3 <> 0", CTE)

@@ -64,8 +64,11 @@ ROLE_BY_PART = f"CASE part_kind WHEN 'header' THEN 'header' WHEN 'footer' THEN '
 add("t7_role_by_part", lambda s, d: corpus.paragraphs(s, d).select("doc_id", "paragraph_id", st.role_by_part("part_kind", "style_name", "is_numbered", "in_table").alias("role")), f"SELECT doc_id, paragraph_id, {ROLE_BY_PART} AS role FROM paragraphs", CTE)
 add("t8_role_counts", lambda s, d: ops.role_counts(corpus.paragraphs(s, d)), "SELECT doc_id, role, count(*) AS n FROM paragraphs GROUP BY ALL", CTE)
 
-# Seven styles a document: a chain from a character style to Normal, a pair that name each other, one alone.
+# A chain from a character style to Normal, a pair that name each other, one alone, and a long chain whose last one
+# alone sets a font.
+_LONG = 13
 _CHAIN = [("Normal", None), ("Base", "Normal"), ("Body", "Base"), ("Quote", "Body"), ("LoopA", "LoopB"), ("LoopB", "LoopA"), ("Alone", "Missing")]
+_CHAIN += [(f"L{i}", f"L{i + 1}" if i + 1 < _LONG else None) for i in range(_LONG)]
 
 
 def styles(s, d):
@@ -74,7 +77,7 @@ def styles(s, d):
     x = docs.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
     k = c("doc_id") + c("i")
     return x.select(
-        "doc_id", "style_id", "based_on", F.when(k % 3 == 0, F.concat(F.lit("Font"), c("i").cast("string"))).alias("font_name"), F.when(k % 4 == 0, (c("i") + 9).cast("double")).alias("font_size_pt"),
+        "doc_id", "style_id", "based_on", F.when((c("i") < 7) & (k % 3 == 0) | (c("i") == 6 + _LONG), F.concat(F.lit("Font"), c("i").cast("string"))).alias("font_name"), F.when(k % 4 == 0, (c("i") + 9).cast("double")).alias("font_size_pt"),
         F.when(k % 5 == 0, F.lpad(c("i").cast("string"), 6, "0")).alias("font_color"), F.when(k % 2 == 0, k % 4 == 0).alias("is_bold"),
     )
 
@@ -84,7 +87,7 @@ def defaults(s, d):
 
 
 STYLES = "chain(i, style_id, based_on) AS (VALUES " + ", ".join(f"({i}, '{n}', {repr(b) if b else 'NULL'})" for i, (n, b) in enumerate(_CHAIN)) + """),
-styles AS (SELECT doc_id, style_id, based_on, CASE WHEN (doc_id + i) % 3 = 0 THEN 'Font' || i END AS font_name, CASE WHEN (doc_id + i) % 4 = 0 THEN (i + 9)::DOUBLE END AS font_size_pt,
+styles AS (SELECT doc_id, style_id, based_on, CASE WHEN i < 7 AND (doc_id + i) % 3 = 0 OR i = """ + str(6 + _LONG) + """ THEN 'Font' || i END AS font_name, CASE WHEN (doc_id + i) % 4 = 0 THEN (i + 9)::DOUBLE END AS font_size_pt,
  CASE WHEN (doc_id + i) % 5 = 0 THEN lpad(i::VARCHAR, 6, '0') END AS font_color, CASE WHEN (doc_id + i) % 2 = 0 THEN (doc_id + i) % 4 = 0 END AS is_bold FROM documents, chain),
 defaults AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Base Font' END AS font_name, 11.0::DOUBLE AS font_size_pt, NULL::VARCHAR AS font_color, false AS is_bold FROM documents)"""
 SQL["t9_resolve_styles"] = "WITH RECURSIVE " + STYLES + """,

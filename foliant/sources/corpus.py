@@ -108,3 +108,62 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("conv_id") % 3 == 0, F.concat("w", F.lit("<|im_start|>assistant\nto be continued")))
         .when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Well: "), "w")).otherwise(F.col("w")).alias("transcript"),
     )
+
+
+LONG_CHAIN = 13  # styles of a package's chain: each is based on the next one, only the last has a font
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): every document as a zipped package whose paragraphs are its lines; some packages are broken.
+
+    XML is put together by string functions; the only Python closes the zip.
+    """
+    k = F.col("doc_id") + F.col("paragraph_index")
+    tag = lambda name, value: F.concat(F.lit(f'<w:{name} w:val="'), value.cast("string"), F.lit('"/>'))
+    clean = F.regexp_replace("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
+    safe = F.replace(F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\r"), F.lit("&#13;"))
+    size = lambda j: F.when((F.col("paragraph_index") + j) % 4 == 0, tag("sz", 20 + j % 7)).otherwise("")
+    run = lambda t, j: F.concat(F.lit("<w:r><w:rPr><w:b/>"), size(j), F.lit('</w:rPr><w:t xml:space="preserve">'), t, F.lit("</w:t></w:r>"))
+    pieces = F.array_join(F.transform(F.split(safe, "\\. "), run), "")
+    numbered = F.when(F.col("is_numbered") & F.col("num_ilvl").isNotNull(), F.concat(F.lit("<w:numPr>"), tag("ilvl", F.col("num_ilvl")), F.lit("</w:numPr>"))).otherwise("")
+    line = F.when(k % 6 == 0, F.lit('<w:spacing w:line="360"/>')).otherwise("")
+    images = F.repeat(F.lit("<w:r><w:drawing/></w:r>"), F.col("n_images"))
+    p = F.concat(F.lit("<w:p><w:pPr>"), tag("pStyle", F.col("style_name")), numbered, line, F.lit("</w:pPr>"), pieces, images, F.lit("</w:p>"))
+    cell = lambda x: F.concat(F.lit("<w:tbl><w:tr><w:tc>"), x, F.lit("</w:tc></w:tr></w:tbl>"))
+    block = F.when(k % 20 == 17, cell(cell(p))).when(F.col("in_table"), cell(p)).otherwise(p)
+    blocks = F.array_sort(F.collect_list(F.struct("paragraph_index", block.alias("xml"))))
+    docs = raw_paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(blocks, lambda x: x["xml"]), "").alias("body"))
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    sect = '<w:sectPr><w:headerReference w:type="default" r:id="rId2" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"/></w:sectPr>'
+    document = F.concat(F.lit(f"<w:document {w}><w:body>"), F.col("body"), F.lit(f"{sect}</w:body></w:document>"))
+    header = F.concat(F.lit(f"<w:hdr {w}><w:p><w:r><w:t>Header "), F.col("doc_id").cast("string"), F.lit("</w:t></w:r></w:p></w:hdr>"))
+    last = LONG_CHAIN - 1
+    chain = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.concat(
+        F.lit('<w:style w:type="paragraph" w:styleId="S'), i.cast("string"), F.lit('">'), F.when(i < last, tag("basedOn", F.concat(F.lit("S"), (i + 1).cast("string")))).otherwise(""),
+        F.lit("<w:rPr>"), F.when(i == last, F.concat(F.lit('<w:rFonts w:ascii="Font'), (F.col("doc_id") % 3).cast("string"), F.lit('"/>'))).otherwise(""),
+        F.when(i == F.col("doc_id") % LONG_CHAIN, tag("sz", 20 + i)).otherwise(""), F.lit("</w:rPr></w:style>"),
+    ))
+    defaults = '<w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="19"/><w:color w:val="auto"/></w:rPr></w:rPrDefault></w:docDefaults>'
+    styles = F.concat(F.lit(f"<w:styles {w}>{defaults}"), F.array_join(chain, ""), F.lit("</w:styles>"))
+    rel = '<Relationship Id="rId2" Type="header" Target="header1.xml"/><Relationship Id="rId3" Type="styles" Target="./styles.xml"/><Relationship Id="rId4" Target="nowhere"/>'
+    rels = F.lit(f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rel}</Relationships>')
+    parts = {"word/document.xml": document, "word/header1.xml": header, "word/styles.xml": styles, "word/_rels/document.xml.rels": rels}
+
+    def close(frames):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for pdf in frames:
+            out = []
+            for doc, *xml in pdf.itertuples(index=False):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    for name, x in zip(parts_named, xml):
+                        z.writestr(name, x)
+                out.append((doc, b"no package" if doc % 50 == 7 else buffer.getvalue()))
+            yield pd.DataFrame(out, columns=["doc_id", "content"])
+
+    parts_named = list(parts)
+    return docs.select("doc_id", *[x.alias(f"x{i}") for i, x in enumerate(parts.values())]).mapInPandas(close, "doc_id long, content binary")
