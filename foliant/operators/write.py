@@ -26,6 +26,13 @@ def _number(rule: str) -> Callable[[Column], Column]:
     return lambda p: tx.first_number(rule, p).cast("string")
 
 
+def _spacing(p: Column) -> Column:
+    """A positive multiple, or a JSON object of mode exact and a positive number of points, as exact:points."""
+    points = F.get_json_object(p, "$.pt").try_cast("double")
+    exact = (F.get_json_object(p, "$.mode") == "exact") & (points > 0)
+    return F.when(p.rlike("^\\s*\\{"), F.when(exact, F.concat(F.lit("exact:"), points.cast("string")))).otherwise(_number("positive")(p))
+
+
 def _flag(p: Column) -> Column:
     return tx.loose_boolean(p).cast("string")
 
@@ -39,7 +46,7 @@ def _record(p: Column) -> Column:
 SPECS = (
     OperationSpec("set_font", "font_name", tx.first_text),
     OperationSpec("set_size", "font_size_pt", _number("positive")),
-    OperationSpec("set_line_spacing", "line_spacing", _number("positive")),
+    OperationSpec("set_line_spacing", "line_spacing", _spacing),
     OperationSpec("set_alignment", "paragraph_alignment", tx.first_text),
     OperationSpec("set_font_color", "font_color", tx.hex_color),
     OperationSpec("set_bold", "is_bold", _flag),
@@ -91,14 +98,22 @@ def last_writes(writes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def apply_style_ops(runs: DataFrame, writes: DataFrame, attributes: tuple[str, ...], keys: tuple[str, ...] = ("doc_id", "run_id")) -> DataFrame:
-    """Fold ordered attribute writes onto runs; what no write sets stays."""
+    """Fold ordered attribute writes onto runs; what no write sets stays.
+
+    Where writes name their operation (op_type), written_by holds the operation that set each attribute.
+    """
+    named = "op_type" in writes.columns
+    last = F.struct("value", "op_type") if named else F.struct("value")
     folded = writes.filter("value IS NOT NULL").groupBy(*keys).agg(
-        *[F.max_by(F.when(F.col("attribute") == a, F.col("value")), F.when(F.col("attribute") == a, F.col("seq"))).alias(f"_{a}") for a in attributes]
+        *[F.max_by(F.when(F.col("attribute") == a, last), F.when(F.col("attribute") == a, F.col("seq"))).alias(f"_{a}") for a in attributes]
     )
     out = runs.join(folded, list(keys), "left")
     kinds = dict(runs.dtypes)
+    if named:
+        by = F.filter(F.array(*[F.struct(F.lit(a).alias("key"), F.col(f"_{a}.op_type").alias("value")) for a in attributes]), lambda x: x["value"].isNotNull())
+        out = out.withColumn("written_by", F.map_from_entries(by))
     for a in attributes:
-        out = out.withColumn(a, F.coalesce(F.col(f"_{a}").cast(kinds[a]), F.col(a))).drop(f"_{a}")
+        out = out.withColumn(a, F.coalesce(F.col(f"_{a}.value").cast(kinds[a]), F.col(a))).drop(f"_{a}")
     return out
 
 
@@ -119,14 +134,16 @@ def valid_attributes(styles: DataFrame) -> DataFrame:
     return out.withColumn("paragraph_alignment", F.when(F.lower("paragraph_alignment").isin(*ALIGNMENTS), F.lower("paragraph_alignment")))
 
 
+LAYOUT = ("margin_top_cm", "margin_bottom_cm", "margin_left_cm", "margin_right_cm")
+
+
 def page_layout(docs: DataFrame, ops: DataFrame) -> DataFrame:
-    """The last valid paper size and positive margin of each document over its current layout."""
+    """The last valid paper size and the last positive value of each margin over a document's current layout."""
     ok = F.when(F.col("field") == "paper_size", tx.paper_size("value")).otherwise(tx.first_number("positive", "value").cast("string"))
     valid = ops.withColumn("value", ok).filter("value IS NOT NULL")
-    pick = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("seq")))
-    new = valid.groupBy("doc_id").agg(pick("paper_size").alias("_p"), pick("margin_top_cm").alias("_t"))
-    out = docs.join(new, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("_p", "paper_size").alias("paper_size"), F.coalesce(F.col("_t").cast("double"), "margin_top_cm").alias("margin_top_cm"))
+    pick = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("seq"))).alias(f"_{f}")
+    out = docs.join(valid.groupBy("doc_id").agg(*map(pick, ("paper_size", *LAYOUT))), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("_paper_size", "paper_size").alias("paper_size"), *[F.coalesce(F.col(f"_{m}").cast("double"), m).alias(m) for m in LAYOUT])
 
 
 def merge_paragraphs(paragraphs: DataFrame, ops: DataFrame) -> DataFrame:
@@ -147,6 +164,21 @@ def merge_paragraphs(paragraphs: DataFrame, ops: DataFrame) -> DataFrame:
     )
 
 
+def merge_runs(paragraphs: DataFrame, runs: DataFrame, ops: DataFrame) -> DataFrame:
+    """The runs of merge_paragraphs: each keeps its text and style, moves to the paragraph it flows into and is numbered anew.
+
+    (doc_id, paragraph_no, run_no, run_id, source_run_id and the other columns of runs).
+    """
+    order = Window.partitionBy("doc_id").orderBy("paragraph_index")
+    marked = paragraphs.select("doc_id", "paragraph_id", "paragraph_index").join(ops.select("doc_id", "paragraph_id").distinct().withColumn("named", F.lit(1)), ["doc_id", "paragraph_id"], "left")
+    starts = F.when(F.lag(F.coalesce("named", F.lit(0)), 1, 0).over(order) == 1, 0).otherwise(1)
+    placed = marked.withColumn("start", starts).withColumn("paragraph_no", F.sum("start").over(order) - 1).select("doc_id", "paragraph_id", "paragraph_no", F.col("paragraph_index").alias("_place"))
+    moved = runs.withColumnRenamed("run_id", "source_run_id").join(placed, ["doc_id", "paragraph_id"])
+    run_no = F.row_number().over(Window.partitionBy("doc_id", "paragraph_no").orderBy("_place", "run_index")) - 1
+    moved = moved.withColumn("run_no", run_no).drop("_place", "run_index", "paragraph_id", "paragraph_index")
+    return moved.withColumn("run_id", F.concat(F.lit("p_"), F.col("paragraph_no").cast("string"), F.lit("_r_"), F.col("run_no").cast("string")))
+
+
 def split_paragraphs(runs: DataFrame, ops: DataFrame) -> DataFrame:
     """Cut the run of each op at its offset, strictly inside its text; later runs of the paragraph follow the suffix.
 
@@ -167,21 +199,28 @@ def split_paragraphs(runs: DataFrame, ops: DataFrame) -> DataFrame:
     return numbered.withColumn("run_no", run_no).select("doc_id", "paragraph_no", "run_no", "text", F.concat(F.lit("p_"), F.col("paragraph_no").cast("string"), F.lit("_r_"), F.col("run_no").cast("string")).alias("run_id"))
 
 
+_STRETCH = "\\p{IsHan}+|[\\p{IsLatin}\\p{Nd}]+|\\p{P}+|[^\\p{IsHan}\\p{IsLatin}\\p{Nd}\\p{P}]+"
+
+
 def split_language(runs: DataFrame) -> DataFrame:
-    """Maximal stretches of one language in each run, with ids run__seg_n and the source run's id.
+    """Maximal stretches of one language in each run, with ids run__seg_n beside the source run's columns.
 
-    Punctuation takes the language right after its block, else right before it, else stays unknown.
+    Punctuation takes the language right after its block, else right before it, else stays unknown. Everything happens
+    inside the row: stretches of one kind by a regular expression, their languages by their neighbours, and runs of
+    equal languages put together from the places where the language changes. No shuffle, and linear in the text.
     """
-    key = ["doc_id", "run_id"]
-    ch = runs.select(*key, F.posexplode(F.split("text", "")).alias("at", "ch")).filter("ch <> ''").withColumn("kind", tx.char_language("ch"))
-    w = Window.partitionBy(*key).orderBy("at")
-    ch = ch.withColumn("before", F.last(F.when(F.col("kind") != "punct", F.col("kind")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    ch = ch.withColumn("after", F.first(F.when(F.col("kind") != "punct", F.col("kind")), True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    known = lambda c: F.when(F.col(c).isin("zh", "en"), F.col(c))
-    ch = ch.withColumn("language", F.when(F.col("kind") == "punct", F.coalesce(known("after"), known("before"), F.lit("unknown"))).otherwise(F.coalesce(known("kind"), F.lit("unknown"))))
-    ch = ch.withColumn("start", F.when(F.lag("language").over(w) == F.col("language"), 0).otherwise(1)).withColumn("seg", F.sum("start").over(w) - 1)
-    rows = F.array_sort(F.collect_list(F.struct("at", "ch")))
-    out = ch.groupBy(*key, "seg", "language").agg(F.array_join(F.transform(rows, lambda x: x["ch"]), "").alias("text"))
+    known = lambda kind: F.when(kind.isin("zh", "en"), kind)
+    kind = lambda i: F.get("kinds", i)
+    language = lambda k, i: F.when(k == "punct", F.coalesce(known(kind(i + 1)), known(kind(i - 1)), F.lit("unknown"))).otherwise(F.coalesce(known(k), F.lit("unknown")))
+    out = runs.withColumn("pieces", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_STRETCH), F.lit(0)))
+    out = out.withColumn("kinds", F.transform("pieces", lambda x: tx.char_language(F.substring(x, 1, 1))))
+    out = out.withColumn("languages", F.transform("kinds", language)).filter(F.size("languages") > 0)
+    changes = lambda i: (i == 0) | (F.get("languages", i) != F.get("languages", i - 1))
+    out = out.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("languages") - 1), changes))
+    end = lambda j: F.coalesce(F.get("starts", j + 1), F.size("pieces"))
+    segments = F.transform("starts", lambda at, j: F.struct(F.get("languages", at).alias("language"), F.array_join(F.slice("pieces", at + 1, end(j) - at), "").alias("text")))
+    kept = [c for c in runs.columns if c != "text"]
+    out = out.select(*kept, F.posexplode(segments).alias("seg", "x")).select(*kept, "seg", "x.language", "x.text")
     return out.withColumn("segment_id", F.concat_ws("__seg_", "run_id", F.col("seg").cast("string")))
 
 
@@ -215,18 +254,43 @@ def apply_patches(runs: DataFrame, patches: DataFrame, attributes: tuple[str, ..
     return apply_style_ops(runs, block.unionByName(inline), attributes)
 
 
+SECTION_TARGET = "target:section:document"
+
+
 def unknown_targets(runs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches whose target is no run and no paragraph."""
-    known = runs.select("doc_id", F.concat(F.lit("target:inline:"), "run_id").alias("target_id")).unionByName(runs.select("doc_id", F.concat(F.lit("target:block:"), "paragraph_id").alias("target_id")))
-    return patches.join(known.distinct(), ["doc_id", "target_id"], "left_anti")
+    """Patches whose target is no run, no paragraph and not the document's section, with their error."""
+    known = runs.select("doc_id", F.explode(F.array(F.concat(F.lit("target:inline:"), "run_id"), F.concat(F.lit("target:block:"), "paragraph_id"), F.lit(SECTION_TARGET))).alias("target_id"))
+    return patches.join(known.distinct(), ["doc_id", "target_id"], "left_anti").withColumn("error", F.lit("E_PATCH_TARGET_NOT_FOUND"))
+
+
+def apply_section_patches(docs: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches on a document's section set its page layout: paper size and margins."""
+    own = patches.filter(F.col("target_id") == SECTION_TARGET)
+    return page_layout(docs, own.select("doc_id", F.col("attribute").alias("field"), "value", "seq"))
+
+
+def replaced_nodes(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Nodes with the last element that an edit gives for them; nodes below a replaced one go."""
+    new = edits.groupBy("doc_id", "path").agg(F.max_by("value", "seq").alias("xml"))
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
+    below = nodes.filter(F.size(F.split("path", "/")) > 1).select("doc_id", "path", F.explode(above).alias("over"))
+    gone = below.join(new.select("doc_id", F.col("path").alias("over")), ["doc_id", "over"]).select("doc_id", "path").distinct()
+    out = nodes.join(gone, ["doc_id", "path"], "left_anti").join(new, ["doc_id", "path"], "left")
+    opening = F.regexp_extract("xml", "^\\s*<([^>]*?)/?>", 1)
+    pairs = F.transform(F.regexp_extract_all(opening, F.lit('[^\\s=]+\\s*=\\s*"[^"]*"'), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "^[^\\s=]+", 0).alias("key"), F.regexp_extract(x, '"([^"]*)"', 1).alias("value")))
+    pick = lambda xml, old: F.when(F.col("xml").isNull(), F.col(old)).otherwise(xml).alias(old)
+    text = F.regexp_replace(F.regexp_extract("xml", "^\\s*<[^>]*>(?s)(.*)</[^>]*>\\s*$", 1), "<[^>]*>", "")
+    return out.select("doc_id", "path", pick(F.regexp_extract(opening, "^[^\\s/]+", 0), "tag"), pick(text, "text"), pick(F.map_from_entries(pairs), "attrs"))
 
 
 def edit_nodes(nodes: DataFrame, edits: DataFrame) -> DataFrame:
-    """set_attr, remove_attr, set_text, remove_node and ensure_node on (doc_id, path, tag, text, attrs MAP).
+    """set_attr, remove_attr, set_text, remove_node, ensure_node and replace_node_xml on (doc_id, path, tag, text, attrs MAP).
 
-    edits: (doc_id, path, seq, type, name, value). Of several edits of one attribute the last wins; removal of a node
-    beats edits of it.
+    edits: (doc_id, path, seq, type, name, value). A node is replaced first: tag, attributes and text come from the
+    new element and the nodes below it go. Of several edits of one attribute the last wins; removal of a node beats
+    edits of it.
     """
+    nodes = replaced_nodes(nodes, edits.filter("type = 'replace_node_xml'"))
     on_attr = edits.filter(F.col("type").isin("set_attr", "remove_attr")).groupBy("doc_id", "path", "name").agg(F.max_by(F.struct("type", "value"), "seq").alias("x"))
     on_attr = on_attr.groupBy("doc_id", "path").agg(F.collect_list(F.struct("name", "x")).alias("changes"))
     texts = edits.filter("type = 'set_text'").groupBy("doc_id", "path").agg(F.max_by(F.coalesce("value", F.lit("")), "seq").alias("new_text"))

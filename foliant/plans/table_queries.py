@@ -333,8 +333,8 @@ add("j17_role_bind_check", lambda s, d: sel.role_bind_check(intents(s, d).select
 
 # ---------------------------------------------------------------- writes
 
-_PAYLOADS = [("set_font", " SimSun "), ("set_size", "12.5"), ("set_size", "-1"), ("set_bold", "TRUE"), ("set_bold", "maybe"), ("set_font_color", "#a0b1c2"), ("set_highlight_color", "Dark Blue"), ("set_highlight_color", "mauve"), ("split_paragraph", "5"), ("split_paragraph", "0"), ("set_table_style", "x"), ("merge_paragraph", None), ("set_alignment", "  "), ("set_page_layout", "a4"), ("set_page_layout", "A3"), ("set_style_definition", '{"font":"x"}'), ("set_numbering_level", "{}"), ("set_settings_flag", '{"on":1}'), ("set_attr", " w:val "), ("remove_attr", ""), ("remove_node", None), ("ensure_node", "w:p"), ("replace_node_xml", "<w:p/>")]
-_RESULTS = [("font_name", "SimSun"), ("font_size_pt", "12.5"), ("font_size_pt", None), ("is_bold", "true"), ("is_bold", None), ("font_color", "A0B1C2"), ("highlight_color", "darkBlue"), ("highlight_color", None), ("split_offset", "5"), ("split_offset", None), (None, None), ("merge", "next"), ("paragraph_alignment", None), ("paper_size", "A4"), ("paper_size", None), ("style_definition", '{"font":"x"}'), ("numbering_level", None), ("settings_flag", '{"on":1}'), ("attr", "w:val"), ("removed_attr", None), ("removed_node", ""), ("tag", "w:p"), ("xml", "<w:p/>")]
+_PAYLOADS = [("set_font", " SimSun "), ("set_size", "12.5"), ("set_size", "-1"), ("set_bold", "TRUE"), ("set_bold", "maybe"), ("set_font_color", "#a0b1c2"), ("set_highlight_color", "Dark Blue"), ("set_highlight_color", "mauve"), ("split_paragraph", "5"), ("split_paragraph", "0"), ("set_table_style", "x"), ("merge_paragraph", None), ("set_alignment", "  "), ("set_page_layout", "a4"), ("set_page_layout", "A3"), ("set_style_definition", '{"font":"x"}'), ("set_numbering_level", "{}"), ("set_settings_flag", '{"on":1}'), ("set_attr", " w:val "), ("remove_attr", ""), ("remove_node", None), ("ensure_node", "w:p"), ("replace_node_xml", "<w:p/>"), ("set_line_spacing", "1.5"), ("set_line_spacing", "0"), ("set_line_spacing", '{"mode":"exact","pt":20}'), ("set_line_spacing", '{"mode":"exact"}')]
+_RESULTS = [("font_name", "SimSun"), ("font_size_pt", "12.5"), ("font_size_pt", None), ("is_bold", "true"), ("is_bold", None), ("font_color", "A0B1C2"), ("highlight_color", "darkBlue"), ("highlight_color", None), ("split_offset", "5"), ("split_offset", None), (None, None), ("merge", "next"), ("paragraph_alignment", None), ("paper_size", "A4"), ("paper_size", None), ("style_definition", '{"font":"x"}'), ("numbering_level", None), ("settings_flag", '{"on":1}'), ("attr", "w:val"), ("removed_attr", None), ("removed_node", ""), ("tag", "w:p"), ("xml", "<w:p/>"), ("line_spacing", "1.5"), ("line_spacing", None), ("line_spacing", "exact:20.0"), ("line_spacing", None)]
 
 
 def w1(s, d):
@@ -366,6 +366,19 @@ FOLD = f"""{views.OPS}, canon AS (SELECT doc_id, seq, run_no, attribute, {CANON}
 add("w2_apply_style_ops", lambda s, d: folded(s, d)[1], "SELECT doc_id, run_no, font_name, font_size_pt, font_color, is_bold, highlight_color FROM styled", FOLD)
 
 
+def w2_written_by(s, d):
+    base, _ = folded(s, d)
+    w = corpus.write_ops(s, d).withColumn("value", wr.canonical_value("attribute", "value"))
+    out = wr.apply_style_ops(base, w.withColumn("op_type", F.concat(F.lit("set_"), "attribute", F.lit("_"), (c("seq") % 3).cast("string"))), ATTRS, ("doc_id", "run_no"))
+    show = F.array_join(F.array_sort(F.transform(F.map_entries("written_by"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
+    return out.select("doc_id", "run_no", show.alias("written_by"))
+
+
+_by = lambda a: f"'{a}=set_{a}_' || arg_max(seq % 3, seq) FILTER (attribute = '{a}' AND value IS NOT NULL)"
+add("w2_written_by", w2_written_by, f""", o AS (SELECT doc_id, run_no, concat_ws('|', {', '.join(_by(a) for a in sorted(ATTRS))}) AS w FROM canon GROUP BY ALL)
+ SELECT b.doc_id, b.run_no, coalesce(w, '') AS written_by FROM base b LEFT JOIN o USING (doc_id, run_no)""", FOLD)
+
+
 def w3(s, d):
     r = corpus.runs(s, d).select("doc_id", "run_id", "font_name", "font_size_pt")
     given = r.filter(F.xxhash64("doc_id").isNotNull() & (c("doc_id") % 2 == 0)).select("doc_id", "run_id", F.lit("New").alias("font_name"), F.lit(None).cast("double").alias("font_size_pt"))
@@ -382,36 +395,45 @@ add(
 )
 
 
+_FIELDS = ["paper_size", *wr.LAYOUT]
+
+
 def w5(s, d):
     i = corpus.table(s, d, "lineitem")
-    f = F.when(c("l_linenumber") % 2 == 0, "paper_size").otherwise("margin_top_cm")
-    v = F.when(c("l_linenumber") % 2 == 0, F.element_at(F.array(*map(F.lit, ["a4", "Letter", "A3"])), (c("l_partkey") % 3 + 1).cast("int"))).otherwise((c("l_quantity") - 25).cast("string"))
-    docs = corpus.table(s, d, "orders").select(c("o_orderkey").alias("doc_id"), F.lit("A5").alias("paper_size"), F.lit(2.5).alias("margin_top_cm"))
+    f = F.element_at(F.array(*map(F.lit, _FIELDS)), (c("l_linenumber") % 5 + 1).cast("int"))
+    v = F.when(f == "paper_size", F.element_at(F.array(*map(F.lit, ["a4", "Letter", "A3"])), (c("l_partkey") % 3 + 1).cast("int"))).otherwise((c("l_quantity") - 25).cast("string"))
+    docs = corpus.table(s, d, "orders").select(c("o_orderkey").alias("doc_id"), F.lit("A5").alias("paper_size"), *[F.lit(2.5).alias(m) for m in wr.LAYOUT])
     return wr.page_layout(docs, i.select(c("l_orderkey").alias("doc_id"), corpus.SEQ().alias("seq"), f.alias("field"), v.alias("value")))
 
 
-add("w5_page_layout", w5, f"""WITH o AS (SELECT l_orderkey AS doc_id, arg_max(['A4', 'Letter', NULL][l_partkey % 3 + 1], {views.SEQ}) FILTER (l_linenumber % 2 = 0 AND l_partkey % 3 < 2) AS p, arg_max(l_quantity - 25, {views.SEQ}) FILTER (l_linenumber % 2 = 1 AND l_quantity > 25) AS t FROM lineitem GROUP BY ALL)
- SELECT o_orderkey AS doc_id, coalesce(p, 'A5') AS paper_size, coalesce(t, 2.5)::DOUBLE AS margin_top_cm FROM orders LEFT JOIN o ON o.doc_id = o_orderkey""")
+add("w5_page_layout", w5, f"""WITH o AS (SELECT l_orderkey AS doc_id, arg_max(['A4', 'Letter', NULL][l_partkey % 3 + 1], {views.SEQ}) FILTER (l_linenumber % 5 = 0 AND l_partkey % 3 < 2) AS p,
+ {', '.join(f"arg_max(l_quantity - 25, {views.SEQ}) FILTER (l_linenumber % 5 = {i} AND l_quantity > 25) AS m{i}" for i in range(1, 5))} FROM lineitem GROUP BY ALL)
+ SELECT o_orderkey AS doc_id, coalesce(p, 'A5') AS paper_size, {', '.join(f'coalesce(m{i}, 2.5)::DOUBLE AS {m}' for i, m in enumerate(wr.LAYOUT, 1))} FROM orders LEFT JOIN o ON o.doc_id = o_orderkey""")
 add("w6_merge_paragraphs", lambda s, d: wr.merge_paragraphs(corpus.paragraphs(s, d), corpus.paragraphs(s, d).filter("role = 'heading'")), """, m AS (SELECT *, role = 'heading' AS named, lead(paragraph_id) OVER w IS NULL AS is_last, CASE WHEN lag(role) OVER w = 'heading' THEN 0 ELSE 1 END AS st FROM paragraphs WINDOW w AS (PARTITION BY doc_id ORDER BY paragraph_index)),
  g AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1 AS paragraph_no FROM m)
  SELECT doc_id, paragraph_no::BIGINT AS paragraph_no, arg_min(paragraph_id, paragraph_index) AS paragraph_id, string_agg(text, '' ORDER BY paragraph_index) AS text, max(CASE WHEN named AND is_last THEN 'E_NO_NEXT_PARAGRAPH' END) AS error FROM g GROUP BY doc_id, paragraph_no""", CTE)
+add("w6_merge_runs", lambda s, d: wr.merge_runs(corpus.paragraphs(s, d), corpus.runs(s, d), corpus.paragraphs(s, d).filter("role = 'heading'")).select("doc_id", "paragraph_no", "run_no", "run_id", "source_run_id", "text", "font_name"),
+""", m AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY doc_id ORDER BY paragraph_index) = 'heading' THEN 0 ELSE 1 END AS st FROM paragraphs),
+ g AS (SELECT doc_id, paragraph_id, (sum(st) OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1)::BIGINT AS paragraph_no FROM m),
+ r AS (SELECT r.*, paragraph_no, (row_number() OVER (PARTITION BY r.doc_id, paragraph_no ORDER BY paragraph_index, run_index) - 1)::INTEGER AS run_no FROM runs r JOIN g USING (doc_id, paragraph_id))
+ SELECT doc_id, paragraph_no, run_no, 'p_' || paragraph_no || '_r_' || run_no AS run_id, run_id AS source_run_id, text, font_name FROM r""", CTE)
 add("w7_split_paragraphs", lambda s, d: wr.split_paragraphs(corpus.runs(s, d), corpus.runs(s, d).filter("run_index = 1 AND paragraph_index % 3 = 0").select("doc_id", "run_id", F.lit(5).alias("split_offset"))), """, x AS (SELECT *, run_index = 1 AND paragraph_index % 3 = 0 AND length(text) > 5 AS cut FROM runs),
  y AS (SELECT doc_id, paragraph_index, run_index, 0 AS part, CASE WHEN cut THEN substr(text, 1, 5) ELSE text END AS text FROM x UNION ALL SELECT doc_id, paragraph_index, run_index, 1, substr(text, 6) FROM x WHERE cut),
  z AS (SELECT *, CASE WHEN part = 1 OR lag(paragraph_index) OVER w IS DISTINCT FROM paragraph_index THEN 1 ELSE 0 END AS fresh FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY paragraph_index, run_index, part)),
  n AS (SELECT *, (sum(fresh) OVER (PARTITION BY doc_id ORDER BY paragraph_index, run_index, part) - 1)::BIGINT AS paragraph_no FROM z),
  r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, paragraph_no ORDER BY run_index, part) - 1)::INTEGER AS run_no FROM n)
  SELECT doc_id, paragraph_no, run_no, text, 'p_' || paragraph_no || '_r_' || run_no AS run_id FROM r""", CTE)
-_MIXED = lambda: F.concat(F.lit("这是"), F.substring("text", 1, 6), F.lit(",模型2025报告"))
-MIXED = "mixed AS (SELECT doc_id, run_id, paragraph_id, '这是' || substr(text, 1, 6) || ',模型2025报告' AS text FROM runs)"
+_MIXED = lambda: F.concat(F.lit("这是"), "text", F.lit(",模型2025报告"))
+MIXED = "mixed AS (SELECT doc_id, run_id, paragraph_id, font_name, '这是' || text || ',模型2025报告' AS text FROM runs)"
 _kind = "CASE WHEN regexp_matches(ch, '\\p{Han}') THEN 'zh' WHEN regexp_matches(ch, '[\\p{Latin}\\p{Nd}]') THEN 'en' WHEN regexp_matches(ch, '\\p{P}') THEN 'punct' ELSE 'other' END"
-add("w8_split_language", lambda s, d: wr.split_language(corpus.runs(s, d).withColumn("text", _MIXED())), f""", {MIXED}, ch AS (SELECT doc_id, run_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM mixed),
+add("w8_split_language", lambda s, d: wr.split_language(corpus.runs(s, d).withColumn("text", _MIXED())).select("doc_id", "run_id", "font_name", "seg", "language", "text", "segment_id"), f""", {MIXED}, ch AS (SELECT doc_id, run_id, font_name, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM mixed),
  k AS (SELECT *, {_kind} AS kind FROM ch WHERE ch <> ''),
  b AS (SELECT *, last_value(CASE WHEN kind <> 'punct' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id, run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bef,
  first_value(CASE WHEN kind <> 'punct' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id, run_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM k),
  l AS (SELECT *, CASE WHEN kind IN ('zh', 'en') THEN kind WHEN kind = 'punct' THEN CASE WHEN after IN ('zh', 'en') THEN after WHEN bef IN ('zh', 'en') THEN bef ELSE 'unknown' END ELSE 'unknown' END AS language FROM b),
  g AS (SELECT *, CASE WHEN lag(language) OVER (PARTITION BY doc_id, run_id ORDER BY pos) = language THEN 0 ELSE 1 END AS st FROM l),
- h AS (SELECT *, (sum(st) OVER (PARTITION BY doc_id, run_id ORDER BY pos) - 1)::BIGINT AS seg FROM g)
- SELECT doc_id, run_id, seg, language, string_agg(ch, '' ORDER BY pos) AS text, run_id || '__seg_' || seg AS segment_id FROM h GROUP BY doc_id, run_id, seg, language""", CTE)
+ h AS (SELECT *, (sum(st) OVER (PARTITION BY doc_id, run_id ORDER BY pos) - 1)::INTEGER AS seg FROM g)
+ SELECT doc_id, run_id, any_value(font_name) AS font_name, seg, language, string_agg(ch, '' ORDER BY pos) AS text, run_id || '__seg_' || seg AS segment_id FROM h GROUP BY doc_id, run_id, seg, language""", CTE)
 
 
 def w9(s, d):
@@ -455,6 +477,29 @@ def w12(s, d):
 add("w12_apply_patches", w12, ", b AS (SELECT DISTINCT doc_id, paragraph_id FROM runs WHERE paragraph_index % 4 = 0 AND run_index = 0) SELECT r.doc_id, r.run_id, CASE WHEN run_index = 1 THEN 'Inline' WHEN b.doc_id IS NOT NULL THEN 'Block' ELSE font_name END AS font_name, font_color FROM runs r LEFT JOIN b ON b.doc_id = r.doc_id AND b.paragraph_id = r.paragraph_id", CTE)
 
 
+def w12_section(s, d):
+    k = c("o_orderkey")
+    field = F.element_at(F.array(*map(F.lit, _FIELDS)), (k % 5 + 1).cast("int"))
+    value = F.when(k % 5 == 0, "letter").otherwise((k % 7 - 2).cast("string"))
+    target = F.when(k % 3 == 0, F.lit("target:inline:p_0_r_0")).otherwise(wr.SECTION_TARGET)
+    docs = corpus.table(s, d, "orders").select(k.alias("doc_id"), F.lit("A5").alias("paper_size"), *[F.lit(2.5).alias(m) for m in wr.LAYOUT])
+    return wr.apply_section_patches(docs, corpus.table(s, d, "orders").select(k.alias("doc_id"), target.alias("target_id"), field.alias("attribute"), value.alias("value"), F.lit(1).alias("seq")))
+
+
+add("w12_section_patches", w12_section, "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 THEN 'Letter' ELSE 'A5' END AS paper_size, " + ", ".join(f"CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = {i} AND o_orderkey % 7 > 2 THEN (o_orderkey % 7 - 2)::DOUBLE ELSE 2.5 END AS {m}" for i, m in enumerate(wr.LAYOUT, 1)) + " FROM orders")
+
+
+def w12_unknown(s, d):
+    r = corpus.runs(s, d)
+    kinds = F.array(F.lit("inline"), F.lit("block"), F.lit("section"), F.lit("cell"))
+    kind = F.element_at(kinds, (c("paragraph_index") % 4 + 1).cast("int"))
+    key = F.when(kind == "block", c("paragraph_id")).when(kind == "section", F.lit("document")).otherwise(F.when(c("doc_id") % 2 == 0, c("run_id")).otherwise("gone"))
+    return wr.unknown_targets(r, r.select("doc_id", F.concat_ws(":", F.lit("target"), kind, key).alias("target_id"), "run_id"))
+
+
+add("w12_unknown_targets", w12_unknown, "SELECT doc_id, 'target:' || CASE paragraph_index % 4 WHEN 0 THEN 'inline' ELSE 'cell' END || ':' || CASE WHEN doc_id % 2 = 0 THEN run_id ELSE 'gone' END AS target_id, run_id, 'E_PATCH_TARGET_NOT_FOUND' AS error FROM runs WHERE paragraph_index % 4 = 3 OR paragraph_index % 4 = 0 AND doc_id % 2 = 1", CTE)
+
+
 def node_table(s, d):
     return corpus.paragraphs(s, d).select("doc_id", c("paragraph_id").alias("path"), F.lit("w:p").alias("tag"), "text", F.create_map(F.lit("role"), "role", F.lit("style"), "style_name").alias("attrs"), "paragraph_index")
 
@@ -475,6 +520,21 @@ add("w13_edit_nodes", w13, """, n AS (SELECT *, (doc_id + paragraph_index) % 5 A
  UNION ALL SELECT doc_id, paragraph_id || '/pPr', 'w:pPr', '', '' FROM n WHERE k = 4""", CTE)
 
 
+def w13_replace(s, d):
+    n = node_table(s, d).drop("paragraph_index")
+    below = n.select("doc_id", F.concat("path", F.lit("/pPr")).alias("path"), F.lit("w:pPr").alias("tag"), F.lit("").alias("text"), F.create_map().cast("map<string,string>").alias("attrs"))
+    xml = F.concat(F.lit('<w:p w:rsidR="'), c("doc_id").cast("string"), F.lit('"><w:r><w:t>new</w:t></w:r></w:p>'))
+    edits = n.filter(F.substring("path", 3, 9).cast("int") % 3 == 0).select("doc_id", "path", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), F.lit("replace_node_xml").alias("type"), F.lit("").alias("name"), xml.alias("xml"))
+    edits = edits.select("doc_id", "path", "seq", "type", "name", F.when(c("seq") == 2, c("xml")).otherwise("<old/>").alias("value"))
+    show = F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
+    return wr.edit_nodes(n.unionByName(below), edits).withColumn("attrs", show)
+
+
+add("w13_replace_nodes", w13_replace, """, n AS (SELECT *, paragraph_index % 3 = 0 AS k FROM paragraphs)
+ SELECT doc_id, paragraph_id AS path, 'w:p' AS tag, CASE WHEN k THEN 'new' ELSE text END AS text, CASE WHEN k THEN 'w:rsidR=' || doc_id ELSE 'role=' || role || '|style=' || style_name END AS attrs FROM n
+ UNION ALL SELECT doc_id, paragraph_id || '/pPr', 'w:pPr', '', '' FROM n WHERE NOT k""", CTE)
+
+
 def w14(s, d):
     defs = styles(s, d).select("doc_id", c("style_id").alias("path"), F.lit("w:style").alias("tag"), F.lit("").alias("text"), F.create_map(F.lit("font"), F.coalesce("font_name", F.lit("-"))).alias("attrs"))
     edits = defs.filter("path IN ('Body', 'Quote')").select("doc_id", "path", F.lit(1).alias("seq"), F.lit("set_attr").alias("type"), F.lit("size").alias("name"), F.lit("12").alias("value"))
