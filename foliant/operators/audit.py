@@ -16,10 +16,11 @@ def event_sequence(events: DataFrame) -> DataFrame:
 
 
 def run_state(events: DataFrame) -> DataFrame:
-    """Last status, first and last time and number of events of each run; a map-side aggregation, no window."""
-    last = F.max(F.struct("ts", "event_id", "event_type"))
+    """Last status and payload, first and last time and number of events of each run; a map-side aggregation, no window."""
+    payload = ["props"] if "props" in events.columns else []
+    last = F.max(F.struct("ts", "event_id", "event_type", *payload))
     out = events.groupBy("run_id").agg(last.alias("x"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n_events"))
-    return out.select("run_id", F.col("x.event_type").alias("status"), "started", "ended", "n_events")
+    return out.select("run_id", F.col("x.event_type").alias("status"), *[F.col(f"x.{p}").alias("payload") for p in payload], "started", "ended", "n_events")
 
 
 def pending_tasks(runs: DataFrame) -> DataFrame:
@@ -30,23 +31,34 @@ def pending_tasks(runs: DataFrame) -> DataFrame:
     return out.filter(F.col("w").isNotNull() & (F.col("done").isNull() | (F.col("done") <= F.col("w.ts")))).select("task_id", F.col("w.run_id").alias("run_id"), F.col("w.ts").alias("waiting_since"))
 
 
-def turn_trace(turns: DataFrame, conv_id: int | None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Turns of one run by turn order, limit 1..200; without a filter nothing."""
+def turn_trace(turns: DataFrame, limit: int = 50, offset: int = 0, run: int | None = None, task: int | None = None, every: bool = False) -> DataFrame:
+    """A page of turns by time and turn order, limit 1..200: of one run, of one task, or of every run its own page.
+
+    Without any of these nothing, as a trace of no run has no turns.
+    """
     limit = min(200, max(1, limit))
-    if conv_id is None:
+    order = [c for c in ("ts", "turn", "role", "text") if c in turns.columns]
+    if every:
+        place = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order))
+        return turns.withColumn("place", place).filter(F.col("place").between(offset + 1, offset + limit)).drop("place")
+    if run is None and task is None:
         return turns.limit(0)
-    return turns.filter(F.col("conv_id") == conv_id).orderBy("turn", "role", "text").offset(offset).limit(limit)
+    own = turns if run is None else turns.filter(F.col("conv_id") == run)
+    own = own if task is None else own.filter(F.col("task_id") == task)
+    return own.orderBy(*order).offset(offset).limit(limit)
 
 
 def session_list(sessions: DataFrame, goals: DataFrame) -> DataFrame:
+    """Sessions with goal and document flag, newest first."""
     out = sessions.join(goals, "session_id", "left")
-    return out.withColumn("has_document", F.col("document").isNotNull()).drop("document")
+    return out.withColumn("has_document", F.col("document").isNotNull()).drop("document").orderBy(F.desc("updated"), "session_id")
 
 
-def session_snapshot(turns: DataFrame) -> DataFrame:
-    """Each session's turns in order as one array; bounded by a session."""
+def session_snapshot(turns: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Each session's turns in order as one array, bounded by a session, beside its goal and document."""
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.groupBy("conv_id").agg(rows.alias("turns"))
+    out = turns.groupBy("conv_id").agg(rows.alias("turns"))
+    return out if sessions is None else out.join(sessions.select("conv_id", "goal", "document"), "conv_id", "left")
 
 
 def latest_by_key(changes: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -107,8 +119,9 @@ def run_outcome(steps: DataFrame, dry_run: bool = False) -> DataFrame:
     return per.select("run_id", F.when(F.col("s").isNull(), "completed").when(undo, "rolled_back").otherwise(F.col("s.stop")).alias("outcome"), "n_done")
 
 
-def retry_stats(steps: DataFrame, most: int = 3) -> DataFrame:
-    return steps.groupBy("op_type").agg(
+def retry_stats(steps: DataFrame, most: int = 3, by: tuple[str, ...] = ("op_type",)) -> DataFrame:
+    """Retries used and exhausted and durations by operation, by step, or by any other columns."""
+    return steps.groupBy(*by).agg(
         F.sum("retries").alias("n_retries"), F.count_if((F.col("retries") >= most) & (F.col("status") == "failed")).alias("n_exhausted"),
         F.round(F.avg("duration_ms"), 4).alias("mean_ms"), F.max("duration_ms").alias("max_ms"),
     )
@@ -128,11 +141,12 @@ def change_summary(steps: DataFrame) -> DataFrame:
     return per.select("run_id", F.concat(head, F.array_join(F.transform("rows", line), "\n")).alias("summary"))
 
 
-def log_digest(lines: DataFrame, last: int = 6, width: int = 160, most: int = 1000) -> DataFrame:
-    """The last lines of each run; lines with a k field as "phase=..", others cut; and the last such phase."""
-    k = F.get_json_object("line", "$.k")
+def log_digest(lines: DataFrame, last: int = 6, width: int = 160, most: int = 1000, phase: str = "k") -> DataFrame:
+    """The last lines of each run, JSON objects as key=value in their own order, others cut; and the last value of the phase key."""
+    keys, k = F.json_object_keys("line"), F.get_json_object("line", f"$.{phase}")
+    pairs = F.array_join(F.transform(keys, lambda x: F.concat(x, F.lit("="), F.coalesce(F.element_at(F.from_json("line", "map<string,string>"), x), F.lit("null")))), " ")
     order = Window.partitionBy("run_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    shown = F.when(k.isNotNull(), F.concat(F.lit("phase="), k)).otherwise(F.substring("line", 1, width))
+    shown = F.when(F.size(keys) > 0, pairs).otherwise(F.substring("line", 1, width))
     top = lines.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= last).withColumn("shown", shown).withColumn("k", k)
     rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "shown")))
     return top.groupBy("run_id").agg(F.substring(F.array_join(F.transform(rows, lambda x: x["shown"]), " | "), 1, most).alias("digest"), F.min_by("k", F.when(F.col("k").isNotNull(), F.col("n"))).alias("phase"))

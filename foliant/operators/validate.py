@@ -6,11 +6,13 @@ A template's rules come as a small table; the matched-paragraph table is built o
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
+from foliant.sources.shared import written
 
 from .classify import _decimal, exact_mean
 
@@ -24,8 +26,8 @@ def register_check(name: str, check: Callable[..., DataFrame]) -> None:
 
 
 def run_checks(matched: DataFrame, context: DataFrame, rules: DataFrame, checks: dict | None = None) -> DataFrame:
-    """The union of all checks. Matches and context are kept once for all of them, in memory or on the executors' disks."""
-    matched, context, out = matched.persist(), context.persist(), None
+    """The union of all checks. Matches and context are written once; each check reads the columns it needs."""
+    matched, context, out = written(matched), written(context), None
     for check in (checks if checks is not None else _CHECKS).values():
         part = check(matched, context, rules).select(*ISSUE)
         out = part if out is None else out.unionByName(part)
@@ -96,12 +98,15 @@ def check_position(matched, context, rules) -> DataFrame:
 
 
 def check_numbering(matched, context, rules, everywhere: tuple[str, ...] = ()) -> DataFrame:
-    """A numbering prefix that matches none of the semantic's patterns (or, without any, the global ones). Body
-    paragraphs only warn."""
-    found = matched.withColumn("prefix", tx.numbering_prefix("text")).filter("prefix IS NOT NULL")
-    known = [(r["semantic_key"], r["numbering"]) for r in rules.select("semantic_key", "numbering").collect()]  # a template's rules
+    """A numbering prefix that matches none of the semantic's patterns (or, without any, the global ones; without
+    these either, all are allowed). Body paragraphs only warn; headings whose rule asks for a level are left out."""
+    known = [tuple(r) for r in rules.select("semantic_key", "numbering", "heading_level").collect()]  # a template's rules
+    levelled = [key for key, _, level in known if level is not None]
+    found = matched.filter(~((F.col("role") == "heading") & F.col("semantic_key").isin(levelled)))
+    # A generator keeps the prefix, a long expression, from being written out again in every condition on it.
+    found = found.withColumn("prefix", F.explode(F.array(tx.numbering_prefix("text")))).filter("prefix IS NOT NULL")
     allowed = F.lit(False)
-    for key, pattern in known:
+    for key, pattern, _ in known:
         patterns = [pattern] if pattern else list(everywhere)
         mine = F.col("semantic_key") == key
         allowed = allowed | (mine & (tx.pattern_match("prefix", patterns) if patterns else F.lit(True)))
@@ -122,12 +127,14 @@ def check_placement(matched, context, rules) -> DataFrame:
     return issue(both.filter(~ok), "placement_rule_violation", ids=F.col("ids"))
 
 
-def check_conflicts(conflicts: DataFrame) -> DataFrame:
-    return issue(conflicts.select("doc_id", "paragraph_id").distinct(), "classification_conflict", F.lit(None).cast("string"), F.col("paragraph_id"))
+def check_conflicts(conflicts: DataFrame, reject: bool = True) -> DataFrame:
+    """One issue per conflicting paragraph, unless the policy lets conflicts pass."""
+    return issue(conflicts.filter(F.lit(reject)).select("doc_id", "paragraph_id").distinct(), "classification_conflict", F.lit(None).cast("string"), F.col("paragraph_id"))
 
 
-def check_unmatched(unmatched: DataFrame) -> DataFrame:
-    return issue(unmatched, "unclassified_paragraph", F.lit(None).cast("string"), F.col("paragraph_id"))
+def check_unmatched(unmatched: DataFrame, reject: bool = True, allowed: bool = False) -> DataFrame:
+    """Unmatched paragraphs where the policy rejects them and the template's global rule does not allow them."""
+    return issue(unmatched.filter(F.lit(reject and not allowed)), "unclassified_paragraph", F.lit(None).cast("string"), F.col("paragraph_id"))
 
 
 def check_ordering(matched, context, rules) -> DataFrame:
@@ -152,10 +159,18 @@ def check_style(matched, context, rules) -> DataFrame:
 
 
 def check_forbidden(matched, context, rules) -> DataFrame:
-    """A paragraph that is also matched by a semantic that its semantic forbids."""
-    bad = rules.filter("forbidden IS NOT NULL").select("semantic_key", F.col("forbidden").alias("other"))
-    also = matched.select("doc_id", "paragraph_id", F.col("semantic_key").alias("other")).distinct()
-    hit = matched.join(F.broadcast(bad), "semantic_key").join(also, ["doc_id", "paragraph_id", "other"])
+    """A paragraph that its semantic forbids: one also matched by the named semantic, or of the named structure.
+
+    A structure is a role, a bucket, heading_level_n or list_item_level_n.
+    """
+    bad = rules.filter("forbidden IS NOT NULL AND forbidden <> semantic_key").select("semantic_key", F.col("forbidden").alias("other"))
+    also = matched.select("doc_id", "paragraph_id", F.col("semantic_key").alias("other")).distinct().withColumn("also", F.lit(True))
+    shape = context.select("doc_id", "paragraph_id", F.array(
+        "role", "bucket", F.when(F.col("role") == "heading", F.concat(F.lit("heading_level_"), F.col("heading_level").cast("string"))),
+        F.when(F.col("role") == "list_item", F.concat(F.lit("list_item_level_"), F.col("list_level").cast("string"))),
+    ).alias("shape"))
+    hit = matched.drop("role").join(F.broadcast(bad), "semantic_key").join(also, ["doc_id", "paragraph_id", "other"], "left").join(shape, ["doc_id", "paragraph_id"], "left")
+    hit = hit.filter(F.coalesce("also", F.lit(False)) | F.coalesce(F.array_contains("shape", F.col("other")), F.lit(False)))
     return issue(hit, "forbidden_semantic_matched", ids=F.col("paragraph_id"))
 
 
@@ -179,17 +194,54 @@ STANDARD = {
 }
 
 
-def contract_issues(semantics: DataFrame, derived: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Quality rules of many templates: blank keys and labels, repeated keys, dangling references, one block per semantic.
+@dataclass(frozen=True)
+class Policy:
+    """What a template enforces."""
+
+    enforce: bool = True
+    reject_conflicts: bool = True
+    reject_unmatched: bool = True
+    allow_unclassified: bool = False
+
+
+def validate(
+    docs: DataFrame, matched: DataFrame, context: DataFrame, rules: DataFrame, conflicts: DataFrame, unmatched: DataFrame,
+    template: DataFrame, evidence: DataFrame, policy: Policy = Policy(),
+) -> tuple[DataFrame, DataFrame]:
+    """All issues of the standard and the registered checks, of conflicts, unmatched paragraphs and seals; and the gate.
+
+    Numbering warnings on body paragraphs are issues of their own code that don't close the gate.
+    """
+    issues = run_checks(matched, context, rules, STANDARD | _CHECKS)
+    for part in (check_conflicts(conflicts, policy.reject_conflicts), check_unmatched(unmatched, policy.reject_unmatched, policy.allow_unclassified), check_seal(template, evidence)):
+        issues = issues.unionByName(part)
+    return issues, validation_gate(docs, issues.filter("error_code <> 'numbering_pattern_warning'"), policy.enforce)
+
+
+SUPPORTED_VERSIONS = ("1.0", "2.0")
+SCOPES = ("paragraph", "run", "document")
 
-    semantics: (template_id, key, label, min_occurs, max_occurs); derived: (template_id, key, parent); blocks: (template_id, key).
+
+def contract_issues(semantics: DataFrame, derived: DataFrame, blocks: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """Quality rules of many templates: blank keys and labels, repeated keys, dangling references, one block per
+    semantic, ranges, scopes outside the enumeration, and, with templates, blank ids and unknown versions.
+
+    semantics: (template_id, key, label, min_occurs, max_occurs); derived: (template_id, key, parent); blocks:
+    (template_id, key[, scope]); templates: (template_id, version).
     """
     row = lambda df, code: df.select("template_id", F.lit(code).alias("error_code"), "key")
     blank = row(semantics.filter("trim(label) = '' OR label IS NULL"), "label_required")
+    keyless = row(semantics.filter("trim(key) = '' OR key IS NULL"), "key_required")
     twice = row(semantics.groupBy("template_id", "key").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_key")
     lost = row(derived.join(semantics.select("template_id", F.col("key").alias("parent")), ["template_id", "parent"], "left_anti"), "dangling_reference")
     count = blocks.groupBy("template_id", "key").agg(F.count("*").alias("n"))
     per = semantics.select("template_id", "key").distinct().join(count, ["template_id", "key"], "left")
     one = row(per.filter("coalesce(n, 0) <> 1"), "operation_block_count")
     span = row(semantics.filter("min_occurs > max_occurs OR min_occurs < 0"), "occurrence_range")
-    return blank.unionByName(twice).unionByName(lost).unionByName(one).unionByName(span)
+    out = blank.unionByName(keyless).unionByName(twice).unionByName(lost).unionByName(one).unionByName(span)
+    if "scope" in blocks.columns:
+        out = out.unionByName(row(blocks.filter(~F.coalesce(F.col("scope").isin(*SCOPES), F.lit(False))), "scope_unknown"))
+    if templates is not None:
+        known = F.coalesce(F.col("version").isin(*SUPPORTED_VERSIONS), F.lit(False))
+        out = out.unionByName(row(templates.filter(~known).withColumn("key", F.col("version")), "version_unsupported"))
+    return out

@@ -136,7 +136,7 @@ def events(s, d):
 
 
 reg("e1_event_sequence", lambda s, d: au.event_sequence(events(s, d)).select("run_id", "event_id", "seq"), "SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS seq FROM events")
-reg("e2_run_state", lambda s, d: au.run_state(events(s, d)), "SELECT user_id AS run_id, arg_max(event_type, (ts, event_id)) AS status, min(ts) AS started, max(ts) AS ended, count(*) AS n_events FROM events GROUP BY ALL")
+reg("e2_run_state", lambda s, d: au.run_state(events(s, d)), "SELECT user_id AS run_id, arg_max(event_type, (ts, event_id)) AS status, max((ts, event_id, props))[3] AS payload, min(ts) AS started, max(ts) AS ended, count(*) AS n_events FROM events GROUP BY ALL")
 
 
 def e3(s, d):
@@ -145,7 +145,7 @@ def e3(s, d):
 
 
 reg("e3_pending_tasks", e3, "WITH t AS (SELECT user_id % 50 AS task_id, max((ts, event_id)) FILTER (event_type = 'click') AS w, max(ts) FILTER (event_type = 'purchase') AS done FROM events GROUP BY ALL) SELECT task_id, w[2] AS run_id, w[1] AS waiting_since FROM t WHERE w IS NOT NULL AND (done IS NULL OR done <= w[1])")
-reg("e4_turn_trace", lambda s, d: au.turn_trace(corpus.table(s, d, "conversations"), 1, 3, 1), "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 1 ORDER BY turn, role, text LIMIT 3 OFFSET 1")
+reg("e4_turn_trace", lambda s, d: au.turn_trace(corpus.table(s, d, "conversations").select("conv_id", "turn", "role", "text"), 3, 1, every=True), "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) WHERE n BETWEEN 2 AND 4")
 
 
 def e5(s, d):
@@ -159,10 +159,12 @@ reg("e5_session_list", e5, "SELECT o_orderkey AS session_id, o_orderdate AS upda
 
 def e6(s, d):
     shown = F.array_join(F.transform("turns", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"], x["text"])), "|")
-    return au.session_snapshot(corpus.table(s, d, "conversations")).select("conv_id", shown.alias("turns"))
+    t = corpus.table(s, d, "conversations")
+    sessions = t.select("conv_id").distinct().filter("conv_id % 3 <> 0").select("conv_id", F.concat(F.lit("goal "), c("conv_id").cast("string")).alias("goal"), F.when(c("conv_id") % 2 == 0, "doc.docx").alias("document"))
+    return au.session_snapshot(t, sessions).select("conv_id", shown.alias("turns"), "goal", "document")
 
 
-reg("e6_session_snapshot", e6, "SELECT conv_id, string_agg(turn || ':' || role || ':' || text, '|' ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id")
+reg("e6_session_snapshot", e6, "SELECT conv_id, string_agg(turn || ':' || role || ':' || text, '|' ORDER BY turn, role, text) AS turns, CASE WHEN conv_id % 3 <> 0 THEN 'goal ' || conv_id END AS goal, CASE WHEN conv_id % 3 <> 0 AND conv_id % 2 = 0 THEN 'doc.docx' END AS document FROM conversations GROUP BY conv_id")
 
 
 def e7(s, d):
@@ -193,10 +195,20 @@ reg("e14_run_outcome", lambda s, d: au.run_outcome(corpus.steps(s, d)), """, a A
  g AS (SELECT a.run_id, f.stop, count(*) FILTER (f.at IS NULL OR n < f.at) AS n_done, count(*) FILTER ((f.at IS NULL OR n < f.at) AND NOT read_only) AS m FROM a JOIN f ON f.run_id = a.run_id GROUP BY ALL)
  SELECT run_id, CASE WHEN stop IS NULL THEN 'completed' WHEN stop = 'failed' AND m > 0 THEN 'rolled_back' ELSE stop END AS outcome, n_done FROM g""", views.STEPS)
 reg("e15_retry_stats", lambda s, d: au.retry_stats(corpus.steps(s, d)), "SELECT op_type, sum(retries)::BIGINT AS n_retries, count(*) FILTER (retries >= 3 AND status = 'failed') AS n_exhausted, round(avg(duration_ms), 4) AS mean_ms, max(duration_ms) AS max_ms FROM steps GROUP BY ALL", views.STEPS)
+reg("e15_retry_stats_by_step", lambda s, d: au.retry_stats(corpus.steps(s, d), by=("run_id", "step_id", "op_type")), "SELECT run_id, step_id, op_type, sum(retries)::BIGINT AS n_retries, count(*) FILTER (retries >= 3 AND status = 'failed') AS n_exhausted, round(avg(duration_ms), 4) AS mean_ms, max(duration_ms) AS max_ms FROM steps GROUP BY ALL", views.STEPS)
 reg("e16_confirmation_needed", lambda s, d: au.needs_confirmation(corpus.steps(s, d)).select("run_id", "step_id", "op_type"), "SELECT run_id, step_id, op_type FROM steps WHERE NOT read_only AND op_type IN ('merge_paragraph', 'split_paragraph')", views.STEPS)
 reg("e17_change_summary", lambda s, d: au.change_summary(corpus.steps(s, d)), "SELECT run_id, 'ChangeSet(' || run_id || ') ' || CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'rolled back' ELSE 'committed' END || ', total=' || count(*) || chr(10) || string_agg('- ' || step_id || ': ' || op_type || ' x' || n_targets, chr(10) ORDER BY ts, step_id) AS summary FROM steps WHERE NOT read_only GROUP BY run_id", views.STEPS)
-reg("e18_log_digest", lambda s, d: au.log_digest(corpus.table(s, d, "events").select(c("user_id").alias("run_id"), "ts", "event_id", F.when(c("event_id") % 2 == 0, c("props")).otherwise(c("event_type")).alias("line"))), """WITH l AS (SELECT user_id AS run_id, CASE WHEN event_id % 2 = 0 THEN props ELSE event_type END AS line, CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k') END AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
- SELECT run_id, substr(string_agg(CASE WHEN k IS NOT NULL THEN 'phase=' || k ELSE substr(line, 1, 160) END, ' | ' ORDER BY n DESC), 1, 1000) AS digest, arg_min(k, n) FILTER (k IS NOT NULL) AS phase FROM l WHERE n <= 6 GROUP BY run_id""")
+_JSON_LINE = F.concat(F.lit('{"phase": "'), "event_type", F.lit('", '), F.substring("props", F.lit(2), F.length("props")))
+
+
+def e18(s, d):
+    lines = corpus.table(s, d, "events").select(c("user_id").alias("run_id"), "ts", "event_id", F.when(c("event_id") % 2 == 0, _JSON_LINE).otherwise(c("event_type")).alias("line"))
+    return au.log_digest(lines, phase="phase")
+
+
+reg("e18_log_digest", e18, """WITH l AS (SELECT user_id AS run_id, CASE WHEN event_id % 2 = 0 THEN 'phase=' || event_type || ' k=' || json_extract_string(props, '$.k') ELSE event_type END AS line,
+  CASE WHEN event_id % 2 = 0 THEN event_type END AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+ SELECT run_id, substr(string_agg(line, ' | ' ORDER BY n DESC), 1, 1000) AS digest, arg_min(k, n) FILTER (k IS NOT NULL) AS phase FROM l WHERE n <= 6 GROUP BY run_id""")
 DECISIONS = ['{"mode":"Chat","goal":"hi"}', '{"mode":"execute","goal":" bold ","requires_document":"true"}', '{"mode":"fly","goal":"x"}', '{"mode":"inspect","goal":""}', '{"mode":"chat","goal":"x","needsClarification":true}', '{"mode":"chat","goal":"x","clarification_reason":"which"}', '{"mode":"execute","goal":"x","needs_clarification":"1","clarificationReason":"y"}', '{"mode":"execute","goal":"x","requiresDocument":"perhaps"}']
 _EXPECT = [("chat", "hi", False, False, None), ("execute", "bold", True, False, None), ("fly", "x", True, False, "mode"), ("inspect", "", True, False, "goal"), ("chat", "x", False, True, "clarification_reason"), ("chat", "x", False, True, None), ("execute", "x", True, True, "clarification_mode"), ("execute", "x", True, False, "requiresDocument")]
 _row = lambda i, r: "(" + ", ".join([str(i), *("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in r)]) + ")"
@@ -234,8 +246,20 @@ def with_state_store(s, run):
 
 
 _STATE = "CASE {0} WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'waiting' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"
-reg("r4_stream_turn_state", lambda s, d: with_state_store(s, lambda: last_state(ev.available(ev.stream_turn_state(stream(s, d)), "update"), "run_id")), f"SELECT user_id AS run_id, {_STATE.format('arg_max(event_type, (ts, event_id))')} AS status, count(*) AS steps FROM events GROUP BY ALL")
-reg("r5_stream_deadline", lambda s, d: with_state_store(s, lambda: ev.available(ev.stream_deadline(stream(s, d), 24 * 3600 * 1000), "update").drop("_batch").distinct()))
+reg("r4_stream_turn_state", lambda s, d: with_state_store(s, lambda: last_state(ev.available(ev.stream_turn_state(stream(s, d)), "update").withColumn("steps", F.array_join("steps", "|")), "run_id")), f"SELECT user_id AS run_id, {_STATE.format('arg_max(event_type, (ts, event_id))')} AS status, array_to_string(list_sort(list(event_id)), '|') AS steps FROM events GROUP BY ALL")
+
+
+def r5(s, d):
+    """Every run's last row: its state, or timed_out where it stays open for a day of event time before the watermark."""
+    rows = with_state_store(s, lambda: ev.available(ev.stream_deadline(stream(s, d), DAY_MS), "update"))
+    return rows.filter("status = 'timed_out'").select("run_id", "status", F.array_join("steps", "|").alias("steps"))
+
+
+DAY_MS = 24 * 3600 * 1000
+# The watermark ends an hour before the newest event; an open run whose last event is a day older than that is timed out.
+reg("r5_stream_deadline", r5, f""", last AS (SELECT user_id AS run_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS kind, array_to_string(list_sort(list(event_id)), '|') AS steps FROM events GROUP BY ALL),
+ mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS ts FROM events)
+ SELECT run_id, 'timed_out' AS status, steps FROM last WHERE kind NOT IN ('purchase', 'error') AND epoch_ms(ts) + {DAY_MS} <= (SELECT epoch_ms(ts) FROM mark)""".replace(", last", "WITH last", 1))
 
 
 def r6(s, d):
@@ -244,8 +268,7 @@ def r6(s, d):
     folder = f"{ev.shared_folder(s)}/latest-{uuid.uuid4().hex}"
     q = ev.stream_latest(stream(s, d), folder, f"{folder}-checkpoint", "user_id", ["ts", "event_id"]).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return s.read.parquet(f"{folder}/v{last}").select("user_id", "event_id", "event_type")
+    return ev.latest_table(s, folder).select("user_id", "event_id", "event_type")
 
 
 reg("r6_stream_latest", r6, "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")

@@ -23,8 +23,8 @@ K = lambda: c("doc_id") + c("paragraph_index")
 RULES = [
     ("title", 0, True, False, 1, 1, "", "stupid", "near_top", "^[一二三四五六七八九十]+、", "before", "body", None, None, False, False, None, "list"),
     ("heading", 1, False, True, 0, 12, "the", "", "none", "^[0-9]+(\\.[0-9]+)*$", None, None, "heading", False, False, False, 2, None),
-    ("body", 2, True, True, 2, 400, "and", "", "none", "", "after", "title", "body", False, False, False, None, None),
-    ("list", 3, False, True, 0, 9, "of", "thon", "none", "^[(（][0-9]+[)）]", None, None, "list_item", None, False, False, None, None),
+    ("body", 2, True, True, 2, 400, "and", "", "none", "", "after", "title", "body", False, False, False, None, "table_text"),
+    ("list", 3, False, True, 0, 9, "of", "thon", "none", "^[(（][0-9]+[)）]", None, None, "list_item", None, False, False, None, "list_item_level_2"),
     ("cover_image", 4, False, False, 0, 1, "", "", "first_non_blank", "", "immediately_before", "heading", None, None, True, True, None, None),
     ("seal", 5, True, False, 0, 1, "", "", "first_paragraph", "", None, None, None, True, True, True, None, None),
 ]
@@ -197,13 +197,15 @@ CHECK_SQL = {
     "v4_occurrence": (va.check_occurrence, "SELECT x.doc_id, CASE WHEN coalesce(n, 0) < min_occurs THEN 'occurrence_below_min' ELSE 'occurrence_above_max' END AS error_code, r.semantic_key, coalesce(ids, '') AS paragraph_ids FROM (SELECT DISTINCT doc_id FROM paragraphs) x CROSS JOIN rules r LEFT JOIN per p ON p.doc_id = x.doc_id AND p.semantic_key = r.semantic_key WHERE coalesce(n, 0) < min_occurs OR coalesce(n, 0) > max_occurs"),
     "v5_negative_example": (va.check_negative, "SELECT doc_id, 'negative_example_matched' AS error_code, semantic_key, paragraph_id AS paragraph_ids FROM matched JOIN rules USING (semantic_key) WHERE negative <> '' AND contains(lower(text), lower(negative))"),
     "v6_text_hint_missing": (va.check_text_hints, "SELECT doc_id, 'text_hint_missing' AS error_code, semantic_key, string_agg(paragraph_id, '|' ORDER BY paragraph_index) AS paragraph_ids FROM matched JOIN rules USING (semantic_key) WHERE hint <> '' GROUP BY doc_id, semantic_key HAVING NOT bool_or(contains(lower(text), lower(hint)))"),
-    "v8_numbering_pattern": (va.check_numbering, f"SELECT doc_id, CASE WHEN m.role = 'body' THEN 'numbering_pattern_warning' ELSE 'numbering_pattern_not_allowed' END AS error_code, semantic_key, paragraph_id AS paragraph_ids FROM (SELECT *, {PREFIX_SQL} AS prefix FROM matched) m JOIN rules r USING (semantic_key) WHERE prefix IS NOT NULL AND numbering <> '' AND NOT regexp_matches(prefix, numbering)"),
+    "v8_numbering_pattern": (va.check_numbering, f"SELECT doc_id, CASE WHEN m.role = 'body' THEN 'numbering_pattern_warning' ELSE 'numbering_pattern_not_allowed' END AS error_code, semantic_key, paragraph_id AS paragraph_ids FROM (SELECT *, {PREFIX_SQL} AS prefix FROM matched) m JOIN rules r USING (semantic_key) WHERE prefix IS NOT NULL AND numbering <> '' AND NOT regexp_matches(prefix, numbering) AND NOT (m.role = 'heading' AND r.heading_level IS NOT NULL)"),
     "v9_placement": (va.check_placement, "SELECT p.doc_id, 'placement_rule_violation' AS error_code, p.semantic_key, p.ids AS paragraph_ids FROM per p JOIN rules r USING (semantic_key) JOIN per o ON o.doc_id = p.doc_id AND o.semantic_key = r.other WHERE NOT CASE placement WHEN 'before' THEN p.last < o.first WHEN 'after' THEN p.first > o.last WHEN 'immediately_before' THEN p.last + 1 = o.first ELSE p.first - 1 = o.last END"),
     "v12_ordering": (va.check_ordering, "SELECT doc_id, 'semantic_order_violation' AS error_code, semantic_key, ids AS paragraph_ids FROM (SELECT p.*, lag(first) OVER (PARTITION BY doc_id ORDER BY rank) AS bef FROM per p JOIN rules USING (semantic_key)) WHERE first < bef"),
     "v13_style_violation": (va.check_style, """SELECT * FROM (SELECT m.doc_id, CASE WHEN r.allow_empty AND NOT r.require_image AND (trim(m.text) = '' OR x.bucket = 'unknown') THEN NULL WHEN r.require_image AND NOT x.has_image THEN 'style_require_image' WHEN NOT r.allow_empty AND NOT r.require_image AND trim(m.text) = '' THEN 'style_empty'
  WHEN r.role <> m.role THEN 'style_role' WHEN r.in_table <> x.in_table THEN 'style_in_table' WHEN r.heading_level IS NOT NULL AND r.heading_level IS DISTINCT FROM x.heading_level THEN 'style_heading_level' END AS error_code, m.semantic_key, m.paragraph_id AS paragraph_ids
  FROM matched m JOIN context x ON x.doc_id = m.doc_id AND x.paragraph_id = m.paragraph_id JOIN rules r ON r.semantic_key = m.semantic_key) WHERE error_code IS NOT NULL"""),
-    "v14_forbidden_match": (va.check_forbidden, "SELECT m.doc_id, 'forbidden_semantic_matched' AS error_code, m.semantic_key, m.paragraph_id AS paragraph_ids FROM matched m JOIN rules r USING (semantic_key) JOIN (SELECT DISTINCT doc_id, paragraph_id, semantic_key FROM matched) o ON o.doc_id = m.doc_id AND o.paragraph_id = m.paragraph_id AND o.semantic_key = r.forbidden"),
+    "v14_forbidden_match": (va.check_forbidden, """SELECT m.doc_id, 'forbidden_semantic_matched' AS error_code, m.semantic_key, m.paragraph_id AS paragraph_ids FROM matched m JOIN rules r USING (semantic_key) JOIN context x ON x.doc_id = m.doc_id AND x.paragraph_id = m.paragraph_id
+ WHERE r.forbidden IN (x.role, x.bucket) OR x.role = 'heading' AND r.forbidden = 'heading_level_' || x.heading_level OR x.role = 'list_item' AND r.forbidden = 'list_item_level_' || x.list_level
+ OR EXISTS (SELECT 1 FROM matched o WHERE o.doc_id = m.doc_id AND o.paragraph_id = m.paragraph_id AND o.semantic_key = r.forbidden AND r.forbidden <> m.semantic_key)"""),
 }
 for _name, (_fn, _sql) in CHECK_SQL.items():
     check(_name, _fn, _sql)
@@ -225,25 +227,36 @@ def contracts(s, d):
     p = corpus.table(s, d, "part")
     sem = p.select((c("p_partkey") % 97).alias("template_id"), F.concat(F.lit("k"), (c("p_partkey") % 11).cast("string")).alias("key"), F.when(c("p_partkey") % 5 != 0, c("p_name")).alias("label"), F.when(c("p_partkey") % 7 == 0, 3).otherwise(1).alias("min_occurs"), F.lit(2).alias("max_occurs"))
     der = p.select((c("p_partkey") % 97).alias("template_id"), F.concat(F.lit("d"), (c("p_partkey") % 13).cast("string")).alias("key"), F.concat(F.lit("k"), (c("p_partkey") % 17).cast("string")).alias("parent"))
-    blocks = p.filter(c("p_partkey") % 3 != 0).select((c("p_partkey") % 97).alias("template_id"), F.concat(F.lit("k"), (c("p_partkey") % 11).cast("string")).alias("key"))
-    return sem, der, blocks
+    scope = F.when(c("p_partkey") % 4 == 0, "paragraph").when(c("p_partkey") % 4 == 1, "run").when(c("p_partkey") % 4 == 2, "galaxy")
+    blocks = p.filter(c("p_partkey") % 3 != 0).select((c("p_partkey") % 97).alias("template_id"), F.concat(F.lit("k"), (c("p_partkey") % 11).cast("string")).alias("key"), scope.alias("scope"))
+    templates = p.select((c("p_partkey") % 97).alias("template_id")).distinct().withColumn("version", F.when(c("template_id") % 3 == 0, "2.0").when(c("template_id") % 3 == 1, "9.9"))
+    return sem, der, blocks, templates
 
 
 QUERIES["v16_contract_issues"] = lambda s, d: va.contract_issues(*contracts(s, d))
 SQL["v16_contract_issues"] = """WITH sem AS (SELECT p_partkey % 97 AS template_id, 'k' || p_partkey % 11 AS key, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS label, CASE WHEN p_partkey % 7 = 0 THEN 3 ELSE 1 END AS lo FROM part),
- der AS (SELECT p_partkey % 97 AS template_id, 'd' || p_partkey % 13 AS key, 'k' || p_partkey % 17 AS parent FROM part), blk AS (SELECT p_partkey % 97 AS template_id, 'k' || p_partkey % 11 AS key FROM part WHERE p_partkey % 3 <> 0)
+ der AS (SELECT p_partkey % 97 AS template_id, 'd' || p_partkey % 13 AS key, 'k' || p_partkey % 17 AS parent FROM part), blk AS (SELECT p_partkey % 97 AS template_id, 'k' || p_partkey % 11 AS key, p_partkey % 4 AS scope FROM part WHERE p_partkey % 3 <> 0)
  SELECT template_id, 'label_required' AS error_code, key FROM sem WHERE label IS NULL OR trim(label) = '' UNION ALL SELECT template_id, 'duplicate_key', key FROM sem GROUP BY ALL HAVING count(*) > 1
  UNION ALL SELECT template_id, 'dangling_reference', key FROM der x WHERE NOT EXISTS (SELECT 1 FROM sem s WHERE s.template_id = x.template_id AND s.key = x.parent)
- UNION ALL SELECT template_id, 'operation_block_count', key FROM (SELECT DISTINCT template_id, key FROM sem) x WHERE (SELECT count(*) FROM blk b WHERE b.template_id = x.template_id AND b.key = x.key) <> 1 UNION ALL SELECT template_id, 'occurrence_range', key FROM sem WHERE lo > 2"""
-ALL_ISSUES = PER + POSITION + ", issues AS (" + " UNION ALL ".join(f"SELECT doc_id, error_code, semantic_key, paragraph_ids FROM ({sql})" for _, sql in CHECK_SQL.values()) + f" UNION ALL SELECT doc_id, error_code, semantic_key, paragraph_ids FROM ({V7}))"
+ UNION ALL SELECT template_id, 'operation_block_count', key FROM (SELECT DISTINCT template_id, key FROM sem) x WHERE (SELECT count(*) FROM blk b WHERE b.template_id = x.template_id AND b.key = x.key) <> 1 UNION ALL SELECT template_id, 'occurrence_range', key FROM sem WHERE lo > 2
+ UNION ALL SELECT template_id, 'scope_unknown', key FROM blk WHERE scope > 1
+ UNION ALL SELECT DISTINCT template_id, 'version_unsupported', CASE WHEN template_id % 3 = 1 THEN '9.9' END FROM sem WHERE template_id % 3 <> 0"""
+V10 = f"SELECT DISTINCT doc_id, 'classification_conflict' AS error_code, {NONE}, paragraph_id AS paragraph_ids FROM conflicts"
+V11 = f"SELECT doc_id, 'unclassified_paragraph' AS error_code, {NONE}, paragraph_id AS paragraph_ids FROM none_matched"
+V15 = f"SELECT doc_id, 'seal_evidence_missing' AS error_code, {NONE}, '' AS paragraph_ids FROM paragraphs GROUP BY doc_id HAVING sum(n_images) = 0"
+_part = lambda sql: f"SELECT doc_id, error_code, semantic_key, paragraph_ids FROM ({sql})"
+ALL_ISSUES = FALLBACK + PER + POSITION + ", issues AS (" + " UNION ALL ".join(map(_part, [*(sql for _, sql in CHECK_SQL.values()), V7, V10, V11, V15])) + ")"
 
 
-def all_issues(s, d):
-    ctx = context(s, d).drop("position")
-    return va.run_checks(matched(s, d), ctx, rules(s), va.STANDARD)
+def gate(s, d, policy):
+    template = cl.rules_table(s, [("official letter with seal",)], "text STRING")
+    return va.validate(corpus.table(s, d, "documents"), matched(s, d), context(s, d).drop("position"), rules(s), conflicts(s, d), none_matched(s, d), template, ops.evidence_summary(context(s, d)), policy)
 
 
-reg("v0_validation_gate", lambda s, d: va.validation_gate(corpus.table(s, d, "documents"), all_issues(s, d), True), ALL_ISSUES + " SELECT d.doc_id, coalesce(n, 0) AS n_issues, coalesce(n, 0) = 0 AS passed FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM issues GROUP BY ALL) USING (doc_id)", True)
+GATE = " SELECT d.doc_id, coalesce(n, 0) AS n_issues, coalesce(n, 0) = 0 AS passed FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM issues WHERE {} GROUP BY ALL) USING (doc_id)"
+_COUNTS = "error_code <> 'numbering_pattern_warning'"
+reg("v0_validation_gate", lambda s, d: gate(s, d, va.Policy())[1], ALL_ISSUES + GATE.format(_COUNTS), True)
+reg("v0_lenient_gate", lambda s, d: gate(s, d, va.Policy(reject_conflicts=False, allow_unclassified=True))[1], ALL_ISSUES + GATE.format(_COUNTS + " AND error_code NOT IN ('classification_conflict', 'unclassified_paragraph')"), True)
 
 
 def u3(s, d):

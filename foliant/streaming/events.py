@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from foliant.sources.shared import exists, shared_folder
+
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 TERMINAL = ("purchase", "error")
 
@@ -31,23 +33,26 @@ def stream_step_summary(events: DataFrame) -> DataFrame:
 
 
 class TurnState(StatefulProcessor):
-    """State of each run: queued, running, waiting, completed, failed; or timed out past its deadline in event time."""
+    """State of each run: queued, running, waiting, completed, failed; or timed out past its deadline in event time.
+
+    The state holds the ids of the run's steps, as many as the run has.
+    """
 
     def __init__(self, budget_ms: int | None = None):
         self.budget_ms = budget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status STRING, steps BIGINT, last_ms BIGINT, last_id BIGINT")
+        self.state = handle.getValueState("state", "status STRING, steps ARRAY<BIGINT>, last_ms BIGINT, last_id BIGINT")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        status, steps, last = "queued", 0, (-1, -1)
+        status, steps, last = "queued", [], (-1, -1)
         if self.state.exists():
-            status, steps, *at = self.state.get()
-            last = tuple(at)
+            status, held, *at = self.state.get()
+            steps, last = list(held), tuple(at)
         for pdf in rows:
             for ts, event_id, kind in zip(pdf["ts"], pdf["event_id"], pdf["event_type"]):
-                steps += 1
+                steps.append(int(event_id))
                 now = (int(ts.timestamp() * 1000), int(event_id))
                 if now > last:
                     last, status = now, turn_status(kind)
@@ -57,12 +62,12 @@ class TurnState(StatefulProcessor):
             if status not in ("completed", "failed"):
                 self.handle.registerTimer(last[0] + self.budget_ms)
         self.state.update((status, steps, last[0], last[1]))
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "steps": [steps]})
+        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "steps": [sorted(steps)]})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         status, steps, *_ = self.state.get()
         self.state.clear()
-        yield pd.DataFrame({"run_id": [key[0]], "status": ["timed_out"], "steps": [steps]})
+        yield pd.DataFrame({"run_id": [key[0]], "status": ["timed_out"], "steps": [sorted(steps)]})
 
     def close(self) -> None:
         pass
@@ -72,7 +77,7 @@ def turn_status(kind: str) -> str:
     return {"signup": "queued", "view": "running", "click": "waiting", "purchase": "completed", "error": "failed"}.get(kind, "running")
 
 
-TURN_STATE = "run_id BIGINT, status STRING, steps BIGINT"
+TURN_STATE = "run_id BIGINT, status STRING, steps ARRAY<BIGINT>"
 
 
 def stream_turn_state(events: DataFrame) -> DataFrame:
@@ -94,24 +99,34 @@ def merge_latest(batch: DataFrame, current: DataFrame | None, key: str, order: l
 
 
 def stream_latest(changes: DataFrame, path: str, checkpoint: str, key: str, order: list[str], buckets: int = 16):
-    """Keep a keyed table at path: each micro-batch rewrites the key buckets that it touches. Returns the query.
+    """Keep a keyed table at path, partitioned by bucket of the key: each micro-batch rewrites the buckets it touches.
 
-    Versions are numbered by batch, so a batch that is run again writes the same folder.
+    The merged rows of the touched buckets are written beside the table first, under the batch's number, and then put
+    in its place, so a batch that is run again finds them and loses nothing. Returns the query's writer.
     """
-    from pyspark.sql.utils import AnalysisException
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            current = spark.read.parquet(f"{path}/v{batch_id - 1}") if batch_id else None
-        except AnalysisException:
+        table, merged = f"{path}/table", f"{path}/merged/{batch_id}"
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        if not exists(spark, f"{merged}/_SUCCESS"):
             current = None
-        merged = merge_latest(batch, current, key, order)
-        merged.repartition(buckets, key).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+            if exists(spark, table):
+                touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # buckets at most
+                current = spark.read.schema(rows.schema).parquet(table).filter(F.col("bucket").isin(touched))
+            elif batch_id:
+                raise RuntimeError(f"{table} is gone, but batches before {batch_id} wrote it")
+            merge_latest(rows, current, key, order).repartition(buckets, "bucket").write.mode("overwrite").parquet(merged)
+        new = spark.read.schema(rows.schema).parquet(merged)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
+def latest_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/table").drop("bucket")
+
+
 def stream_warnings(paragraphs: DataFrame, rules: DataFrame) -> DataFrame:
     """Numbering warnings on arriving paragraphs, stateless; rules: (role, code), a template's few rows."""
     from foliant.functions.text import numbering_prefix
@@ -137,9 +152,3 @@ def available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{rows}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").parquet(rows)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")

@@ -12,6 +12,7 @@ from foliant.operators import package as pk
 from foliant.operators import select as sel
 from foliant.operators import structure as ops
 from foliant.operators import write as wr
+from foliant.sources import packages as pg
 from foliant.streaming import events as ev
 
 
@@ -91,11 +92,72 @@ def test_style_cycle(spark):
 
 def test_scan_packages(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "one.docx", "w") as z:
-        for name in ("word/document.xml", "word/header1.xml", "word/_rels/document.xml.rels", "word/media/a.png"):
+        for name in ("word/header1.xml", "word/document.xml", "word/_rels/document.xml.rels", "word/media/a.png"):
             z.writestr(name, "<x/>")
     (tmp_path / "bad.docx").write_bytes(b"no zip")
-    got = {r["part_path"]: r["kind"] for r in pk.scan_docx_corpus(spark, str(tmp_path)).collect()}
-    assert got == {"word/document.xml": "main_document", "word/header1.xml": "header", "word/media/a.png": "media"}
+    rows = pk.scan_docx_corpus(spark, str(tmp_path)).orderBy("doc_id", "part_order").collect()
+    assert [(r["doc_id"], r["part_path"], r["kind"]) for r in rows] == [("bad", None, None), ("one", "word/document.xml", "main_document"), ("one", "word/header1.xml", "header"), ("one", "word/media/a.png", "media")]
+    assert rows[0]["error"].startswith("BadZipFile") and rows[1]["error"] is None
+
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+
+
+def test_read_document(spark, tmp_path):
+    """A package with styles, numbering, a nested table, a formula, notes and broken XML, read to resolved runs."""
+    parts = {
+        "[Content_Types].xml": '<Types><Default Extension="XML" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="main+xml"/></Types>',
+        "word/document.xml": f"""<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="H"/></w:pPr><w:r><w:t>Ti</w:t></w:r><w:r/><w:r><w:t>tle</w:t></w:r></w:p>
+ <w:p><w:pPr><w:pStyle w:val="B"/><w:jc w:val="center"/><w:spacing w:line="400" w:lineRule="exact"/><w:numPr><w:ilvl w:val="1"/><w:numId w:val="7"/></w:numPr></w:pPr>
+ <w:r><w:rPr><w:rStyle w:val="C"/><w:b/><w:i w:val="0"/><w:strike/><w:u w:val="none"/><w:highlight w:val="yellow"/></w:rPr><w:t>a</w:t><w:t> &amp; b</w:t></w:r>
+ <w:r><m:oMath><m:r><m:t>x</m:t></m:r></m:oMath></w:r><w:r><w:drawing/></w:r></w:p>
+ <w:tbl><w:tr><w:tc><w:p/></w:tc><w:tc><w:tbl><w:tr><w:tc><w:p><w:r><w:t>deep</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:tc></w:tr></w:tbl>
+ <w:sectPr><w:headerReference w:type="default" r:id="h1" xmlns:r="x"/><w:footerReference w:type="default" r:id="gone" xmlns:r="x"/></w:sectPr></w:body></w:document>""",
+        "word/_rels/document.xml.rels": '<Relationships><Relationship Id="h1" Type="header" Target="header1.xml"/><Relationship Id="up" Type="x" Target="../a/./b.xml"/><Relationship Id="" Type="x" Target="y"/></Relationships>',
+        "word/header1.xml": f"<w:hdr {W}><w:p><w:r><w:t>top</w:t></w:r></w:p></w:hdr>",
+        "word/footnotes.xml": f'<w:footnotes {W}><w:footnote w:id="2"><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote></w:footnotes>',
+        "word/styles.xml": f"""<w:styles {W}><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Base" w:eastAsia="East"/><w:sz w:val="24"/></w:rPr></w:rPrDefault></w:docDefaults>
+ <w:style w:type="paragraph" w:styleId="Normal" w:default="1"><w:pPr><w:jc w:val="left"/></w:pPr></w:style><w:style w:type="paragraph" w:styleId="B"><w:name w:val="Body"/><w:basedOn w:val="Normal"/><w:rPr><w:sz w:val="20"/><w:color w:val="00aa00"/></w:rPr></w:style>
+ <w:style w:type="paragraph" w:styleId="H"><w:basedOn w:val="B"/></w:style><w:style w:type="character" w:styleId="C"><w:rPr><w:rFonts w:hAnsi="Mono"/></w:rPr></w:style></w:styles>""",
+        "word/numbering.xml": f'<w:numbering {W}><w:abstractNum w:abstractNumId="4"><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="7"><w:abstractNumId w:val="4"/></w:num><w:num w:numId="8"/></w:numbering>',
+        "docProps/core.xml": "<c><creator>Ada</creator><revision> 9 </revision></c>",
+        "word/endnotes.xml": "<broken",
+    }
+    with zipfile.ZipFile(tmp_path / "one.docx", "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+    found = pg.package_parts(pg.read_packages(spark, str(tmp_path))).cache()
+    nodes = pg.xml_nodes(found).cache()
+    assert [r["part_path"] for r in nodes.filter("tag = '#error'").collect()] == ["word/endnotes.xml"]
+    p = {r["paragraph_index"]: r for r in pg.document_paragraphs(nodes, found).collect()}
+    assert [p[i]["text"] for i in range(6)] == ["Title", "a & bx", "", "deep", "top", "note"]  # a formula's text counts
+    assert (p[1]["style_id"], p[1]["alignment"], p[1]["num_id"], p[1]["num_ilvl"], p[1]["n_images"], p[1]["n_formulas"]) == ("B", "center", "7", "1", 1, 1)
+    assert (p[1]["line_spacing"]["mode"], p[1]["line_spacing"]["value"]) == ("exact", 20.0)
+    assert p[3]["in_table"] and p[3]["anchor"] == "/document/body/tbl[0]/tr[0]/tc[1]/tbl[0]/tr[0]/tc[0]/p[0]" and not p[0]["in_table"]
+    cells = {r["paragraph_index"]: (r["depth"], r["cell"]) for r in pg.document_cells(nodes, found).collect()}
+    assert cells == {2: (1, "tb_0/tr_0/tc_0"), 3: (2, "tb_0/tr_0/tc_1/tb_0/tr_0/tc_0")}
+    runs = pg.document_runs(nodes, found).cache()
+    assert {r["run_id"] for r in runs.collect()} == {"p_0_r_0", "p_0_r_2", "p_1_r_0", "p_3_r_0", "p_4_r_0", "p_5_r_0", "p_1_r_1"}
+    direct = ops.run_properties(runs, ("doc_id", "run_id", "char_style")).join(pg.document_paragraphs(nodes, found).join(runs.select("run_id", "paragraph_index"), "paragraph_index").select("run_id", F.col("style_id").alias("para_style"), "alignment", "line_spacing"), "run_id")
+    raw = pg.style_rows(nodes, found)
+    base = ops.run_properties(pg.default_rows(nodes, found), ("doc_id",))
+    names = ("font_name", "font_size_pt", "font_color", "is_bold")
+    styles = ops.resolve_styles(ops.run_properties(raw, ("doc_id", "style_id", "based_on", "alignment")), base.withColumn("alignment", F.lit(None).cast("string")), (*names, "alignment"))
+    constants = {"font_name": "Times", "font_size_pt": 10.0, "font_color": "000000", "is_bold": False, "alignment": "left"}
+    got = {r["run_id"]: r for r in ops.resolve_run_style(direct, styles, base, constants, names, ("alignment",)).collect()}
+    assert tuple(got["p_0_r_0"][n] for n in (*names, "alignment")) == ("East", 10.0, "00AA00", False, "left")
+    # A character style that is not based on another one starts from the document's defaults.
+    assert tuple(got["p_1_r_0"][n] for n in (*names, "alignment")) == ("Mono", 12.0, "00AA00", True, "center") and got["p_1_r_0"]["line_spacing"]["value"] == 20.0
+    one = next(r for r in ops.run_properties(runs, ("run_id",)).collect() if r["run_id"] == "p_1_r_0")
+    assert (one["is_italic"], one["is_strike"], one["is_underline"], one["highlight_color"]) == (False, True, False, "yellow")
+    edges = pk.relationship_edges(pg.relationship_rows(nodes))
+    assert {r["target"] for r in edges.collect()} == {"word/header1.xml", "a/b.xml"}
+    assert [(r["kind"], r["part_path"]) for r in pk.header_footer_bindings(pg.section_rows(nodes), edges).collect()] == [("header", "word/header1.xml")]
+    levels = {r["num_id"]: [(x["ilvl"], x["num_fmt"]) for x in r["levels"]] for r in ops.numbering_projection(*pg.numbering_rows(nodes)).collect()}
+    assert levels == {"7": [(0, "decimal"), (1, "bullet")], "8": []}
+    assert tuple(pk.core_properties(pg.property_rows(nodes)).first())[1:] == ("Ada", None, None, None, "9")
+    kinds = {r["part_path"]: r["content_type"] for r in pk.resolve_content_types(found.select("doc_id", "part_path"), *pg.content_type_rows(nodes)).collect()}
+    assert kinds["word/document.xml"] == "main+xml" and kinds["word/styles.xml"] == "application/xml"
 
 
 def test_load_templates(spark, tmp_path):
