@@ -26,10 +26,17 @@ def atomic_plan(matched: DataFrame, blocks: list[str], derived: list[dict]) -> D
 
 
 def block_operations(blocks: DataFrame) -> DataFrame:
-    """Style groups of a block to operation rows; unset values give none. blocks: block, font_name, font_size_pt, space_before_pt, space_after_pt."""
-    one = lambda kind, attribute: F.struct(F.lit(kind).alias("op"), F.lit(attribute).alias("attribute"), F.col(attribute).cast("string").alias("value"))
-    rows = F.array(one("set_font", "font_name"), one("set_size", "font_size_pt"), one("set_space_before", "space_before_pt"), one("set_space_after", "space_after_pt"))
-    return blocks.select("block", F.explode(rows).alias("x")).select("block", "x.*").filter("value IS NOT NULL")
+    """Style groups of a block to operation rows; unset values give none.
+
+    blocks: block, font_name, font_size_pt, space_before_pt, space_after_pt and, if there, first_line_indent_chars; an
+    indent keeps the block's font size as the size of its characters.
+    """
+    one = lambda kind, attribute, hint=F.lit(None): F.struct(F.lit(kind).alias("op"), F.lit(attribute).alias("attribute"), F.col(attribute).cast("string").alias("value"), hint.cast("double").alias("size_hint_pt"))
+    rows = [one("set_font", "font_name"), one("set_size", "font_size_pt"), one("set_space_before", "space_before_pt"), one("set_space_after", "space_after_pt")]
+    indents = "first_line_indent_chars" in blocks.columns
+    rows += [one("set_paragraph_indent", "first_line_indent_chars", F.col("font_size_pt"))] if indents else []
+    out = blocks.select("block", F.explode(F.array(*rows)).alias("x")).select("block", "x.*").filter("value IS NOT NULL")
+    return out if indents else out.drop("size_hint_pt")
 
 
 def resolve_selector(plan: DataFrame, matched_ids: DataFrame) -> DataFrame:
@@ -38,16 +45,18 @@ def resolve_selector(plan: DataFrame, matched_ids: DataFrame) -> DataFrame:
 
 
 def write_plan(plan: DataFrame, operations: DataFrame) -> DataFrame:
-    """Plan x operation to write items with stable ids; operations are a template's few rows."""
+    """Plan x operation to write items with stable ids; operations are a template's few rows.
+
+    An indent in characters becomes points: characters times the size hint, 12 points without one.
+    """
+    if "size_hint_pt" in operations.columns:
+        chars = F.col("attribute") == "first_line_indent_chars"
+        points = F.round(F.col("value").try_cast("double") * F.coalesce("size_hint_pt", F.lit(12.0)), 4).cast("string")
+        operations = operations.withColumn("value", F.when(chars, points).otherwise(F.col("value"))).withColumn("attribute", F.when(chars, "first_line_indent_pt").otherwise(F.col("attribute"))).drop("size_hint_pt")
     items = plan.join(F.broadcast(operations), "block")
     return items.withColumn("item_id", F.concat_ws(":", "block", "op", "attribute", "paragraph_id"))
 
 
-def indent_points(chars: str, size: str):
-    """First-line indent in points from characters and a font size hint (default 12)."""
-    return F.round(F.col(chars) * F.coalesce(F.col(size), F.lit(12.0)), 4)
-
-
 def filter_writable(items: DataFrame, paragraphs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Items with a status: unknown_paragraph, unwritable (dropped later) or ok."""
     known = paragraphs.select("doc_id", "paragraph_id").withColumn("_known", F.lit(True))
@@ -56,10 +65,30 @@ def filter_writable(items: DataFrame, paragraphs: DataFrame, nodes: DataFrame) -
     return out.withColumn("status", F.when(F.col("_known").isNull(), "unknown_paragraph").when(F.col("_can").isNull(), "unwritable").otherwise("ok")).drop("_known", "_can")
 
 
-def plan_issues(items: DataFrame, supported: tuple[str, ...]) -> DataFrame:
-    twice = items.groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit("duplicate_operation_id").alias("error_code"), "item_id")
-    other = items.filter(~F.col("op").isin(*supported)).select("doc_id", F.lit("uncompilable_item").alias("error_code"), "item_id")
-    return twice.unionByName(other)
+# Fields of an older plan format that a plan must not carry.
+LEGACY_FIELDS = ("style_name", "numbering_id", "indent_left")
+
+
+def plan_issues(items: DataFrame, supported: tuple[str, ...], legacy: tuple[str, ...] = LEGACY_FIELDS) -> DataFrame:
+    """Items of one id, of a legacy field, without a value to write, and of an operation that can't be compiled."""
+    row = lambda df, code: df.select("doc_id", F.lit(code).alias("error_code"), "item_id")
+    twice = row(items.groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_operation_id")
+    old = row(items.filter(F.col("attribute").isin(*legacy)), "unsupported_legacy_field")
+    unmeant = row(items.filter("coalesce(trim(value), '') = ''"), "intent_missing")
+    other = row(items.filter(~F.col("op").isin(*supported)), "uncompilable_item")
+    return twice.unionByName(old).unionByName(unmeant).unionByName(other)
+
+
+def executable_plan(items: DataFrame, issues: DataFrame) -> DataFrame:
+    """The items of documents without any issue: one issue empties a document's plan."""
+    return items.join(issues.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def plan_level_issues(docs: DataFrame, steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Documents without steps and documents without nodes."""
+    row = lambda df, code: df.select("doc_id", F.lit(code).alias("error"))
+    idle = row(docs.select("doc_id").join(steps.select("doc_id").distinct(), "doc_id", "left_anti"), "E_PLAN_EMPTY")
+    return idle.unionByName(row(docs.select("doc_id").join(nodes.select("doc_id").distinct(), "doc_id", "left_anti"), "E_DOCUMENT_EMPTY"))
 
 
 def plan_validation(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -87,8 +116,10 @@ def numbering_warnings(modified: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 def execution_artifacts(items: DataFrame) -> DataFrame:
+    """Distinct blocks, patch sets (operations), targets and parts, items, executed items and skipped paragraphs."""
+    parts = [F.countDistinct("part_path").alias("n_parts")] if "part_path" in items.columns else []
     return items.groupBy("doc_id").agg(
-        F.countDistinct("block").alias("n_blocks"), F.countDistinct("paragraph_id").alias("n_targets"), F.count("*").alias("n_items"),
+        F.countDistinct("block").alias("n_blocks"), F.countDistinct("block", "op").alias("n_patch_sets"), F.countDistinct("paragraph_id").alias("n_targets"), *parts, F.count("*").alias("n_items"),
         F.count_if(F.col("status") == "ok").alias("n_executed"), F.countDistinct(F.when(F.col("status") == "unwritable", F.col("paragraph_id"))).alias("n_skipped"),
     )
 

@@ -302,6 +302,15 @@ def p3(s, d):
 
 reg("p3_resolve_selector", p3, PLAN + " SELECT doc_id, block, CASE WHEN doc_id % 2 = 0 THEN 'p_0' ELSE array_to_string(list_sort(list(paragraph_id)), '|') END AS paragraph_ids FROM plan GROUP BY doc_id, block")
 reg("p4_write_plan", items, PLAN + BLOCK_OPS + " SELECT * FROM items")
+
+
+def p4_indents(s, d):
+    blocks = cl.rules_table(s, [("body", "Arial", 10.5, None, None, 2.0), ("heading", None, None, None, None, 1.5)], "block STRING, font_name STRING, font_size_pt DOUBLE, space_before_pt DOUBLE, space_after_pt DOUBLE, first_line_indent_chars DOUBLE")
+    return pl.write_plan(p1(s, d), pl.block_operations(blocks))
+
+
+reg("p4_indent_plan", p4_indents, PLAN + """, o(block, op, attribute, value) AS (VALUES ('body', 'set_font', 'font_name', 'Arial'), ('body', 'set_size', 'font_size_pt', '10.5'), ('body', 'set_paragraph_indent', 'first_line_indent_pt', '21.0'), ('heading', 'set_paragraph_indent', 'first_line_indent_pt', '18.0'))
+ SELECT doc_id, block, paragraph_id, op, attribute, value, block || ':' || op || ':' || attribute || ':' || paragraph_id AS item_id FROM plan JOIN o USING (block)""")
 ITEM_STATUS = NODES + PLAN + BLOCK_OPS + ", w AS (SELECT DISTINCT doc_id, paragraph_id FROM nodes), stated AS (SELECT i.*, CASE WHEN w.doc_id IS NULL THEN 'unwritable' ELSE 'ok' END AS status FROM items i LEFT JOIN w ON w.doc_id = i.doc_id AND w.paragraph_id = i.paragraph_id)"
 
 
@@ -312,12 +321,21 @@ def stated(s, d):
 reg("p5_filter_writable", lambda s, d: stated(s, d).select("doc_id", "item_id", "status"), ITEM_STATUS + " SELECT doc_id, item_id, status FROM stated")
 
 
-def p6(s, d):
+def faulty(s, d):
+    """Items of which some stand twice, some have a legacy field and some no value."""
     i = items(s, d)
-    return pl.plan_issues(i.unionByName(i.filter("paragraph_id = 'p_1'")), ("set_font", "set_size", "set_space_after"))
+    k = c("doc_id") % 5
+    i = i.withColumn("attribute", F.when((k == 1) & (c("op") == "set_font"), "style_name").otherwise(c("attribute"))).withColumn("value", F.when((k == 2) & (c("op") == "set_size"), " ").otherwise(c("value")))
+    return i.unionByName(i.filter("paragraph_id = 'p_1' AND doc_id % 5 = 3")).filter("doc_id % 5 <> 4 OR op <> 'set_space_before'")
 
 
-reg("p6_plan_issues", p6, PLAN + BLOCK_OPS + " SELECT doc_id, 'duplicate_operation_id' AS error_code, item_id FROM items WHERE paragraph_id = 'p_1' UNION ALL SELECT doc_id, 'uncompilable_item', item_id FROM items WHERE op = 'set_space_before' UNION ALL SELECT doc_id, 'uncompilable_item', item_id FROM items WHERE op = 'set_space_before' AND paragraph_id = 'p_1'")
+FAULTY = PLAN + BLOCK_OPS + """, once AS (SELECT doc_id, block, paragraph_id, op, CASE WHEN doc_id % 5 = 1 AND op = 'set_font' THEN 'style_name' ELSE attribute END AS attribute, CASE WHEN doc_id % 5 = 2 AND op = 'set_size' THEN ' ' ELSE value END AS value, item_id FROM items),
+ faulty AS (SELECT * FROM (SELECT * FROM once UNION ALL SELECT * FROM once WHERE paragraph_id = 'p_1' AND doc_id % 5 = 3) WHERE doc_id % 5 <> 4 OR op <> 'set_space_before'),
+ problems AS (SELECT doc_id, 'duplicate_operation_id' AS error_code, item_id FROM faulty GROUP BY doc_id, item_id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'unsupported_legacy_field', item_id FROM faulty WHERE attribute = 'style_name'
+ UNION ALL SELECT doc_id, 'intent_missing', item_id FROM faulty WHERE trim(value) = '' UNION ALL SELECT doc_id, 'uncompilable_item', item_id FROM faulty WHERE op = 'set_space_before')"""
+_WRITES = ("set_font", "set_size", "set_space_after")
+reg("p6_plan_issues", lambda s, d: pl.plan_issues(faulty(s, d), _WRITES), FAULTY + " SELECT * FROM problems")
+reg("p6_executable_plan", lambda s, d: pl.executable_plan(faulty(s, d), pl.plan_issues(faulty(s, d), _WRITES)), FAULTY + " SELECT * FROM faulty WHERE doc_id NOT IN (SELECT doc_id FROM problems)")
 
 
 def p7(s, d):
@@ -331,6 +349,9 @@ reg("p7_plan_validation", p7, NODES + """, k AS (SELECT *, doc_id + paragraph_in
  SELECT k.doc_id, k.run_id AS step_id, CASE WHEN k % 7 = 0 THEN 'E_OPERATION_MISSING' WHEN k % 5 = 0 THEN 'E_TARGET_MISSING' WHEN k % 5 = 1 THEN 'E_TARGET_PLACEHOLDER' WHEN k % 11 = 0 THEN 'E_PAYLOAD_EMPTY' WHEN n.doc_id IS NULL THEN 'E_TARGET_UNKNOWN' END AS error FROM k LEFT JOIN (SELECT DISTINCT doc_id, run_id FROM nodes) n ON n.doc_id = k.doc_id AND n.run_id = k.run_id""")
 
 
+reg("p7_plan_level_issues", lambda s, d: pl.plan_level_issues(corpus.table(s, d, "documents"), p1(s, d), nodes(s, d).filter("doc_id % 9 <> 0")), NODES + PLAN + " SELECT doc_id, 'E_PLAN_EMPTY' AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM plan) UNION ALL SELECT doc_id, 'E_DOCUMENT_EMPTY' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM nodes WHERE doc_id % 9 <> 0)")
+
+
 def patched(s, d):
     r = corpus.runs(s, d)
     a = r.filter("paragraph_index % 4 = 0").select("doc_id", F.concat(F.lit("target:block:"), "paragraph_id").alias("target_id"))
@@ -340,7 +361,7 @@ def patched(s, d):
 MODIFIED = ", modified AS (SELECT DISTINCT doc_id, paragraph_id FROM runs WHERE paragraph_index % 4 = 0 OR run_index = 2)"
 reg("p8_modified_paragraphs", lambda s, d: pl.modified_paragraphs(patched(s, d), corpus.runs(s, d)), MODIFIED + " SELECT * FROM modified")
 reg("p9_numbering_warnings", lambda s, d: pl.numbering_warnings(pl.modified_paragraphs(patched(s, d), corpus.runs(s, d)), corpus.paragraphs(s, d)), MODIFIED + f" SELECT doc_id, 'body_numbering_prefix' AS code, paragraph_id, prefix FROM (SELECT p.doc_id, p.paragraph_id, {PREFIX_SQL} AS prefix FROM paragraphs p JOIN modified m ON m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id WHERE role = 'body') WHERE prefix IS NOT NULL")
-reg("p10_execution_artifacts", lambda s, d: pl.execution_artifacts(stated(s, d)), ITEM_STATUS + " SELECT doc_id, count(DISTINCT block) AS n_blocks, count(DISTINCT paragraph_id) AS n_targets, count(*) AS n_items, count(*) FILTER (status = 'ok') AS n_executed, count(DISTINCT CASE WHEN status = 'unwritable' THEN paragraph_id END) AS n_skipped FROM stated GROUP BY ALL")
+reg("p10_execution_artifacts", lambda s, d: pl.execution_artifacts(stated(s, d).join(corpus.paragraphs(s, d).select("doc_id", "paragraph_id", c("part_kind").alias("part_path")), ["doc_id", "paragraph_id"])), ITEM_STATUS + " SELECT doc_id, count(DISTINCT block) AS n_blocks, count(DISTINCT (block, op)) AS n_patch_sets, count(DISTINCT part_kind) AS n_parts, count(DISTINCT paragraph_id) AS n_targets, count(*) AS n_items, count(*) FILTER (status = 'ok') AS n_executed, count(DISTINCT CASE WHEN status = 'unwritable' THEN paragraph_id END) AS n_skipped FROM stated JOIN (SELECT doc_id, paragraph_id, part_kind FROM paragraphs) USING (doc_id, paragraph_id) GROUP BY ALL")
 
 
 def p11(s, d):
