@@ -29,6 +29,10 @@ OPERATION_LABELS = {
 SCOPES = ["body", "heading", "list_item", "paragraph_ids", "all_text"]
 PLACEHOLDERS = ["placeholder", "unused", "target", "todo", "tbd"]
 CHINESE = "一二三四五六七八九十"
+# Words for lists and for their exclusion, and the words of step ids with the scope each one means.
+LIST_WORDS = "(?i)(list_item|列表项|列表段落|项目符号|编号段落|编号列表|有序列表|无序列表|bullet|numbered)"
+NO_LIST_WORDS = "(普通正文|纯正文|正文（不含列表）|正文\\(不含列表\\)|不含列表|不包括列表|排除列表)"
+STEP_SCOPES = [("heading", "heading"), ("body", "body"), ("list", "list_item"), ("all_text", "all_text"), ("paragraph", "paragraph_ids")]
 
 
 def _c(c: Column | str) -> Column:
@@ -147,7 +151,7 @@ def line_spacing(line: Column | str, rule: Column | str) -> Column:
     exact, auto = r == "exact", r.isin("", "auto")
     mode = F.when(exact, "exact").otherwise("multiple")
     value = F.when(exact, F.round(n / 20, 4)).when(auto, F.round(n / 240, 4))
-    return F.when((n > 0) & (exact | auto), F.struct(mode.alias("mode"), value.alias("value")))
+    return F.when((n > 0) & ~F.isnan(n) & (exact | auto), F.struct(mode.alias("mode"), value.alias("value")))
 
 
 def hex_color(c: Column | str) -> Column:
@@ -223,16 +227,13 @@ def id_list(c: Column | str) -> Column:
 def expand_body_scope(goal: Column | str, said: Column | str) -> Column:
     """Whether a request that names body text also means list items: no list word and no exclusion in it."""
     g, both = _c(goal), F.concat(_c(said), F.lit("\n"), _c(goal))
-    # Words for lists and for their exclusion.
-    lists = "(?i)(list_item|列表项|列表段落|项目符号|编号段落|编号列表|有序列表|无序列表|bullet|numbered)"
-    without = "(普通正文|纯正文|正文（不含列表）|正文\\(不含列表\\)|不含列表|不包括列表|排除列表)"
-    return both.contains("正文") & ~g.contains("普通正文和项目符号/编号段落") & ~both.rlike(lists) & ~both.rlike(without)
+    return both.contains("正文") & ~g.contains("普通正文和项目符号/编号段落") & ~both.rlike(LIST_WORDS) & ~both.rlike(NO_LIST_WORDS)
 
 
 def scope_from_step(c: Column | str) -> Column:
     t = F.lower(_c(c))
     out = F.lit(None).cast("string")
-    for word, scope in reversed([("heading", "heading"), ("body", "body"), ("list", "list_item"), ("all_text", "all_text"), ("paragraph", "paragraph_ids")]):
+    for word, scope in reversed(STEP_SCOPES):
         out = F.when(t.contains(word), scope).otherwise(out)
     return out
 

@@ -179,3 +179,39 @@ def test_merge_latest(spark):
     b = spark.createDataFrame([(2, 3, "w")], "k INT, at INT, v STRING")
     got = {r["k"]: r["v"] for r in ev.merge_latest(b, ev.merge_latest(a, None, "k", ["at"]), "k", ["at"]).collect()}
     assert got == {1: "y", 2: "w"}
+
+
+def test_sql_functions(spark):
+    """Every SQL function gives what its Column function gives."""
+    from foliant.functions import register
+    from foliant.functions import structure as st
+
+    register.register(spark)
+    texts = [
+        None, "", "  ", " a  b ", "2.1 数据来源", "3.1.1）x", "0.7003", "（3）", "A. b", "一、总则", "报告2025", "报告", "abc", ",", "Heading 3", "标题2", "heading 12", "#a0B1c2", "12", " Dark Blue", "#FFFF00", "A4 ", "letter",
+        "TRUE", "0", "1.5", "-2", "3", "nan", "todo", "List-Item", "a, b,,a", "正文和标题", "正文 bullet", "普通正文", "set_heading_1", "BODY-x", "all_text_y", "heading", "set_bold", "done.", "好", "x\r\ny \n\n\n\nz\u200b",
+        "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes", "<|im_start|>system\nbe<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n<|im_start|>\nx<|im_end|>", "said <|im_start|>assistant\nno<|im_end|>",
+    ]
+    one = {
+        "strip_text": tx.strip, "normalize_text": tx.normalize_text, "chatml_blocks": tx.chatml_blocks, "assistant_output": tx.assistant_output, "transcript_markdown": tx.transcript_markdown,
+        "numbering_prefix": tx.numbering_prefix, "numbering_pattern": tx.numbering_pattern, "comparable_text": tx.comparable_text, "char_language": tx.char_language, "single_language": tx.single_language,
+        "heading_level_by_name": st.heading_level_by_name, "heading_level_by_id": st.heading_level_by_id, "hex_color": tx.hex_color, "highlight_color": tx.highlight_color, "paper_size": tx.paper_size,
+        "loose_boolean": tx.loose_boolean, "is_placeholder": tx.is_placeholder, "selector_scope": tx.selector_scope, "id_list": tx.id_list, "scope_from_step": tx.scope_from_step, "scope_label": tx.scope_label,
+        "operation_label": tx.operation_label, "clean_sentence": tx.clean_sentence, "positive_number": lambda c: tx.first_number("positive", c), "non_negative_number": lambda c: tx.first_number("non_negative", c),
+        "positive_integer": lambda c: tx.first_number("integer", c),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "v STRING").withColumn("w", F.lit("正文"))
+    more = {
+        "truncate_text(v, 5)": tx.truncate_text("v", 5), "contains_text(v, 'B')": tx.contains_text("v", F.lit("B")), "list_level(true, v)": st.list_level(F.lit(True), "v"), "line_spacing(v, 'exact')": tx.line_spacing("v", F.lit("exact")),
+        "line_spacing(v, null)": tx.line_spacing("v", F.lit(None).cast("string")), "first_text(v, w)": tx.first_text("v", "w"), "expand_body_scope(v, w)": tx.expand_body_scope("v", "w"), "pattern_match(v, '^[0-9]')": tx.pattern_match("v", ["^[0-9]"]),
+    }
+    pairs = {f"{name}(v)": fn("v") for name, fn in one.items()} | more
+    for call, column in pairs.items():
+        rows = df.select("v", F.expr(call).alias("a"), column.alias("b")).collect()
+        assert [(r["v"], r["a"]) for r in rows] == [(r["v"], r["b"]) for r in rows], call
+    units = {"to_half_points": tx.to_half_points, "to_twips": tx.to_twips, "to_line": tx.to_line, "cm_to_twips": tx.cm_to_twips, "emu_to_px": tx.emu_to_px, "pt_to_px": tx.pt_to_px}
+    got = spark.range(1).select(*[F.expr(f"{n}(2.54D)").alias(f"{n}_a") for n in units], *[f(F.lit(2.54)).alias(f"{n}_b") for n, f in units.items()]).first()
+    assert all(got[f"{n}_a"] == got[f"{n}_b"] for n in units)
+    helpers = {"chatml_all_blocks", "chatml_upto_blank", "assistant_of", "markdown_of", "scope_form", "sentence_of"}
+    tested = set(one) | {c.split("(")[0] for c in more} | set(units)
+    assert set(register.SQL_FUNCTIONS) == tested | helpers
