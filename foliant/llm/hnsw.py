@@ -356,3 +356,14 @@ def near_components(table: DataFrame, threshold: float = THRESHOLD, shards: int
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP10_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda a: a IS NULL OR NOT isfinite(a))) = 0 AND len(list_filter(x, lambda a: a <> 0)) > 0),
+e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}),
+c(vec_id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.vec_id, e.v FROM c JOIN e ON e.u = c.reached),
+m AS (SELECT vec_id, min(reached) AS component_id FROM c GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+SELECT m.vec_id, coalesce(n.n, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON n.u = m.vec_id
+"""

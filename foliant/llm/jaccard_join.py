@@ -445,3 +445,18 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+_WORDS_SQL = """w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words, row_number() OVER () AS r FROM documents)"""
+OP7_SQL = f"""
+WITH RECURSIVE {_WORDS_SQL},
+g AS (SELECT r, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT r, words[i : i + 3] AS shingle FROM g),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * p.m >= 85 * (a.n + b.n - p.m)),
+c(r, reached) AS (SELECT r, r FROM w UNION SELECT c.r, e.y FROM c JOIN e ON e.x = c.reached),
+m AS (SELECT c.r, min(w.doc_id) AS component_id FROM c JOIN w ON w.r = c.reached GROUP BY c.r)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM w JOIN m ON m.r = w.r LEFT JOIN n ON n.r = w.r
+"""

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_embedding_dedup": hnsw.op10_embedding_dedup,
 }
 
-SQL: dict[str, str] = {"op1_lm_scoring": lm_scoring.OP1_SQL, "op9_mixing": mixing.OP9_SQL}
+SQL: dict[str, str] = {
+    "op1_lm_scoring": lm_scoring.OP1_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+    "op10_embedding_dedup": hnsw.OP10_SQL,
+}
