@@ -5,7 +5,7 @@ the last return the columns of documents. run() writes each stage's result as Pa
 reads it again, so a lost executor costs one stage at most. A stage decides by its own input alone.
 
 SQL can't express the learned lexicon, the bootstrapped patterns or the tokenizer, so ORACLE_SQL is None and
-tests/llm/test_pipeline.py compares the stages with brute force.
+tests/llm/test_pipeline.py compares every stage with brute force.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import jaccard_join, mixing, packing, pii, toxicity
-from foliant.llm.common import stage
+from foliant.llm.common import drop_staged, stage, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -59,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    first = staged()
     for _, step in STAGES:
         docs = stage(step(spark, docs, sf_dir))
+        drop_staged(spark, first, staged() - 1)  # what the stage read and wrote on its way; its result stays
     return docs
