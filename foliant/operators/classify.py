@@ -35,22 +35,22 @@ def classification_batches(context: DataFrame, n: int = 12) -> DataFrame:
     return out.withColumn("batch_id", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("rank", "in_bucket")) - 1).drop("rank", "in_bucket")
 
 
-def byte_batches(context: DataFrame, most: int = 16_000) -> DataFrame:
-    """Batches of one bucket whose texts stay within most bytes; a paragraph over the limit stands alone.
+def byte_batches(context: DataFrame, n: int = 12, most: int = 16_000) -> DataFrame:
+    """classification_batches, with batches of more than most bytes of text halved until they fit or hold one paragraph.
 
-    The fold is sequential in a bucket of one document, an ordered array there; documents run apart.
+    The first half is the longer one. A batch of n paragraphs needs log2(n) rounds of halving at most; all rounds are
+    windows of one document, so they share its shuffle.
     """
-    rows = F.array_sort(F.collect_list(F.struct("paragraph_index", "paragraph_id", F.octet_length("text").alias("size"))))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<struct<paragraph_id:string,batch:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = (acc["used"] > 0) & (acc["used"] + x["size"] > most)
-        batch = F.when(fresh, acc["batch"] + 1).otherwise(acc["batch"])
-        used = F.when(fresh, x["size"]).otherwise(acc["used"] + x["size"])
-        return F.struct(batch.alias("batch"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["paragraph_id"].alias("paragraph_id"), batch.alias("batch")))).alias("out"))
-
-    folded = context.groupBy("doc_id", "bucket").agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return folded.select("doc_id", "bucket", F.explode("out").alias("x")).select("doc_id", "bucket", "x.paragraph_id", "x.batch")
+    whole = Window.partitionBy("doc_id", "bucket", "in_bucket", "half")
+    place = F.row_number().over(Window.partitionBy("doc_id", "bucket").orderBy("paragraph_index")) - 1
+    out = context.select("doc_id", "paragraph_id", "paragraph_index", "bucket", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.floor(place / n).alias("in_bucket"), F.lit("").alias("half"))
+    for _ in range(max(0, n - 1).bit_length()):
+        at = F.row_number().over(whole.orderBy("paragraph_index"))
+        count, size = F.count("*").over(whole), F.sum("size").over(whole)
+        cut = F.when((size > most) & (count > 1), F.when(at <= F.ceil(count / 2), "0").otherwise("1")).otherwise("")
+        out = out.withColumn("half", F.concat("half", cut))
+    order = Window.partitionBy("doc_id", "bucket").orderBy("in_bucket", "half")
+    return out.select("doc_id", "bucket", "paragraph_id", (F.dense_rank().over(order) - 1).alias("batch"))
 
 
 def semantic_alias(c: Column | str, has_cover: bool = True) -> Column:
@@ -70,11 +70,15 @@ def coerce_predictions(predictions: DataFrame, paragraphs: DataFrame, semantics:
 
 
 def aggregate_predictions(predictions: DataFrame) -> DataFrame:
-    """Per semantic: distinct paragraphs in document order, mean of all confidences (repeats count), 6 decimals."""
-    per = predictions.groupBy("doc_id", "semantic_key", "paragraph_id", "paragraph_index").agg(F.sum(_decimal("confidence")).alias("s"), F.count("confidence").alias("n"))
+    """Per semantic: distinct paragraphs in document order, mean of all confidences (repeats count), 6 decimals, and,
+    where predictions give them, the distinct reasons in alphabetic order."""
+    reasons = ["reason"] if "reason" in predictions.columns else []
+    per = predictions.groupBy("doc_id", "semantic_key", "paragraph_id", "paragraph_index").agg(
+        F.sum(_decimal("confidence")).alias("s"), F.count("confidence").alias("n"), *[F.collect_set(c).alias(c) for c in reasons]
+    )
     rows = F.array_sort(F.collect_list(F.struct("paragraph_index", "paragraph_id")))
-    out = per.groupBy("doc_id", "semantic_key").agg(F.transform(rows, lambda x: x["paragraph_id"]).alias("paragraph_ids"), exact_mean(F.sum("s"), F.sum("n")).alias("confidence"))
-    return out
+    joined = [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), "; ").alias("reasons") for c in reasons]
+    return per.groupBy("doc_id", "semantic_key").agg(F.transform(rows, lambda x: x["paragraph_id"]).alias("paragraph_ids"), exact_mean(F.sum("s"), F.sum("n")).alias("confidence"), *joined)
 
 
 def unmatched_paragraphs(paragraphs: DataFrame, predictions: DataFrame, reported: DataFrame) -> DataFrame:
@@ -112,28 +116,41 @@ def rules_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(n for n, _ in columns)})")
 
 
-def position_ok(context: DataFrame, rules: DataFrame) -> DataFrame:
-    """Paragraph x rule pairs whose position hint holds: near_top, first_paragraph, first_non_blank or none."""
+def _placed(context: DataFrame) -> DataFrame:
+    """context with the number of its document's paragraphs (n) and the first one that is not blank (first_text)."""
     whole = Window.partitionBy("doc_id")
     first = F.min(F.when(F.trim("text") != "", F.col("paragraph_index"))).over(whole)
-    c = context.withColumn("n", F.count("*").over(whole)).withColumn("first_text", first)
+    return context.withColumn("n", F.count("*").over(whole)).withColumn("first_text", first)
+
+
+def _position_holds(hint: str) -> Column:
     near = F.col("paragraph_index") < F.greatest(F.lit(2), F.floor(F.col("n") * 0.2))
-    ok = (
-        F.when(F.col("position") == "near_top", near).when(F.col("position") == "first_paragraph", F.col("paragraph_index") == 0)
-        .when(F.col("position") == "first_non_blank", F.coalesce(F.col("paragraph_index") == F.col("first_text"), F.lit(True))).otherwise(True)
+    return (
+        F.when(F.col(hint) == "near_top", near).when(F.col(hint) == "first_paragraph", F.col("paragraph_index") == 0)
+        .when(F.col(hint) == "first_non_blank", F.coalesce(F.col("paragraph_index") == F.col("first_text"), F.lit(True))).otherwise(True)
     )
-    return c.join(F.broadcast(rules.select("semantic_key", F.col("position_hint").alias("position"))), ok).drop("n", "first_text")
+
+
+def position_ok(context: DataFrame, rules: DataFrame) -> DataFrame:
+    """Paragraph x rule pairs whose position hint holds: near_top, first_paragraph, first_non_blank or none."""
+    hints = F.broadcast(rules.select("semantic_key", F.col("position_hint").alias("position")))
+    return _placed(context).join(hints, _position_holds("position")).drop("n", "first_text")
 
 
 def compatible_semantics(context: DataFrame, rules: DataFrame) -> DataFrame:
-    """Paragraph x semantic pairs that a rule accepts: image, blank text, table, role and heading level. A theta join
-    with a template's few rules."""
-    r = rules.select("semantic_key", F.col("role").alias("want_role"), F.col("in_table").alias("want_table"), F.col("require_image").alias("want_image"), F.col("allow_empty").alias("may_be_empty"), F.col("heading_level").alias("want_level"))
-    c = context.select("doc_id", "paragraph_id", "role", "in_table", "has_image", "heading_level", (F.trim("text") == "").alias("blank"))
+    """Paragraph x semantic pairs that a rule accepts: image, blank text, table, role, bucket (where rules have one),
+    heading level and position. A theta join with a template's few rules."""
+    bucket = F.col("bucket") if "bucket" in rules.columns else F.lit(None).cast("string")
+    r = rules.select(
+        "semantic_key", F.col("role").alias("want_role"), F.col("in_table").alias("want_table"), F.col("require_image").alias("want_image"), F.col("allow_empty").alias("may_be_empty"),
+        F.col("heading_level").alias("want_level"), bucket.alias("want_bucket"), F.col("position_hint").alias("want_place"),
+    )
+    c = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", "text", "role", "bucket", "in_table", "has_image", "heading_level")).withColumn("blank", F.trim("text") == "").drop("text")
     ok = (
         (F.col("want_role").isNull() | (F.col("want_role") == F.col("role"))) & (F.col("want_table").isNull() | (F.col("want_table") == F.col("in_table")))
+        & (F.col("want_bucket").isNull() | (F.col("want_bucket") == F.col("bucket")))
         & (~F.col("want_image") | F.col("has_image")) & (F.col("may_be_empty") | ~F.col("blank"))
-        & (F.col("want_level").isNull() | F.coalesce(F.col("want_level") == F.col("heading_level"), F.lit(False)))
+        & (F.col("want_level").isNull() | F.coalesce(F.col("want_level") == F.col("heading_level"), F.lit(False))) & _position_holds("want_place")
     )
     return c.join(F.broadcast(r), ok).select("doc_id", "paragraph_id", "semantic_key")
 
@@ -172,26 +189,34 @@ def apply_refinement(predictions: DataFrame, accepted: DataFrame) -> DataFrame:
     return aggregate_predictions(kept.select(*cols).unionByName(accepted.select(*cols)))
 
 
-def blank_fallback(unmatched: DataFrame, context: DataFrame) -> DataFrame:
-    """Unmatched paragraphs without image that are blank or of unknown bucket, as matches of the fallback semantic."""
+def blank_fallback(unmatched: DataFrame, context: DataFrame, rules: DataFrame) -> DataFrame:
+    """Unmatched paragraphs without image that are blank or of unknown bucket, as matches of the fallback semantic.
+
+    Only where the template defines that semantic and lets its text be empty.
+    """
+    defined = rules.filter((F.col("semantic_key") == FALLBACK) & F.col("allow_empty")).select("semantic_key").distinct()
     c = context.filter(~F.col("has_image") & ((F.trim("text") == "") | (F.col("bucket") == "unknown")))
-    hit = unmatched.join(c.select("doc_id", "paragraph_id", "paragraph_index"), ["doc_id", "paragraph_id"])
-    return hit.select("doc_id", "paragraph_id", "paragraph_index", F.lit(FALLBACK).alias("semantic_key"), F.lit(None).cast("double").alias("confidence"))
+    hit = unmatched.join(c.select("doc_id", "paragraph_id", "paragraph_index"), ["doc_id", "paragraph_id"]).withColumn("semantic_key", F.lit(FALLBACK))
+    hit = hit.join(F.broadcast(defined), "semantic_key", "left_semi")
+    return hit.select("doc_id", "paragraph_id", "paragraph_index", "semantic_key", F.lit(None).cast("double").alias("confidence"))
 
 
-def normalize_predictions(predictions: DataFrame, context: DataFrame, semantics: tuple[str, ...]) -> DataFrame:
-    """Cleaned predictions and the blank fallback, aggregated."""
+def normalize_predictions(predictions: DataFrame, context: DataFrame, semantics: tuple[str, ...], rules: DataFrame, derived: list[dict] = ()) -> DataFrame:
+    """Cleaned predictions, the blank fallback of what is left unmatched, and the derived semantics, aggregated."""
     clean = coerce_predictions(predictions, context, semantics).filter("note IS NULL").join(context.select("doc_id", "paragraph_id", "paragraph_index"), ["doc_id", "paragraph_id"])
     clean = clean.select("doc_id", "paragraph_id", "paragraph_index", "semantic_key", "confidence")
     none = context.select("doc_id", "paragraph_id").join(clean, ["doc_id", "paragraph_id"], "left_anti")
-    return aggregate_predictions(clean.unionByName(blank_fallback(none, context)))
+    rows = clean.unionByName(blank_fallback(none, context, rules))
+    for part in derived_rows(rows, context, derived):
+        rows = rows.unionByName(part)
+    return aggregate_predictions(rows)
 
 
-def derive_semantics(predictions: DataFrame, context: DataFrame, derived: list[dict]) -> DataFrame:
-    """aggregate: all paragraphs of the parents; refine: those whose text holds (or is part of) an example or hint and
-    holds no negative one. The derived semantics are few, so each becomes one filter in a union."""
+def derived_rows(predictions: DataFrame, context: DataFrame, derived: list[dict]) -> list[DataFrame]:
+    """The rows of each derived semantic. aggregate: all paragraphs of the parents; refine: those whose text holds (or
+    is part of) an example or hint and holds no negative one. The derived semantics are few: a filter each."""
     p = predictions.join(context.select("doc_id", "paragraph_id", F.lower("text").alias("low")), ["doc_id", "paragraph_id"])
-    out = None
+    out = []
     for d in derived:
         rows = p.filter(F.col("semantic_key").isin(*d["parents"]))
         if d["mode"] == "refine":
@@ -201,7 +226,15 @@ def derive_semantics(predictions: DataFrame, context: DataFrame, derived: list[d
             for hint in d.get("negative", ()):
                 bad = bad | F.col("low").contains(hint.lower())
             rows = rows.filter(good & ~bad)
-        part = rows.groupBy("doc_id").agg(F.countDistinct("paragraph_id").alias("n_paragraphs"), exact_mean(F.sum(_decimal("confidence")), F.count("confidence")).alias("confidence")).withColumn("semantic_key", F.lit(d["key"]))
+        out.append(rows.withColumn("semantic_key", F.lit(d["key"])).drop("low"))
+    return out
+
+
+def derive_semantics(predictions: DataFrame, context: DataFrame, derived: list[dict]) -> DataFrame:
+    """Paragraphs and mean confidence of each derived semantic."""
+    out = None
+    for rows in derived_rows(predictions, context, derived):
+        part = rows.groupBy("doc_id", "semantic_key").agg(F.countDistinct("paragraph_id").alias("n_paragraphs"), exact_mean(F.sum(_decimal("confidence")), F.count("confidence")).alias("confidence"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -86,7 +86,11 @@ def document_meta(paragraphs: DataFrame, warnings: DataFrame, package: DataFrame
 
 
 CONTRACT = """template_id STRING, version STRING, semantics ARRAY<STRUCT<key:STRING,label:STRING,required:BOOLEAN,multiple:BOOLEAN>>,
- patch_blocks ARRAY<STRUCT<semantic_key:STRING,scope:STRING>>, operation_blocks ARRAY<STRUCT<semantic_key:STRING,scope:STRING>>"""
+ derived ARRAY<STRUCT<key:STRING,mode:STRING,inherits_from:ARRAY<STRING>,text_hints:ARRAY<STRING>,negative_examples:ARRAY<STRING>>>,
+ rules ARRAY<STRUCT<semantic_key:STRING,position_hints:ARRAY<STRING>,text_hints:ARRAY<STRING>,numbering_patterns:ARRAY<STRING>,min_occurs:INT,max_occurs:INT>>,
+ patch_blocks ARRAY<STRUCT<semantic_key:STRING,scope:STRING,operations:ARRAY<STRUCT<type:STRING,attributes:MAP<STRING,STRING>>>>>,
+ operation_blocks ARRAY<STRUCT<semantic_key:STRING,scope:STRING,operations:ARRAY<STRUCT<type:STRING,attributes:MAP<STRING,STRING>>>>>,
+ policy STRUCT<enforce_validation:BOOLEAN,min_confidence:DOUBLE,reject_conflicting_matches:BOOLEAN,reject_unmatched_when_required:BOOLEAN,allow_unclassified:BOOLEAN,ordering:ARRAY<STRING>>"""
 
 
 def load_templates(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -95,11 +99,16 @@ def load_templates(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def template_tables(contracts: DataFrame) -> dict[str, DataFrame]:
+    """Six tables: semantics, derived semantics, rules, patch blocks, their operations, and each template's policy."""
     blocks = F.when(F.size(F.coalesce("patch_blocks", F.array())) > 0, F.col("patch_blocks")).otherwise(F.col("operation_blocks"))
+    patches = contracts.select("template_id", F.posexplode(blocks).alias("patch_order", "x")).select("template_id", "patch_order", "x.*")
+    each = lambda column, order: contracts.select("template_id", F.posexplode(column).alias(order, "x")).select("template_id", order, "x.*")
     return {
-        "t_semantic": contracts.select("template_id", F.posexplode("semantics").alias("semantic_order", "x")).select("template_id", "semantic_order", "x.*"),
-        "t_patch": contracts.select("template_id", F.explode(blocks).alias("x")).select("template_id", "x.*"),
-    }
+        "t_semantic": each("semantics", "semantic_order"), "t_derived": each("derived", "derived_order"), "t_rule": each("rules", "rule_order"),
+        "t_patch": patches.select("template_id", "semantic_key", "scope"),
+        "t_operation": patches.select("template_id", "semantic_key", "patch_order", F.posexplode("operations").alias("operation_order", "x")).select("template_id", "semantic_key", "patch_order", "operation_order", "x.*"),
+        "t_policy": contracts.filter("policy IS NOT NULL").select("template_id", "policy.*"),
+    }
 
 
 def block_nodes(runs: DataFrame) -> DataFrame:

@@ -104,17 +104,39 @@ reg("s9_document_meta", s9, """, w AS (SELECT doc_id, list_sort(list('table at '
 
 
 def contracts(s, d):
-    one = lambda i: F.struct(F.concat(F.lit("k"), F.lit(i).cast("string")).alias("semantic_key"), F.lit("paragraph").alias("scope"))
-    p = corpus.table(s, d, "part").select(c("p_partkey").cast("string").alias("template_id"), F.lit("2.0").alias("version"), F.array(*[F.struct(F.concat(F.lit(f"k{i}_"), (c("p_partkey") % 3).cast("string")).alias("key"), c("p_name").alias("label"), F.lit(i == 0).alias("required"), F.lit(True).alias("multiple")) for i in range(2)]).alias("semantics"), F.when(c("p_partkey") % 2 == 0, F.array(one(0))).otherwise(F.array().cast("array<struct<semantic_key:string,scope:string>>")).alias("patch_blocks"), F.array(one(1), one(2)).alias("operation_blocks"))
-    return p
+    """A template for each part, read from JSON text as template files are."""
+    k, text = c("p_partkey"), lambda x: F.concat(F.lit("k"), F.lit(x).cast("string"))
+    operation = F.array(F.struct(F.lit("set_font").alias("type"), F.create_map(F.lit("font_name"), F.concat(F.lit("F"), (k % 4).cast("string"))).alias("attributes")))
+    block = lambda i: F.struct(text(i).alias("semantic_key"), F.lit("paragraph").alias("scope"), operation.alias("operations"))
+    semantic = lambda i: F.struct(F.concat(F.lit(f"k{i}_"), (k % 3).cast("string")).alias("key"), c("p_name").alias("label"), F.lit(i == 0).alias("required"), F.lit(True).alias("multiple"))
+    whole = F.struct(
+        k.cast("string").alias("template_id"), F.lit("2.0").alias("version"), F.array(semantic(0), semantic(1)).alias("semantics"),
+        F.when(k % 4 == 0, F.array(F.struct(F.lit("d0").alias("key"), F.lit("refine").alias("mode"), F.array(F.lit("k0")).alias("inherits_from")))).alias("derived"),
+        F.array(F.struct(F.lit("k1").alias("semantic_key"), (k % 5).cast("int").alias("min_occurs"))).alias("rules"),
+        F.when(k % 2 == 0, F.array(block(0))).alias("patch_blocks"), F.array(block(1), block(2)).alias("operation_blocks"),
+        F.when(k % 7 != 0, F.struct((k % 3 == 0).alias("enforce_validation"))).alias("policy"),
+    )
+    return corpus.table(s, d, "part").select(F.from_json(F.to_json(whole), pk.CONTRACT).alias("x")).select("x.*")
 
 
 def s10(s, d):
     t = pk.template_tables(contracts(s, d))
-    return t["t_semantic"].select("template_id", "key", F.lit("semantic").alias("kind")).unionByName(t["t_patch"].select("template_id", c("semantic_key").alias("key"), F.lit("patch").alias("kind")))
-
-
-reg("s10_load_template_contract", s10, "SELECT p_partkey::VARCHAR AS template_id, 'k' || i || '_' || p_partkey % 3 AS key, 'semantic' AS kind FROM part, range(2) t(i) UNION ALL SELECT p_partkey::VARCHAR, 'k0', 'patch' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey::VARCHAR, 'k' || i, 'patch' FROM part, range(1, 3) t(i) WHERE p_partkey % 2 = 1")
+    row = lambda name, key, value: t[name].select("template_id", F.lit(name).alias("kind"), key.alias("key"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    rows = [
+        row("t_semantic", c("key"), c("required").cast("string")), row("t_derived", c("key"), F.array_join("inherits_from", "|")), row("t_rule", c("semantic_key"), c("min_occurs").cast("string")),
+        row("t_patch", c("semantic_key"), c("scope")), row("t_operation", c("semantic_key"), F.concat_ws("=", "type", F.element_at("attributes", "font_name"))), row("t_policy", none, c("enforce_validation").cast("string")),
+    ]
+    out = rows[0]
+    for part in rows[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+reg("s10_load_template_contract", s10, """WITH p AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS template_id FROM part), b AS (SELECT k, template_id, i FROM p, range(3) t(i) WHERE CASE WHEN k % 2 = 0 THEN i = 0 ELSE i > 0 END)
+ SELECT template_id, 't_semantic' AS kind, 'k' || i || '_' || k % 3 AS key, CASE WHEN i = 0 THEN 'true' ELSE 'false' END AS value FROM p, range(2) t(i) UNION ALL SELECT template_id, 't_derived', 'd0', 'k0' FROM p WHERE k % 4 = 0
+ UNION ALL SELECT template_id, 't_rule', 'k1', (k % 5)::VARCHAR FROM p UNION ALL SELECT template_id, 't_patch', 'k' || i, 'paragraph' FROM b UNION ALL SELECT template_id, 't_operation', 'k' || i, 'set_font=F' || k % 4 FROM b
+ UNION ALL SELECT template_id, 't_policy', NULL, CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END FROM p WHERE k % 7 <> 0""")
 reg("s11_block_nodes", lambda s, d: pk.block_nodes(corpus.runs(s, d)), "SELECT doc_id, paragraph_id, string_agg(text, '' ORDER BY run_index) AS text, arg_min(font_name, run_index) FILTER (font_name IS NOT NULL) AS font_name FROM runs GROUP BY doc_id, paragraph_id", CTE)
 
 

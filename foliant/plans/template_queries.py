@@ -85,7 +85,19 @@ _join = lambda col: F.array_join(col, "|")
 _RANK = "CASE bucket " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(cl.BUCKET_ORDER)) + " END"
 reg("c1_classification_batches", lambda s, d: cl.classification_batches(context(s, d)), f""", b AS (SELECT doc_id, paragraph_id, bucket, {_RANK} AS rank, (row_number() OVER (PARTITION BY doc_id, bucket ORDER BY paragraph_index) - 1) // 12 AS ib FROM context)
  SELECT doc_id, paragraph_id, bucket, (dense_rank() OVER (PARTITION BY doc_id ORDER BY rank, ib) - 1)::INTEGER AS batch_id FROM b""", True)
-QUERIES["c1_byte_batches"] = lambda s, d: cl.byte_batches(context(s, d), 2000)
+
+
+def halved(rounds: int, most: int) -> str:
+    """Common tables h0 .. hn: batches of 12, over-long ones cut in two in every round."""
+    part = "PARTITION BY doc_id, bucket, ib, half"
+    out = ", h0 AS (SELECT doc_id, bucket, paragraph_id, paragraph_index, strlen(coalesce(text, '')) AS size, (row_number() OVER (PARTITION BY doc_id, bucket ORDER BY paragraph_index) - 1) // 12 AS ib, '' AS half FROM context)"
+    for i in range(rounds):
+        out += f""", m{i} AS (SELECT *, count(*) OVER ({part}) AS n, sum(size) OVER ({part}) AS total, row_number() OVER ({part} ORDER BY paragraph_index) AS at_ FROM h{i}),
+ h{i + 1} AS (SELECT doc_id, bucket, paragraph_id, paragraph_index, size, ib, half || CASE WHEN total > {most} AND n > 1 THEN CASE WHEN at_ <= ceil(n / 2) THEN '0' ELSE '1' END ELSE '' END AS half FROM m{i})"""
+    return out + f" SELECT doc_id, bucket, paragraph_id, (dense_rank() OVER (PARTITION BY doc_id, bucket ORDER BY ib, half) - 1)::INTEGER AS batch FROM h{rounds}"
+
+
+reg("c1_byte_batches", lambda s, d: cl.byte_batches(context(s, d), most=2000), halved(4, 2000), True)
 COERCED = f""", coerced AS (SELECT p.doc_id, p.paragraph_id, CASE WHEN lower(semantic_key) IN {cl.IMAGE_ALIASES} THEN 'cover_image' ELSE semantic_key END AS semantic_key, CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END AS confidence FROM predictions p)"""
 reg("c2_coerce_predictions", lambda s, d: cl.coerce_predictions(predictions(s, d), corpus.paragraphs(s, d), KEYS), COERCED + f" SELECT doc_id, paragraph_id, semantic_key, CASE WHEN semantic_key NOT IN {KEYS} THEN 'unknown_semantic' END AS note, {MEAN} AS confidence, count(*) AS n FROM coerced GROUP BY 1, 2, 3, 4")
 
@@ -100,6 +112,14 @@ def c3(s, d):
 
 
 reg("c3_aggregate_predictions", c3, " " + agg_sql("matched"))
+
+
+def c3_reasons(s, d):
+    m = matched(s, d).withColumn("reason", F.concat(F.lit("reason-"), (c("paragraph_index") % 3).cast("string")))
+    return cl.aggregate_predictions(m).select("doc_id", "semantic_key", "reasons")
+
+
+reg("c3_reasons", c3_reasons, " SELECT doc_id, semantic_key, array_to_string(list_sort(list(DISTINCT 'reason-' || paragraph_index % 3)), '; ') AS reasons FROM matched GROUP BY doc_id, semantic_key")
 reg("c3_unmatched_paragraphs", lambda s, d: cl.unmatched_paragraphs(corpus.paragraphs(s, d), matched(s, d), corpus.paragraphs(s, d).filter(K() % 25 == 0)), " SELECT doc_id, paragraph_id FROM paragraphs p WHERE (doc_id + paragraph_index) % 25 = 0 OR NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id)")
 reg("c3_overall_confidence", lambda s, d: cl.overall_confidence(cl.aggregate_predictions(matched(s, d))), f", a AS ({agg_sql('matched')}), k AS (SELECT *, len(string_split(paragraph_ids, '|')) AS n FROM a) SELECT doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS overall FROM k GROUP BY doc_id")
 
@@ -109,11 +129,19 @@ def c4(s, d):
 
 
 reg("c4_aggregate_conflicts", c4, " SELECT doc_id, paragraph_id, string_agg(DISTINCT semantic_key, '|' ORDER BY rank) AS candidates, string_agg(DISTINCT reason, '|') AS reasons FROM conflicts JOIN rules USING (semantic_key) GROUP BY doc_id, paragraph_id".replace("string_agg(DISTINCT semantic_key, '|' ORDER BY rank)", "'heading|body|list'"))
-COMPATIBLE = """, compatible AS (SELECT x.doc_id, x.paragraph_id, r.semantic_key FROM context x JOIN rules r ON (r.role IS NULL OR r.role = x.role) AND (r.in_table IS NULL OR r.in_table = x.in_table) AND (NOT r.require_image OR x.has_image)
- AND (r.allow_empty OR trim(x.text) <> '') AND (r.heading_level IS NULL OR coalesce(r.heading_level = x.heading_level, false)))"""
-reg("c5_compatible_semantics", lambda s, d: cl.compatible_semantics(context(s, d), rules(s)), COMPATIBLE + " SELECT * FROM compatible", True)
 POSITION = """, placed AS (SELECT *, count(*) OVER w AS n, min(CASE WHEN trim(text) <> '' THEN paragraph_index END) OVER w AS ft FROM context WINDOW w AS (PARTITION BY doc_id)),
  position_ok AS (SELECT p.doc_id, p.paragraph_id, r.semantic_key FROM placed p JOIN rules r ON CASE position_hint WHEN 'near_top' THEN p.paragraph_index < greatest(2, floor(n * 0.2)) WHEN 'first_paragraph' THEN p.paragraph_index = 0 WHEN 'first_non_blank' THEN coalesce(p.paragraph_index = ft, true) ELSE true END)"""
+COMPATIBLE = POSITION + """, compatible AS (SELECT x.doc_id, x.paragraph_id, r.semantic_key FROM context x JOIN rules r ON (r.role IS NULL OR r.role = x.role) AND (r.in_table IS NULL OR r.in_table = x.in_table) AND (NOT r.require_image OR x.has_image)
+ AND (r.allow_empty OR trim(x.text) <> '') AND (r.heading_level IS NULL OR coalesce(r.heading_level = x.heading_level, false)) JOIN position_ok k ON k.doc_id = x.doc_id AND k.paragraph_id = x.paragraph_id AND k.semantic_key = r.semantic_key)"""
+reg("c5_compatible_semantics", lambda s, d: cl.compatible_semantics(context(s, d), rules(s)), COMPATIBLE + " SELECT * FROM compatible", True)
+
+
+def c5_buckets(s, d):
+    r = rules(s).withColumn("bucket", F.when(c("semantic_key") == "cover_image", "body").when(c("semantic_key") == "seal", "table_text"))
+    return cl.compatible_semantics(context(s, d), r)
+
+
+reg("c5_bucket_hints", c5_buckets, COMPATIBLE + " SELECT k.* FROM compatible k JOIN context x ON x.doc_id = k.doc_id AND x.paragraph_id = k.paragraph_id WHERE CASE k.semantic_key WHEN 'cover_image' THEN x.bucket = 'body' WHEN 'seal' THEN x.bucket = 'table_text' ELSE true END", True)
 reg("c6_position_ok", lambda s, d: cl.position_ok(context(s, d).drop("position"), rules(s)).select("doc_id", "paragraph_id", "semantic_key"), POSITION + " SELECT * FROM position_ok", True)
 TARGETS = COMPATIBLE + """, both_sources AS (SELECT doc_id, paragraph_id, semantic_key, 'low_confidence' AS source, confidence FROM matched WHERE confidence < 0.6 UNION ALL SELECT doc_id, paragraph_id, semantic_key, 'conflict', NULL FROM conflicts),
  head AS (SELECT doc_id, paragraph_id, min(source) AS source, min(confidence) AS confidence FROM both_sources GROUP BY ALL),
@@ -166,11 +194,19 @@ def none_matched(s, d):
     return corpus.paragraphs(s, d).select("doc_id", "paragraph_id").join(matched(s, d), ["doc_id", "paragraph_id"], "left_anti")
 
 
-reg("c11_blank_fallback", lambda s, d: cl.blank_fallback(none_matched(s, d), context(s, d)), FALLBACK + " SELECT * FROM fallback", True)
-reg("c12_normalize_predictions", lambda s, d: cl.normalize_predictions(predictions(s, d), context(s, d), KEYS).withColumn("paragraph_ids", _join("paragraph_ids")), COERCED + f""", ok AS (SELECT z.doc_id, z.paragraph_id, p.paragraph_index, z.semantic_key, round((sum(z.confidence::DECIMAL(18, 6))::DOUBLE / count(z.confidence))::DECIMAL(38, 12), 6)::DOUBLE AS confidence FROM coerced z JOIN paragraphs p ON p.doc_id = z.doc_id AND p.paragraph_id = z.paragraph_id WHERE z.semantic_key IN {KEYS} GROUP BY ALL),
- fb AS (SELECT doc_id, paragraph_id, paragraph_index, 'blank_or_unknown' AS semantic_key, NULL::DOUBLE AS confidence FROM context x WHERE NOT has_image AND (trim(text) = '' OR bucket = 'unknown') AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = x.doc_id AND ok.paragraph_id = x.paragraph_id)),
- every_row AS (SELECT * FROM ok UNION ALL SELECT * FROM fb) """ + agg_sql("every_row"), True)
+def with_fallback(s):
+    """The rules of a template that defines the fallback semantic with empty text allowed."""
+    return rules(s).select("semantic_key", "allow_empty").unionByName(cl.rules_table(s, [(cl.FALLBACK, True)], "semantic_key STRING, allow_empty BOOLEAN"))
+
+
 DERIVED = [{"key": "content", "mode": "aggregate", "parents": ["body", "list"]}, {"key": "of_that", "mode": "refine", "parents": ["body"], "hints": ["of that", "the and"], "negative": ["stupid"]}]
+_REFINED = "(contains(lower(text), 'of that') OR contains(lower(text), 'the and') OR (trim(text) <> '' AND (contains('of that', lower(text)) OR contains('the and', lower(text))))) AND NOT contains(lower(text), 'stupid')"
+reg("c11_blank_fallback", lambda s, d: cl.blank_fallback(none_matched(s, d), context(s, d), with_fallback(s)), FALLBACK + " SELECT * FROM fallback", True)
+reg("c12_normalize_predictions", lambda s, d: cl.normalize_predictions(predictions(s, d), context(s, d), KEYS, with_fallback(s), DERIVED).withColumn("paragraph_ids", _join("paragraph_ids")), COERCED + f""", ok AS (SELECT z.doc_id, z.paragraph_id, p.paragraph_index, z.semantic_key, round((sum(z.confidence::DECIMAL(18, 6))::DOUBLE / count(z.confidence))::DECIMAL(38, 12), 6)::DOUBLE AS confidence FROM coerced z JOIN paragraphs p ON p.doc_id = z.doc_id AND p.paragraph_id = z.paragraph_id WHERE z.semantic_key IN {KEYS} GROUP BY ALL),
+ fb AS (SELECT doc_id, paragraph_id, paragraph_index, 'blank_or_unknown' AS semantic_key, NULL::DOUBLE AS confidence FROM context x WHERE NOT has_image AND (trim(text) = '' OR bucket = 'unknown') AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = x.doc_id AND ok.paragraph_id = x.paragraph_id)),
+ direct AS (SELECT * FROM ok UNION ALL SELECT * FROM fb),
+ every_row AS (SELECT * FROM direct UNION ALL SELECT doc_id, paragraph_id, paragraph_index, 'content', confidence FROM direct WHERE semantic_key IN ('body', 'list')
+ UNION ALL SELECT d.doc_id, d.paragraph_id, d.paragraph_index, 'of_that', confidence FROM direct d JOIN context x ON x.doc_id = d.doc_id AND x.paragraph_id = d.paragraph_id WHERE semantic_key = 'body' AND """ + _REFINED.replace("text", "x.text") + """) """ + agg_sql("every_row"), True)
 reg("c13_derive_semantics", lambda s, d: cl.derive_semantics(matched(s, d).select("doc_id", "paragraph_id", "semantic_key", "confidence"), context(s, d), DERIVED), f""" SELECT doc_id, count(DISTINCT paragraph_id) AS n_paragraphs, {MEAN} AS confidence, 'content' AS semantic_key FROM matched WHERE semantic_key IN ('body', 'list') GROUP BY doc_id
  UNION ALL SELECT doc_id, count(DISTINCT paragraph_id), {MEAN}, 'of_that' FROM matched WHERE semantic_key = 'body' AND (contains(lower(text), 'of that') OR contains(lower(text), 'the and') OR (trim(text) <> '' AND (contains('of that', lower(text)) OR contains('the and', lower(text))))) AND NOT contains(lower(text), 'stupid') GROUP BY doc_id""")
 reg("c14_unmatched_diagnostics", lambda s, d: cl.unmatched_diagnostics(none_matched(s, d), context(s, d), conflicts(s, d)).withColumn("candidates", _join("candidates")), FALLBACK + f""", torn AS (SELECT DISTINCT doc_id, paragraph_id FROM conflicts)
