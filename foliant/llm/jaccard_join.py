@@ -320,7 +320,8 @@ def whole_sets(rows: DataFrame, placed: DataFrame, k: int) -> DataFrame:
             got = pa.array([s.tobytes() for s in row_sets(batch, k)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), got], ["node", "component", "s"])
 
-    texts = rows.select("row", "text").join(placed, "row").dropDuplicates(["row"])
+    # A merge join at every size: it leaves repeated rows side by side, so that dropping them moves no text again.
+    texts = rows.select("row", "text").join(placed.hint("merge"), "row").dropDuplicates(["row"])
     return texts.select("node", "component", "text").mapInArrow(sets, "node long, component long, s binary")
 
 
