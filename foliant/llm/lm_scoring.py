@@ -14,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, SLICE_BYTES, bucket_of, documents, mix, quantiles, shuffle_partitions, slices, text_buffers, word_hashes
+from .common import _STEP, SLICE_BYTES, documents, mix, quantiles, shuffle_partitions, slices, text_buffers, word_hashes
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-SLICE_CHARS, WEIGHT_CHARS, PARTITION_WORDS, HELD_WORDS, HELD_BYTES = 16 << 20, 4096, 1 << 21, 1 << 21, 32 << 20
+SLICE_CHARS, WEIGHT_CHARS, PARTITION_WORDS, HELD_WORDS, HELD_BYTES = 16 << 20, 4096, 1 << 21, 1 << 21, 16 << 20
 
 
 def grams(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +69,16 @@ def unpack_counts(blob: bytes) -> np.ndarray:
 TABLE = "slice int, gram int, part long, keys binary, counts binary"
 
 
-def slice_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    """Distinct n-grams of the rows of each slice with counts, one row per hash partition of 2**bits."""
+def slices_of_rows(batch: pa.RecordBatch, cuts: np.ndarray) -> np.ndarray:
+    """The slice of each row (doc_id, dealt): how many of the cuts lie below its doc_id; dealt where it has none."""
+    ids = batch.column(0)
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    at = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int32)
+    return np.where(known, at, batch.column(1).to_numpy())
+
+
+def slice_counts(docs: DataFrame, cuts: Broadcast, order: int, bits: int) -> DataFrame:
+    """Distinct n-grams of the rows (doc_id, dealt, text) of each slice with counts, one row per hash partition of 2**bits."""
 
     def table(grams_of: dict[int, list[np.ndarray]], slices_of: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
         rows = []
@@ -90,8 +99,8 @@ def slice_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, held = {}, {}, 0
         for batch in slices(batches):
-            words, at = word_hashes(*text_buffers(batch.column(1)))
-            own = np.repeat(batch.column(0).to_numpy(), np.diff(at))
+            words, at = word_hashes(*text_buffers(batch.column(2)))
+            own = np.repeat(slices_of_rows(batch, cuts.value), np.diff(at))
             for k in range(1, order + 1):
                 key, ok = grams(words, at, k)
                 keys.setdefault(k, []).append(key[ok])
@@ -103,7 +112,7 @@ def slice_counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
         if held:
             yield table(keys, owners)
 
-    return docs.select("slice", "text").mapInArrow(run, TABLE)
+    return docs.mapInArrow(run, TABLE)
 
 
 def corpus_counts(counted: DataFrame, bits: int, min_count: int) -> DataFrame:
@@ -163,8 +172,8 @@ def score_words(words: np.ndarray, at: np.ndarray, tables: dict[int, np.ndarray]
 PACKED = "slice int, ids binary, known binary, sizes binary, texts binary"
 
 
-def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slice, doc_id, text) as one compressed block for each slice of about HELD_BYTES of text."""
+def packed_texts(docs: DataFrame, cuts: Broadcast) -> DataFrame:
+    """Rows (doc_id, dealt, text) as one compressed block for each slice of about HELD_BYTES of text."""
 
     def blocks(held: dict[int, list[tuple[int, bytes]]]) -> pa.RecordBatch:
         columns = [], [], [], [], []
@@ -178,17 +187,20 @@ def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)]
         return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in PACKED.split(", ")])
 
-    held, size = {}, 0
-    for batch in slices(batches):
-        for s, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw = t.encode()
-            held.setdefault(s, []).append((d, raw))
-            size += len(raw)
-        if size >= HELD_BYTES:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in slices(batches):
+            for s, d, t in zip(slices_of_rows(batch, cuts.value).tolist(), batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                raw = t.encode()
+                held.setdefault(s, []).append((d, raw))
+                size += len(raw)
+            if size >= HELD_BYTES:
+                yield blocks(held)
+                held, size = {}, 0
+        if held:
             yield blocks(held)
-            held, size = {}, 0
-    if held:
-        yield blocks(held)
+
+    return docs.mapInArrow(run, PACKED)
 
 
 def block_words(sizes: bytes, texts: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -228,9 +240,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_co
     bits = max(8, (total // PARTITION_WORDS).bit_length())
     # Slices are ranges of doc_id of about equal size: a row weighs by its length. Rows without id are dealt by text.
     weighted = rows.select("doc_id", F.explode(F.sequence(F.lit(0), (F.length("text") / WEIGHT_CHARS).cast("int")))).select("doc_id")
-    dealt = F.pmod(F.xxhash64("text"), F.lit(n_slices)).cast("int")
-    rows = rows.withColumn("slice", F.coalesce(bucket_of(spark, quantiles(weighted, n_slices))("doc_id"), dealt))
-    back = corpus_counts(slice_counts(rows, order, bits), bits, min_count)
+    cuts = spark.sparkContext.broadcast(np.array(quantiles(weighted, n_slices), np.int64))
+    rows = rows.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(n_slices)).cast("int").alias("dealt"), "text")
+    back = corpus_counts(slice_counts(rows, cuts, order, bits), bits, min_count)
 
     def score(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         tables = {int(k): np.concatenate([unpack_counts(r) for r in own.sort_values("part")["counts"]]) for k, own in table.groupby("gram")}
@@ -243,8 +255,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_co
         known = np.concatenate([np.frombuffer(x, bool) for x in texts["known"]])
         return pd.DataFrame({"doc_id": ids.where(known, pd.NA), "n_words": n, "log_score": sums, "n_backoff": missed})
 
-    packed = rows.select("slice", "doc_id", "text").mapInArrow(pack_texts, PACKED)
-    scored = packed.groupBy("slice").cogroup(back.groupBy("slice")).applyInPandas(score, RESULT)
+    scored = packed_texts(rows, cuts).groupBy("slice").cogroup(back.groupBy("slice")).applyInPandas(score, RESULT)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
