@@ -46,10 +46,13 @@ def writable_split(matched: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def target_status(intents: DataFrame) -> DataFrame:
-    """The first error of an intent. intents: counts of requested, missing, matched and writable targets."""
+    """The first error of an intent. intents: counts of requested, missing, matched and writable targets, and, for
+    intents on patch targets, n_patch_targets (else null), which alone decides there."""
+    patches = F.col("n_patch_targets") if "n_patch_targets" in intents.columns else F.lit(None).cast("long")
     return intents.withColumn(
         "error",
         F.when(F.col("op_type") == "set_page_layout", None)
+        .when(patches == 0, "E_PATCH_TARGETS_EMPTY").when(patches > 0, None)
         .when(F.col("n_missing_paragraphs") > 0, "E_PARAGRAPH_TARGETS_MISSING").when(F.col("n_missing_nodes") > 0, "E_NODE_TARGETS_MISSING")
         .when((F.col("n_matched") > 0) & (F.col("n_writable") == 0), "E_SELECTOR_TARGETS_EMPTY").when(F.col("n_matched") == 0, "E_SELECTOR_NO_MATCH"),
     )

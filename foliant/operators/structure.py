@@ -128,13 +128,14 @@ def project_nodes(runs: DataFrame) -> DataFrame:
 
 
 def structure_index(indexed: DataFrame, listed: DataFrame, derived: DataFrame) -> DataFrame:
-    """The paragraphs of the best source that a document has: index, list, derived."""
+    """The paragraphs of the best source that a document has (index, list, derived), beside its number of their role."""
     every = None
     for rank, part in enumerate((indexed, listed, derived)):
         part = part.select("doc_id", "paragraph_id", "role").withColumn("source_rank", F.lit(rank))
         every = part if every is None else every.unionByName(part)
     best = every.groupBy("doc_id").agg(F.min("source_rank").alias("source_rank"))
-    return every.join(best, ["doc_id", "source_rank"])
+    chosen = every.join(best, ["doc_id", "source_rank"])
+    return chosen.join(role_counts(chosen).withColumnRenamed("n", "n_role"), ["doc_id", "role"], "left")
 
 
 def projection_diagnostics(paragraphs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -166,15 +167,25 @@ def image_evidence(inline: DataFrame) -> DataFrame:
     return out.select("doc_id", "paragraph_id", "n_images", (F.col("n_images") > 0).alias("has_image"), ((F.col("n_images") > 0) & (F.col("n_text") == 0)).alias("image_dominant"))
 
 
-def paragraph_context(paragraphs: DataFrame) -> DataFrame:
-    """Position, first and last flags, bucket and image flags beside each paragraph."""
+RUN_STYLE = ("font_name", "font_size_pt", "is_bold")
+
+
+def paragraph_context(paragraphs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Position, first and last flags, bucket and image flags beside each paragraph; with runs also the ordered ids
+    and direct styles of its runs."""
     order, whole = Window.partitionBy("doc_id").orderBy("paragraph_index"), Window.partitionBy("doc_id")
     out = paragraphs.withColumn("position", F.row_number().over(order) - 1).withColumn("n_paragraphs", F.count("*").over(whole))
-    return (
+    out = (
         out.withColumn("is_first", F.col("position") == 0).withColumn("is_last", F.col("position") == F.col("n_paragraphs") - 1)
         .withColumn("bucket", st.bucket_type("role", "in_table"))
         .withColumn("has_image", F.col("n_images") > 0).withColumn("image_dominant", (F.col("n_images") > 0) & (F.trim("text") == ""))
     )
+    if runs is None:
+        return out
+    rows = F.array_sort(F.collect_list(F.struct("run_index", "run_id", F.struct(*RUN_STYLE).alias("style"))))
+    own = runs.groupBy("doc_id", "paragraph_id").agg(rows.alias("_rows"))
+    own = own.select("doc_id", "paragraph_id", F.transform("_rows", lambda x: x["run_id"]).alias("run_ids"), F.transform("_rows", lambda x: x["style"]).alias("run_styles"))
+    return out.join(own, ["doc_id", "paragraph_id"], "left")
 
 
 def evidence_summary(context: DataFrame) -> DataFrame:
@@ -195,8 +206,16 @@ def observation_summary(context: DataFrame) -> DataFrame:
 
 
 def structure_samples(paragraphs: DataFrame, n: int = 20) -> DataFrame:
+    """The first n paragraphs of each document, each beside the document's number of paragraphs of its role."""
     order = Window.partitionBy("doc_id").orderBy("paragraph_index")
-    return paragraphs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    same = F.count("*").over(Window.partitionBy("doc_id", "role"))
+    return paragraphs.withColumn("n_role", same).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
+def block_samples(blocks: DataFrame, n: int = 6) -> DataFrame:
+    """The first n blocks of each document."""
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    return blocks.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
 def inspect_count(nodes: DataFrame) -> DataFrame:

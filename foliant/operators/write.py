@@ -312,10 +312,15 @@ def patch_history(patches: DataFrame) -> DataFrame:
 
 
 def change_diff(before: DataFrame, after: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
-    """One row per run and attribute whose value differs, as text; unset differs from false."""
-    pairs = lambda df, side: df.select("doc_id", "run_id", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias(side)) for a in attributes])).alias("x")).select("doc_id", "run_id", "x.*")
-    both = pairs(before, "before").join(pairs(after, "after"), ["doc_id", "run_id", "attribute"], "full")
-    return both.filter(~F.col("before").eqNullSafe(F.col("after")))
+    """One row per run and attribute whose value differs, as text; unset differs from false.
+
+    The sides meet once by run and are compared inside the row; only what differs becomes rows.
+    """
+    side = lambda df, name: df.select("doc_id", "run_id", F.struct(*[F.col(a).cast("string").alias(a) for a in attributes]).alias(name))
+    both = side(before, "_b").join(side(after, "_a"), ["doc_id", "run_id"], "full")
+    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(f"_b.{a}").alias("before"), F.col(f"_a.{a}").alias("after")) for a in attributes])
+    changed = F.filter(pairs, lambda x: ~x["before"].eqNullSafe(x["after"]))
+    return both.select("doc_id", "run_id", F.explode(changed).alias("x")).select("doc_id", "run_id", "x.*")
 
 
 def state_as_of(patches: DataFrame, rolled_back: DataFrame) -> DataFrame:

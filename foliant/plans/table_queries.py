@@ -160,7 +160,7 @@ def t15(s, d):
     return ops.structure_index(part(2), part(1).withColumn("role", F.upper("role")), derived)
 
 
-add("t15_structure_index", t15, "SELECT doc_id, paragraph_id, CASE doc_id % 3 WHEN 2 THEN role WHEN 1 THEN upper(role) ELSE CASE WHEN in_table THEN 'table_text' ELSE 'body' END END AS role, (2 - doc_id % 3)::INTEGER AS source_rank FROM paragraphs", CTE)
+add("t15_structure_index", t15, ", chosen AS (SELECT doc_id, paragraph_id, CASE doc_id % 3 WHEN 2 THEN role WHEN 1 THEN upper(role) ELSE CASE WHEN in_table THEN 'table_text' ELSE 'body' END END AS role, (2 - doc_id % 3)::INTEGER AS source_rank FROM paragraphs) SELECT *, count(*) OVER (PARTITION BY doc_id, role) AS n_role FROM chosen", CTE)
 
 
 def t16(s, d):
@@ -198,6 +198,15 @@ def context(s, d):
 add("t20_paragraph_context", lambda s, d: context(s, d).select(*_ctx), CONTEXT + " SELECT doc_id, paragraph_id, position, position = 0 AS is_first, position = n_paragraphs - 1 AS is_last, bucket, has_image, image_dominant FROM context", CTE)
 
 
+def t20_runs(s, d):
+    show = F.array_join(F.transform("run_styles", lambda x: F.concat_ws("/", F.coalesce(x["font_name"], F.lit("-")), F.coalesce(x["font_size_pt"].cast("string"), F.lit("-")), F.coalesce(x["is_bold"].cast("string"), F.lit("-")))), "|")
+    return ops.paragraph_context(corpus.paragraphs(s, d), corpus.runs(s, d)).select("doc_id", "paragraph_id", _join("run_ids").alias("run_ids"), show.alias("run_styles"))
+
+
+add("t20_paragraph_runs", t20_runs, """, r AS (SELECT doc_id, paragraph_id, string_agg(run_id, '|' ORDER BY run_index) AS run_ids, string_agg(coalesce(font_name, '-') || '/' || coalesce(font_size_pt::VARCHAR, '-') || '/' || coalesce(is_bold::VARCHAR, '-'), '|' ORDER BY run_index) AS run_styles FROM runs GROUP BY ALL)
+ SELECT p.doc_id, p.paragraph_id, run_ids, run_styles FROM paragraphs p LEFT JOIN r USING (doc_id, paragraph_id)""", CTE)
+
+
 def t21(s, d):
     show = F.array_join(F.transform("styles", lambda x: F.concat_ws(":", x["style_name"], x["n"].cast("string"))), "|")
     return ops.evidence_summary(context(s, d)).withColumn("styles", show).withColumn("patterns", _join("patterns"))
@@ -211,7 +220,10 @@ add("t21_evidence_summary", t21, CONTEXT + f""", h AS (SELECT doc_id, string_agg
  SELECT * FROM g JOIN h USING (doc_id)""", CTE)
 add("t22_observation_summary", lambda s, d: ops.observation_summary(context(s, d)), CONTEXT + f""" SELECT doc_id, paragraph_id, role, CASE WHEN length({T}) > 120 THEN substr({T}, 1, 117) || '...' ELSE {T} END AS excerpt,
  count(*) FILTER (in_table) OVER w AS n_table, count(*) FILTER (has_image) OVER w AS n_image_paragraphs FROM context WINDOW w AS (PARTITION BY doc_id)""", CTE)
-add("t23_structure_samples", lambda s, d: ops.structure_samples(corpus.paragraphs(s, d)).select("doc_id", "paragraph_id", "role", "place"), "SELECT * FROM (SELECT doc_id, paragraph_id, role, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index)::INTEGER AS place FROM paragraphs) WHERE place <= 20", CTE)
+add("t23_structure_samples", lambda s, d: ops.structure_samples(corpus.paragraphs(s, d)).select("doc_id", "paragraph_id", "role", "n_role", "place"), "SELECT * FROM (SELECT doc_id, paragraph_id, role, count(*) OVER (PARTITION BY doc_id, role) AS n_role, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index)::INTEGER AS place FROM paragraphs) WHERE place <= 20", CTE)
+add("t23_block_samples", lambda s, d: ops.block_samples(t1(s, d)).select("doc_id", "node_type", "anchor", "place"), """, blocks AS (SELECT doc_id, paragraph_index AS seq, CASE WHEN in_table THEN 'table' WHEN (doc_id + paragraph_index) % 15 = 0 THEN 'section_break' ELSE 'paragraph' END AS node_type FROM paragraphs),
+ placed AS (SELECT *, 'body/' || node_type || '[' || (row_number() OVER (PARTITION BY doc_id, node_type ORDER BY seq) - 1) || ']' AS anchor, row_number() OVER (PARTITION BY doc_id ORDER BY seq)::INTEGER AS place FROM blocks)
+ SELECT doc_id, node_type, anchor, place FROM placed WHERE place <= 6""", CTE)
 add("t24_inspect_count", lambda s, d: ops.inspect_count(ops.project_nodes(corpus.runs(s, d))), "SELECT doc_id, count(*) AS n_nodes FROM runs WHERE trim(text) <> '' GROUP BY ALL", CTE)
 
 # ---------------------------------------------------------------- selection
@@ -257,12 +269,13 @@ add("j6_writable_split", lambda s, d: sel.writable_split(corpus.paragraphs(s, d)
 def j7(s, d):
     p = corpus.paragraphs(s, d).join(nodes(s, d).select("doc_id", "paragraph_id").distinct().withColumn("w", F.lit(1)), ["doc_id", "paragraph_id"], "left")
     g = p.groupBy("doc_id", "role").agg(F.count("*").alias("n_matched"), F.count("w").alias("n_writable"), F.count_if(c("paragraph_index") > 60).alias("n_missing_paragraphs"), F.lit(0).cast("long").alias("n_missing_nodes"))
+    g = g.withColumn("n_patch_targets", F.when(c("role") == "subtitle", c("n_writable")))
     return sel.target_status(g.withColumn("op_type", F.when(c("role") == "title", "set_page_layout").otherwise("set_font"))).select("doc_id", "role", "error")
 
 
 add("j7_target_status", j7, NODES + """, w AS (SELECT DISTINCT doc_id, paragraph_id FROM nodes),
  g AS (SELECT p.doc_id, p.role, count(*) AS m, count(w.doc_id) AS n, count(*) FILTER (paragraph_index > 60) AS x FROM paragraphs p LEFT JOIN w ON w.doc_id = p.doc_id AND w.paragraph_id = p.paragraph_id GROUP BY ALL)
- SELECT doc_id, role, CASE WHEN role = 'title' THEN NULL WHEN x > 0 THEN 'E_PARAGRAPH_TARGETS_MISSING' WHEN n = 0 THEN 'E_SELECTOR_TARGETS_EMPTY' END AS error FROM g""", CTE)
+ SELECT doc_id, role, CASE WHEN role = 'title' THEN NULL WHEN role = 'subtitle' THEN CASE WHEN n = 0 THEN 'E_PATCH_TARGETS_EMPTY' END WHEN x > 0 THEN 'E_PARAGRAPH_TARGETS_MISSING' WHEN n = 0 THEN 'E_SELECTOR_TARGETS_EMPTY' END AS error FROM g""", CTE)
 _PART = lambda: F.when(c("part_kind") != "main_document", F.concat(F.lit("word/"), "part_kind", F.lit(".xml"))).alias("part_path")
 add("j8_part_paths", lambda s, d: sel.part_paths(nodes(s, d), corpus.paragraphs(s, d).select("doc_id", "paragraph_id", _PART())), NODES + " SELECT DISTINCT n.doc_id, CASE WHEN part_kind = 'main_document' THEN 'word/document.xml' ELSE 'word/' || part_kind || '.xml' END AS part_path FROM nodes n JOIN paragraphs p USING (doc_id, paragraph_id)", CTE)
 _INTENTS = [("op1", "set_font", "body"), ("op2", "merge_paragraph", "heading"), ("op3", "split_paragraph", "list_item")]
