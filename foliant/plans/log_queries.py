@@ -220,11 +220,9 @@ reg("e15_retry_stats", lambda s, d: au.retry_stats(corpus.steps(s, d)), "SELECT
 reg("e15_retry_stats_by_step", lambda s, d: au.retry_stats(corpus.steps(s, d), by=("run_id", "step_id", "op_type")), "SELECT run_id, step_id, op_type, sum(retries)::BIGINT AS n_retries, count(*) FILTER (retries >= 3 AND status = 'failed') AS n_exhausted, round(avg(duration_ms), 4) AS mean_ms, max(duration_ms) AS max_ms FROM steps GROUP BY ALL", views.STEPS)
 reg("e16_confirmation_needed", lambda s, d: au.needs_confirmation(corpus.steps(s, d)).select("run_id", "step_id", "op_type"), "SELECT run_id, step_id, op_type FROM steps WHERE NOT read_only AND op_type IN ('merge_paragraph', 'split_paragraph')", views.STEPS)
 reg("e17_change_summary", lambda s, d: au.change_summary(corpus.steps(s, d)), "SELECT run_id, 'ChangeSet(' || run_id || ') ' || CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'rolled back' ELSE 'committed' END || ', total=' || count(*) || chr(10) || string_agg('- ' || step_id || ': ' || op_type || ' x' || n_targets, chr(10) ORDER BY ts, step_id) AS summary FROM steps WHERE NOT read_only GROUP BY run_id", views.STEPS)
-_JSON_LINE = F.concat(F.lit('{"phase": "'), "event_type", F.lit('", '), F.substring("props", F.lit(2), F.length("props")))
-
-
 def e18(s, d):
-    lines = corpus.table(s, d, "events").select(c("user_id").alias("run_id"), "ts", "event_id", F.when(c("event_id") % 2 == 0, _JSON_LINE).otherwise(c("event_type")).alias("line"))
+    json_line = F.concat(F.lit('{"phase": "'), "event_type", F.lit('", '), F.substring("props", F.lit(2), F.length("props")))
+    lines = corpus.table(s, d, "events").select(c("user_id").alias("run_id"), "ts", "event_id", F.when(c("event_id") % 2 == 0, json_line).otherwise(c("event_type")).alias("line"))
     return au.log_digest(lines, phase="phase")
 
 
