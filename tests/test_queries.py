@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from foliant import registry
@@ -15,3 +19,9 @@ def test_query(spark, sf, name):
         assert got == expected(sf, registry.SQL[name])
     else:
         assert got[1]
+
+
+def test_contract_without_a_session():
+    """The driver's contract is importable before Spark runs, and every SQL belongs to a query."""
+    code = "import __spark_entry__ as e; assert e.oracle_sql().keys() <= e.queries().keys() and len(e.queries()) > 190"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
