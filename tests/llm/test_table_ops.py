@@ -84,7 +84,7 @@ def near_copies(seed, m):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_jaccard_blocks(spark, monkeypatch, seed):
     """Groups beyond a block are verified along their candidate pairs, and by blocks where these don't all link."""
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 5)
