@@ -12,6 +12,7 @@ from foliant.operators import package as pk
 from foliant.operators import structure as ops
 from foliant.sources import corpus
 from foliant.sources import packages as pg
+from foliant.sources.shared import written
 
 from . import views
 from .table_queries import CTE
@@ -31,9 +32,9 @@ def parts(s: SparkSession, d: str) -> DataFrame:
 
 
 def parsed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and parts of all packages."""
-    found = parts(s, d)
-    return pg.xml_nodes(found), found.drop("xml")
+    """Nodes and parts of all packages, each written once: zips are opened and XML is walked once for all that read them."""
+    found = written(parts(s, d))
+    return written(pg.xml_nodes(found)), found.drop("xml")
 
 
 def numbered(df: DataFrame) -> DataFrame:
