@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, hnsw, jaccard_join, lm_scoring, mixing, packing, pii, substring_dedup, token_counts, toxicity
+from . import fingerprints, hnsw, jaccard_join, lm_scoring, merkle, mixing, packing, pii, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_embedding_dedup": hnsw.op10_embedding_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -22,4 +23,5 @@ SQL: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_embedding_dedup": hnsw.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
