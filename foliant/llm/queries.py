@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, hnsw, jaccard_join, lm_scoring, merkle, mixing, packing, pii, substring_dedup, token_counts, toxicity
+from . import alignment, fingerprints, hnsw, jaccard_join, lm_scoring, merkle, mixing, packing, pieces, pii, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_embedding_dedup": hnsw.op10_embedding_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_pieces": pieces.op12_pieces,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 SQL: dict[str, str] = {
