@@ -8,21 +8,47 @@ from pyspark.sql import functions as F
 from foliant.functions import text as tx
 
 
-def atomic_plan(matched: DataFrame, blocks: list[str], derived: list[dict]) -> DataFrame:
-    """Paragraphs per block: a derived semantic takes its share from its parents, in declared order.
+# Scopes of blocks that stand for a document, with or without paragraphs.
+DOCUMENT_SCOPES = ("section", "style", "numbering_level", "settings_node")
 
-    derived items: key, parents, paragraphs (a DataFrame doc_id, paragraph_id) that it claims. The list is a template's
-    and short; each item is one semi join and one anti join.
+
+def claim_steps(derived: DataFrame) -> DataFrame:
+    """(template_id, steps): for every derived semantic, in declared order, the semantics that it takes paragraphs from.
+
+    derived: (template_id, seq, key, mode, parents). All take from their parents; a refined one also takes from the
+    aggregates that share a parent with it, wherever these are declared.
+    """
+    each = derived.select("template_id", "seq", "key", "mode", F.explode("parents").alias("parent"))
+    refined, aggregate = each.filter("mode = 'refine'"), each.filter("mode <> 'refine'").select("template_id", "parent", F.col("key").alias("target"))
+    siblings = refined.join(aggregate, ["template_id", "parent"]).select("template_id", "seq", "key", "target")
+    claims = each.select("template_id", "seq", "key", F.col("parent").alias("target")).unionByName(siblings).filter("target <> key")
+    steps = claims.groupBy("template_id", "seq", "key").agg(F.collect_set("target").alias("targets"))
+    return steps.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "targets"))).alias("steps"))
+
+
+def atomic_plan(held: DataFrame, derived: DataFrame, blocks: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, block, paragraph_id): what every block and derived semantic of a plan works on.
+
+    held: (doc_id, paragraph_id, semantic_key), matches and the paragraphs of derived semantics alike; derived as for
+    claim_steps; blocks: (template_id, block, scope), those with an operation. All may have a template_id per row, and
+    held has none where there is only one template. A derived semantic takes its paragraphs from others, in declared
+    order; what an earlier one has taken from it, it no longer takes. Blocks without paragraphs drop out, but one of a
+    document-level scope stands once for each of docs, with a null paragraph.
+
+    Claims are resolved inside a paragraph's row, over the few semantics that hold it: one aggregation in all.
     """
-    rest, out = matched.select("doc_id", "paragraph_id", "semantic_key").distinct(), None
-    for d in derived:
-        own = rest.filter(F.col("semantic_key").isin(*d["parents"])).join(d["paragraphs"], ["doc_id", "paragraph_id"], "left_semi")
-        taken = own.withColumn("block", F.lit(d["key"]))
-        rest = rest.join(own, ["doc_id", "paragraph_id", "semantic_key"], "left_anti")
-        out = taken if out is None else out.unionByName(taken)
-    direct = rest.filter(F.col("semantic_key").isin(*blocks)).withColumn("block", F.col("semantic_key"))
-    out = direct if out is None else out.unionByName(direct)
-    return out.select("doc_id", "block", "paragraph_id").distinct()
+    keys = ["doc_id", "paragraph_id"]
+    own = held if "template_id" in held.columns else held.withColumn("template_id", F.lit(""))
+    rows = own.groupBy("template_id", *keys).agg(F.collect_set("semantic_key").alias("keys")).join(F.broadcast(claim_steps(derived)), "template_id", "left")
+    take = lambda left, s: F.when(F.array_contains(left, s["key"]), F.array_except(left, s["targets"])).otherwise(left)
+    left = F.when(F.col("steps").isNull(), F.col("keys")).otherwise(F.aggregate("steps", F.col("keys"), take))
+    out = rows.select("template_id", *keys, F.explode(left).alias("block")).join(F.broadcast(blocks.select("template_id", "block").distinct()), ["template_id", "block"])
+    if docs is not None:
+        whole = F.broadcast(blocks.filter(F.col("scope").isin(*DOCUMENT_SCOPES)).select("template_id", "block").distinct())
+        own = docs.select("doc_id", "template_id" if "template_id" in docs.columns else F.lit("").alias("template_id")).join(whole, "template_id")
+        bare = own.join(out.select("doc_id", "template_id", "block").distinct(), ["doc_id", "template_id", "block"], "left_anti")
+        out = out.unionByName(bare.withColumn("paragraph_id", F.lit(None).cast("string")))
+    return out.select(*(["template_id"] if "template_id" in held.columns else []), "doc_id", "block", "paragraph_id")
 
 
 def block_operations(blocks: DataFrame) -> DataFrame:

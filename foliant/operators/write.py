@@ -212,9 +212,10 @@ def split_language(runs: DataFrame) -> DataFrame:
     known = lambda kind: F.when(kind.isin("zh", "en"), kind)
     kind = lambda i: F.get("kinds", i)
     language = lambda k, i: F.when(k == "punct", F.coalesce(known(kind(i + 1)), known(kind(i - 1)), F.lit("unknown"))).otherwise(F.coalesce(known(k), F.lit("unknown")))
-    out = runs.withColumn("pieces", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_STRETCH), F.lit(0)))
+    # A filter on what is computed below would be pushed under it and written out again for every piece.
+    out = runs.filter("text <> ''").withColumn("pieces", F.regexp_extract_all("text", F.lit(_STRETCH), F.lit(0)))
     out = out.withColumn("kinds", F.transform("pieces", lambda x: tx.char_language(F.substring(x, 1, 1))))
-    out = out.withColumn("languages", F.transform("kinds", language)).filter(F.size("languages") > 0)
+    out = out.withColumn("languages", F.transform("kinds", language))
     changes = lambda i: (i == 0) | (F.get("languages", i) != F.get("languages", i - 1))
     out = out.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("languages") - 1), changes))
     end = lambda j: F.coalesce(F.get("starts", j + 1), F.size("pieces"))
@@ -269,41 +270,45 @@ def apply_section_patches(docs: DataFrame, patches: DataFrame) -> DataFrame:
     return page_layout(docs, own.select("doc_id", F.col("attribute").alias("field"), "value", "seq"))
 
 
-def replaced_nodes(nodes: DataFrame, edits: DataFrame) -> DataFrame:
-    """Nodes with the last element that an edit gives for them; nodes below a replaced one go."""
-    new = edits.groupBy("doc_id", "path").agg(F.max_by("value", "seq").alias("xml"))
-    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
-    below = nodes.filter(F.size(F.split("path", "/")) > 1).select("doc_id", "path", F.explode(above).alias("over"))
-    gone = below.join(new.select("doc_id", F.col("path").alias("over")), ["doc_id", "over"]).select("doc_id", "path").distinct()
-    out = nodes.join(gone, ["doc_id", "path"], "left_anti").join(new, ["doc_id", "path"], "left")
-    opening = F.regexp_extract("xml", "^\\s*<([^>]*?)/?>", 1)
-    pairs = F.transform(F.regexp_extract_all(opening, F.lit('[^\\s=]+\\s*=\\s*"[^"]*"'), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "^[^\\s=]+", 0).alias("key"), F.regexp_extract(x, '"([^"]*)"', 1).alias("value")))
-    pick = lambda xml, old: F.when(F.col("xml").isNull(), F.col(old)).otherwise(xml).alias(old)
-    text = F.regexp_replace(F.regexp_extract("xml", "^\\s*<[^>]*>(?s)(.*)</[^>]*>\\s*$", 1), "<[^>]*>", "")
-    return out.select("doc_id", "path", pick(F.regexp_extract(opening, "^[^\\s/]+", 0), "tag"), pick(text, "text"), pick(F.map_from_entries(pairs), "attrs"))
+def _last_of_each(changes: Column) -> Column:
+    """The last change of every name, of changes in their order."""
+    return F.filter(changes, lambda x, i: ~F.exists(F.slice(changes, i + 2, F.size(changes)), lambda y: y["name"] == x["name"]))
 
 
 def edit_nodes(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """set_attr, remove_attr, set_text, remove_node, ensure_node and replace_node_xml on (doc_id, path, tag, text, attrs MAP).
 
     edits: (doc_id, path, seq, type, name, value). A node is replaced first: tag, attributes and text come from the
-    new element and the nodes below it go. Of several edits of one attribute the last wins; removal of a node beats
-    edits of it.
+    new element and the nodes below it go, replaced ones among them; ensured nodes are made where none is left. Of
+    several edits of one attribute the last wins; removal of a node takes all below it and beats edits of them.
+
+    A subtree is an interval of a document's paths in order: from the node's key to its key and a sign above all that
+    follow a node. Intervals nest, so a node lies in one exactly if the largest end before it is beyond its key: one
+    join with the edits, then one sort of each document, and no row for an ancestor.
     """
-    nodes = replaced_nodes(nodes, edits.filter("type = 'replace_node_xml'"))
-    on_attr = edits.filter(F.col("type").isin("set_attr", "remove_attr")).groupBy("doc_id", "path", "name").agg(F.max_by(F.struct("type", "value"), "seq").alias("x"))
-    on_attr = on_attr.groupBy("doc_id", "path").agg(F.collect_list(F.struct("name", "x")).alias("changes"))
-    texts = edits.filter("type = 'set_text'").groupBy("doc_id", "path").agg(F.max_by(F.coalesce("value", F.lit("")), "seq").alias("new_text"))
-    gone = edits.filter("type = 'remove_node'").select("doc_id", "path").distinct()
-    wanted = edits.filter("type = 'ensure_node'").groupBy("doc_id", "path").agg(F.max_by("value", "seq").alias("tag"))
-    made = wanted.join(nodes, ["doc_id", "path"], "left_anti").select("doc_id", "path", "tag", F.lit("").alias("text"), F.create_map().cast("map<string,string>").alias("attrs"))
-    out = nodes.select("doc_id", "path", "tag", "text", "attrs").unionByName(made).join(gone, ["doc_id", "path"], "left_anti")
-    out = out.join(on_attr, ["doc_id", "path"], "left").join(texts, ["doc_id", "path"], "left")
-    changes = F.coalesce("changes", F.array().cast("array<struct<name:string,x:struct<type:string,value:string>>>"))
-    named = F.transform(changes, lambda c: c["name"])
-    kept = F.filter(F.map_entries("attrs"), lambda e: ~F.array_contains(named, e["key"]))
-    put = F.transform(F.filter(changes, lambda c: c["x"]["type"] == "set_attr"), lambda c: F.struct(c["name"].alias("key"), c["x"]["value"].alias("value")))
-    return out.select("doc_id", "path", "tag", F.coalesce("new_text", "text").alias("text"), F.map_from_entries(F.concat(kept, put)).alias("attrs"))
+    of = lambda *types: F.col("type").isin(*types)
+    change = F.when(of("set_attr", "remove_attr"), F.struct("seq", "type", "name", "value"))
+    last = lambda name, value: F.max_by(F.when(of(name), value), F.when(of(name), F.col("seq")))
+    per = edits.groupBy("doc_id", "path").agg(
+        F.array_sort(F.collect_list(change)).alias("_changes"), last("set_text", F.coalesce("value", F.lit(""))).alias("_text"), last("replace_node_xml", F.col("value")).alias("_xml"),
+        last("ensure_node", F.col("value")).alias("_ensured"), F.max(of("remove_node")).alias("_removed"),
+    )
+    key = F.translate("path", "/", "\x01")
+    end = F.concat("_key", F.lit("\x02"))
+    out = nodes.select("doc_id", "path", "tag", "text", "attrs", F.lit(True).alias("_there")).join(per, ["doc_id", "path"], "full").withColumn("_key", key)
+    order = Window.partitionBy("doc_id").orderBy("_key")
+    over = lambda root, upto: F.coalesce(F.max(F.when(root, end)).over(order.rowsBetween(Window.unboundedPreceding, upto)) > F.col("_key"), F.lit(False))
+    out = out.withColumn("_gone", over(F.col("_removed"), 0)).withColumn("_kept", F.col("_there").isNotNull() & ~over(F.col("_xml").isNotNull(), -1))
+    out = out.filter(~F.col("_gone") & (F.col("_kept") | F.col("_ensured").isNotNull()))
+    opening = F.regexp_extract("_xml", "^\\s*<([^>]*?)/?>", 1)
+    pairs = F.transform(F.regexp_extract_all(opening, F.lit('[^\\s=]+\\s*=\\s*"[^"]*"'), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "^[^\\s=]+", 0).alias("key"), F.regexp_extract(x, '"([^"]*)"', 1).alias("value")))
+    inner = F.regexp_replace(F.regexp_extract("_xml", "^\\s*<[^>]*>(?s)(.*)</[^>]*>\\s*$", 1), "<[^>]*>", "")
+    pick = lambda xml, old, new: F.when(~F.col("_kept"), new).when(F.col("_xml").isNotNull(), xml).otherwise(F.col(old))
+    out = out.withColumn("tag", pick(F.regexp_extract(opening, "^[^\\s/]+", 0), "tag", F.col("_ensured"))).withColumn("text", F.coalesce("_text", pick(inner, "text", F.lit(""))))
+    out = out.withColumn("attrs", F.map_entries(pick(F.map_from_entries(pairs), "attrs", F.create_map().cast("map<string,string>")))).withColumn("_changes", _last_of_each(F.col("_changes")))
+    kept = F.filter("attrs", lambda e: ~F.exists("_changes", lambda x: x["name"] == e["key"]))
+    put = F.transform(F.filter("_changes", lambda x: x["type"] == "set_attr"), lambda x: F.struct(x["name"].alias("key"), x["value"].alias("value")))
+    return out.select("doc_id", "path", "tag", "text", F.map_from_entries(F.when(F.col("_changes").isNull(), F.col("attrs")).otherwise(F.concat(kept, put))).alias("attrs"))
 
 
 def patch_history(patches: DataFrame) -> DataFrame:
@@ -323,11 +328,40 @@ def change_diff(before: DataFrame, after: DataFrame, attributes: tuple[str, ...]
     return both.select("doc_id", "run_id", F.explode(changed).alias("x")).select("doc_id", "run_id", "x.*")
 
 
-def state_as_of(patches: DataFrame, rolled_back: DataFrame) -> DataFrame:
+def without_runs(patches: DataFrame, rolled_back: DataFrame) -> DataFrame:
     """Patches without those of rolled-back runs."""
     return patches.join(rolled_back.select("run_id").distinct(), "run_id", "left_anti")
 
 
+def state_as_of(snapshots: DataFrame, log: DataFrame, asked: DataFrame, rolled_back: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
+    """The runs of documents as of each version asked for, as if rolled-back tasks had never written.
+
+    snapshots: (doc_id, version, run_id, attributes), whole documents after the patch of that number; log: (doc_id, seq,
+    task, run_id, attribute, value); asked: (doc_id, version); rolled_back: (doc_id, task). A state begins at the nearest
+    snapshot up to the version that no rolled-back patch has gone into, or at nothing where there is none, and the
+    patches after it are folded, the last write of each attribute winning. Runs that only patches name come out too.
+
+    The nearest snapshot is found by one sort of each document's snapshots and versions; patches meet the versions of
+    their document only from the snapshot on.
+    """
+    gone = rolled_back.select("doc_id", "task").distinct()
+    first_bad = log.join(gone, ["doc_id", "task"], "left_semi").groupBy("doc_id").agg(F.min("seq").alias("_bad"))
+    wanted = asked.select("doc_id", "version").distinct().join(first_bad, "doc_id", "left")
+    wanted = wanted.select("doc_id", "version", F.least("version", F.col("_bad") - 1).alias("at"), F.lit(None).cast("long").alias("from"))
+    taken = snapshots.select("doc_id", F.col("version").cast("long").alias("at")).distinct()
+    taken = taken.select("doc_id", F.lit(None).cast("long").alias("version"), "at", F.col("at").alias("from"))
+    order = Window.partitionBy("doc_id").orderBy("at", F.col("from").asc_nulls_last())
+    placed = wanted.unionByName(taken).withColumn("from", F.last("from", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("version IS NOT NULL").drop("at")
+    base = placed.join(snapshots.withColumnRenamed("version", "from"), ["doc_id", "from"]).select("doc_id", "version", "run_id", F.struct(*attributes).alias("_base"))
+    later = log.join(gone, ["doc_id", "task"], "left_anti").filter("value IS NOT NULL").join(placed, "doc_id").filter("seq <= version AND (`from` IS NULL OR seq > `from`)")
+    last = lambda a: F.max_by(F.when(F.col("attribute") == a, F.col("value")), F.when(F.col("attribute") == a, F.col("seq"))).alias(a)
+    folded = later.groupBy("doc_id", "version", "run_id").agg(*map(last, attributes))
+    folded = folded.select("doc_id", "version", "run_id", F.struct(*attributes).alias("_new"))
+    kinds = dict(snapshots.dtypes)
+    out = base.join(folded, ["doc_id", "version", "run_id"], "full")
+    return out.select("doc_id", "version", "run_id", *[F.coalesce(F.col(f"_new.{a}").cast(kinds[a]), F.col(f"_base.{a}")).alias(a) for a in attributes])
+
+
 def write_summary(ops: DataFrame) -> DataFrame:
     line = (
         F.when(F.col("dry_run"), F.format_string("%s: dry run, %d targets", "op_type", "n_targets")).when(F.col("op_type") == "set_page_layout", F.lit("set_page_layout: document"))

@@ -548,6 +548,38 @@ add("w13_replace_nodes", w13_replace, """, n AS (SELECT *, paragraph_index % 3 =
  UNION ALL SELECT doc_id, paragraph_id || '/pPr', 'w:pPr', '', '' FROM n WHERE NOT k""", CTE)
 
 
+def w13_nested(s, d):
+    """Three levels: paragraphs of a section, runs and texts below; sections, paragraphs and runs are removed or replaced, and made again below."""
+    r = corpus.runs(s, d).select("doc_id", "paragraph_index", "run_index")
+    none = F.create_map().cast("map<string,string>").alias("attrs")
+    sect, para = F.concat(F.lit("s_"), F.expr("(paragraph_index div 4)").cast("string")), F.concat(F.lit("/p_"), c("paragraph_index").cast("string"))
+    run = F.concat(F.lit("/r_"), c("run_index").cast("string"))
+    node = lambda tag, *path: F.struct(F.concat(*path).alias("path"), F.lit(tag).alias("tag"), F.lit(tag).alias("text"))
+    n = r.select("doc_id", F.explode(F.array(node("s", sect), node("p", sect, para), node("r", sect, para, run), node("t", sect, para, run, F.lit("/t")))).alias("x")).select("doc_id", "x.*").distinct().select("*", none)
+    k = c("doc_id") + c("paragraph_index")
+    edit = lambda seq, type_, value, *path: F.struct(F.concat(*path).alias("path"), F.lit(seq).alias("seq"), F.lit(type_).alias("type"), F.lit("").alias("name"), F.lit(value).alias("value"))
+    edits = r.filter("run_index = 0").select("doc_id", F.explode(F.array_compact(F.array(
+        F.when(k % 16 == 0, edit(1, "replace_node_xml", '<w:s a="1">new</w:s>', sect)), F.when(k % 7 == 0, edit(2, "replace_node_xml", "<w:p>newp</w:p>", sect, para)),
+        F.when(k % 5 == 0, edit(3, "remove_node", None, sect, para, run)), F.when(k % 11 == 0, edit(4, "remove_node", None, sect, para)),
+        F.when(k % 3 == 0, edit(5, "ensure_node", "made", sect, para, run)), F.when(k % 2 == 0, edit(6, "set_text", "set", sect, para)),
+    ))).alias("x")).select("doc_id", "x.*")
+    return wr.edit_nodes(n, edits).withColumn("attrs", F.size("attrs"))
+
+
+add("w13_nested_edits", w13_nested, """, k AS (SELECT doc_id, 's_' || paragraph_index // 4 AS s, 's_' || paragraph_index // 4 || '/p_' || paragraph_index AS p, run_index, doc_id + paragraph_index AS k FROM runs),
+ n AS (SELECT DISTINCT doc_id, s AS path, 's' AS tag FROM k UNION ALL SELECT DISTINCT doc_id, p, 'p' FROM k UNION ALL SELECT doc_id, p || '/r_' || run_index, 'r' FROM k UNION ALL SELECT doc_id, p || '/r_' || run_index || '/t', 't' FROM k),
+ e AS (SELECT * FROM k WHERE run_index = 0),
+ replaced AS (SELECT DISTINCT doc_id, s AS path, '<w:s>' AS x FROM e WHERE k % 16 = 0 UNION ALL SELECT doc_id, p, '<w:p>' FROM e WHERE k % 7 = 0),
+ removed AS (SELECT doc_id, p || '/r_0' AS path FROM e WHERE k % 5 = 0 UNION ALL SELECT doc_id, p FROM e WHERE k % 11 = 0),
+ kept AS (SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM replaced x WHERE x.doc_id = n.doc_id AND starts_with(n.path, x.path || '/'))),
+ made AS (SELECT doc_id, p || '/r_0' AS path, 'made' AS tag FROM e WHERE k % 3 = 0 AND NOT EXISTS (SELECT 1 FROM kept WHERE kept.doc_id = e.doc_id AND kept.path = e.p || '/r_0')),
+ both_ AS (SELECT *, true AS old FROM kept UNION ALL SELECT *, false FROM made),
+ left_ AS (SELECT * FROM both_ b WHERE NOT EXISTS (SELECT 1 FROM removed x WHERE x.doc_id = b.doc_id AND (b.path = x.path OR starts_with(b.path, x.path || '/'))))
+ SELECT l.doc_id, l.path, coalesce(CASE WHEN old THEN CASE x WHEN '<w:s>' THEN 'w:s' WHEN '<w:p>' THEN 'w:p' END END, tag) AS tag,
+ CASE WHEN t.doc_id IS NOT NULL THEN 'set' WHEN NOT old THEN '' WHEN x = '<w:s>' THEN 'new' WHEN x = '<w:p>' THEN 'newp' ELSE tag END AS text, CASE WHEN old AND x = '<w:s>' THEN 1 ELSE 0 END AS attrs
+ FROM left_ l LEFT JOIN replaced r ON r.doc_id = l.doc_id AND r.path = l.path LEFT JOIN (SELECT doc_id, p AS path FROM e WHERE k % 2 = 0) t ON t.doc_id = l.doc_id AND t.path = l.path""", CTE)
+
+
 def w14(s, d):
     defs = styles(s, d).select("doc_id", c("style_id").alias("path"), F.lit("w:style").alias("tag"), F.lit("").alias("text"), F.create_map(F.lit("font"), F.coalesce("font_name", F.lit("-"))).alias("attrs"))
     edits = defs.filter("path IN ('Body', 'Quote')").select("doc_id", "path", F.lit(1).alias("seq"), F.lit("set_attr").alias("type"), F.lit("size").alias("name"), F.lit("12").alias("value"))
@@ -572,10 +604,37 @@ add("w16_change_diff", w16, " UNION ALL ".join([_diff("font_name", "f0", "font_n
 
 def w17(s, d):
     e = corpus.table(s, d, "events").select("event_id", c("user_id").alias("run_id"), "event_type")
-    return wr.state_as_of(e, e.filter("event_type = 'error' AND event_id % 16 = 0"))
+    return wr.without_runs(e, e.filter("event_type = 'error' AND event_id % 16 = 0"))
 
 
 add("w17_state_as_of", w17, "SELECT event_id, user_id AS run_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.event_id % 16 = 0)")
+_STYLE = ("font_name", "font_size_pt")
+
+
+def w17_states(s, d):
+    """Every document as before its first failed task and as of its end; a snapshot was taken halfway, failed writes and all."""
+    r = corpus.runs(s, d)
+    k = c("doc_id") + c("paragraph_index") * 2 + c("run_index")
+    log = r.filter(k % 3 == 0).withColumn("seq", (c("paragraph_index") * 8 + c("run_index")).cast("long") + 1).withColumn("task", c("seq") % 5)
+    name = F.when(c("seq") % 2 == 0, "font_name").otherwise("font_size_pt")
+    value = F.when(c("seq") % 2 == 0, F.concat(F.lit("F"), (c("seq") % 4).cast("string"))).otherwise((c("seq") % 9 + 6).cast("string"))
+    log = log.select("doc_id", "seq", "task", c("run_id"), name.alias("attribute"), value.alias("value"))
+    log = log.unionByName(log.filter("seq % 7 = 0").withColumn("seq", c("seq") + 1000).withColumn("task", c("task") + 5).withColumn("attribute", F.lit("font_size_pt")).withColumn("value", F.lit("20")))
+    failed = log.filter("task = 2 + doc_id % 7").select("doc_id", "task").distinct()
+    before = log.filter("task = 2 + doc_id % 7").groupBy("doc_id").agg((F.min("seq") - 1).alias("version"))
+    asked = before.unionByName(log.groupBy("doc_id").agg(F.max("seq").alias("version")))
+    first = r.select("doc_id", F.lit(0).cast("long").alias("version"), "run_id", *_STYLE)
+    half = wr.apply_style_ops(first, log.filter("seq <= 24"), _STYLE).withColumn("version", F.lit(24).cast("long"))
+    return wr.state_as_of(first.unionByName(half.select(*first.columns)), log, asked, failed, _STYLE)
+
+
+add("w17_states_as_of", w17_states, """, l0 AS (SELECT doc_id, run_id, (paragraph_index * 8 + run_index)::BIGINT + 1 AS seq FROM runs WHERE (doc_id + paragraph_index * 2 + run_index) % 3 = 0),
+ l1 AS (SELECT doc_id, run_id, seq, seq % 5 AS task, CASE WHEN seq % 2 = 0 THEN 'font_name' ELSE 'font_size_pt' END AS attribute, CASE WHEN seq % 2 = 0 THEN 'F' || seq % 4 ELSE (seq % 9 + 6)::VARCHAR END AS value FROM l0),
+ log AS (SELECT * FROM l1 UNION ALL SELECT doc_id, run_id, seq + 1000, task + 5, 'font_size_pt', '20' FROM l1 WHERE seq % 7 = 0),
+ asked AS (SELECT doc_id, min(seq) - 1 AS version FROM log WHERE task = 2 + doc_id % 7 GROUP BY doc_id UNION SELECT doc_id, max(seq) FROM log GROUP BY doc_id),
+ good AS (SELECT * FROM log WHERE task <> 2 + doc_id % 7),
+ folded AS (SELECT a.doc_id, a.version, g.run_id, arg_max(value, seq) FILTER (attribute = 'font_name') AS f, arg_max(value, seq) FILTER (attribute = 'font_size_pt')::DOUBLE AS z FROM asked a JOIN good g ON g.doc_id = a.doc_id AND g.seq <= a.version GROUP BY ALL)
+ SELECT a.doc_id, a.version, r.run_id, coalesce(f, font_name) AS font_name, coalesce(z, font_size_pt) AS font_size_pt FROM asked a JOIN runs r USING (doc_id) LEFT JOIN folded x ON x.doc_id = a.doc_id AND x.version = a.version AND x.run_id = r.run_id""", CTE)
 add("w18_write_summary", lambda s, d: wr.write_summary(corpus.steps(s, d).withColumn("dry_run", c("step_id") % 10 == 0)).select("step_id", "summary"), "SELECT step_id, CASE WHEN step_id % 10 = 0 THEN op_type || ': dry run, ' || n_targets || ' targets' WHEN n_targets = 1 THEN op_type || ': 1 target' WHEN n_targets = 0 THEN op_type || ': pending' ELSE op_type || ': ' || n_targets || ' targets' END AS summary FROM steps", views.STEPS)
 
 

@@ -305,13 +305,56 @@ reg("u3_custom_check", u3, PER + " " + CHECK_SQL["v3_single_multiple"][1] + " UN
 # ---------------------------------------------------------------- planning
 
 
+DERIVED = "template_id STRING, seq INT, key STRING, mode STRING, parents ARRAY<STRING>"
+BLOCKS = "template_id STRING, block STRING, scope STRING"
+
+
+def blocks_of(s, *keys):
+    return s.createDataFrame([("", k, "paragraph") for k in keys], BLOCKS)
+
+
 def p1(s, d):
-    first = corpus.paragraphs(s, d).filter("lower(text) LIKE '%of that%'").select("doc_id", "paragraph_id")
-    return pl.atomic_plan(matched(s, d), list(KEYS), [{"key": "of_that", "parents": ["body", "list"], "paragraphs": first}])
+    m = matched(s, d)
+    refined = F.when(c("semantic_key").isin("body", "list") & F.lower("text").contains("of that"), "of_that")
+    held = m.select("doc_id", "paragraph_id", F.explode(F.array_compact(F.array("semantic_key", refined))).alias("semantic_key"))
+    return pl.atomic_plan(held, s.createDataFrame([("", 0, "of_that", "refine", ["body", "list"])], DERIVED), blocks_of(s, *KEYS, "of_that"))
 
 
 PLAN = """, plan AS (SELECT DISTINCT doc_id, CASE WHEN semantic_key IN ('body', 'list') AND lower(text) LIKE '%of that%' THEN 'of_that' ELSE semantic_key END AS block, paragraph_id FROM matched)"""
 reg("p1_atomic_plan", p1, PLAN + " SELECT * FROM plan")
+# Aggregates before and after refinements of the same parents; the second refinement takes from both aggregates, the first from one.
+_CLAIMS = [
+    {"key": "prose", "mode": "aggregate", "parents": ["body", "list"]}, {"key": "of_that", "mode": "refine", "parents": ["body"], "hints": ["of that"]},
+    {"key": "named", "mode": "aggregate", "parents": ["list", "heading"]}, {"key": "the", "mode": "refine", "parents": ["heading", "list"], "hints": ["the "], "negative": ["and"]},
+]
+_WITH_BLOCK = ("title", "body", "prose", "of_that", "named", "the", "list")
+
+
+def p1_siblings(s, d):
+    m = matched(s, d)
+    held = m.select("doc_id", "paragraph_id", "semantic_key")
+    for rows in cl.derived_rows(m.drop("text"), context(s, d), _CLAIMS):
+        held = held.unionByName(rows.select("doc_id", "paragraph_id", "semantic_key"))
+    derived = s.createDataFrame([("", i, x["key"], x["mode"], x["parents"]) for i, x in enumerate(_CLAIMS)], DERIVED)
+    blocks = s.createDataFrame([("", k, "paragraph") for k in _WITH_BLOCK] + [("", "seal", "section")], BLOCKS)
+    return pl.atomic_plan(held, derived, blocks, corpus.table(s, d, "documents"))
+
+
+def claims_sql() -> str:
+    """held, then one common table for each derived semantic in order: what is left after it has taken its paragraphs."""
+    holds = {"of_that": "lower(text) LIKE '%of that%'", "the": "lower(text) LIKE '%the %' AND lower(text) NOT LIKE '%and%'"}
+    quoted = lambda ks: ", ".join(f"'{k}'" for k in ks)
+    rows = [f"SELECT doc_id, paragraph_id, '{x['key']}' FROM matched WHERE semantic_key IN ({quoted(x['parents'])}) AND {holds.get(x['key'], 'true')}" for x in _CLAIMS]
+    out = ", held0 AS (SELECT doc_id, paragraph_id, semantic_key FROM matched UNION " + " UNION ".join(rows) + ")"
+    targets = {"prose": ["body", "list"], "of_that": ["body", "prose"], "named": ["list", "heading"], "the": ["heading", "list", "prose", "named"]}
+    for i, x in enumerate(_CLAIMS):
+        mine = f"SELECT 1 FROM held{i} x WHERE x.doc_id = h.doc_id AND x.paragraph_id = h.paragraph_id AND x.semantic_key = '{x['key']}'"
+        out += f", held{i + 1} AS (SELECT * FROM held{i} h WHERE NOT (h.semantic_key IN ({quoted(targets[x['key']])}) AND EXISTS ({mine})))"
+    return out + f""" SELECT doc_id, semantic_key AS block, paragraph_id FROM held{len(_CLAIMS)} WHERE semantic_key IN ({quoted(_WITH_BLOCK)}, 'seal')
+ UNION ALL SELECT doc_id, 'seal', NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM held{len(_CLAIMS)} WHERE semantic_key = 'seal')"""
+
+
+reg("p1_sibling_claims", p1_siblings, claims_sql())
 _BLOCKS = [("body", "SimSun", 12.0, None, 6.0), ("heading", "SimHei", None, 12.0, None), ("list", None, 10.5, 0.0, 0.0), ("of_that", "Arial", None, None, None)]
 _OPS = [(b, o, a, str(v)) for b, *vals in _BLOCKS for (o, a), v in zip((("set_font", "font_name"), ("set_size", "font_size_pt"), ("set_space_before", "space_before_pt"), ("set_space_after", "space_after_pt")), vals) if v is not None]
 
