@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,25 +56,29 @@ def bucket_type(role, in_table) -> Column:
     return F.when(_c(in_table), "table_text").when(_c(role).isin(known), _c(role)).otherwise("unknown")
 
 
+# Part kinds by path and by what a content type holds; the first rule that holds decides.
+PART_RULES = (
+    ("main_document", "word/document\\.xml$", "document.main+xml"), ("header", "word/header[0-9]*\\.xml$", "header+xml"), ("footer", "word/footer[0-9]*\\.xml$", "footer+xml"),
+    ("footnotes", "footnotes\\.xml$", None), ("endnotes", "endnotes\\.xml$", None), ("styles", "styles\\.xml$", None), ("numbering", "numbering\\.xml$", None),
+    ("docprops", "^docprops/", None), ("custom_xml", "^customxml/", None), ("media", "/media/", None), ("relationships", "\\.rels$", None), ("xml", "\\.xml$", "[/+]xml$"),
+)
+
+
 def part_kind(path: Column | str, content_type: Column | str) -> Column:
     """Kind of a package part; the first rule that holds decides."""
     p, t = F.lower(_c(path)), F.lower(F.coalesce(_c(content_type), F.lit("")))
-    rules = [
-        ("main_document", p.rlike("word/document\\.xml$") | t.contains("document.main+xml")),
-        ("header", p.rlike("word/header[0-9]*\\.xml$") | t.contains("header+xml")),
-        ("footer", p.rlike("word/footer[0-9]*\\.xml$") | t.contains("footer+xml")),
-        ("footnotes", p.rlike("footnotes\\.xml$")), ("endnotes", p.rlike("endnotes\\.xml$")),
-        ("styles", p.rlike("styles\\.xml$")), ("numbering", p.rlike("numbering\\.xml$")),
-        ("docprops", p.rlike("^docprops/")), ("custom_xml", p.rlike("^customxml/")),
-        ("media", p.rlike("/media/")), ("relationships", p.rlike("\\.rels$")),
-        ("xml", p.rlike("\\.xml$") | t.rlike("[/+]xml$")),
-    ]
     out = F.lit("binary")
-    for kind, rule in reversed(rules):
-        out = F.when(rule, kind).otherwise(out)
+    for kind, by_path, by_type in reversed(PART_RULES):
+        typed = F.lit(False) if by_type is None else t.rlike(by_type) if by_type.endswith("$") else t.contains(by_type)
+        out = F.when(p.rlike(by_path) | typed, kind).otherwise(out)
     return out
 
 
+def part_kind_of(path: str) -> str:
+    """part_kind by the path alone, for workers that open packages and read only some kinds."""
+    return next((kind for kind, by_path, _ in PART_RULES if re.search(by_path, path.lower())), "binary")
+
+
 def normalized_target(source: Column | str, target: Column | str) -> Column:
     """A relationship target resolved against its source's folder, with . and .. folded away."""
     t = _c(target)

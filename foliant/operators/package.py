@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import structure as st
-from foliant.sources import packages
+from foliant.sources.package_files import package_files
 
 
 def scan_docx_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, part_path, xml, error, kind, part_order) of every package under path; .rels parts and folders are left out.
 
     part_order is the reading order: main document, headers, footers, footnotes, endnotes, the rest. A package that is
-    no zip is one row with an error.
+    no zip is one row with an error. A filter on kind reaches the scan: other parts are not read.
     """
-    return content_parts(packages.package_parts(packages.read_packages(spark, path)))
+    return content_parts(package_files(spark, path))
 
 
 def content_parts(parts: DataFrame) -> DataFrame:

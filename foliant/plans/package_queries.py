@@ -5,6 +5,8 @@ The packages are the documents, zipped by sources.corpus.packages; the SQL says
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from foliant.operators import package as pk
 from foliant.operators import structure as ops
 from foliant.sources import corpus
 from foliant.sources import packages as pg
-from foliant.sources.shared import written
+from foliant.sources.shared import shared_folder, written
 
 from . import views
 from .table_queries import CTE
@@ -27,13 +29,17 @@ def reg(name, fn, sql, *ctes) -> None:
     SQL[name] = views.query(sql, *ctes)
 
 
-def parts(s: SparkSession, d: str) -> DataFrame:
-    return pg.package_parts(corpus.packages(s, d))
+CONTENT = pg.PART_ORDER
+
 
+def parts(s: SparkSession, d: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    return pg.package_parts(corpus.packages(s, d), kinds)
 
-def parsed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and parts of all packages, each written once: zips are opened and XML is walked once for all that read them."""
-    found = written(parts(s, d))
+
+def parsed(s: SparkSession, d: str, kinds: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and parts of all packages, or of some kinds of parts, each written once: zips are opened and XML is walked
+    once for all that read them."""
+    found = written(parts(s, d, kinds))
     return written(pg.xml_nodes(found)), found.drop("xml")
 
 
@@ -54,8 +60,20 @@ reg("s1_scan_corpus", s1, """SELECT doc_id, 'word/' || name || '.xml' AS part_pa
  UNION ALL SELECT doc_id, NULL, NULL, 5, true FROM docs WHERE doc_id % 50 = 7""", CTE, SOUND)
 
 
+def s1_source(s, d):
+    """Styles and headers of package files in several folders with equal names, by a filter that the scan meets."""
+    folder = corpus.write_packages(s, d, f"{shared_folder(s)}/packages-{uuid.uuid4().hex}")
+    found = pk.scan_docx_corpus(s, folder).filter(c("kind").isin("styles", "header"))
+    return found.select("doc_id", "part_path", "kind", F.when(c("kind") == "header", F.length("xml")).alias("n_chars"))
+
+
+reg("s1_scan_files", s1_source, f"""SELECT doc_id % 7 || '/' || doc_id // 7 AS doc_id, 'word/' || name || '.xml' AS part_path, kind,
+ (CASE kind WHEN 'header' THEN 126 + length(doc_id::VARCHAR) END)::INTEGER AS n_chars FROM docs,
+ (VALUES ('header1', 'header'), ('styles', 'styles')) AS p(name, kind) WHERE doc_id % 50 <> 7""", CTE, SOUND)
+
+
 def s1_paragraphs(s, d):
-    out = pg.document_paragraphs(*parsed(s, d))
+    out = pg.document_paragraphs(*parsed(s, d, CONTENT))
     return numbered(out.select("doc_id", "part_path", "paragraph_id", "text", "style_id", "num_ilvl", "in_table", "n_images", c("line_spacing.value").alias("line_spacing")))
 
 
@@ -66,7 +84,7 @@ reg("s1_read_paragraphs", s1_paragraphs, """, clean AS (SELECT *, regexp_replace
 
 
 def s1_runs(s, d):
-    runs = pg.document_runs(*parsed(s, d))
+    runs = pg.document_runs(*parsed(s, d, CONTENT))
     out = ops.run_properties(runs, ("doc_id", "run_id", "text"))
     return numbered(out.select("doc_id", "run_id", "text", "font_size_pt", "is_bold", "is_underline"))
 
@@ -77,7 +95,7 @@ reg("s1_read_runs", s1_runs, """, r AS (SELECT *, regexp_replace(text, '[\\x00-\
 
 
 def t1(s, d):
-    return numbered(pg.document_blocks(*parsed(s, d)).select("doc_id", "part_path", "node_type", "ordinal"))
+    return numbered(pg.document_blocks(*parsed(s, d, CONTENT)).select("doc_id", "part_path", "node_type", "ordinal"))
 
 
 reg("t1_read_blocks", t1, """, kinds AS (SELECT doc_id, CASE WHEN in_table THEN 'table' ELSE 'paragraph' END AS node_type, paragraph_index FROM sound)
@@ -86,7 +104,7 @@ reg("t1_read_blocks", t1, """, kinds AS (SELECT doc_id, CASE WHEN in_table THEN
 
 
 def t3(s, d):
-    return numbered(pg.document_cells(*parsed(s, d)).drop("part_path"))
+    return numbered(pg.document_cells(*parsed(s, d, CONTENT)).drop("part_path"))
 
 
 reg("t3_read_cells", t3, """, t AS (SELECT doc_id, paragraph_index, (doc_id + paragraph_index) % 20 = 17 AS nested, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1 AS n FROM sound WHERE in_table)
@@ -94,7 +112,7 @@ reg("t3_read_cells", t3, """, t AS (SELECT doc_id, paragraph_index, (doc_id + pa
 
 
 def t9(s, d):
-    nodes, found = parsed(s, d)
+    nodes, found = parsed(s, d, ("styles",))
     keys = ("doc_id", "style_id", "based_on")
     styles = ops.run_properties(pg.style_rows(nodes, found), keys)
     defaults = ops.run_properties(pg.default_rows(nodes, found), ("doc_id",))
@@ -116,7 +134,7 @@ reg("s5_read_part_models", s5, """SELECT doc_id, 'word/' || name || '.xml' AS pa
 
 
 def s8(s, d):
-    nodes, _ = parsed(s, d)
+    nodes, _ = parsed(s, d, ("main_document", "relationships"))
     return numbered(pk.header_footer_bindings(pg.section_rows(nodes), pk.relationship_edges(pg.relationship_rows(nodes))))
 
 

@@ -167,3 +167,22 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts_named = list(parts)
     return docs.select("doc_id", *[x.alias(f"x{i}") for i, x in enumerate(parts.values())]).mapInPandas(close, "doc_id long, content binary")
+
+
+def write_packages(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """packages() as files folder/<doc_id mod 7>/<doc_id div 7>.docx, so that names come again in other folders."""
+
+    def put(frames):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        for pdf in frames:
+            for doc, content in zip(pdf["doc_id"], pdf["content"]):
+                store.create_dir(f"{root}/{doc % 7}", recursive=True)
+                with store.open_output_stream(f"{root}/{doc % 7}/{doc // 7}.docx") as f:
+                    f.write(content)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    packages(spark, sf_dir).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    return folder

@@ -8,11 +8,12 @@ are filters and one aggregation each, keyed by document, part and node.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,74 +24,159 @@ from foliant.functions import text as tx
 PART_ORDER = ("main_document", "header", "footer", "footnotes", "endnotes")
 BLOCK_PARENTS = ("body", "hdr", "ftr", "footnote", "endnote", "tc")
 PARTS = "doc_id string, part_path string, xml string, error string"
+PART_NAMES = ["doc_id", "part_path", "xml", "error"]
+BATCH_CHARS, BATCH_NODES = 8 << 20, 20_000
 NODES = "doc_id string, part_path string, node int, tag string, ord int, attrs map<string,string>, text string, path array<struct<tag:string,node:int,ord:int>>"
 
 
+def below_root(path: Column, root: str) -> Column:
+    """The part of a file's path below root, without .docx: the document's id, unlike for equal names in two folders."""
+    bare = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    at = F.locate(bare, path)
+    inside = F.when(at > 0, F.substring(path, at + len(bare), F.length(path)))
+    return F.regexp_replace(F.coalesce(inside, F.element_at(F.split(path, "/"), -1)), "\\.docx$", "")
+
+
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, content) of every package under path, found by Spark's own reader."""
+    """(doc_id, content) of every package under path, found by Spark's own reader, for stores that only Spark reads.
+
+    A whole package is one value, so it must stay under 2 GB; package_files() has no such limit.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.docx$", "").alias("doc_id"), "content")
+    return files.select(below_root(F.col("path"), path).alias("doc_id"), "content")
 
 
-def package_parts(packages: DataFrame) -> DataFrame:
-    """(doc_id, part_path, xml, error, kind, part_order) of every part, folders left out. Media parts keep no text.
+def part_rows(doc: str | None, package, kinds: frozenset[str] | None) -> Iterator[tuple]:
+    """(doc, part, text, error) of the parts of one package, an open file; only those of some kinds are read, if given.
 
-    A package that is no zip, or is null, is one row with an error and no part.
+    Folders are left out; media parts keep no text. What is no zip is one row with an error and no part.
     """
+    try:
+        with zipfile.ZipFile(package) as z:
+            for part in z.namelist():
+                if not part.endswith("/") and (kinds is None or st.part_kind_of(part) in kinds):
+                    yield doc, part, z.read(part).decode("utf-8-sig", "replace") if part.endswith((".xml", ".rels")) else None, None
+    except (zipfile.BadZipFile, zipfile.zlib.error, NotImplementedError, RuntimeError, OSError) as e:
+        yield doc, None, None, f"{type(e).__name__}: {e}"
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of a bounded number of characters."""
+    columns, held = [[], [], [], []], 0
+    for row in rows:
+        for column, v in zip(columns, row):
+            column.append(v)
+        held += len(row[2] or "") + 100
+        if held > BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], PART_NAMES)
+            columns, held = [[], [], [], []], 0
+    if columns[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], PART_NAMES)
+
+
+def package_parts(packages: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, part_path, xml, error, kind, part_order) of every part, or of those of some kinds, folders left out.
+
+    Only the parts asked for are unpacked. A package that is no zip, or is null, is one row with an error and no part.
+    """
+    wanted = None if kinds is None else frozenset(kinds)
 
-    def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc, content in zip(pdf["doc_id"], pdf["content"]):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        for part in z.namelist():
-                            if not part.endswith("/"):
-                                text = z.read(part).decode("utf-8-sig", "replace") if part.endswith((".xml", ".rels")) else None
-                                rows.append((doc, part, text, None))
-                except (zipfile.BadZipFile, zipfile.zlib.error, NotImplementedError, RuntimeError) as e:
-                    rows.append((doc, None, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(rows, columns=["doc_id", "part_path", "xml", "error"])
-
-    parts = packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(unzip, PARTS)
-    parts = parts.withColumn("kind", F.when(F.col("part_path").isNotNull(), st.part_kind("part_path", F.lit(None).cast("string"))))
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = ((doc, content) for b in batches for doc, content in zip(b.column(0).to_pylist(), b.column(1)))
+        yield from _batches(row for doc, content in docs for row in part_rows(doc, io.BytesIO(content.as_py() or b""), wanted))
+
+    return with_kind(packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(unzip, PARTS))
+
+
+def with_kind(parts: DataFrame) -> DataFrame:
+    return with_order(parts.withColumn("kind", F.when(F.col("part_path").isNotNull(), st.part_kind("part_path", F.lit(None).cast("string")))))
+
+
+def with_order(parts: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, PART_ORDER)), F.col("kind"))
     return parts.withColumn("part_order", F.when(place > 0, place - 1).otherwise(len(PART_ORDER)).cast("int"))
 
 
+class _Nodes:
+    """Columns of node rows, kept flat."""
+
+    def __init__(self):
+        self.doc, self.part, self.node, self.tag, self.ord, self.text = [], [], [], [], [], []
+        self.attrs_at, self.keys, self.values = [0], [], []
+        self.path_at, self.path_tag, self.path_node, self.path_ord = [0], [], [], []
+
+    def add(self, doc, part, node, tag, ord_, attrs, text, tags, nodes, ords) -> None:
+        for column, v in ((self.doc, doc), (self.part, part), (self.node, node), (self.tag, tag), (self.ord, ord_), (self.text, text)):
+            column.append(v)
+        for k, v in attrs.items():
+            self.keys.append(k)
+            self.values.append(v)
+        self.attrs_at.append(len(self.keys))
+        self.path_tag += tags
+        self.path_node += nodes
+        self.path_ord += ords
+        self.path_at.append(len(self.path_tag))
+
+    def batch(self) -> pa.RecordBatch:
+        text, number = pa.string(), pa.int32()
+        path = pa.StructArray.from_arrays([pa.array(self.path_tag, text), pa.array(self.path_node, number), pa.array(self.path_ord, number)], ["tag", "node", "ord"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.doc, text), pa.array(self.part, text), pa.array(self.node, number), pa.array(self.tag, text), pa.array(self.ord, number),
+                pa.MapArray.from_arrays(pa.array(self.attrs_at, number), pa.array(self.keys, text), pa.array(self.values, text)), pa.array(self.text, text),
+                pa.ListArray.from_arrays(pa.array(self.path_at, number), path),
+            ],
+            ["doc_id", "part_path", "node", "tag", "ord", "attrs", "text", "path"],
+        )
+
+
 def xml_nodes(parts: DataFrame) -> DataFrame:
     """One row per element, numbered in document order, with local names, its own text and the path from the root.
 
     ord counts siblings of one tag. A part that is not well-formed is one row of tag #error with the message as text.
     """
 
-    def shred(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local = lambda name: name.rsplit("}", 1)[-1]
-        columns = [f.split()[0] for f in NODES.split(", ")]
-        for pdf in frames:
-            for doc, part, xml in zip(pdf["doc_id"], pdf["part_path"], pdf["xml"]):
-                rows, number = [], 0
+    def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, str] = {}
+
+        def local(name: str) -> str:
+            found = names.get(name)
+            if found is None:
+                found = name.rsplit("}", 1)[-1]
+                if len(names) < 10_000:
+                    names[name] = found
+            return found
+
+        out = _Nodes()
+        for b in batches:
+            for doc, part, xml in zip(*(c.to_pylist() for c in b.columns)):
+                number = 0
                 try:
-                    stack = [(ElementTree.fromstring(xml.encode("utf-8", "replace")), (), 0)]
+                    root = ElementTree.fromstring(xml.encode("utf-8", "replace"))
+                    stack = [(root, (), (), (), 0)]
                 except ElementTree.ParseError as e:
                     stack = []
-                    rows.append((doc, part, 0, "#error", 0, {}, str(e), [("#error", 0, 0)]))
+                    out.add(doc, part, 0, "#error", 0, {}, str(e), ("#error",), (0,), (0,))
                 while stack:
-                    element, above, place = stack.pop()
-                    path = (*above, (local(element.tag), number, place))
-                    attrs = {local(k): v for k, v in element.attrib.items()}
-                    rows.append((doc, part, number, path[-1][0], place, attrs, element.text, list(path)))
+                    element, tags, nodes, ords, place = stack.pop()
+                    tags, nodes, ords = (*tags, local(element.tag)), (*nodes, number), (*ords, place)
+                    out.add(doc, part, number, tags[-1], place, {local(k): v for k, v in element.attrib.items()}, element.text, tags, nodes, ords)
+                    if len(out.node) >= BATCH_NODES:
+                        yield out.batch()
+                        out = _Nodes()
                     number += 1
                     seen: dict[str, int] = {}
                     below = []
                     for child in element:
-                        tag = local(child.tag)
-                        below.append((child, path, seen.setdefault(tag, 0)))
-                        seen[tag] += 1
-                    stack += reversed(below)
-                yield pd.DataFrame(rows, columns=columns)
-
-    return parts.filter("xml is not null").select("doc_id", "part_path", "xml").mapInPandas(shred, NODES)
+                        n = seen.get(child.tag, 0)
+                        below.append((child, tags, nodes, ords, n))
+                        seen[child.tag] = n + 1
+                    below.reverse()
+                    stack += below
+        if out.node:
+            yield out.batch()
+
+    return parts.filter("xml is not null").select("doc_id", "part_path", "xml").mapInArrow(shred, NODES)
 
 
 def _tag(i: int) -> Column:
