@@ -47,7 +47,8 @@ class Pieces:
         # What an id stands for: a text, or one byte as an int.
         self.means: list = [p.piece.replace(SPACE, " ") if p.type == 1 else int(p.piece[3:-1], 16) if p.type == 6 else spec.trainer_spec.unk_surface if p.type == 2 else "" for p in spec.pieces]
         self.rare = frozenset(i for i, p in enumerate(spec.pieces) if p.type != 1)
-        self.bytes = [bytes([m]) if isinstance(m, int) else m.encode() for m in self.means]
+        # The bytes of an id; control and unknown ids have a byte that no text has, so texts with them are decoded one by one.
+        self.bytes = [bytes([m]) if isinstance(m, int) else m.encode() if p.type == 1 else b"\xff" for m, p in zip(self.means, spec.pieces)]
         self.shorter = {p: next((n for n in range(len(p) - 1, 0, -1) if p[:n] in self.id), int(len(p) > 1)) for p in self.id}
         self.backward = ahocorasick.Automaton()
         for p in self.id:
@@ -128,9 +129,12 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids: a blank in front goes, bytes become characters, those that can't U+FFFD each."""
-        if not self.rare.isdisjoint(ids):
-            return self._decode_rare(ids)
-        return "".join(map(self.means.__getitem__, ids)).removeprefix(" " if self.prefix else "")
+        if ids and ids[0] not in self.rare:
+            try:  # whole characters, as every encoded text has them: bytes and pieces in one go
+                return b"".join(map(self.bytes.__getitem__, ids)).decode().removeprefix(" " if self.prefix else "")
+            except UnicodeDecodeError:
+                pass
+        return self._decode_rare(ids)
 
     def _decode_rare(self, ids: list[int]) -> str:
         out, run, begun = [], bytearray(), not self.prefix
