@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, documents, mix, slices, stage
-from .pieces import Lexicon, Pieces, piece_lexicon
-from .token_counts import WHITE, Merger, byte_symbols
+from .pieces import SPACE, Lexicon, Pieces
+from .token_counts import _UNUSUAL, WHITE, Merger, byte_symbols
 
 BUCKET_PAIRS = 1 << 14
 AT_ONCE = 1 << 21  # pairs of one pass: its hash, pairs and counts take 50 MB of each task
 FAN_IN = 16
 # The split of byte-level tokenizers, a fixed value, with white space as the tokenizer's library sees it.
+_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^W\p{L}\p{N}]+|[W]+(?![^W])|[W]+".replace("W", WHITE)
 
 
@@ -44,23 +46,36 @@ class ByteTokens:
         if spec["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
             raise ValueError(f"{path}: not a byte-level tokenizer without normaliser and prefix")
         merger = Merger(spec)
-        self.words = regex.compile(WORDS, regex.V0).findall
+        self._words = regex.compile(WORDS, regex.V0).findall
         self.lexicon = Lexicon(merger.symbols)
         back = {c: b for b, c in enumerate(byte_symbols())}
         self.bytes = [b""] * merger.size
         for token, i in spec["model"]["vocab"].items():
             self.bytes[i] = bytes(map(back.get, token)) if all(c in back for c in token) else token.encode()
 
+    def words(self, text: str) -> list[str]:
+        return self._words(text) if _UNUSUAL(text) else _PLAIN_WORDS(text)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.lexicon.ids([self.words(t) for t in texts])
 
 
 class PieceTokens:
+    """A sentencepiece model: new words go through its library, each beginning with the blank that this puts in front."""
+
     def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
         self.model = Pieces(path)
-        self.lexicon = piece_lexicon(self.model)
+        self.library = SentencePieceProcessor(model_file=path)
+        self.lexicon = Lexicon(self._learn)
         self.bytes = self.model.bytes
 
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.library.encode([w[1:] for w in words], num_threads=1)
+        ids = [own if own and w[0] == SPACE else self.model.ids(w) for w, own in zip(words, ids)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.lexicon.ids([self.model.words(self.model.marked(t)) for t in texts])
 
@@ -68,24 +83,30 @@ class PieceTokens:
 def encode(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
     """(doc_id, a, b): ids of blank and text by A and of the text by B, as little-endian unsigned 32-bit values.
 
-    Null and empty texts, and those whose tokens don't join to blank and text, have none.
+    Null and empty texts, and those whose tokens don't join to blank and text, have none. A gives back every byte, B
+    all but U+2581, which it turns into a blank, two bytes less: so the lengths tell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = ByteTokens(a_path), PieceTokens(b_path)
+        sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (one, two)]
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            sides = [(t, *t.encode([x for x in given])) for t, given in ((one, (" " + x if x else "" for x in texts)), (two, texts))]
-            whole = [bool(x) for x in texts]
-            for tokens, ids, at in sides:
-                for i, x in enumerate(texts):
-                    whole[i] = whole[i] and b"".join(map(tokens.bytes.__getitem__, ids[at[i] : at[i + 1]].tolist())) == b" " + x.encode()
-            cut = lambda ids, at: pa.array([ids[at[i] : at[i + 1]].astype("<u4").tobytes() if w else b"" for i, w in enumerate(whole)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(cut(ids, at) for _, ids, at in sides)], ["doc_id", "a", "b"])
+            sides = [one.encode([" " + x if x else "" for x in texts]), two.encode(texts)]
+            want = np.array([1 + (len(x) if x.isascii() else len(x.encode())) if x else -1 for x in texts])
+            whole = want >= 0
+            for size, (ids, at) in zip(sizes, sides):
+                whole &= np.diff(np.append(0, np.cumsum(size[ids]))[at]) == want
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(packed(ids, at, whole) for ids, at in sides)], ["doc_id", "a", "b"])
 
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, "doc_id long, a binary, b binary")
 
 
+def packed(ids: np.ndarray, at: np.ndarray, whole: np.ndarray) -> pa.Array:
+    data = ids.astype("<u4").tobytes()
+    return pa.array([data[4 * s : 4 * e] if w else b"" for w, s, e in zip(whole.tolist(), at[:-1].tolist(), at[1:].tolist())], pa.binary())
+
+
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the ids of each, in column a, take about SLICE_BYTES."""
     for batch in batches:
@@ -99,8 +120,10 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and row offsets of a column of packed ids."""
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<u4").astype(np.int64), np.append(0, np.cumsum([len(r) // 4 for r in rows])).astype(np.int64)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    body = column.buffers()[2]
+    flat = np.frombuffer(body, np.uint8)[at[0] : at[-1]].view("<u4") if body is not None else np.zeros(0, "<u4")
+    return flat.astype(np.int64), (at.astype(np.int64) - at[0]) // 4
 
 
 @dataclass
@@ -119,13 +142,19 @@ class Aligned:
 
 
 def align(batch: pa.RecordBatch, a_size: np.ndarray, b_size: np.ndarray) -> Aligned:
-    """Two tokens overlap where some stretch between neighbouring ends lies in both; each stretch is one link."""
+    """Two tokens overlap where some stretch between neighbouring ends lies in both; each stretch is one link.
+
+    Ends are marks on a line of bytes, so one sweep over the line finds the stretches and numbers the tokens at each.
+    """
     (a, a_at), (b, b_at) = (ragged(batch.column(batch.schema.get_field_index(c))) for c in "ab")
     a_ends, b_ends = np.cumsum(a_size[a]), np.cumsum(b_size[b])
-    ends = np.union1d(a_ends, b_ends)
-    pairs = a[np.searchsorted(a_ends, ends)] * len(b_size) + b[np.searchsorted(b_ends, ends)]
+    line = np.zeros((2, (int(a_ends[-1]) if len(a_ends) else 0) + 1), bool)
+    line[0, a_ends], line[1, b_ends] = True, True
+    ends = np.flatnonzero(line[0] | line[1])
+    in_a, in_b = line[0, ends], line[1, ends]
+    pairs = a[np.cumsum(in_a) - in_a] * len(b_size) + b[np.cumsum(in_b) - in_b]
     link_at = np.searchsorted(ends, np.append(0, a_ends)[a_at], side="right")
-    return Aligned(a, b, a_at, b_at, a_ends, b_ends, pairs, link_at, np.intersect1d(a_ends, b_ends, assume_unique=True))
+    return Aligned(a, b, a_at, b_at, a_ends, b_ends, pairs, link_at, ends[in_a & in_b])
 
 
 def group_digests(x: Aligned, names: list[str], n_a: int) -> list[str]:
@@ -224,7 +253,7 @@ class Slots:
 def distinct_pairs(ids: DataFrame, a_size: np.ndarray, b_size: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(align(batch, a_size, b_size).pairs), pa.int64())], ["pair"])
+            yield pa.RecordBatch.from_arrays([pa.array(pd.unique(align(batch, a_size, b_size).pairs), pa.int64())], ["pair"])
 
     return ids.select("a", "b").mapInArrow(run, "pair long").distinct()
 
@@ -240,8 +269,8 @@ def count_vectors(ids: DataFrame, shared, n_tasks: int, a_size: np.ndarray, b_si
         slots = shared.value
         vector = np.zeros(len(slots.keys), np.int64)
         for batch in portions(batches):
-            pairs, n = np.unique(align(batch, a_size, b_size).pairs, return_counts=True)
-            slot = slots(pairs)
+            place, pairs = pd.factorize(align(batch, a_size, b_size).pairs)
+            slot, n = slots(pairs), np.bincount(place, minlength=len(pairs))
             vector[slot[slot >= 0]] += n[slot >= 0]
         task = TaskContext.get().partitionId()
         for i, bucket in enumerate(slots.buckets.tolist()):
@@ -338,7 +367,7 @@ def look_up(ids: DataFrame, shared, named, a_size: np.ndarray, b_size: np.ndarra
         (slots, vector, best), n_a, width = shared.value, len(a_size), len(b_size)
         for batch in portions(batches):
             x = align(batch, a_size, b_size)
-            pairs, place = np.unique(x.pairs, return_inverse=True)
+            place, pairs = pd.factorize(x.pairs)
             slot = slots(pairs)
             n = np.where(slot >= 0, vector[slot], 0)
             top = (slot >= 0) & (n == best[pairs % width])

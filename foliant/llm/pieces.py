@@ -188,15 +188,18 @@ class Lexicon:
         """Ids of all rows, flat, and row offsets."""
         if len(self.code) > KNOWN_WORDS or len(self.flat) > KNOWN_IDS:
             self._reset()
-        new = list(set(chain.from_iterable(rows)).difference(self.code))
-        if new:
+        words = list(chain.from_iterable(rows))
+        codes = list(map(self.code.get, words))
+        if None in codes:
+            new = list({w for w, c in zip(words, codes) if c is None})
             ids, n = self.learn(new)
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
             self.length = np.concatenate([self.length, n])
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+            codes = list(map(self.code.__getitem__, words))
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
+        codes = np.array(codes, np.int64)
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
         at = np.repeat(self.start[codes] - (ends - lengths), lengths)

@@ -91,18 +91,24 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 def shape(token: str) -> str:
     """A token with letters and digits of any value as one: what makes tokens of a kind look alike."""
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", token[:200]))[:40]
+    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", token))
 
 
 def fits(token: str) -> int:
-    """Bits of the kinds whose data a token can be, in whatever form: by what it is made of and how much of it."""
+    """Bits of the kinds whose data a token can be, in whatever form: by what it is made of and how much of it; and,
+    four bits higher, of those whose own check it meets too: parts up to 255, Luhn's sum where no digit is hidden, 9
+    digits after a plus."""
     if len(token) > 128:
         return 0
     n = sum(c in "0123456789*" for c in token)
     plain = not any(c.isalpha() for c in token)
     at = "@" in token[1:-1] or _AT.search(token) is not None
-    ip = _FOUR.fullmatch(token) or _SIX.fullmatch(token)
-    return at | (ip is not None) << 1 | (plain and not at and 12 <= n <= 19) << 2 | (plain and not at and 7 <= n <= 15) << 3
+    four, six = _FOUR.fullmatch(token), _SIX.fullmatch(token)
+    card, phone = plain and not at and 12 <= n <= 19, plain and not at and 7 <= n <= 15
+    can = at | bool(four or six) << 1 | card << 2 | phone << 3
+    ip = six or four and all(int(p) <= 255 for p in re.findall("[0-9]+", token)[:4])
+    card = card and ("*" in token or luhn(_DIGITS.sub("", token)))
+    return can | (at | bool(ip) << 1 | card << 2 | (phone and (n >= 9 or token[0] != "+")) << 3) << 4
 
 
 def value(token: str) -> int:
@@ -146,16 +152,23 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return sorted(out)
 
 
-def context(text: str, s: int, e: int) -> tuple[str, str]:
-    """Two words to the left and one to the right, lower-cased, digits as 0, without edge marks."""
-    left = [w.strip(_EDGE).lower() for w in text[max(0, s - 60) : s].split()][-2:]
-    right = [w.strip(_EDGE).lower() for w in text[e : e + 30].split()][:1]
-    clean = lambda ws: re.sub(r"[0-9]+", "0", " ".join(w for w in ws if w))
-    return clean(left), clean(right)
+def word_class(word: str, left: bool) -> str:
+    """What kind of word stands beside an instance; on its left, whether a mark ends it."""
+    core = word.strip(_EDGE)
+    own = "none" if not word else "mark" if not core else "number" if any(c.isdigit() for c in core) else "capital" if core[0].isupper() else "word"
+    return own + "." if left and core and word[-1] in _EDGE else own
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, row string, near array<struct<kind:int,s:int,e:int,token:string,value:long,fit:int,left:string,right:string>>"
-_NEAR = pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("token", pa.string()), ("value", pa.int64()), ("fit", pa.int32()), ("left", pa.string()), ("right", pa.string())]))
+def context(text: str, s: int, e: int) -> tuple[str, str, str, str]:
+    """Two words to the left and one to the right, lower-cased, digits as 0, without edge marks, and the classes of the
+    nearest word on either side."""
+    left, right = text[max(0, s - 60) : s].split()[-2:], text[e : e + 30].split()[:1]
+    clean = lambda ws: re.sub(r"[0-9]+", "0", " ".join(w for w in (w.strip(_EDGE).lower() for w in ws) if w))
+    return clean(left), clean(right), word_class(left[-1] if left else "", True), word_class(right[0] if right else "", False)
+
+
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, row string, near array<struct<kind:int,s:int,e:int,token:string,value:long,fit:int,left:string,right:string,before:string,after:string>>"
+_NEAR = pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("token", pa.string()), ("value", pa.int64()), ("fit", pa.int32()), ("left", pa.string()), ("right", pa.string()), ("before", pa.string()), ("after", pa.string())]))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -174,7 +187,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts.append(n)
                 bases.append(digest(spans))
                 nears.append([
-                    {"kind": k, "s": s, "e": e, "token": shape(t[s:e]), "value": value(t[s:e]), "fit": fits(t[s:e]) if k < 0 else 1 << k, "left": c[0], "right": c[1]}
+                    {"kind": k, "s": s, "e": e, "token": shape(t[s:e]), "value": value(t[s:e]), "fit": fits(t[s:e]) if k < 0 else 17 << k, "left": c[0], "right": c[1], "before": c[2], "after": c[3]}
                     for k, s, e in near for c in [context(t, s, e)]
                 ])
             yield pa.RecordBatch.from_arrays(
@@ -193,30 +206,34 @@ def row_key(text: str = "text") -> Column:
 def discover(found: DataFrame, rounds: int = 3, least_support: int = 5, confidence: float = 0.9, least_shape: float = 0.5) -> DataFrame:
     """Unseen identifiers: rows (doc_id, row, kind, s, e).
 
-    A pattern is the left words, or the left words and the right word; each also with the token shape. One with a
-    shape holds the candidates of that shape, one without those that can be of its kind at all, in any form. A base
+    Patterns come in families of narrower and wider contexts: the two words to the left, with the right word or alone;
+    the word to the left; each with the token's shape or without; and the class of the word on the left or the right
+    (a word, a capitalised one, a number, a mark, none; whether a mark ends it) with the token's shape. One of two words
+    holds the tokens of its shape or, without one, those that can be of its kind at all; the wider ones hold only what
+    meets the kind's own check as well (fits). A base
     span supports its kind fully, a candidate as far as the patterns of the round before support its value anywhere;
     a shape is worth the mean belief of its members in known patterns (least_support trials in its favour before) and
     weighs what patterns without a shape say. Each round adds patterns that hold least_support base spans and
-    candidates whose value has a belief of at least confidence. Patterns of fewer, or of a mean belief under
+    candidates whose value has a belief of at least confidence; wider ones hold that many base spans. Patterns of fewer, or of a mean belief under
     confidence, mark nothing, nor do those without a shape where the shape's worth is under least_shape. Counts cover
     all documents. Of overlapping marks the longest stays, then the one of the highest belief.
     """
-    spans = found.select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.*").filter("left <> ''")
+    spans = found.select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.*")
     key = lambda *parts: F.concat_ws("\x1f", *parts)
+    one = lambda name, shaped, *parts: F.struct(key(F.lit(name), *parts, *(["token"] if shaped else [])).alias("pattern"), F.lit(shaped).alias("keyed"), F.lit(name in "owv").alias("wide"))
+    near = F.substring_index("left", " ", -1)
+    worded, both = F.col("left") != "", (F.col("left") != "") & (F.col("right") != "")
     keys = F.array(
-        F.struct(key(F.lit("l"), "left").alias("pattern"), F.lit(False).alias("keyed")),
-        F.struct(key(F.lit("lt"), "left", "token").alias("pattern"), F.lit(True).alias("keyed")),
-        F.when(F.col("right") != "", F.struct(key(F.lit("b"), "left", "right").alias("pattern"), F.lit(False).alias("keyed"))),
-        F.when(F.col("right") != "", F.struct(key(F.lit("bt"), "left", "right", "token").alias("pattern"), F.lit(True).alias("keyed"))),
-    )
+        *[F.when(worded, one("l", shaped, "left")) for shaped in (False, True)], *[F.when(worded, one("o", shaped, near)) for shaped in (False, True)],
+        *[F.when(both, one("b", shaped, "left", "right")) for shaped in (False, True)], one("w", True, "before"), one("v", True, "after"),
+    )
     based = spans.filter("kind >= 0").groupBy("token").count()
     able = spans.filter("kind >= 0 or fit > 0").unionByName(spans.filter("kind < 0 and fit = 0").join(based, "token", "left_semi").select(*spans.columns))
     held = able.select("doc_id", "row", "kind", "s", "e", "token", "value", "fit", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
     held = stage(held.select(*held.columns[:-1], "key.*"))
     instance = ["doc_id", "row", "s", "e"]
     free = held.filter("kind < 0").drop("kind")
-    holds = F.expr("keyed or (fit & shiftleft(1, k)) <> 0")
+    holds = F.expr("CASE WHEN wide THEN (fit & shiftleft(16, k)) <> 0 ELSE keyed or (fit & shiftleft(1, k)) <> 0 END")
     seeds = stage(held.filter("kind >= 0").groupBy("pattern", "keyed", F.col("kind").alias("k")).agg(F.count("*").alias("hits")))
     shape_seeds = spans.filter("kind >= 0").groupBy("token", F.col("kind").alias("k")).agg(F.count("*").alias("n"))
 
@@ -246,7 +263,7 @@ def discover(found: DataFrame, rounds: int = 3, least_support: int = 5, confiden
         worth = worth.groupBy("token", "k").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
         every = worth.groupBy("token").agg(F.sum("n").alias("n"))
         shapes = stage(worth.drop("n").join(every, "token").select("token", "k", ((F.col("b") + least_support) / (F.col("n") + least_support)).alias("worth")))
-        sure = free.join(values.filter(F.col("belief") >= confidence).select("value", "k"), "value").filter(holds)
+        sure = free.filter("not wide").join(values.filter(F.col("belief") >= confidence).select("value", "k"), "value").filter(holds)
         sure = sure.groupBy("pattern", "keyed", "k").agg(F.count("*").alias("support"), F.lit(0).cast("long").alias("hits"))
         support = sure.unionByName(seeds.select("pattern", "keyed", "k", F.col("hits").alias("support"), "hits"))
         support = support.groupBy("pattern", "keyed", "k").agg(F.sum("support").alias("support"), F.sum("hits").alias("hits"))
@@ -289,6 +306,14 @@ def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3) -> DataFrame:
     )
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores in front until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with every span of find_pii replaced by <KIND>, overlapping spans as one; n_chars, if there, follows.
 
@@ -296,11 +321,10 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     Null texts stay null; rows without spans stay as they are.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_row", row_key())
+    row, extra_ = (fresh(columns, name) for name in ("row", "more"))
     found = stage(scan(docs))
-    more = discover(found).select(F.col("row").alias("_row"), F.struct("s", "kind", "e").alias("x"))
-    more = more.groupBy("_row").agg(F.collect_list("x").alias("_more"))
-    joined = keyed.join(more, "_row", "left")
+    more = discover(found).select(F.col("row").alias(row), F.struct("s", "kind", "e").alias(extra_))
+    joined = docs.withColumn(row, row_key()).join(more.groupBy(row).agg(F.collect_list(extra_).alias(extra_)), row, "left")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +339,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 out["n_chars"] = pa.array([n if a is b else len(b) for n, a, b in zip(out["n_chars"].to_pylist(), texts, new)], out["n_chars"].type)
             yield pa.RecordBatch.from_arrays([out[c] for c in columns], columns)
 
-    return joined.select(*columns, "_more").mapInArrow(run, docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in columns], extra_).mapInArrow(run, docs.schema)
 
 
 def redacted(text: str | None, spans: str | None) -> str | None:

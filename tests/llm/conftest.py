@@ -20,7 +20,7 @@ def odd(spark, long_text):
     same = "The same words stand here in this document again and again today."
     rows = [(1, None, "a"), (2, "", "a"), (3, "  \n\t ", None), (4, same, "b"), (4, same, "b"), (5, same, "b"), (5, "Another text for the same id, mail me at x.y@ex.com now.", "b"), (6, long_text, "a"), (None, "No id here, call +1 234 567 8901 please.", None), (7, "one", "c"), (8, "日本語 テキスト ñandú 🙂 <|endoftext|> done", "c")]
     df = shaped(spark, rows)
-    for name in ("row", "n", "rate", "salt", "table", "source_key", "kind", "component_id", "slice", "bucket", "ahead", "near", "copies"):
+    for name in ("row", "n", "rate", "salt", "table", "source_key", "kind", "component_id", "slice", "bucket", "ahead", "near", "copies", "_row", "_more", "more"):
         df = df.withColumn(name, df["lang"])
     return df
 

@@ -105,18 +105,20 @@ def plain_discovery(rows, rounds=3, least=5, sure=0.9, least_shape=0.5):
         text = text or ""
         own = pii.base_spans(text)
         for k, s, e in [(k, s, e) for s, k, e in own] + [(-1, s, e) for s, e in pii.candidates(text, own)]:
-            left, right = pii.context(text, s, e)
-            if left:
-                spans.append((i, k, s, e, pii.shape(text[s:e]), pii.value(text[s:e]), pii.fits(text[s:e]) if k < 0 else 1 << k, left, right))
+            spans.append((i, k, s, e, pii.shape(text[s:e]), pii.value(text[s:e]), pii.fits(text[s:e]) if k < 0 else 17 << k, *pii.context(text, s, e)))
     based = {x[4] for x in spans if x[1] >= 0}
     held = []  # span, pattern, keyed
     for x in spans:
         if x[1] >= 0 or x[6] or x[4] in based:
-            held += [(x, ("l", x[7]), False), (x, ("lt", x[7], x[4]), True)]
-            held += [(x, ("b", x[7], x[8]), False), (x, ("bt", x[7], x[8], x[4]), True)] if x[8] else []
+            token, left, right, before, after = x[4], *x[7:]
+            if left:
+                near = left.split(" ")[-1]
+                held += [(x, ("l", left), False), (x, ("l", left, token), True), (x, ("o", near), False), (x, ("o", near, token), True)]
+                held += [(x, ("b", left, right), False), (x, ("b", left, right, token), True)] if right else []
+            held += [(x, ("w", before, token), True), (x, ("v", after, token), True)]
     free = [h for h in held if h[0][1] < 0]
     hits = collections.Counter((p, keyed, x[1]) for x, p, keyed in held if x[1] >= 0)
-    ok = lambda x, keyed, k: keyed or x[6] >> k & 1
+    ok = lambda x, p, keyed, k: x[6] >> (4 + k) & 1 if p[0] in 'owv' else keyed or x[6] >> k & 1
     shape_seeds = collections.Counter((x[4], x[1]) for x in spans if x[1] >= 0)
 
     def best(support):
@@ -128,12 +130,12 @@ def plain_discovery(rows, rounds=3, least=5, sure=0.9, least_shape=0.5):
         return out
 
     patterns = best(hits)
-    score = {p: h / (n + (0 if keyed else sum(q == p and bool(ok(x, kd, k)) for x, q, kd in free))) for p, (keyed, k, h, n) in patterns.items()}
+    score = {p: h / (n + (0 if keyed else sum(q == p and bool(ok(x, q, kd, k)) for x, q, kd in free))) for p, (keyed, k, h, n) in patterns.items()}
     shapes = None
 
     def edges():
         for x, p, keyed in free:
-            if p in patterns and ok(x, keyed, patterns[p][1]):
+            if p in patterns and ok(x, p, keyed, patterns[p][1]):
                 k = patterns[p][1]
                 worth = 1.0 if shapes is None else shapes.get((x[4], k), 1.0)
                 yield x, p, keyed, k, worth, score[p] if keyed else score[p] * worth
@@ -162,12 +164,12 @@ def plain_discovery(rows, rounds=3, least=5, sure=0.9, least_shape=0.5):
         support = collections.Counter(hits)
         for x, p, keyed in free:
             for k in range(4):
-                if values.get((x[5], k), 0) >= sure and ok(x, keyed, k):
+                if p[0] not in "owv" and values.get((x[5], k), 0) >= sure and ok(x, p, keyed, k):
                     support[p, keyed, k] += 1
         patterns = best(support) | patterns
         score = {}
         for p, (_, k, h, n) in patterns.items():
-            members = [values.get((x[5], k), 0.0) for x, q, keyed in free if q == p and ok(x, keyed, k)]
+            members = [values.get((x[5], k), 0.0) for x, q, keyed in free if q == p and ok(x, q, keyed, k)]
             score[p] = (h + sum(members)) / (n + len(members))
     marks = collections.defaultdict(list)
     for x, p, keyed, k, worth_, w in edges():
