@@ -15,6 +15,7 @@ from foliant.functions import text as tx
 from foliant.sources.shared import written
 
 from .classify import _decimal, exact_mean
+from .templates import rule_issues
 
 ISSUE = ("doc_id", "error_code", "semantic_key", "paragraph_ids")
 _CHECKS: dict[str, Callable[..., DataFrame]] = {}
@@ -208,11 +209,14 @@ def validate(
     docs: DataFrame, matched: DataFrame, context: DataFrame, rules: DataFrame, conflicts: DataFrame, unmatched: DataFrame,
     template: DataFrame, evidence: DataFrame, policy: Policy = Policy(),
 ) -> tuple[DataFrame, DataFrame]:
-    """All issues of the standard and the registered checks, of conflicts, unmatched paragraphs and seals; and the gate.
+    """All issues of the standard checks (templates.rule_issues, two passes over the matches) and the registered ones, of
+    conflicts, unmatched paragraphs and seals; and the gate.
 
     Numbering warnings on body paragraphs are issues of their own code that don't close the gate.
     """
-    issues = run_checks(matched, context, rules, STANDARD | _CHECKS)
+    issues = rule_issues(context.select("doc_id").distinct(), matched, context, rules)
+    if _CHECKS:
+        issues = issues.unionByName(run_checks(matched, context, rules))
     for part in (check_conflicts(conflicts, policy.reject_conflicts), check_unmatched(unmatched, policy.reject_unmatched, policy.allow_unclassified), check_seal(template, evidence)):
         issues = issues.unionByName(part)
     return issues, validation_gate(docs, issues.filter("error_code <> 'numbering_pattern_warning'"), policy.enforce)

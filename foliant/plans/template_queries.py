@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import classify as cl
 from foliant.operators import plan as pl
 from foliant.operators import structure as ops
+from foliant.operators import templates as tm
 from foliant.operators import validate as va
 from foliant.sources import corpus
 
@@ -295,6 +296,83 @@ reg("v0_validation_gate", lambda s, d: gate(s, d, va.Policy())[1], ALL_ISSUES +
 reg("v0_lenient_gate", lambda s, d: gate(s, d, va.Policy(reject_conflicts=False, allow_unclassified=True))[1], ALL_ISSUES + GATE.format(_COUNTS + " AND error_code NOT IN ('classification_conflict', 'unclassified_paragraph')"), True)
 
 
+reg("v0_all_issues", lambda s, d: gate(s, d, va.Policy())[0], ALL_ISSUES + " SELECT * FROM issues", True)
+
+# Many templates: their rules come from the parts table, some for any role or table flag.
+_MANY_ROLES = ("heading", "body", "list_item", "table_text", None, "title")
+
+
+def many_rules(s, d):
+    k = c("p_partkey")
+    p = corpus.table(s, d, "part").filter(k <= 97 * 5)
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    return p.select(
+        (k % 97).alias("template_id"), F.concat(F.lit("k"), k.cast("string")).alias("semantic_key"), k.cast("int").alias("rank"), (k % 3 == 0).alias("required"), (k % 5 != 0).alias("multiple"),
+        (k % 2).cast("int").alias("min_occurs"), (k % 7 + 2).cast("int").alias("max_occurs"), F.when(k % 4 == 0, "the").when(k % 4 == 1, "of").otherwise("").alias("hint"), F.when(k % 9 == 0, "thon").otherwise("").alias("negative"),
+        pick(("none", "near_top", "none", "first_non_blank", "none", "first_paragraph", "none"), k % 7).alias("position_hint"), F.when(k % 6 == 0, "^[0-9]+").otherwise("").alias("numbering"),
+        F.when(k % 8 == 0, "before").when(k % 8 == 1, "after").alias("placement"), F.concat(F.lit("k"), F.when(k > 97, k - 97).otherwise(k + 97).cast("string")).alias("other"),
+        pick(_MANY_ROLES, k % 6).alias("role"), F.when(k % 10 == 0, False).alias("in_table"), (k % 13 == 0).alias("require_image"), (k % 2 == 0).alias("allow_empty"),
+        F.when(k % 12 == 0, 2).alias("heading_level"), F.when(k % 11 == 0, "body").alias("forbidden"),
+    )
+
+
+_ROLE_SQL = "[" + ", ".join("NULL" if r is None else f"'{r}'" for r in _MANY_ROLES) + "][k % 6 + 1]"
+MANY = f""", m_rules AS (SELECT k % 97 AS template_id, 'k' || k AS semantic_key, k::INTEGER AS rank, k % 3 = 0 AS required, k % 5 <> 0 AS multiple, (k % 2)::INTEGER AS min_occurs, (k % 7 + 2)::INTEGER AS max_occurs,
+ CASE k % 4 WHEN 0 THEN 'the' WHEN 1 THEN 'of' ELSE '' END AS hint, CASE WHEN k % 9 = 0 THEN 'thon' ELSE '' END AS negative, ['none', 'near_top', 'none', 'first_non_blank', 'none', 'first_paragraph', 'none'][k % 7 + 1] AS position_hint,
+ CASE WHEN k % 6 = 0 THEN '^[0-9]+' ELSE '' END AS numbering, CASE k % 8 WHEN 0 THEN 'before' WHEN 1 THEN 'after' END AS placement, 'k' || CASE WHEN k > 97 THEN k - 97 ELSE k + 97 END AS other,
+ {_ROLE_SQL} AS role, CASE WHEN k % 10 = 0 THEN false END AS in_table, k % 13 = 0 AS require_image, k % 2 = 0 AS allow_empty, CASE WHEN k % 12 = 0 THEN 2 END AS heading_level, CASE WHEN k % 11 = 0 THEN 'body' END AS forbidden
+ FROM (SELECT p_partkey AS k FROM part WHERE p_partkey <= 97 * 5)),
+ facts AS (SELECT *, paragraph_index < greatest(2, floor(n_paragraphs * 0.2)) AS near_top, coalesce(paragraph_index = min(CASE WHEN trim(text) <> '' THEN paragraph_index END) OVER (PARTITION BY doc_id), true) AS is_first_text FROM context),
+ fits AS (SELECT f.doc_id, f.paragraph_id, f.text, r.template_id, r.semantic_key, r.required, r.rank, r.hint FROM facts f JOIN m_rules r ON (r.role IS NULL OR r.role = f.role) AND (r.in_table IS NULL OR r.in_table = f.in_table) AND (NOT r.require_image OR f.has_image)
+  AND (r.allow_empty OR trim(f.text) <> '') AND (r.heading_level IS NULL OR coalesce(r.heading_level = f.heading_level, false)) AND CASE position_hint WHEN 'near_top' THEN near_top WHEN 'first_paragraph' THEN f.paragraph_index = 0 WHEN 'first_non_blank' THEN is_first_text ELSE true END),
+ scored AS (SELECT doc_id, template_id, count(DISTINCT paragraph_id) AS n_covered, (SELECT count(*) FROM m_rules r WHERE r.template_id = f.template_id AND required) - count(DISTINCT CASE WHEN required THEN semantic_key END) AS n_missing FROM fits f GROUP BY doc_id, template_id),
+ chosen AS (SELECT doc_id, template_id, n_covered, n_missing FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_covered DESC, n_missing, template_id) = 1),
+ hits AS (SELECT f.*, hint <> '' AND contains(lower(text), hint) AS hit FROM fits f JOIN chosen USING (doc_id, template_id)),
+ best AS (SELECT template_id, doc_id, paragraph_id, arg_min(semantic_key, CASE WHEN hit THEN rank ELSE rank + 1000000 END) AS semantic_key, CASE WHEN bool_or(hit) THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM hits GROUP BY ALL)"""
+reg("c5_best_templates", lambda s, d: tm.best_templates(context(s, d), many_rules(s, d)), MANY + " SELECT * FROM chosen", True)
+
+
+def many_classified(s, d):
+    x, r = context(s, d), many_rules(s, d)
+    return tm.classify_by_templates(x, r, tm.best_templates(x, r))
+
+
+reg("c17_classify_by_templates", many_classified, MANY + " SELECT * FROM best", True)
+
+
+def many_issues(s, d):
+    from foliant.sources.shared import written
+
+    x, r = context(s, d), many_rules(s, d)
+    chosen = written(tm.best_templates(x, r))
+    m = tm.classify_by_templates(x, r, chosen).join(x.select("doc_id", "paragraph_id", "paragraph_index", "role", "text"), ["doc_id", "paragraph_id"])
+    return tm.rule_issues(chosen.select("doc_id", "template_id"), m, x, r)
+
+
+_mper = f"m_per AS (SELECT b.template_id, b.doc_id, b.semantic_key, string_agg(b.paragraph_id, '|' ORDER BY paragraph_index) AS ids, count(DISTINCT b.paragraph_id) AS n, min(paragraph_index) AS first, max(paragraph_index) AS last, {MEAN} AS confidence FROM m b GROUP BY ALL)"
+MANY_ISSUES = MANY + f""", m AS (SELECT b.*, x.paragraph_index, x.role, x.text FROM best b JOIN context x USING (doc_id, paragraph_id)), {_mper},
+ o AS (SELECT p.*, r.rank, lag(first) OVER (PARTITION BY p.doc_id ORDER BY rank) AS bef FROM m_per p JOIN m_rules r USING (template_id, semantic_key)),
+ asked AS (SELECT c.doc_id, r.*, p.ids, coalesce(p.n, 0) AS n FROM chosen c JOIN m_rules r USING (template_id) LEFT JOIN m_per p ON p.doc_id = c.doc_id AND p.semantic_key = r.semantic_key),
+ mr AS (SELECT m.*, r.negative, r.position_hint, r.numbering, r.forbidden, r.role AS want_role, r.in_table AS want_table, r.require_image, r.allow_empty, r.heading_level AS want_level, f.in_table, f.bucket, f.has_image, f.heading_level, f.near_top, f.is_first_text, f.list_level
+  FROM m JOIN m_rules r USING (template_id, semantic_key) JOIN facts f ON f.doc_id = m.doc_id AND f.paragraph_id = m.paragraph_id)
+ SELECT template_id, doc_id, error_code, semantic_key, paragraph_ids FROM (
+ SELECT template_id, doc_id, 'semantic_confidence_too_low' AS error_code, semantic_key, ids AS paragraph_ids FROM m_per WHERE confidence < 0.8
+ UNION ALL SELECT template_id, doc_id, 'overall_confidence_too_low', NULL, '' FROM (SELECT template_id, doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS o FROM m_per GROUP BY ALL) WHERE o < 0.8
+ UNION ALL SELECT template_id, doc_id, 'required_semantic_missing', semantic_key, '' FROM asked WHERE required AND n = 0
+ UNION ALL SELECT template_id, doc_id, 'single_instance_semantic_has_multiple_matches', semantic_key, ids FROM asked WHERE NOT multiple AND n > 1
+ UNION ALL SELECT template_id, doc_id, CASE WHEN n < min_occurs THEN 'occurrence_below_min' ELSE 'occurrence_above_max' END, semantic_key, coalesce(ids, '') FROM asked WHERE n < min_occurs OR n > max_occurs
+ UNION ALL SELECT m.template_id, m.doc_id, 'text_hint_missing', m.semantic_key, string_agg(paragraph_id, '|' ORDER BY paragraph_index) FROM m JOIN m_rules r USING (template_id, semantic_key) WHERE r.hint <> '' GROUP BY m.template_id, m.doc_id, m.semantic_key HAVING NOT bool_or(contains(lower(m.text), r.hint))
+ UNION ALL SELECT p.template_id, p.doc_id, 'placement_rule_violation', p.semantic_key, p.ids FROM m_per p JOIN m_rules r USING (template_id, semantic_key) JOIN m_per q ON q.doc_id = p.doc_id AND q.semantic_key = r.other WHERE NOT CASE placement WHEN 'before' THEN p.last < q.first WHEN 'after' THEN p.first > q.last END
+ UNION ALL SELECT template_id, doc_id, 'semantic_order_violation', semantic_key, ids FROM o WHERE first < bef
+ UNION ALL SELECT template_id, doc_id, 'negative_example_matched', semantic_key, paragraph_id FROM mr WHERE negative <> '' AND contains(lower(text), negative)
+ UNION ALL SELECT template_id, doc_id, 'position_hint_violation', semantic_key, paragraph_id FROM mr WHERE NOT CASE position_hint WHEN 'near_top' THEN near_top WHEN 'first_paragraph' THEN paragraph_index = 0 WHEN 'first_non_blank' THEN is_first_text ELSE true END
+ UNION ALL SELECT template_id, doc_id, CASE WHEN role = 'body' THEN 'numbering_pattern_warning' ELSE 'numbering_pattern_not_allowed' END, semantic_key, paragraph_id FROM (SELECT *, {PREFIX_SQL} AS prefix FROM mr) WHERE prefix IS NOT NULL AND numbering <> '' AND NOT regexp_matches(prefix, numbering) AND NOT (role = 'heading' AND want_level IS NOT NULL)
+ UNION ALL SELECT template_id, doc_id, CASE WHEN allow_empty AND NOT require_image AND (trim(text) = '' OR bucket = 'unknown') THEN NULL WHEN require_image AND NOT has_image THEN 'style_require_image' WHEN NOT allow_empty AND NOT require_image AND trim(text) = '' THEN 'style_empty' WHEN want_role <> role THEN 'style_role'
+  WHEN want_table <> in_table THEN 'style_in_table' WHEN want_level IS NOT NULL AND want_level IS DISTINCT FROM heading_level THEN 'style_heading_level' END, semantic_key, paragraph_id FROM mr
+ UNION ALL SELECT template_id, doc_id, 'forbidden_semantic_matched', semantic_key, paragraph_id FROM mr WHERE forbidden IN (role, bucket)) WHERE error_code IS NOT NULL"""
+reg("v0_issues_by_template", many_issues, MANY_ISSUES, True)
+
+
 def u3(s, d):
     long = lambda m, x, r: va.issue(m.filter(F.length("text") > 400), "paragraph_too_long", ids=c("paragraph_id"))
     return va.run_checks(matched(s, d), context(s, d), rules(s), {"single": va.check_single, "long": long})
