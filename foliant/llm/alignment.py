@@ -31,6 +31,7 @@ from .token_counts import _UNUSUAL, WHITE, Merger, byte_symbols
 BUCKET_PAIRS = 1 << 14
 AT_ONCE = 1 << 21  # pairs of one pass: its hash, pairs and counts take 50 MB of each task
 FAN_IN = 16
+KNOWN_WORDS = 300_000  # of each side: a task holds two lexicons
 # The split of byte-level tokenizers, a fixed value, with white space as the tokenizer's library sees it.
 _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^W\p{L}\p{N}]+|[W]+(?![^W])|[W]+".replace("W", WHITE)
@@ -47,7 +48,7 @@ class ByteTokens:
             raise ValueError(f"{path}: not a byte-level tokenizer without normaliser and prefix")
         merger = Merger(spec)
         self._words = regex.compile(WORDS, regex.V0).findall
-        self.lexicon = Lexicon(merger.symbols)
+        self.lexicon = Lexicon(merger.symbols, KNOWN_WORDS)
         back = {c: b for b, c in enumerate(byte_symbols())}
         self.bytes = [b""] * merger.size
         for token, i in spec["model"]["vocab"].items():
@@ -68,7 +69,7 @@ class PieceTokens:
 
         self.model = Pieces(path)
         self.library = SentencePieceProcessor(model_file=path)
-        self.lexicon = Lexicon(self._learn)
+        self.lexicon = Lexicon(self._learn, KNOWN_WORDS)
         self.bytes = self.model.bytes
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

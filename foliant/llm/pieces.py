@@ -176,8 +176,8 @@ def characters(run: bytearray) -> str:
 class Lexicon:
     """Ids of words that are learnt once and kept in a table of bounded size; rows of words to flat ids."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], known: int = KNOWN_WORDS):
+        self.learn, self.known = learn, known
         self._reset()
 
     def _reset(self) -> None:
@@ -186,7 +186,7 @@ class Lexicon:
 
     def ids(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, flat, and row offsets."""
-        if len(self.code) > KNOWN_WORDS or len(self.flat) > KNOWN_IDS:
+        if len(self.code) > self.known or len(self.flat) > KNOWN_IDS:
             self._reset()
         words = list(chain.from_iterable(rows))
         codes = list(map(self.code.get, words))
