@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,18 +123,35 @@ def block_nodes(runs: DataFrame) -> DataFrame:
 BUCKET_ROWS = 1_000_000
 
 
-def materialize(final: DataFrame, sources: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
-    """Write final rows by document bucket and read them back, with the number of rows written.
+def buckets_for(final: DataFrame, bucket_rows: int = BUCKET_ROWS) -> int:
+    """As many buckets as bucket_rows go into the rows, so files stay of one size whatever the corpus."""
+    return max(1, -(-final.select("doc_id").count() // bucket_rows))
+
 
-    Rows of a document without a source are refused. There are as many buckets as bucket_rows go into the rows, so
-    files stay of one size whatever the corpus; the count that decides is one of ids and reads no other column.
+def materialize(final: DataFrame, sources: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """Write final rows at path, bucketed and sorted by document, and read them back, with the number of rows written.
+
+    Rows of a document without a source are refused. Tables of equal buckets join by document, or by document and
+    more, without a shuffle; so give the tables of one corpus the same number (buckets_for of the largest).
     """
+    spark = final.sparkSession
     known = final.join(sources.select("doc_id").distinct(), "doc_id", "left_semi")
-    buckets = max(1, -(-known.select("doc_id").count() // bucket_rows))
-    written = Observation()
-    kept = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).observe(written, F.count("*").alias("n"))
-    kept.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return final.sparkSession.read.parquet(path).drop("bucket"), written.get["n"]
+    n = buckets or buckets_for(known, bucket_rows)
+    count, name = Observation(), f"materialized_{uuid.uuid4().hex}"
+    kept = known.observe(count, F.count("*").alias("n")).repartition(n, "doc_id")
+    kept.write.mode("overwrite").option("path", path).bucketBy(n, "doc_id").sortBy("doc_id").saveAsTable(name)
+    return materialized(spark, name), count.get["n"]
+
+
+def materialized(spark: SparkSession, name: str, path: str | None = None, schema: str | None = None, buckets: int | None = None) -> DataFrame:
+    """A bucketed table by its name; with path, schema and buckets it is declared first, for a session that has not written it.
+
+    A join on doc_id and more may use the buckets of doc_id alone once Spark needn't see all keys in them.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    if path is not None:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
 
 
 def rebuild_paragraphs(nodes: DataFrame) -> DataFrame:

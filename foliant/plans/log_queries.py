@@ -14,7 +14,7 @@ from foliant.sources import corpus
 from foliant.streaming import events as ev
 
 from . import views
-from .table_queries import CTE
+from .table_queries import CTE, STYLES
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,6 +148,24 @@ def s12(s, d):
 
 
 reg("s12_materialize_corpus", s12, "SELECT doc_id, run_id, text, font_name FROM runs WHERE doc_id % 3 <> 0", CTE)
+
+
+def s12_joined(s, d):
+    """Materialised runs and styles of one corpus, joined by document and style without a shuffle of either."""
+    import uuid
+
+    from .table_queries import styles
+
+    folder = f"{ev.shared_folder(s)}/corpus-{uuid.uuid4().hex}"
+    docs = corpus.table(s, d, "documents")
+    runs = corpus.runs(s, d).select("doc_id", "run_id", c("style_name").alias("style_id"))
+    n = pk.buckets_for(runs, 50_000)
+    left = pk.materialize(runs, docs, f"{folder}/runs", buckets=n)[0]
+    right = pk.materialize(styles(s, d).select("doc_id", "style_id", c("font_name").alias("style_font")), docs, f"{folder}/styles", buckets=n)[0]
+    return left.join(right.hint("merge"), ["doc_id", "style_id"], "left")
+
+
+reg("s12_join_materialized", s12_joined, ", " + STYLES + " SELECT r.doc_id, r.style_name AS style_id, run_id, s.font_name AS style_font FROM runs r LEFT JOIN styles s ON s.doc_id = r.doc_id AND s.style_id = r.style_name", CTE)
 reg("s13_rebuild_paragraphs", lambda s, d: pk.rebuild_paragraphs(ops.project_nodes(corpus.runs(s, d))), "SELECT doc_id, 'p_' || (row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, run_index) - 1) AS paragraph_id, text, font_name FROM runs WHERE trim(text) <> ''", CTE)
 
 # ---------------------------------------------------------------- run log

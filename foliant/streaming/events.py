@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from foliant.sources.shared import exists, shared_folder
+from foliant.sources.shared import delete, exists, shared_folder
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 TERMINAL = ("purchase", "error")
@@ -32,42 +32,58 @@ def stream_step_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
+ENDED = ("completed", "failed")
+KEEP_MS = 30 * 24 * 3600 * 1000
+
+
 class TurnState(StatefulProcessor):
     """State of each run: queued, running, waiting, completed, failed; or timed out past its deadline in event time.
 
-    The state holds the ids of the run's steps, as many as the run has.
+    The newest event is one value; the ids of a run's steps are a list that only grows at its end, as long as the run.
+    A run that ends gives its row and leaves no state; one that stays open for budget_ms of event time goes too, with a
+    row "timed_out" where these are asked for. Events that come for a run that has gone are a run of their own.
     """
 
-    def __init__(self, budget_ms: int | None = None):
-        self.budget_ms = budget_ms
+    def __init__(self, budget_ms: int, report: bool):
+        self.budget_ms, self.report = budget_ms, report
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status STRING, steps ARRAY<BIGINT>, last_ms BIGINT, last_id BIGINT")
+        self.newest = handle.getValueState("newest", "status STRING, ms BIGINT, id BIGINT")
+        self.steps = handle.getListState("steps", "step BIGINT")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        status, steps, last = "queued", [], (-1, -1)
-        if self.state.exists():
-            status, held, *at = self.state.get()
-            steps, last = list(held), tuple(at)
+        before = self.newest.get() if self.newest.exists() else None
+        status, *last = before or ("queued", -1, -1)
+        last, new = tuple(last), []
         for pdf in rows:
             for ts, event_id, kind in zip(pdf["ts"], pdf["event_id"], pdf["event_type"]):
-                steps.append(int(event_id))
+                new.append((int(event_id),))
                 now = (int(ts.timestamp() * 1000), int(event_id))
                 if now > last:
                     last, status = now, turn_status(kind)
-        if self.budget_ms is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            if status not in ("completed", "failed"):
+        ended = status in ENDED
+        held = [step for (step,) in self.steps.get()] if before else []
+        if before and (ended or last[0] != before[1]):
+            self.handle.deleteTimer(before[1] + self.budget_ms)
+        if ended:
+            self._clear()
+        else:
+            if not before or last[0] != before[1]:
                 self.handle.registerTimer(last[0] + self.budget_ms)
-        self.state.update((status, steps, last[0], last[1]))
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "steps": [sorted(steps)]})
+            self.steps.appendList(new)
+            self.newest.update((status, *last))
+        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "steps": [sorted([*held, *(step for (step,) in new)])]})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        status, steps, *_ = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame({"run_id": [key[0]], "status": ["timed_out"], "steps": [sorted(steps)]})
+        steps = sorted(step for (step,) in self.steps.get())
+        self._clear()
+        if self.report:
+            yield pd.DataFrame({"run_id": [key[0]], "status": ["timed_out"], "steps": [steps]})
+
+    def _clear(self) -> None:
+        self.newest.clear()
+        self.steps.clear()
 
     def close(self) -> None:
         pass
@@ -80,14 +96,17 @@ def turn_status(kind: str) -> str:
 TURN_STATE = "run_id BIGINT, status STRING, steps ARRAY<BIGINT>"
 
 
-def stream_turn_state(events: DataFrame) -> DataFrame:
-    """One row per run and trigger with its newest state. Rows of a run come in any order; time decides."""
-    return events.groupBy("user_id").transformWithStateInPandas(TurnState(), outputStructType=TURN_STATE, outputMode="Update", timeMode="None")
+def stream_turn_state(events: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
+    """One row per run and trigger with its newest state. Rows of a run come in any order; time decides.
+
+    An open run without events for keep_ms of event time is forgotten without a row.
+    """
+    return events.groupBy("user_id").transformWithStateInPandas(TurnState(keep_ms, False), outputStructType=TURN_STATE, outputMode="Update", timeMode="EventTime")
 
 
 def stream_deadline(events: DataFrame, budget_ms: int) -> DataFrame:
     """stream_turn_state with a row "timed_out" for runs that stay open for budget_ms of event time."""
-    return events.groupBy("user_id").transformWithStateInPandas(TurnState(budget_ms), outputStructType=TURN_STATE, outputMode="Update", timeMode="EventTime")
+    return events.groupBy("user_id").transformWithStateInPandas(TurnState(budget_ms, True), outputStructType=TURN_STATE, outputMode="Update", timeMode="EventTime")
 
 
 def merge_latest(batch: DataFrame, current: DataFrame | None, key: str, order: list[str]) -> DataFrame:
@@ -102,7 +121,8 @@ def stream_latest(changes: DataFrame, path: str, checkpoint: str, key: str, orde
     """Keep a keyed table at path, partitioned by bucket of the key: each micro-batch rewrites the buckets it touches.
 
     The merged rows of the touched buckets are written beside the table first, under the batch's number, and then put
-    in its place, so a batch that is run again finds them and loses nothing. Returns the query's writer.
+    in its place, so a batch that is run again finds them and loses nothing. Those of the batch before, which is
+    committed by then, are deleted. Returns the query's writer.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
@@ -119,6 +139,7 @@ def stream_latest(changes: DataFrame, path: str, checkpoint: str, key: str, orde
             merge_latest(rows, current, key, order).repartition(buckets, "bucket").write.mode("overwrite").parquet(merged)
         new = spark.read.schema(rows.schema).parquet(merged)
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        delete(spark, f"{path}/merged/{batch_id - 1}")
 
     return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
