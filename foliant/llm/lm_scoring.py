@@ -260,8 +260,11 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_co
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums to six and means to eight decimals, so that the order of addition does not show."""
-    out = backoff_scores(documents(spark, sf_dir), ORDER, min_count=1)
+    """Scores by n-grams that stand twice or more: what a document alone holds backs off, as it would for new text.
+
+    Sums to six and means to eight decimals, so that the order of addition does not show.
+    """
+    out = backoff_scores(documents(spark, sf_dir), ORDER)
     return out.withColumn("log_score", F.round("log_score", 6)).withColumn("mean_log_score", F.round("mean_log_score", 8))
 
 
@@ -273,8 +276,9 @@ g AS (SELECT r, p, k, words[p - k + 1 : p] AS gram FROM i, range(1, {ORDER + 1})
 c AS (SELECT gram, count(*) AS n FROM g GROUP BY gram),
 t AS (SELECT count(*) AS n FROM i),
 s AS (SELECT g.r, g.p, g.k, CASE WHEN g.k = 1 THEN ln(c.n / (SELECT n FROM t)) ELSE ln(c.n / b.n) END AS v
- FROM g JOIN c ON g.gram = c.gram LEFT JOIN c AS b ON b.gram = g.gram[:-2]),
-d AS (SELECT r, count(*) AS n, sum(v) AS v FROM (SELECT r, p, arg_max(v, k) AS v FROM s GROUP BY r, p) GROUP BY r)
-SELECT doc_id, coalesce(d.n, 0) AS n_words, round(coalesce(d.v, 0.0), 6) AS log_score, 0::BIGINT AS n_backoff, round(d.v / d.n, 8) AS mean_log_score
+ FROM g JOIN c ON g.gram = c.gram LEFT JOIN c AS b ON b.gram = g.gram[:-2] WHERE g.k = 1 OR c.n >= {MIN_COUNT}),
+hit AS (SELECT r, p, arg_max(v, k) AS v, least(p, {ORDER}) - max(k) AS steps FROM s GROUP BY r, p),
+d AS (SELECT r, count(*) AS n, sum(v + steps * ln({ALPHA})) AS v, count(*) FILTER (steps > 0) AS missed FROM hit GROUP BY r)
+SELECT doc_id, coalesce(d.n, 0) AS n_words, round(coalesce(d.v, 0.0), 6) AS log_score, coalesce(d.missed, 0) AS n_backoff, round(d.v / d.n, 8) AS mean_log_score
 FROM w LEFT JOIN d ON w.r = d.r
 """

@@ -14,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as some
 from tokenizers import Tokenizer
 
-from foliant.llm import fingerprints, lm_scoring, packing, pii, substring_dedup, token_counts
+from foliant.llm import fingerprints, lm_scoring, packing, pii, queries, substring_dedup, token_counts
+from tests.oracle import actual, expected
 
 from .conftest import shaped
 
@@ -244,16 +245,12 @@ def test_lm_scores(spark, sf, odd, none):
     assert lm_scoring.backoff_scores(none).count() == 0
 
 
-def test_lm_query_is_whole(spark, sf):
-    """The registered query counts trigrams and n-grams that occur once."""
-    got = {r["doc_id"]: r for r in lm_scoring.op1_lm_scoring(spark, sf).collect()}
-    texts = {r["doc_id"]: re.sub("[A-Z]", lambda m: m.group().lower(), r["text"] or "").split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    counts = collections.Counter(tuple(w[i : i + k]) for w in texts.values() for k in (1, 2, 3) for i in range(len(w) - k + 1))
-    total = sum(map(len, texts.values()))
-    for d, w in texts.items():
-        grams = [tuple(w[max(0, i - 2) : i + 1]) for i in range(len(w))]
-        want = sum(math.log(counts[g] / (counts[g[:-1]] if len(g) > 1 else total)) for g in grams)
-        assert abs(got[d]["log_score"] - want) < 1e-6 * max(1, abs(want)) and got[d]["n_words"] == len(w)
+def test_lm_query_backs_off(spark, sf):
+    """The registered query is trigrams of all texts; words whose n-grams stand once back off; SQL says the same."""
+    out = queries.QUERIES["op1_lm_scoring"](spark, sf)
+    rows = out.collect()
+    assert actual(out) == expected(sf, queries.SQL["op1_lm_scoring"])
+    assert 0 < sum(r["n_backoff"] for r in rows) < sum(r["n_words"] for r in rows)
 
 
 def test_substring_dedup(spark, sf, odd, none):
