@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import classify as cl
+from foliant.operators import contract as ct
 from foliant.operators import plan as pl
 from foliant.operators import structure as ops
 from foliant.operators import templates as tm
@@ -278,6 +279,47 @@ SQL["v16_contract_issues"] = """WITH sem AS (SELECT p_partkey % 97 AS template_i
  UNION ALL SELECT template_id, 'operation_block_count', key FROM (SELECT DISTINCT template_id, key FROM sem) x WHERE (SELECT count(*) FROM blk b WHERE b.template_id = x.template_id AND b.key = x.key) <> 1 UNION ALL SELECT template_id, 'occurrence_range', key FROM sem WHERE lo > 2
  UNION ALL SELECT template_id, 'scope_unknown', key FROM blk WHERE scope > 1
  UNION ALL SELECT DISTINCT template_id, 'version_unsupported', CASE WHEN template_id % 3 = 1 THEN '9.9' END FROM sem WHERE template_id % 3 <> 0"""
+# A sound contract, and what each of these faults, one in each template, must be reported as: (old, new, path, problem) ...
+SOUND = """{"template_meta":{"id":"t","name":"n","version":"1","schema_version":"2.0"},"semantic_blocks":[{"key":"body","label":"Body","description":"d","examples":["e"],"required":true,"multiple":true},{"key":"list","label":"List","description":"d","examples":["e"],"required":false,"multiple":true}],"derived_semantics":[{"key":"text","label":"Text","mode":"aggregate","inherits_from":["body","list"],"examples":["e"],"text_hints":["h"],"negative_examples":["x"],"operation":{"text_style":{},"paragraph_style":{},"language_font_overrides":{"zh":{"font_name":"SimSun"}}}}],"layout_rules":{"global_rules":{"document_scope":"full_document","ordering":["body","list"]},"semantic_rules":[{"semantic_key":"body","numbering_patterns":["^1"]}]},"patch_blocks":[{"semantic_key":"body","selector":{"part":"document","scope":"paragraph","match":{"ilvl":1,"style_id":"s","paragraph_ids":["p_1"]}},"operations":[{"type":"set_run_style","text_style":{}},{"type":"set_attr","name":"a"},{"type":"set_paragraph_style","style_id":"s"}]}],"classification_contract":{"scope":"paragraph","matches":[{"semantic_key":"body","paragraph_ids":["p_0"],"confidence":0.5,"reason":"r"}],"unmatched_paragraph_ids":[],"conflicts":[{"paragraph_id":"p_1","candidate_semantic_keys":["list"]}],"overall_confidence":1},"validation_policy":{"min_confidence":0.8,"enforce_validation":true}}"""
+_OLD = '"operation_blocks":[{"semantic_key":"body","text_style":{},"paragraph_style":{}},{"semantic_key":"list","text_style":{},"paragraph_style":{},"language_font_overrides":{"en":{"font_name":"Arial"}}}],"patch_blocks":['
+_PATCH = SOUND[SOUND.index('"patch_blocks":[') : SOUND.index(',"classification_contract"')]
+_EMPTY = _OLD + "]"
+FAULTS = [
+    ("", "", []), ('"schema_version":"2.0"', '"schema_version":"1.0"', [("template_meta.schema_version", "wrong choice")]), ('"id":"t",', "", [("template_meta.id", "missing")]), ('"name":"n"', '"name":" "', [("template_meta.name", "wrong text")]),
+    ('"version":"1"', '"version":1', [("template_meta.version", "wrong text")]), ('{"key":"list","label"', '{"key":"body","label"', [("semantic_blocks.body", "duplicate"), ("derived_semantics[0].inherits_from[1]", "undeclared"), ("layout_rules.global_rules.ordering[1]", "undeclared"), ("classification_contract.conflicts[0].candidate_semantic_keys[0]", "undeclared")]),
+    ('"label":"Body",', "", [("semantic_blocks[0].label", "missing")]), ('"description":"d","examples":["e"],"required":true', '"description":"d","examples":[],"required":"yes"', [("semantic_blocks[0].examples", "wrong texts"), ("semantic_blocks[0].required", "wrong boolean")]),
+    ('"key":"text"', '"key":"list"', [("derived_semantics.list", "duplicate")]), ('"mode":"aggregate"', '"mode":"mix"', [("derived_semantics[0].mode", "wrong choice")]), ('["body","list"],"examples"', '["body","lost"],"examples"', [("derived_semantics[0].inherits_from[1]", "undeclared")]),
+    ('"text_hints":["h"]', '"text_hints":[""]', [("derived_semantics[0].text_hints[0]", "wrong text")]), ('"negative_examples":["x"]', '"negative_examples":[]', [("derived_semantics[0].negative_examples", "wrong texts")]), ('"operation":{"text_style":{},', '"operation":{', [("derived_semantics[0].operation.text_style", "missing")]),
+    ('{"zh":{"font_name":"SimSun"}}', '{"zh":{"font_name":""},"fr":{}}', [("derived_semantics[0].operation.language_font_overrides.zh.font_name", "wrong text"), ("derived_semantics[0].operation.language_font_overrides.fr", "unsupported")]),
+    ('{"zh":{"font_name":"SimSun"}}', '{"en":{"font_size":1}}', [("derived_semantics[0].operation.language_font_overrides.en.font_name", "missing"), ("derived_semantics[0].operation.language_font_overrides.en.font_size", "unsupported")]),
+    ('"full_document"', '"page"', [("layout_rules.global_rules.document_scope", "wrong choice")]), ('"ordering":["body","list"]', '"ordering":["body","lost"]', [("layout_rules.global_rules.ordering[1]", "undeclared")]),
+    ('{"semantic_key":"body","numbering_patterns":["^1"]}', '{"semantic_key":"lost","numbering_patterns":[]}', [("layout_rules.semantic_rules[0].semantic_key", "undeclared"), ("layout_rules.semantic_rules[0].numbering_patterns", "wrong texts")]),
+    (_PATCH, '"patch_blocks":[]', [("patch_blocks", "no_blocks")]), (_PATCH, _EMPTY, []), (_PATCH, _EMPTY.replace('"body","text_style"', '"list","text_style"'), [("operation_blocks.body", "block_count"), ("operation_blocks.list", "block_count")]),
+    (_PATCH, _EMPTY.replace('"paragraph_style":{}},{', '"paragraph_style":1},{'), [("operation_blocks[0].paragraph_style", "wrong object")]), ('"patch_blocks":[{', '"operation_blocks":[{}],"patch_blocks":[{', []),
+    ('"part":"document"', '"part":"margin"', [("patch_blocks[0].selector.part", "wrong choice")]), ('"scope":"paragraph","match"', '"scope":"galaxy","match"', [("patch_blocks[0].selector.scope", "wrong choice")]), ('"ilvl":1', '"ilvl":-1', [("patch_blocks[0].selector.match.ilvl", "wrong ordinal")]),
+    ('"ilvl":1', '"section_index":1.5', [("patch_blocks[0].selector.match.section_index", "wrong ordinal")]), ('"style_id":"s","paragraph_ids":["p_1"]', '"style_id":null,"paragraph_ids":[]', [("patch_blocks[0].selector.match.style_id", "wrong text"), ("patch_blocks[0].selector.match.paragraph_ids", "wrong texts")]),
+    ('"set_run_style","text_style":{}', '"set_run_style"', [("patch_blocks[0].operations[0].text_style", "missing")]), ('"set_run_style"', '"paint"', [("patch_blocks[0].operations[0].type", "wrong choice")]), ('"name":"a"', '"name":" "', [("patch_blocks[0].operations[1].name", "wrong text")]),
+    ('"set_paragraph_style","style_id":"s"', '"set_paragraph_style"', [("patch_blocks[0].operations[2].paragraph_style", "missing")]), ('"set_attr"', '"set_numbering_level"', [("patch_blocks[0].operations[1].numbering_level", "missing")]),
+    ('{"scope":"paragraph","matches"', '{"scope":"run","matches"', [("classification_contract.scope", "wrong choice")]), ('"confidence":0.5', '"confidence":1.5', [("classification_contract.matches[0].confidence", "wrong confidence")]), ('"reason":"r"', '"reason":""', [("classification_contract.matches[0].reason", "wrong text")]),
+    ('"paragraph_ids":["p_0"]', '"paragraph_ids":"p_0"', [("classification_contract.matches[0].paragraph_ids", "wrong texts")]), ('"unmatched_paragraph_ids":[]', '"unmatched_paragraph_ids":[7]', [("classification_contract.unmatched_paragraph_ids[0]", "wrong text")]),
+    ('"candidate_semantic_keys":["list"]', '"candidate_semantic_keys":["lost"]', [("classification_contract.conflicts[0].candidate_semantic_keys[0]", "undeclared")]), ('"paragraph_id":"p_1",', "", [("classification_contract.conflicts[0].paragraph_id", "missing")]),
+    ('"overall_confidence":1', '"overall_confidence":true', [("classification_contract.overall_confidence", "wrong confidence")]), ('"min_confidence":0.8', '"min_confidence":"0.8"', [("validation_policy.min_confidence", "wrong confidence")]), ('"enforce_validation":true', '"reject_style_violations":0', [("validation_policy.reject_style_violations", "wrong boolean")]),
+    ('{"template_meta"', "{template_meta", [("", "broken")]), (',"validation_policy":{"min_confidence":0.8,"enforce_validation":true}', "", [("validation_policy", "missing")]),
+]
+
+
+def contract_texts(s, d):
+    k = c("p_partkey")
+    text = F.lit(SOUND)
+    for i, (old, new, _) in enumerate(FAULTS):
+        if old:
+            text = F.when(k % len(FAULTS) == i, F.replace(F.lit(SOUND), F.lit(old), F.lit(new))).otherwise(text)
+    return corpus.table(s, d, "part").select(k.cast("string").alias("template_id"), text.alias("contract"))
+
+
+reg("v16_contract_problems", lambda s, d: ct.contract_problems(ct.contract_rows(contract_texts(s, d))), "")
+_FOUND = ", ".join(f"({i}, '{path}', '{problem}')" for i, (_, _, found) in enumerate(FAULTS) for path, problem in found)
+SQL["v16_contract_problems"] = f"WITH f(i, path, problem) AS (VALUES {_FOUND}) SELECT p_partkey::VARCHAR AS template_id, path, problem FROM part JOIN f ON p_partkey % {len(FAULTS)} = i"
 V10 = f"SELECT DISTINCT doc_id, 'classification_conflict' AS error_code, {NONE}, paragraph_id AS paragraph_ids FROM conflicts"
 V11 = f"SELECT doc_id, 'unclassified_paragraph' AS error_code, {NONE}, paragraph_id AS paragraph_ids FROM none_matched"
 V15 = f"SELECT doc_id, 'seal_evidence_missing' AS error_code, {NONE}, '' AS paragraph_ids FROM paragraphs GROUP BY doc_id HAVING sum(n_images) = 0"
