@@ -22,6 +22,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_lm_scoring": lm_scoring.OP1_SQL,
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_embedding_dedup": hnsw.OP10_SQL,

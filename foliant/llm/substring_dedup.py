@@ -127,4 +127,23 @@ def remove_repeats(docs: DataFrame, spans: DataFrame, text: str = "text") -> Dat
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(documents(spark, sf_dir))
+    return repeated_spans(documents(spark, sf_dir)).drop("row")
+
+
+# Units by the definition above: sentences of a line, numbered; one of MIN_WORDS words or more ends a unit, what is left
+# at the line's end is one if it has that many. The texts themselves stand for their digests. Python's white space and
+# lower case beyond ASCII are taken from the Unicode classes that DuckDB knows.
+OP2_SQL = f"""
+WITH lines AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM documents),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_line,
+ string_split(regexp_replace(line, '([.!?]+)([\\s\\pZ\\x0b\\x1c-\\x1f\\x85]+|$)', '\\1\\2' || chr(1), 'g'), chr(1)) AS cut FROM lines),
+pieces AS (SELECT doc_id, ln, line, at_line, unnest(cut) AS piece, generate_subscripts(cut, 1) AS i FROM placed),
+worded AS (SELECT *, trim(regexp_replace(lower(piece), '[\\s\\pZ\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g')) AS words, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, ln ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces),
+counted AS (SELECT *, CASE WHEN words = '' THEN 0 ELSE len(string_split(words, ' ')) END AS n FROM worded),
+grouped AS (SELECT *, coalesce(sum((n >= {MIN_WORDS})::INT) OVER (PARTITION BY doc_id, ln ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM counted),
+units AS (SELECT doc_id, (min(at_line + before))::BIGINT AS s, (max(at_line + before + length(piece)))::BIGINT AS e, string_agg(words, ' ' ORDER BY i) FILTER (words <> '') AS norm FROM grouped GROUP BY doc_id, ln, unit HAVING sum(n) >= {MIN_WORDS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, s) AS r FROM units),
+gone AS (SELECT doc_id, count(*) AS n, sum(e - s)::BIGINT AS chars, string_agg(s || ':' || e, ',' ORDER BY s, e) AS spans FROM ranked WHERE r > 1 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(u.n, 0) AS n_units, coalesce(g.n, 0) AS n_removed, coalesce(g.chars, 0) AS chars_removed, coalesce(g.spans, '') AS spans
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u USING (doc_id) LEFT JOIN gone g USING (doc_id)
+"""

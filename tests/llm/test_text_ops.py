@@ -253,6 +253,11 @@ def test_lm_query_backs_off(spark, sf):
     assert 0 < sum(r["n_backoff"] for r in rows) < sum(r["n_words"] for r in rows)
 
 
+def test_substring_query(spark, sf):
+    got = queries.QUERIES["op2_substring_dedup"](spark, sf)
+    assert actual(got) == expected(sf, queries.SQL["op2_substring_dedup"])
+
+
 def test_substring_dedup(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: r for r in substring_dedup.repeated_spans(docs).collect()}
