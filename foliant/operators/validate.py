@@ -214,7 +214,7 @@ def validate(
 
     Numbering warnings on body paragraphs are issues of their own code that don't close the gate.
     """
-    issues = rule_issues(context.select("doc_id").distinct(), matched, context, rules)
+    issues = rule_issues(docs, matched, context, rules)
     if _CHECKS:
         issues = issues.unionByName(run_checks(matched, context, rules))
     for part in (check_conflicts(conflicts, policy.reject_conflicts), check_unmatched(unmatched, policy.reject_unmatched, policy.allow_unclassified), check_seal(template, evidence)):
