@@ -255,7 +255,8 @@ def unknown_semantics(predictions: DataFrame, semantics: tuple[str, ...]) -> Dat
 def local_context(context: DataFrame, targets: DataFrame, radius: int = 1) -> DataFrame:
     """Neighbours of each target within radius: each target names its neighbours' positions, an equi-join finds them."""
     t = targets.join(context.select("doc_id", "paragraph_id", "paragraph_index"), ["doc_id", "paragraph_id"])
-    spots = t.select("doc_id", F.col("paragraph_id").alias("target_id"), F.col("paragraph_index").alias("at"), F.explode(F.sequence(F.col("paragraph_index") - radius, F.col("paragraph_index") + radius)).alias("paragraph_index")).filter("at <> paragraph_index")
+    spots = t.select("doc_id", F.col("paragraph_id").alias("target_id"), F.col("paragraph_index").alias("at"), F.explode(F.sequence(F.col("paragraph_index") - radius,
+        F.col("paragraph_index") + radius)).alias("paragraph_index")).filter("at <> paragraph_index")
     return spots.join(context.select("doc_id", "paragraph_index", "paragraph_id"), ["doc_id", "paragraph_index"]).select("doc_id", "target_id", "paragraph_id", (F.col("paragraph_index") - F.col("at")).alias("offset"))
 
 

@@ -44,7 +44,8 @@ CATALOGUE = (
     ("classification_contract.overall_confidence", "confidence", False, ""), ("validation_policy", "object", True, ""), ("validation_policy.min_confidence", "confidence", False, ""),
     ("validation_policy.enforce_validation", "boolean", False, ""), ("validation_policy.require_all_required_semantics", "boolean", False, ""), ("validation_policy.reject_conflicting_matches", "boolean", False, ""),
     ("validation_policy.reject_order_violations", "boolean", False, ""), ("validation_policy.reject_style_violations", "boolean", False, ""), ("validation_policy.reject_unmatched_when_required", "boolean", False, ""),
-    *[(f"{at}.language_font_overrides{rest}", rule, needed, "") for at in ("derived_semantics[].operation", "operation_blocks[]") for rest, rule, needed in (("", "object", False), (".zh", "object", False), (".en", "object", False), (".zh.font_name", "text", True), (".en.font_name", "text", True))],
+    *[(f"{at}.language_font_overrides{rest}", rule, needed, "") for at in ("derived_semantics[].operation", "operation_blocks[]") for rest, rule, needed in (("", "object", False), (".zh", "object", False), (".en", "object", False),
+        (".zh.font_name", "text", True), (".en.font_name", "text", True))],
 )
 # The field that an operation of a type must have, and its rule.
 OPERATION_FIELDS = (
@@ -140,7 +141,8 @@ def contract_problems(rows: DataFrame, catalogue: tuple = CATALOGUE) -> DataFram
     out = out.unionByName(twice(keys, "semantic_blocks.")).unionByName(twice(derived, "derived_semantics."))
     out = out.unionByName(says(derived.join(keys.distinct(), ["template_id", "value"], "left_semi").distinct(), "duplicate", F.concat(F.lit("derived_semantics."), "value")))
 
-    sets = rows.groupBy("template_id").agg(*[F.max(F.when((F.col("path") == p) & (F.col("kind") == "array"), F.col("value").try_cast("int"))).alias(p) for p in ("patch_blocks", "operation_blocks")], F.max(F.col("kind") == "broken").alias("broken"))
+    sets = rows.groupBy("template_id").agg(*[F.max(F.when((F.col("path") == p) & (F.col("kind") == "array"), F.col("value").try_cast("int"))).alias(p) for p in ("patch_blocks", "operation_blocks")],
+        F.max(F.col("kind") == "broken").alias("broken"))
     bare = sets.filter(~F.col("broken") & (F.coalesce("patch_blocks", F.lit(0)) == 0) & (F.coalesce("operation_blocks", F.lit(0)) == 0))
     out = out.unionByName(says(bare, "no_blocks", F.lit("patch_blocks")))
     old = sets.filter((F.coalesce("patch_blocks", F.lit(0)) == 0) & (F.col("operation_blocks") > 0)).select("template_id")

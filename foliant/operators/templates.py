@@ -39,7 +39,8 @@ def paragraph_facts(context: DataFrame) -> DataFrame:
     c = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", "text", "role", "in_table", "has_image", "heading_level"))
     near = F.col("paragraph_index") < F.greatest(F.lit(2), F.floor(F.col("n") * 0.2))
     first_text = F.coalesce(F.col("paragraph_index") == F.col("first_text"), F.lit(True))
-    return c.select("doc_id", "paragraph_id", "role", "in_table", "has_image", (F.trim("text") == "").alias("blank"), "heading_level", near.alias("near_top"), (F.col("paragraph_index") == 0).alias("is_first"), first_text.alias("is_first_text"))
+    return c.select("doc_id", "paragraph_id", "role", "in_table", "has_image", (F.trim("text") == "").alias("blank"), "heading_level", near.alias("near_top"), (F.col("paragraph_index") == 0).alias("is_first"),
+        first_text.alias("is_first_text"))
 
 
 def accepts() -> Column:

@@ -45,7 +45,8 @@ def issue(df: DataFrame, code: str, semantic: Column | None = None, ids: Column
 
 
 def per_semantic(matched: DataFrame) -> DataFrame:
-    return matched.groupBy("doc_id", "semantic_key").agg(_ids().alias("ids"), F.countDistinct("paragraph_id").alias("n"), F.min("paragraph_index").alias("first"), F.max("paragraph_index").alias("last"), exact_mean(F.sum(_decimal("confidence")), F.count("confidence")).alias("confidence"))
+    return matched.groupBy("doc_id", "semantic_key").agg(_ids().alias("ids"), F.countDistinct("paragraph_id").alias("n"), F.min("paragraph_index").alias("first"), F.max("paragraph_index").alias("last"),
+        exact_mean(F.sum(_decimal("confidence")), F.count("confidence")).alias("confidence"))
 
 
 def check_confidence(matched, context, rules, least: float = 0.8) -> DataFrame:
@@ -147,7 +148,8 @@ def check_ordering(matched, context, rules) -> DataFrame:
 
 def check_style(matched, context, rules) -> DataFrame:
     """The first failing structural hint of each matched paragraph, in fixed order."""
-    r = rules.select("semantic_key", F.col("role").alias("want_role"), F.col("in_table").alias("want_table"), F.col("require_image").alias("want_image"), F.col("allow_empty").alias("may_be_empty"), F.col("heading_level").alias("want_level"))
+    r = rules.select("semantic_key", F.col("role").alias("want_role"), F.col("in_table").alias("want_table"), F.col("require_image").alias("want_image"), F.col("allow_empty").alias("may_be_empty"),
+        F.col("heading_level").alias("want_level"))
     blank = F.trim("text") == ""
     c = matched.join(context.select("doc_id", "paragraph_id", "has_image", "bucket", "in_table", "heading_level"), ["doc_id", "paragraph_id"]).join(F.broadcast(r), "semantic_key")
     code = (

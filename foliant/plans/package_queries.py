@@ -91,7 +91,8 @@ def s1_runs(s, d):
 
 reg("s1_read_runs", s1_runs, """, r AS (SELECT *, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS t FROM run_pieces WHERE doc_id % 50 <> 7)
  SELECT doc_id, paragraph_id || '_r_' || run_index AS run_id, t AS text, CASE WHEN (paragraph_index + run_index) % 4 = 0 THEN (20 + run_index % 7)::DOUBLE / 2 END AS font_size_pt,
- true AS is_bold, NULL::BOOLEAN AS is_underline FROM r WHERE t <> '' UNION ALL SELECT doc_id, 'p_' || count(*) || '_r_0', 'Header ' || doc_id, NULL, NULL, NULL FROM sound GROUP BY doc_id""", CTE, SOUND)
+ true AS is_bold, NULL::BOOLEAN AS is_underline FROM r WHERE t <> '' UNION ALL SELECT doc_id, 'p_' || count(*) || '_r_0', 'Header ' || doc_id, NULL, NULL, NULL FROM sound
+  GROUP BY doc_id""", CTE, SOUND)
 
 
 def t1(s, d):
@@ -107,8 +108,10 @@ def t3(s, d):
     return numbered(pg.document_cells(*parsed(s, d, CONTENT)).drop("part_path"))
 
 
-reg("t3_read_cells", t3, """, t AS (SELECT doc_id, paragraph_index, (doc_id + paragraph_index) % 20 = 17 AS nested, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1 AS n FROM sound WHERE in_table)
- SELECT doc_id, paragraph_index, CASE WHEN nested THEN 2 ELSE 1 END AS depth, 'tb_' || n || '/tr_0/tc_0' || CASE WHEN nested THEN '/tb_0/tr_0/tc_0' ELSE '' END AS cell, 0 AS p FROM t""", CTE, SOUND)
+reg("t3_read_cells", t3, """, t AS (SELECT doc_id, paragraph_index, (doc_id + paragraph_index) % 20 = 17 AS nested, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1 AS n
+  FROM sound WHERE in_table)
+ SELECT doc_id, paragraph_index, CASE WHEN nested THEN 2 ELSE 1 END AS depth, 'tb_' || n || '/tr_0/tc_0' || CASE WHEN nested THEN '/tb_0/tr_0/tc_0' ELSE '' END AS cell, 0 AS p
+  FROM t""", CTE, SOUND)
 
 
 def t9(s, d):
@@ -119,7 +122,8 @@ def t9(s, d):
     return numbered(ops.resolve_styles(styles, defaults))
 
 
-reg("t9_read_styles", t9, f"""SELECT doc_id, 'S' || j AS style_id, 'Font' || doc_id % 3 AS font_name, CASE WHEN j <= doc_id % {corpus.LONG_CHAIN} THEN (20 + doc_id % {corpus.LONG_CHAIN})::DOUBLE / 2 ELSE 9.5 END AS font_size_pt,
+reg("t9_read_styles", t9, f"""SELECT doc_id, 'S' || j AS style_id, 'Font' || doc_id % 3 AS font_name, CASE
+  WHEN j <= doc_id % {corpus.LONG_CHAIN} THEN (20 + doc_id % {corpus.LONG_CHAIN})::DOUBLE / 2 ELSE 9.5 END AS font_size_pt,
  NULL::VARCHAR AS font_color, NULL::BOOLEAN AS is_bold FROM docs, range({corpus.LONG_CHAIN}) AS r(j) WHERE doc_id % 50 <> 7""", CTE, SOUND)
 
 

@@ -40,7 +40,8 @@ def t1(s: SparkSession, d: str) -> DataFrame:
     return ops.flatten_blocks(p.select("doc_id", c("paragraph_index").alias("seq"), kind.alias("node_type")))
 
 
-add("t1_flatten_blocks", t1, """, blocks AS (SELECT doc_id, paragraph_index AS seq, CASE WHEN in_table THEN 'table' WHEN (doc_id + paragraph_index) % 15 = 0 THEN 'section_break' ELSE 'paragraph' END AS node_type FROM paragraphs),
+add("t1_flatten_blocks", t1, """, blocks AS (SELECT doc_id, paragraph_index AS seq, CASE WHEN in_table THEN 'table'
+  WHEN (doc_id + paragraph_index) % 15 = 0 THEN 'section_break' ELSE 'paragraph' END AS node_type FROM paragraphs),
  placed AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, node_type ORDER BY seq) - 1)::INTEGER AS ordinal FROM blocks)
  SELECT *, 'body/' || node_type || '[' || ordinal || ']' AS anchor FROM placed""", CTE)
 add("t2_flatten_runs", lambda s, d: ops.flatten_runs(corpus.paragraphs(s, d), "\\. "), "SELECT doc_id, paragraph_id, run_index, text, run_id FROM runs", CTE)
@@ -52,7 +53,8 @@ def t3(s, d):
     return ops.flatten_tables(p.select("doc_id", c("paragraph_index").alias("tbl"), rows.alias("rows")))
 
 
-add("t3_flatten_tables", t3, """, a AS (SELECT doc_id, paragraph_index AS tbl, unnest(string_split(text, '. ')) AS x, (generate_subscripts(string_split(text, '. '), 1) - 1)::INTEGER AS r FROM paragraphs WHERE in_table),
+add("t3_flatten_tables", t3, """, a AS (SELECT doc_id, paragraph_index AS tbl, unnest(string_split(text, '. ')) AS x, (generate_subscripts(string_split(text, '. '), 1) - 1)::INTEGER AS r
+  FROM paragraphs WHERE in_table),
  b AS (SELECT doc_id, tbl, r, unnest(string_split(x, ', ')) AS y, (generate_subscripts(string_split(x, ', '), 1) - 1)::INTEGER AS c FROM a),
  e AS (SELECT doc_id, tbl, r, c, unnest(string_split(y, ' ')) AS text, (generate_subscripts(string_split(y, ' '), 1) - 1)::INTEGER AS p FROM b)
  SELECT *, 'tbl_' || tbl || '_r_' || r || '_c_' || c || '_p_' || p AS id FROM e""", CTE)
@@ -61,7 +63,8 @@ add("t4_paragraph_records", lambda s, d: ops.paragraph_records(corpus.runs(s, d)
 add("t5_derive_paragraphs", lambda s, d: ops.derive_paragraphs(corpus.runs(s, d)).withColumn("run_ids", _join("run_ids")), ", " + RECORDS + " SELECT *, CASE WHEN in_table THEN 'table_text' ELSE 'body' END AS role FROM records", CTE)
 add("t6_role_by_name", lambda s, d: corpus.paragraphs(s, d).select("doc_id", "paragraph_id", "role", "heading_level", "list_level"), "SELECT doc_id, paragraph_id, role, heading_level, list_level FROM paragraphs", CTE)
 ROLE_BY_PART = f"CASE part_kind WHEN 'header' THEN 'header' WHEN 'footer' THEN 'footer' WHEN 'footnotes' THEN 'footnote' WHEN 'endnotes' THEN 'endnote' ELSE CASE WHEN in_table THEN 'table_text' WHEN {views.LEVEL} IS NOT NULL THEN 'heading' WHEN is_numbered THEN 'list_item' ELSE 'body' END END"
-add("t7_role_by_part", lambda s, d: corpus.paragraphs(s, d).select("doc_id", "paragraph_id", st.role_by_part("part_kind", "style_name", "is_numbered", "in_table").alias("role")), f"SELECT doc_id, paragraph_id, {ROLE_BY_PART} AS role FROM paragraphs", CTE)
+add("t7_role_by_part", lambda s, d: corpus.paragraphs(s, d).select("doc_id", "paragraph_id", st.role_by_part("part_kind", "style_name", "is_numbered", "in_table").alias("role")), f"SELECT doc_id, paragraph_id, {ROLE_BY_PART} AS role "
+    f"FROM paragraphs", CTE)
 add("t8_role_counts", lambda s, d: ops.role_counts(corpus.paragraphs(s, d)), "SELECT doc_id, role, count(*) AS n FROM paragraphs GROUP BY ALL", CTE)
 
 # A chain from a character style to Normal, a pair that name each other, one alone, and a long chain whose last one
@@ -87,14 +90,17 @@ def defaults(s, d):
 
 
 STYLES = "chain(i, style_id, based_on) AS (VALUES " + ", ".join(f"({i}, '{n}', {repr(b) if b else 'NULL'})" for i, (n, b) in enumerate(_CHAIN)) + """),
-styles AS (SELECT doc_id, style_id, based_on, CASE WHEN i < 7 AND (doc_id + i) % 3 = 0 OR i = """ + str(6 + _LONG) + """ THEN 'Font' || i END AS font_name, CASE WHEN (doc_id + i) % 4 = 0 THEN (i + 9)::DOUBLE END AS font_size_pt,
+styles AS (SELECT doc_id, style_id, based_on, CASE WHEN i < 7 AND (doc_id + i) % 3 = 0 OR i = """ + str(6 + _LONG) + """ THEN 'Font' || i END AS font_name, CASE
+  WHEN (doc_id + i) % 4 = 0 THEN (i + 9)::DOUBLE END AS font_size_pt,
  CASE WHEN (doc_id + i) % 5 = 0 THEN lpad(i::VARCHAR, 6, '0') END AS font_color, CASE WHEN (doc_id + i) % 2 = 0 THEN (doc_id + i) % 4 = 0 END AS is_bold FROM documents, chain),
 defaults AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Base Font' END AS font_name, 11.0::DOUBLE AS font_size_pt, NULL::VARCHAR AS font_color, false AS is_bold FROM documents)"""
 SQL["t9_resolve_styles"] = "WITH RECURSIVE " + STYLES + """,
 walk AS (SELECT doc_id, style_id AS leaf, style_id, based_on, [style_id] AS seen, 0 AS level FROM styles
- UNION ALL SELECT w.doc_id, w.leaf, s.style_id, s.based_on, list_append(w.seen, s.style_id), w.level + 1 FROM walk w JOIN styles s ON s.doc_id = w.doc_id AND s.style_id = w.based_on WHERE NOT list_contains(w.seen, s.style_id)),
+ UNION ALL SELECT w.doc_id, w.leaf, s.style_id, s.based_on, list_append(w.seen, s.style_id), w.level + 1 FROM walk w JOIN styles s ON s.doc_id = w.doc_id AND s.style_id = w.based_on
+  WHERE NOT list_contains(w.seen, s.style_id)),
 near AS (SELECT w.doc_id, leaf AS style_id, arg_min(s.font_name, level) FILTER (s.font_name IS NOT NULL) AS font_name, arg_min(s.font_size_pt, level) FILTER (s.font_size_pt IS NOT NULL) AS font_size_pt,
- arg_min(s.font_color, level) FILTER (s.font_color IS NOT NULL) AS font_color, arg_min(s.is_bold, level) FILTER (s.is_bold IS NOT NULL) AS is_bold FROM walk w JOIN styles s USING (doc_id, style_id) GROUP BY ALL)
+ arg_min(s.font_color, level) FILTER (s.font_color IS NOT NULL) AS font_color, arg_min(s.is_bold, level) FILTER (s.is_bold IS NOT NULL) AS is_bold FROM walk w JOIN styles s USING (doc_id, style_id)
+  GROUP BY ALL)
 SELECT doc_id, style_id, coalesce(n.font_name, d.font_name) AS font_name, coalesce(n.font_size_pt, d.font_size_pt) AS font_size_pt, coalesce(n.font_color, d.font_color) AS font_color, coalesce(n.is_bold, d.is_bold) AS is_bold FROM near n JOIN defaults d USING (doc_id)"""
 QUERIES["t9_resolve_styles"] = lambda s, d: ops.resolve_styles(styles(s, d), defaults(s, d))
 CONSTANTS = {"font_name": "Times", "font_size_pt": 10.0, "font_color": "000000"}
@@ -148,7 +154,8 @@ def t13(s, d):
 
 
 add("t13_numbering_projection", t13, """nums AS (SELECT doc_id, n::INTEGER AS num_id, ((doc_id + n) % 4)::INTEGER AS abstract_id FROM documents, range(1, 4) t(n)),
- levels AS (SELECT doc_id, a::INTEGER AS abstract_id, string_agg(l || ':' || CASE WHEN (doc_id + l) % 2 = 0 THEN 'decimal' ELSE 'bullet' END, '|' ORDER BY l) AS levels FROM documents, range(3) t(a), range(3) u(l) GROUP BY ALL)
+ levels AS (SELECT doc_id, a::INTEGER AS abstract_id, string_agg(l || ':' || CASE WHEN (doc_id + l) % 2 = 0 THEN 'decimal' ELSE 'bullet' END, '|' ORDER BY l) AS levels
+  FROM documents, range(3) t(a), range(3) u(l) GROUP BY ALL)
  SELECT doc_id, num_id, abstract_id, coalesce(levels, '') AS levels FROM nums LEFT JOIN levels USING (doc_id, abstract_id)""".replace("nums AS", "WITH nums AS", 1))
 add("t14_project_nodes", lambda s, d: ops.project_nodes(corpus.runs(s, d)).select("doc_id", "run_id", "text"), "SELECT doc_id, run_id, text FROM runs WHERE trim(text) <> '' AND trim(run_id) <> ''", CTE)
 
@@ -160,7 +167,8 @@ def t15(s, d):
     return ops.structure_index(part(2), part(1).withColumn("role", F.upper("role")), derived)
 
 
-add("t15_structure_index", t15, ", chosen AS (SELECT doc_id, paragraph_id, CASE doc_id % 3 WHEN 2 THEN role WHEN 1 THEN upper(role) ELSE CASE WHEN in_table THEN 'table_text' ELSE 'body' END END AS role, (2 - doc_id % 3)::INTEGER AS source_rank FROM paragraphs) SELECT *, count(*) OVER (PARTITION BY doc_id, role) AS n_role FROM chosen", CTE)
+add("t15_structure_index", t15, ", chosen AS (SELECT doc_id, paragraph_id, CASE doc_id % 3 WHEN 2 THEN role WHEN 1 THEN upper(role) ELSE CASE WHEN in_table "
+    "THEN 'table_text' ELSE 'body' END END AS role, (2 - doc_id % 3)::INTEGER AS source_rank FROM paragraphs) SELECT *, count(*) OVER (PARTITION BY doc_id, role) AS n_role FROM chosen", CTE)
 
 
 def t16(s, d):
@@ -170,8 +178,10 @@ def t16(s, d):
 
 
 add("t16_projection_diagnostics", t16, """, per AS (SELECT doc_id, paragraph_id, count(*) AS n, count(*) FILTER ((doc_id + paragraph_index) % 6 <> 0) AS h FROM runs GROUP BY ALL)
- SELECT doc_id, coalesce(string_agg(paragraph_id, '|' ORDER BY paragraph_id) FILTER (h = 0), '') AS unprojected, sum(h)::BIGINT AS projected, sum(n)::BIGINT AS structured FROM per GROUP BY ALL""", CTE)
-add("t17_emphasis_index", lambda s, d: ops.emphasis_index(corpus.runs(s, d)), f""", e AS (SELECT *, (CASE WHEN is_bold THEN 2 ELSE 0 END + CASE WHEN is_italic THEN 1 ELSE 0 END + CASE WHEN is_underline THEN 1 ELSE 0 END + CASE WHEN highlight_color IS NOT NULL THEN 3 ELSE 0 END)::INTEGER AS strength, {T} AS tt FROM runs),
+ SELECT doc_id, coalesce(string_agg(paragraph_id, '|' ORDER BY paragraph_id) FILTER (h = 0), '') AS unprojected, sum(h)::BIGINT AS projected, sum(n)::BIGINT AS structured FROM per
+  GROUP BY ALL""", CTE)
+add("t17_emphasis_index", lambda s, d: ops.emphasis_index(corpus.runs(s, d)), f""", e AS (SELECT *, (CASE WHEN is_bold THEN 2 ELSE 0 END + CASE WHEN is_italic THEN 1 ELSE 0 END + CASE
+  WHEN is_underline THEN 1 ELSE 0 END + CASE WHEN highlight_color IS NOT NULL THEN 3 ELSE 0 END)::INTEGER AS strength, {T} AS tt FROM runs),
  f AS (SELECT *, (strength * 100 - least(length(tt), 60) - 2 * paragraph_index)::INTEGER AS priority FROM e WHERE strength > 0),
  g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, paragraph_index, run_index) AS rn FROM f)
  SELECT doc_id, run_id, paragraph_index, run_index, strength, priority, CASE WHEN length(tt) > 80 THEN substr(tt, 1, 77) || '...' ELSE tt END AS preview FROM g WHERE rn <= 24""", CTE)
@@ -195,7 +205,8 @@ def context(s, d):
     return ops.paragraph_context(corpus.paragraphs(s, d))
 
 
-add("t20_paragraph_context", lambda s, d: context(s, d).select(*_ctx), CONTEXT + " SELECT doc_id, paragraph_id, position, position = 0 AS is_first, position = n_paragraphs - 1 AS is_last, bucket, has_image, image_dominant FROM context", CTE)
+add("t20_paragraph_context", lambda s, d: context(s, d).select(*_ctx), CONTEXT + " SELECT doc_id, paragraph_id, position, position = 0 AS is_first, position = n_paragraphs - 1 AS is_last, bucket, has_image, image_dominant "
+    "FROM context", CTE)
 
 
 def t20_runs(s, d):
@@ -214,14 +225,18 @@ def t21(s, d):
 
 from .text_queries import PATTERN_SQL  # noqa: E402
 
-add("t21_evidence_summary", t21, CONTEXT + f""", h AS (SELECT doc_id, string_agg(style_name || ':' || n, '|' ORDER BY style_name) AS styles FROM (SELECT doc_id, style_name, count(*) AS n FROM paragraphs GROUP BY ALL) GROUP BY ALL),
+add("t21_evidence_summary", t21, CONTEXT + f""", h AS (SELECT doc_id, string_agg(style_name || ':' || n, '|' ORDER BY style_name) AS styles FROM (SELECT doc_id, style_name, count(*) AS n
+  FROM paragraphs GROUP BY ALL) GROUP BY ALL),
  g AS (SELECT doc_id, count(*) FILTER (in_table) AS n_table, sum(n_images)::BIGINT AS n_images, count(*) FILTER (has_image) AS n_image_paragraphs, count(*) FILTER (image_dominant) AS n_image_dominant,
  array_to_string(list_sort(list_distinct(list({PATTERN_SQL}))), '|') AS patterns FROM context GROUP BY ALL)
  SELECT * FROM g JOIN h USING (doc_id)""", CTE)
-add("t22_observation_summary", lambda s, d: ops.observation_summary(context(s, d)), CONTEXT + f""" SELECT doc_id, paragraph_id, role, CASE WHEN length({T}) > 120 THEN substr({T}, 1, 117) || '...' ELSE {T} END AS excerpt,
+add("t22_observation_summary", lambda s, d: ops.observation_summary(context(s, d)), CONTEXT + f""" SELECT doc_id, paragraph_id, role, CASE
+  WHEN length({T}) > 120 THEN substr({T}, 1, 117) || '...' ELSE {T} END AS excerpt,
  count(*) FILTER (in_table) OVER w AS n_table, count(*) FILTER (has_image) OVER w AS n_image_paragraphs FROM context WINDOW w AS (PARTITION BY doc_id)""", CTE)
-add("t23_structure_samples", lambda s, d: ops.structure_samples(corpus.paragraphs(s, d)).select("doc_id", "paragraph_id", "role", "n_role", "place"), "SELECT * FROM (SELECT doc_id, paragraph_id, role, count(*) OVER (PARTITION BY doc_id, role) AS n_role, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index)::INTEGER AS place FROM paragraphs) WHERE place <= 20", CTE)
-add("t23_block_samples", lambda s, d: ops.block_samples(t1(s, d)).select("doc_id", "node_type", "anchor", "place"), """, blocks AS (SELECT doc_id, paragraph_index AS seq, CASE WHEN in_table THEN 'table' WHEN (doc_id + paragraph_index) % 15 = 0 THEN 'section_break' ELSE 'paragraph' END AS node_type FROM paragraphs),
+add("t23_structure_samples", lambda s, d: ops.structure_samples(corpus.paragraphs(s, d)).select("doc_id", "paragraph_id", "role", "n_role", "place"), "SELECT * "
+    "FROM (SELECT doc_id, paragraph_id, role, count(*) OVER (PARTITION BY doc_id, role) AS n_role, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index)::INTEGER AS place FROM paragraphs) WHERE place <= 20", CTE)
+add("t23_block_samples", lambda s, d: ops.block_samples(t1(s, d)).select("doc_id", "node_type", "anchor", "place"), """, blocks AS (SELECT doc_id, paragraph_index AS seq, CASE
+  WHEN in_table THEN 'table' WHEN (doc_id + paragraph_index) % 15 = 0 THEN 'section_break' ELSE 'paragraph' END AS node_type FROM paragraphs),
  placed AS (SELECT *, 'body/' || node_type || '[' || (row_number() OVER (PARTITION BY doc_id, node_type ORDER BY seq) - 1) || ']' AS anchor, row_number() OVER (PARTITION BY doc_id ORDER BY seq)::INTEGER AS place FROM blocks)
  SELECT doc_id, node_type, anchor, place FROM placed WHERE place <= 6""", CTE)
 add("t24_inspect_count", lambda s, d: ops.inspect_count(ops.project_nodes(corpus.runs(s, d))), "SELECT doc_id, count(*) AS n_nodes FROM runs WHERE trim(text) <> '' GROUP BY ALL", CTE)
@@ -243,7 +258,8 @@ def j1(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-add("j1_select_scope", j1, NODES + " SELECT n.doc_id, n.paragraph_id, n.run_id, p.role AS scope FROM nodes n JOIN paragraphs p USING (doc_id, paragraph_id) WHERE p.role IN ('body', 'list_item') OR (p.role = 'heading' AND p.heading_level = 2)", CTE)
+add("j1_select_scope", j1, NODES + " SELECT n.doc_id, n.paragraph_id, n.run_id, p.role AS scope FROM nodes n JOIN paragraphs p USING (doc_id, paragraph_id) WHERE p.role IN ('body', 'list_item') OR (p.role = 'heading' "
+    "AND p.heading_level = 2)", CTE)
 add("j2_select_all_text", lambda s, d: sel.select_all_text(nodes(s, d)), NODES + " SELECT doc_id, NULL::VARCHAR AS paragraph_id, run_id FROM nodes", CTE)
 
 
@@ -253,8 +269,11 @@ def wanted(s, d):
 
 
 WANTED = ", wanted AS (SELECT doc_id, i::INTEGER AS place, ['p_3', 'p_0', 'p_999', 'p_3'][i + 1] AS paragraph_id FROM documents, range(4) t(i))"
-add("j3_select_paragraph_ids", lambda s, d: sel.select_ids(corpus.paragraphs(s, d), wanted(s, d), "paragraph_id"), WANTED + " SELECT doc_id, paragraph_id, min(place) AS place, bool_or(EXISTS (SELECT 1 FROM paragraphs p WHERE p.doc_id = w.doc_id AND p.paragraph_id = w.paragraph_id)) AS found FROM wanted w GROUP BY ALL", CTE)
-add("j4_select_node_ids", lambda s, d: sel.node_owners(nodes(s, d), wanted(s, d).select("doc_id", "place", F.concat("paragraph_id", F.lit("_r_0")).alias("run_id"))), NODES + WANTED + ", once AS (SELECT doc_id, paragraph_id || '_r_0' AS run_id, min(place) AS place FROM wanted GROUP BY ALL) SELECT o.doc_id, o.run_id, o.place, n.run_id IS NOT NULL AS found, n.paragraph_id FROM once o LEFT JOIN nodes n ON n.doc_id = o.doc_id AND n.run_id = o.run_id", CTE)
+add("j3_select_paragraph_ids", lambda s, d: sel.select_ids(corpus.paragraphs(s, d), wanted(s, d), "paragraph_id"), WANTED + " SELECT doc_id, paragraph_id, min(place) AS place, bool_or(EXISTS (SELECT 1 FROM paragraphs p "
+    "WHERE p.doc_id = w.doc_id AND p.paragraph_id = w.paragraph_id)) AS found FROM wanted w GROUP BY ALL", CTE)
+add("j4_select_node_ids", lambda s, d: sel.node_owners(nodes(s, d), wanted(s, d).select("doc_id", "place", F.concat("paragraph_id", F.lit("_r_0")).alias("run_id"))),
+    NODES + WANTED + ", once AS (SELECT doc_id, paragraph_id || '_r_0' AS run_id, min(place) AS place FROM wanted GROUP BY ALL) SELECT o.doc_id, o.run_id, o.place, n.run_id IS NOT NULL AS found, n.paragraph_id FROM once o LEFT "
+        "JOIN nodes n ON n.doc_id = o.doc_id AND n.run_id = o.run_id", CTE)
 
 
 def j5(s, d):
@@ -263,7 +282,9 @@ def j5(s, d):
 
 
 add("j5_select_patch_targets", j5, "SELECT DISTINCT doc_id, 'target:block:' || paragraph_id AS target_id, 'word/document.xml' AS part_path FROM runs WHERE paragraph_index % 3 <> 0", CTE)
-add("j6_writable_split", lambda s, d: sel.writable_split(corpus.paragraphs(s, d).filter("role = 'body'").select("doc_id", "paragraph_id"), nodes(s, d)), NODES + ", w AS (SELECT DISTINCT doc_id, paragraph_id FROM nodes) SELECT p.doc_id, p.paragraph_id, w.doc_id IS NOT NULL AS writable, CASE WHEN w.doc_id IS NULL THEN 'no_writable_runs' END AS skip_reason FROM paragraphs p LEFT JOIN w ON w.doc_id = p.doc_id AND w.paragraph_id = p.paragraph_id WHERE role = 'body'", CTE)
+add("j6_writable_split", lambda s, d: sel.writable_split(corpus.paragraphs(s, d).filter("role = 'body'").select("doc_id", "paragraph_id"), nodes(s, d)), NODES + ", w AS (SELECT DISTINCT doc_id, paragraph_id FROM nodes) "
+    "SELECT p.doc_id, p.paragraph_id, w.doc_id IS NOT NULL AS writable, CASE WHEN w.doc_id IS NULL THEN 'no_writable_runs' END AS skip_reason FROM paragraphs p LEFT JOIN w ON w.doc_id = p.doc_id AND w.paragraph_id = p.paragraph_id "
+        "WHERE role = 'body'", CTE)
 
 
 def j7(s, d):
@@ -274,10 +295,13 @@ def j7(s, d):
 
 
 add("j7_target_status", j7, NODES + """, w AS (SELECT DISTINCT doc_id, paragraph_id FROM nodes),
- g AS (SELECT p.doc_id, p.role, count(*) AS m, count(w.doc_id) AS n, count(*) FILTER (paragraph_index > 60) AS x FROM paragraphs p LEFT JOIN w ON w.doc_id = p.doc_id AND w.paragraph_id = p.paragraph_id GROUP BY ALL)
- SELECT doc_id, role, CASE WHEN role = 'title' THEN NULL WHEN role = 'subtitle' THEN CASE WHEN n = 0 THEN 'E_PATCH_TARGETS_EMPTY' END WHEN x > 0 THEN 'E_PARAGRAPH_TARGETS_MISSING' WHEN n = 0 THEN 'E_SELECTOR_TARGETS_EMPTY' END AS error FROM g""", CTE)
+ g AS (SELECT p.doc_id, p.role, count(*) AS m, count(w.doc_id) AS n, count(*) FILTER (paragraph_index > 60) AS x FROM paragraphs p LEFT JOIN w ON w.doc_id = p.doc_id
+  AND w.paragraph_id = p.paragraph_id GROUP BY ALL)
+ SELECT doc_id, role, CASE WHEN role = 'title' THEN NULL WHEN role = 'subtitle' THEN CASE WHEN n = 0 THEN 'E_PATCH_TARGETS_EMPTY' END WHEN x > 0 THEN 'E_PARAGRAPH_TARGETS_MISSING'
+  WHEN n = 0 THEN 'E_SELECTOR_TARGETS_EMPTY' END AS error FROM g""", CTE)
 _PART = lambda: F.when(c("part_kind") != "main_document", F.concat(F.lit("word/"), "part_kind", F.lit(".xml"))).alias("part_path")
-add("j8_part_paths", lambda s, d: sel.part_paths(nodes(s, d), corpus.paragraphs(s, d).select("doc_id", "paragraph_id", _PART())), NODES + " SELECT DISTINCT n.doc_id, CASE WHEN part_kind = 'main_document' THEN 'word/document.xml' ELSE 'word/' || part_kind || '.xml' END AS part_path FROM nodes n JOIN paragraphs p USING (doc_id, paragraph_id)", CTE)
+add("j8_part_paths", lambda s, d: sel.part_paths(nodes(s, d), corpus.paragraphs(s, d).select("doc_id", "paragraph_id", _PART())), NODES + " SELECT DISTINCT n.doc_id, CASE WHEN part_kind = 'main_document' "
+    "THEN 'word/document.xml' ELSE 'word/' || part_kind || '.xml' END AS part_path FROM nodes n JOIN paragraphs p USING (doc_id, paragraph_id)", CTE)
 _INTENTS = [("op1", "set_font", "body"), ("op2", "merge_paragraph", "heading"), ("op3", "split_paragraph", "list_item")]
 
 
@@ -292,14 +316,16 @@ def scoped(s, d):
 
 INTENTS = ", intents(op_id, op_type, scope) AS (VALUES " + ", ".join(map(str, _INTENTS)) + "), scoped AS (SELECT n.*, p.role AS scope FROM nodes n JOIN paragraphs p USING (doc_id, paragraph_id))"
 BOUND = """, bound AS (SELECT doc_id, op_id, op_type, CASE WHEN op_type IN ('merge_paragraph', 'split_paragraph') THEN row_number() OVER (PARTITION BY doc_id, op_id ORDER BY paragraph_index, run_index) ELSE 0 END AS n, paragraph_index, run_index, run_id FROM scoped JOIN intents USING (scope)),
- ops AS (SELECT doc_id, op_id || CASE WHEN n > 0 THEN '__' || n ELSE '' END AS op_id, op_type, string_agg(run_id, '|' ORDER BY paragraph_index, run_index) AS target_ids FROM bound GROUP BY doc_id, op_id, op_type, n)"""
+ ops AS (SELECT doc_id, op_id || CASE WHEN n > 0 THEN '__' || n ELSE '' END AS op_id, op_type, string_agg(run_id, '|' ORDER BY paragraph_index, run_index) AS target_ids FROM bound
+  GROUP BY doc_id, op_id, op_type, n)"""
 add("j9_bind_intents", lambda s, d: sel.bind_intents(intents(s, d), scoped(s, d)).withColumn("target_ids", _join("target_ids")), NODES + INTENTS + BOUND + " SELECT * FROM ops", CTE)
 
 
 def j10(s, d):
     p = corpus.paragraphs(s, d)
     k = c("doc_id") + c("paragraph_index")
-    o = p.select("doc_id", "paragraph_id", F.when(k % 4 == 0, "body").alias("scope"), F.when(k % 4 <= 1, F.array(F.lit("t"))).otherwise(F.array()).alias("patch_target_ids"), F.when(k % 4 <= 2, F.array("paragraph_id")).otherwise(F.array()).alias("node_ids"))
+    o = p.select("doc_id", "paragraph_id", F.when(k % 4 == 0, "body").alias("scope"), F.when(k % 4 <= 1, F.array(F.lit("t"))).otherwise(F.array()).alias("patch_target_ids"), F.when(k % 4 <= 2,
+        F.array("paragraph_id")).otherwise(F.array()).alias("node_ids"))
     return sel.operation_to_intent(o).select("doc_id", "paragraph_id", "target_kind")
 
 
@@ -313,7 +339,8 @@ def j11(s, d):
 
 
 add("j11_expand_plan", j11, NODES + INTENTS + """, e AS (SELECT doc_id, op_id, run_id, row_number() OVER (PARTITION BY doc_id, op_id ORDER BY paragraph_index * 10000 + run_index) AS n, count(*) OVER (PARTITION BY doc_id, op_id) AS m FROM scoped JOIN intents USING (scope))
- SELECT doc_id, 'step-' || op_id || CASE WHEN m > 1 THEN '__' || n ELSE '' END AS step_id, 'key-' || op_id || CASE WHEN m > 1 THEN '__' || n ELSE '' END AS idempotency_key, run_id FROM e""", CTE)
+ SELECT doc_id, 'step-' || op_id || CASE WHEN m > 1 THEN '__' || n ELSE '' END AS step_id, 'key-' || op_id || CASE WHEN m > 1 THEN '__' || n ELSE '' END AS idempotency_key, run_id
+  FROM e""", CTE)
 
 
 def j12(s, d):
@@ -322,7 +349,8 @@ def j12(s, d):
     return sel.patch_target_index(observed, p, n)
 
 
-add("j12_patch_target_index", j12, NODES + " SELECT doc_id, 'target:block:' || paragraph_id AS target_id, 'block' AS kind, paragraph_index % 2 = 0 AS observed FROM paragraphs UNION ALL SELECT doc_id, 'target:inline:' || run_id, 'inline', false FROM nodes", CTE)
+add("j12_patch_target_index", j12, NODES + " SELECT doc_id, 'target:block:' || paragraph_id AS target_id, 'block' AS kind, paragraph_index % 2 = 0 AS observed FROM paragraphs UNION ALL "
+    "SELECT doc_id, 'target:inline:' || run_id, 'inline', false FROM nodes", CTE)
 
 
 def j13(s, d):
@@ -331,23 +359,33 @@ def j13(s, d):
     return sel.coerce_to_block(r.select("doc_id", "paragraph_id", "run_id", a.alias("attribute"), (c("run_index") % 5).cast("string").alias("value"), c("run_index").alias("seq")))
 
 
-add("j13_coerce_to_block", j13, "SELECT doc_id, CASE WHEN run_index % 2 = 0 THEN 'target:block:' || paragraph_id ELSE 'target:inline:' || run_id END AS target_id, CASE WHEN run_index % 2 = 0 THEN 'paragraph_alignment' ELSE 'font_name' END AS attribute, arg_max((run_index % 5)::VARCHAR, run_index) AS value FROM runs GROUP BY 1, 2, 3", CTE)
+add("j13_coerce_to_block", j13, "SELECT doc_id, CASE WHEN run_index % 2 = 0 THEN 'target:block:' || paragraph_id ELSE 'target:inline:' || run_id END AS target_id, CASE WHEN run_index % 2 = 0 "
+    "THEN 'paragraph_alignment' ELSE 'font_name' END AS attribute, arg_max((run_index % 5)::VARCHAR, run_index) AS value FROM runs GROUP BY 1, 2, 3", CTE)
 _IDS = ["target:style:Body", "target:docDefaults", "target:numbering:3", "target:settings:updateFields", "target:inline:p_0"]
 add(
     "j14_synthetic_targets", lambda s, d: sel.synthetic_targets(corpus.table(s, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, _IDS))).alias("target_id"))),
-    f"WITH t AS (SELECT doc_id, unnest({_IDS}) AS target_id FROM documents) SELECT doc_id, target_id, CASE WHEN target_id LIKE 'target:style:%' OR target_id = 'target:docDefaults' THEN 'word/styles.xml' WHEN target_id LIKE 'target:numbering:%' THEN 'word/numbering.xml' ELSE 'word/settings.xml' END AS part_path, nullif(regexp_extract(target_id, '^target:[a-zA-Z]+:(.*)$', 1), '') AS key FROM t WHERE target_id NOT LIKE 'target:inline:%'",
+    f"WITH t AS (SELECT doc_id, unnest({_IDS}) AS target_id FROM documents) SELECT doc_id, target_id, CASE WHEN target_id LIKE 'target:style:%' OR target_id = 'target:docDefaults' THEN 'word/styles.xml' "
+        f"WHEN target_id LIKE 'target:numbering:%' THEN 'word/numbering.xml' ELSE 'word/settings.xml' END AS part_path, nullif(regexp_extract(target_id, '^target:[a-zA-Z]+:(.*)$', 1), '') AS key FROM t "
+            f"WHERE target_id NOT LIKE 'target:inline:%'",
 )
 _FOUND = lambda: F.concat(F.lit("p_"), ((c("doc_id") + c("place")) % 30).cast("string"), F.lit("_r_"), c("place").cast("string"))
 add(
     "j16_locate_node_ids", lambda s, d: sel.locate_node_ids(corpus.table(s, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place")).select("doc_id", _FOUND().alias("run_id")), corpus.runs(s, d)),
-    ", a AS (SELECT doc_id, (doc_id + i) % 30 AS p, i AS r FROM documents, range(4) t(i)), b AS (SELECT doc_id, 'p_' || p || '_r_' || r AS run_id, p::INTEGER AS p, r::INTEGER AS r FROM a) SELECT b.*, x.run_id IS NOT NULL AS found FROM b LEFT JOIN runs x ON x.doc_id = b.doc_id AND x.run_id = b.run_id", CTE,
+    ", a AS (SELECT doc_id, (doc_id + i) % 30 AS p, i AS r FROM documents, range(4) t(i)), b AS (SELECT doc_id, 'p_' || p || '_r_' || r AS run_id, p::INTEGER AS p, r::INTEGER AS r FROM a) SELECT b.*, x.run_id IS NOT NULL AS found FROM b "
+        "LEFT JOIN runs x ON x.doc_id = b.doc_id AND x.run_id = b.run_id", CTE,
 )
-add("j17_role_bind_check", lambda s, d: sel.role_bind_check(intents(s, d).select("doc_id", "scope"), ops.role_counts(corpus.paragraphs(s, d))), NODES + INTENTS + " SELECT doc_id, i.scope, EXISTS (SELECT 1 FROM paragraphs p WHERE p.doc_id = t.doc_id AND p.role = i.scope) AS binds FROM documents t, intents i", CTE)
+add("j17_role_bind_check", lambda s, d: sel.role_bind_check(intents(s, d).select("doc_id", "scope"), ops.role_counts(corpus.paragraphs(s, d))), NODES + INTENTS + " SELECT doc_id, i.scope, EXISTS (SELECT 1 FROM paragraphs p "
+    "WHERE p.doc_id = t.doc_id AND p.role = i.scope) AS binds FROM documents t, intents i", CTE)
 
 # ---------------------------------------------------------------- writes
 
-_PAYLOADS = [("set_font", " SimSun "), ("set_size", "12.5"), ("set_size", "-1"), ("set_bold", "TRUE"), ("set_bold", "maybe"), ("set_font_color", "#a0b1c2"), ("set_highlight_color", "Dark Blue"), ("set_highlight_color", "mauve"), ("split_paragraph", "5"), ("split_paragraph", "0"), ("set_table_style", "x"), ("merge_paragraph", None), ("set_alignment", "  "), ("set_page_layout", "a4"), ("set_page_layout", "A3"), ("set_style_definition", '{"font":"x"}'), ("set_numbering_level", "{}"), ("set_settings_flag", '{"on":1}'), ("set_attr", " w:val "), ("remove_attr", ""), ("remove_node", None), ("ensure_node", "w:p"), ("replace_node_xml", "<w:p/>"), ("set_line_spacing", "1.5"), ("set_line_spacing", "0"), ("set_line_spacing", '{"mode":"exact","pt":20}'), ("set_line_spacing", '{"mode":"exact"}')]
-_RESULTS = [("font_name", "SimSun"), ("font_size_pt", "12.5"), ("font_size_pt", None), ("is_bold", "true"), ("is_bold", None), ("font_color", "A0B1C2"), ("highlight_color", "darkBlue"), ("highlight_color", None), ("split_offset", "5"), ("split_offset", None), (None, None), ("merge", "next"), ("paragraph_alignment", None), ("paper_size", "A4"), ("paper_size", None), ("style_definition", '{"font":"x"}'), ("numbering_level", None), ("settings_flag", '{"on":1}'), ("attr", "w:val"), ("removed_attr", None), ("removed_node", ""), ("tag", "w:p"), ("xml", "<w:p/>"), ("line_spacing", "1.5"), ("line_spacing", None), ("line_spacing", "exact:20.0"), ("line_spacing", None)]
+_PAYLOADS = [("set_font", " SimSun "), ("set_size", "12.5"), ("set_size", "-1"), ("set_bold", "TRUE"), ("set_bold", "maybe"), ("set_font_color", "#a0b1c2"), ("set_highlight_color", "Dark Blue"), ("set_highlight_color", "mauve"),
+    ("split_paragraph", "5"), ("split_paragraph", "0"), ("set_table_style", "x"), ("merge_paragraph", None), ("set_alignment", "  "), ("set_page_layout", "a4"), ("set_page_layout", "A3"), ("set_style_definition", '{"font":"x"}'),
+        ("set_numbering_level", "{}"), ("set_settings_flag", '{"on":1}'), ("set_attr", " w:val "), ("remove_attr", ""), ("remove_node", None), ("ensure_node", "w:p"), ("replace_node_xml", "<w:p/>"), ("set_line_spacing", "1.5"),
+            ("set_line_spacing", "0"), ("set_line_spacing", '{"mode":"exact","pt":20}'), ("set_line_spacing", '{"mode":"exact"}')]
+_RESULTS = [("font_name", "SimSun"), ("font_size_pt", "12.5"), ("font_size_pt", None), ("is_bold", "true"), ("is_bold", None), ("font_color", "A0B1C2"), ("highlight_color", "darkBlue"), ("highlight_color", None), ("split_offset", "5"),
+    ("split_offset", None), (None, None), ("merge", "next"), ("paragraph_alignment", None), ("paper_size", "A4"), ("paper_size", None), ("style_definition", '{"font":"x"}'), ("numbering_level", None), ("settings_flag", '{"on":1}'),
+        ("attr", "w:val"), ("removed_attr", None), ("removed_node", ""), ("tag", "w:p"), ("xml", "<w:p/>"), ("line_spacing", "1.5"), ("line_spacing", None), ("line_spacing", "exact:20.0"), ("line_spacing", None)]
 
 
 def w1(s, d):
@@ -357,7 +395,9 @@ def w1(s, d):
 
 
 _q = lambda v: "NULL" if v is None else f"'{v}'"
-add("w1_normalize_payload", w1, f"WITH v(i, type, attribute, value) AS (VALUES {', '.join(f'({i}, {_q(a)}, {_q(r[0])}, {_q(r[1])})' for i, ((a, _), r) in enumerate(zip(_PAYLOADS, _RESULTS)))}) SELECT l_orderkey, l_linenumber, type, attribute, value, CASE WHEN type = 'set_table_style' THEN 'set_table_style: unsupported operation' WHEN value IS NULL THEN type || ': invalid payload' END AS error FROM lineitem JOIN v ON v.i = l_partkey % {len(_PAYLOADS)}")
+add("w1_normalize_payload", w1, f"WITH v(i, type, attribute, value) AS (VALUES {', '.join(f'({i}, {_q(a)}, {_q(r[0])}, {_q(r[1])})' for i, ((a, _), r) in enumerate(zip(_PAYLOADS, _RESULTS)))}) "
+    f"SELECT l_orderkey, l_linenumber, type, attribute, value, CASE WHEN type = 'set_table_style' THEN 'set_table_style: unsupported operation' WHEN value IS NULL THEN type || ': invalid payload' END AS error FROM lineitem "
+        f"JOIN v ON v.i = l_partkey % {len(_PAYLOADS)}")
 CANON = f"""CASE attribute WHEN 'font_size_pt' THEN CASE WHEN try_cast(value AS DOUBLE) > 0 THEN try_cast(value AS DOUBLE)::VARCHAR END WHEN 'is_bold' THEN CASE WHEN value = 'true' THEN 'true' END
  WHEN 'font_color' THEN upper(replace(value, '#', '')) WHEN 'highlight_color' THEN CASE WHEN value = 'Yellow' THEN 'yellow' END ELSE value END"""
 ATTRS = ("font_name", "font_size_pt", "font_color", "is_bold", "highlight_color")
@@ -367,14 +407,16 @@ def folded(s, d):
     w = corpus.write_ops(s, d).withColumn("value", wr.canonical_value("attribute", "value"))
     blank = corpus.table(s, d, "orders").select(c("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("run_no"))
     m = c("doc_id") + c("run_no")
-    base = blank.select("doc_id", "run_no", F.when(m % 3 == 0, "Base").alias("font_name"), F.lit(11.0).alias("font_size_pt"), F.lit(None).cast("string").alias("font_color"), F.when(m % 4 == 0, False).alias("is_bold"), F.lit(None).cast("string").alias("highlight_color"))
+    base = blank.select("doc_id", "run_no", F.when(m % 3 == 0, "Base").alias("font_name"), F.lit(11.0).alias("font_size_pt"), F.lit(None).cast("string").alias("font_color"), F.when(m % 4 == 0, False).alias("is_bold"),
+        F.lit(None).cast("string").alias("highlight_color"))
     return base, wr.apply_style_ops(base, w, ATTRS, ("doc_id", "run_no"))
 
 
 _last = lambda a: f"arg_max(value, seq) FILTER (attribute = '{a}' AND value IS NOT NULL)"
 FOLD = f"""{views.OPS}, canon AS (SELECT doc_id, seq, run_no, attribute, {CANON} AS value FROM ops),
  new AS (SELECT doc_id, run_no, {', '.join(f'{_last(a)} AS {a}' for a in ATTRS)} FROM canon GROUP BY ALL),
- base AS (SELECT o_orderkey AS doc_id, i::INTEGER AS run_no, CASE WHEN (o_orderkey + i) % 3 = 0 THEN 'Base' END AS font_name, 11.0::DOUBLE AS font_size_pt, CASE WHEN (o_orderkey + i) % 4 = 0 THEN false END AS is_bold FROM orders, range(8) t(i)),
+ base AS (SELECT o_orderkey AS doc_id, i::INTEGER AS run_no, CASE WHEN (o_orderkey + i) % 3 = 0 THEN 'Base' END AS font_name, 11.0::DOUBLE AS font_size_pt, CASE
+  WHEN (o_orderkey + i) % 4 = 0 THEN false END AS is_bold FROM orders, range(8) t(i)),
  styled AS (SELECT doc_id, run_no, coalesce(n.font_name, b.font_name) AS font_name, coalesce(n.font_size_pt::DOUBLE, b.font_size_pt) AS font_size_pt, n.font_color, coalesce(n.is_bold::BOOLEAN, b.is_bold) AS is_bold, n.highlight_color, b.font_name AS f0, b.font_size_pt AS s0, b.is_bold AS b0 FROM base b LEFT JOIN new n USING (doc_id, run_no))"""
 add("w2_apply_style_ops", lambda s, d: folded(s, d)[1], "SELECT doc_id, run_no, font_name, font_size_pt, font_color, is_bold, highlight_color FROM styled", FOLD)
 
@@ -403,8 +445,10 @@ add("w3_apply_style_map", w3, "SELECT doc_id, run_id, CASE WHEN doc_id % 2 = 0 A
 _AL = ["left", "Center", "middle", "BOTH"]
 add(
     "w4_valid_attributes",
-    lambda s, d: wr.valid_attributes(corpus.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (c("l_quantity") - 10).alias("font_size_pt"), (c("l_quantity") - 20).alias("space_before_pt"), F.element_at(F.array(*map(F.lit, _AL)), (c("l_partkey") % 4 + 1).cast("int")).alias("paragraph_alignment"))),
-    f"SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN l_quantity - 10 END AS font_size_pt, CASE WHEN l_quantity >= 20 THEN l_quantity - 20 END AS space_before_pt, CASE WHEN l_partkey % 4 <> 2 THEN lower({_AL}[l_partkey % 4 + 1]) END AS paragraph_alignment FROM lineitem",
+    lambda s, d: wr.valid_attributes(corpus.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (c("l_quantity") - 10).alias("font_size_pt"), (c("l_quantity") - 20).alias("space_before_pt"), F.element_at(F.array(*map(F.lit, _AL)),
+        (c("l_partkey") % 4 + 1).cast("int")).alias("paragraph_alignment"))),
+    f"SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN l_quantity - 10 END AS font_size_pt, CASE WHEN l_quantity >= 20 THEN l_quantity - 20 END AS space_before_pt, CASE WHEN l_partkey % 4 <> 2 "
+        f"THEN lower({_AL}[l_partkey % 4 + 1]) END AS paragraph_alignment FROM lineitem",
 )
 
 
@@ -421,32 +465,41 @@ def w5(s, d):
 
 add("w5_page_layout", w5, f"""WITH o AS (SELECT l_orderkey AS doc_id, arg_max(['A4', 'Letter', NULL][l_partkey % 3 + 1], {views.SEQ}) FILTER (l_linenumber % 5 = 0 AND l_partkey % 3 < 2) AS p,
  {', '.join(f"arg_max(l_quantity - 25, {views.SEQ}) FILTER (l_linenumber % 5 = {i} AND l_quantity > 25) AS m{i}" for i in range(1, 5))} FROM lineitem GROUP BY ALL)
- SELECT o_orderkey AS doc_id, coalesce(p, 'A5') AS paper_size, {', '.join(f'coalesce(m{i}, 2.5)::DOUBLE AS {m}' for i, m in enumerate(wr.LAYOUT, 1))} FROM orders LEFT JOIN o ON o.doc_id = o_orderkey""")
-add("w6_merge_paragraphs", lambda s, d: wr.merge_paragraphs(corpus.paragraphs(s, d), corpus.paragraphs(s, d).filter("role = 'heading'")), """, m AS (SELECT *, role = 'heading' AS named, lead(paragraph_id) OVER w IS NULL AS is_last, CASE WHEN lag(role) OVER w = 'heading' THEN 0 ELSE 1 END AS st FROM paragraphs WINDOW w AS (PARTITION BY doc_id ORDER BY paragraph_index)),
+ SELECT o_orderkey AS doc_id, coalesce(p, 'A5') AS paper_size, {', '.join(f'coalesce(m{i}, 2.5)::DOUBLE AS {m}' for i, m in enumerate(wr.LAYOUT, 1))} FROM orders LEFT
+  JOIN o ON o.doc_id = o_orderkey""")
+add("w6_merge_paragraphs", lambda s, d: wr.merge_paragraphs(corpus.paragraphs(s, d), corpus.paragraphs(s, d).filter("role = 'heading'")),
+    """, m AS (SELECT *, role = 'heading' AS named, lead(paragraph_id) OVER w IS NULL AS is_last, CASE WHEN lag(role) OVER w = 'heading' THEN 0 ELSE 1 END AS st FROM paragraphs WINDOW w AS (PARTITION BY doc_id ORDER BY paragraph_index)),
  g AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1 AS paragraph_no FROM m)
- SELECT doc_id, paragraph_no::BIGINT AS paragraph_no, arg_min(paragraph_id, paragraph_index) AS paragraph_id, string_agg(text, '' ORDER BY paragraph_index) AS text, max(CASE WHEN named AND is_last THEN 'E_NO_NEXT_PARAGRAPH' END) AS error FROM g GROUP BY doc_id, paragraph_no""", CTE)
+ SELECT doc_id, paragraph_no::BIGINT AS paragraph_no, arg_min(paragraph_id, paragraph_index) AS paragraph_id, string_agg(text, '' ORDER BY paragraph_index) AS text, max(CASE WHEN named
+  AND is_last THEN 'E_NO_NEXT_PARAGRAPH' END) AS error FROM g GROUP BY doc_id, paragraph_no""", CTE)
 add("w6_merge_runs", lambda s, d: wr.merge_runs(corpus.paragraphs(s, d), corpus.runs(s, d), corpus.paragraphs(s, d).filter("role = 'heading'")).select("doc_id", "paragraph_no", "run_no", "run_id", "source_run_id", "text", "font_name"),
 """, m AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY doc_id ORDER BY paragraph_index) = 'heading' THEN 0 ELSE 1 END AS st FROM paragraphs),
  g AS (SELECT doc_id, paragraph_id, (sum(st) OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1)::BIGINT AS paragraph_no FROM m),
  r AS (SELECT r.*, paragraph_no, (row_number() OVER (PARTITION BY r.doc_id, paragraph_no ORDER BY paragraph_index, run_index) - 1)::INTEGER AS run_no FROM runs r JOIN g USING (doc_id, paragraph_id))
  SELECT doc_id, paragraph_no, run_no, 'p_' || paragraph_no || '_r_' || run_no AS run_id, run_id AS source_run_id, text, font_name FROM r""", CTE)
-add("w7_split_paragraphs", lambda s, d: wr.split_paragraphs(corpus.runs(s, d), corpus.runs(s, d).filter("run_index = 1 AND paragraph_index % 3 = 0").select("doc_id", "run_id", F.lit(5).alias("split_offset"))), """, x AS (SELECT *, run_index = 1 AND paragraph_index % 3 = 0 AND length(text) > 5 AS cut FROM runs),
- y AS (SELECT doc_id, paragraph_index, run_index, 0 AS part, CASE WHEN cut THEN substr(text, 1, 5) ELSE text END AS text FROM x UNION ALL SELECT doc_id, paragraph_index, run_index, 1, substr(text, 6) FROM x WHERE cut),
- z AS (SELECT *, CASE WHEN part = 1 OR lag(paragraph_index) OVER w IS DISTINCT FROM paragraph_index THEN 1 ELSE 0 END AS fresh FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY paragraph_index, run_index, part)),
+add("w7_split_paragraphs", lambda s, d: wr.split_paragraphs(corpus.runs(s, d), corpus.runs(s, d).filter("run_index = 1 "
+    "AND paragraph_index % 3 = 0").select("doc_id", "run_id", F.lit(5).alias("split_offset"))), """, x AS (SELECT *, run_index = 1 AND paragraph_index % 3 = 0 AND length(text) > 5 AS cut FROM runs),
+ y AS (SELECT doc_id, paragraph_index, run_index, 0 AS part, CASE WHEN cut THEN substr(text, 1, 5) ELSE text END AS text FROM x UNION ALL SELECT doc_id, paragraph_index, run_index, 1, substr(text, 6)
+  FROM x WHERE cut),
+ z AS (SELECT *, CASE WHEN part = 1 OR lag(paragraph_index) OVER w IS DISTINCT FROM paragraph_index THEN 1 ELSE 0 END AS fresh
+  FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY paragraph_index, run_index, part)),
  n AS (SELECT *, (sum(fresh) OVER (PARTITION BY doc_id ORDER BY paragraph_index, run_index, part) - 1)::BIGINT AS paragraph_no FROM z),
  r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, paragraph_no ORDER BY run_index, part) - 1)::INTEGER AS run_no FROM n)
  SELECT doc_id, paragraph_no, run_no, text, 'p_' || paragraph_no || '_r_' || run_no AS run_id FROM r""", CTE)
 _MIXED = lambda: F.concat(F.lit("这是"), "text", F.lit(",模型2025报告"))
 MIXED = "mixed AS (SELECT doc_id, run_id, paragraph_id, font_name, '这是' || text || ',模型2025报告' AS text FROM runs)"
 _kind = "CASE WHEN regexp_matches(ch, '\\p{Han}') THEN 'zh' WHEN regexp_matches(ch, '[\\p{Latin}\\p{Nd}]') THEN 'en' WHEN regexp_matches(ch, '\\p{P}') THEN 'punct' ELSE 'other' END"
-add("w8_split_language", lambda s, d: wr.split_language(corpus.runs(s, d).withColumn("text", _MIXED())).select("doc_id", "run_id", "font_name", "seg", "language", "text", "segment_id"), f""", {MIXED}, ch AS (SELECT doc_id, run_id, font_name, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM mixed),
+add("w8_split_language", lambda s, d: wr.split_language(corpus.runs(s, d).withColumn("text", _MIXED())).select("doc_id", "run_id", "font_name", "seg", "language", "text", "segment_id"),
+    f""", {MIXED}, ch AS (SELECT doc_id, run_id, font_name, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM mixed),
  k AS (SELECT *, {_kind} AS kind FROM ch WHERE ch <> ''),
  b AS (SELECT *, last_value(CASE WHEN kind <> 'punct' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id, run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bef,
  first_value(CASE WHEN kind <> 'punct' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc_id, run_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM k),
- l AS (SELECT *, CASE WHEN kind IN ('zh', 'en') THEN kind WHEN kind = 'punct' THEN CASE WHEN after IN ('zh', 'en') THEN after WHEN bef IN ('zh', 'en') THEN bef ELSE 'unknown' END ELSE 'unknown' END AS language FROM b),
+ l AS (SELECT *, CASE WHEN kind IN ('zh', 'en') THEN kind WHEN kind = 'punct' THEN CASE WHEN after IN ('zh', 'en') THEN after
+  WHEN bef IN ('zh', 'en') THEN bef ELSE 'unknown' END ELSE 'unknown' END AS language FROM b),
  g AS (SELECT *, CASE WHEN lag(language) OVER (PARTITION BY doc_id, run_id ORDER BY pos) = language THEN 0 ELSE 1 END AS st FROM l),
  h AS (SELECT *, (sum(st) OVER (PARTITION BY doc_id, run_id ORDER BY pos) - 1)::INTEGER AS seg FROM g)
- SELECT doc_id, run_id, any_value(font_name) AS font_name, seg, language, string_agg(ch, '' ORDER BY pos) AS text, run_id || '__seg_' || seg AS segment_id FROM h GROUP BY doc_id, run_id, seg, language""", CTE)
+ SELECT doc_id, run_id, any_value(font_name) AS font_name, seg, language, string_agg(ch, '' ORDER BY pos) AS text, run_id || '__seg_' || seg AS segment_id FROM h
+  GROUP BY doc_id, run_id, seg, language""", CTE)
 
 
 def w9(s, d):
@@ -456,8 +509,10 @@ def w9(s, d):
     return wr.language_font_ops(plan, r).withColumn("target_ids", _join("target_ids"))
 
 
-add("w9_language_font_ops", w9, """, r AS (SELECT doc_id, paragraph_id, run_id, CASE WHEN run_index % 2 = 0 THEN 'zh' WHEN regexp_matches(text, '[\\p{Latin}\\p{Nd}]') AND NOT regexp_matches(text, '\\p{Han}') THEN 'en' WHEN regexp_matches(text, '\\p{Han}') AND NOT regexp_matches(text, '[\\p{Latin}\\p{Nd}]') THEN 'zh' END AS language FROM runs)
- SELECT doc_id, role AS semantic_key, language, CASE language WHEN 'zh' THEN 'SimSun' ELSE 'Arial' END AS font_name, array_to_string(list_sort(list(run_id)), '|') AS target_ids FROM r JOIN paragraphs USING (doc_id, paragraph_id) WHERE role = 'body' AND language IS NOT NULL GROUP BY ALL""", CTE)
+add("w9_language_font_ops", w9, """, r AS (SELECT doc_id, paragraph_id, run_id, CASE WHEN run_index % 2 = 0 THEN 'zh' WHEN regexp_matches(text, '[\\p{Latin}\\p{Nd}]')
+  AND NOT regexp_matches(text, '\\p{Han}') THEN 'en' WHEN regexp_matches(text, '\\p{Han}') AND NOT regexp_matches(text, '[\\p{Latin}\\p{Nd}]') THEN 'zh' END AS language FROM runs)
+ SELECT doc_id, role AS semantic_key, language, CASE language WHEN 'zh' THEN 'SimSun' ELSE 'Arial' END AS font_name, array_to_string(list_sort(list(run_id)), '|') AS target_ids FROM r
+  JOIN paragraphs USING (doc_id, paragraph_id) WHERE role = 'body' AND language IS NOT NULL GROUP BY ALL""", CTE)
 
 
 def w10(s, d):
@@ -466,7 +521,8 @@ def w10(s, d):
     return wr.rebuild_runs(want, r)
 
 
-add("w10_rebuild_runs", w10, "SELECT doc_id, run_id || '__n' AS node_id, text, CASE WHEN run_index % 4 = 3 THEN 'gone' ELSE run_id END AS source_run_id, CASE WHEN run_index % 4 <> 3 THEN font_name END AS font_name, CASE WHEN run_index % 4 <> 3 THEN font_size_pt END AS font_size_pt, CASE WHEN run_index % 4 = 3 THEN 'E_SOURCE_RUN_MISSING' END AS error FROM runs", CTE)
+add("w10_rebuild_runs", w10, "SELECT doc_id, run_id || '__n' AS node_id, text, CASE WHEN run_index % 4 = 3 THEN 'gone' ELSE run_id END AS source_run_id, CASE WHEN run_index % 4 <> 3 THEN font_name END AS font_name, CASE "
+    "WHEN run_index % 4 <> 3 THEN font_size_pt END AS font_size_pt, CASE WHEN run_index % 4 = 3 THEN 'E_SOURCE_RUN_MISSING' END AS error FROM runs", CTE)
 
 
 def w11(s, d):
@@ -475,19 +531,22 @@ def w11(s, d):
     return wr.compile_patches(o, t)
 
 
-COMPILED = """, rows AS (SELECT doc_id, op_id, 'target:inline:' || run_id AS target_id, name, value FROM scoped JOIN intents USING (scope), (VALUES ('font_name', 'Arial'), ('is_bold', 'true')) v(name, value))
+COMPILED = """, rows AS (SELECT doc_id, op_id, 'target:inline:' || run_id AS target_id, name, value FROM scoped
+  JOIN intents USING (scope), (VALUES ('font_name', 'Arial'), ('is_bold', 'true')) v(name, value))
  SELECT *, op_id || ':patch:' || (row_number() OVER (PARTITION BY doc_id, op_id ORDER BY target_id, name) - 1) AS patch_id FROM rows"""
 add("w11_compile_patches", w11, NODES + INTENTS + COMPILED, CTE)
 
 
 def w12(s, d):
     r = corpus.runs(s, d).select("doc_id", "paragraph_id", "run_id", "paragraph_index", "run_index", "font_name", "font_color")
-    block = r.filter("paragraph_index % 4 = 0 AND run_index = 0").select("doc_id", F.concat(F.lit("target:block:"), "paragraph_id").alias("target_id"), F.lit("font_name").alias("attribute"), F.lit("Block").alias("value"), F.lit(1).alias("seq"))
+    block = r.filter("paragraph_index % 4 = 0 AND run_index = 0").select("doc_id", F.concat(F.lit("target:block:"), "paragraph_id").alias("target_id"), F.lit("font_name").alias("attribute"), F.lit("Block").alias("value"),
+        F.lit(1).alias("seq"))
     inline = r.filter("run_index = 1").select("doc_id", F.concat(F.lit("target:inline:"), "run_id").alias("target_id"), F.lit("font_name").alias("attribute"), F.lit("Inline").alias("value"), F.lit(2).alias("seq"))
     return wr.apply_patches(r, block.unionByName(inline), ("font_name", "font_color")).select("doc_id", "run_id", "font_name", "font_color")
 
 
-add("w12_apply_patches", w12, ", b AS (SELECT DISTINCT doc_id, paragraph_id FROM runs WHERE paragraph_index % 4 = 0 AND run_index = 0) SELECT r.doc_id, r.run_id, CASE WHEN run_index = 1 THEN 'Inline' WHEN b.doc_id IS NOT NULL THEN 'Block' ELSE font_name END AS font_name, font_color FROM runs r LEFT JOIN b ON b.doc_id = r.doc_id AND b.paragraph_id = r.paragraph_id", CTE)
+add("w12_apply_patches", w12, ", b AS (SELECT DISTINCT doc_id, paragraph_id FROM runs WHERE paragraph_index % 4 = 0 AND run_index = 0) SELECT r.doc_id, r.run_id, CASE WHEN run_index = 1 THEN 'Inline' WHEN b.doc_id IS NOT NULL "
+    "THEN 'Block' ELSE font_name END AS font_name, font_color FROM runs r LEFT JOIN b ON b.doc_id = r.doc_id AND b.paragraph_id = r.paragraph_id", CTE)
 
 
 def w12_section(s, d):
@@ -499,7 +558,9 @@ def w12_section(s, d):
     return wr.apply_section_patches(docs, corpus.table(s, d, "orders").select(k.alias("doc_id"), target.alias("target_id"), field.alias("attribute"), value.alias("value"), F.lit(1).alias("seq")))
 
 
-add("w12_section_patches", w12_section, "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 THEN 'Letter' ELSE 'A5' END AS paper_size, " + ", ".join(f"CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = {i} AND o_orderkey % 7 > 2 THEN (o_orderkey % 7 - 2)::DOUBLE ELSE 2.5 END AS {m}" for i, m in enumerate(wr.LAYOUT, 1)) + " FROM orders")
+add("w12_section_patches", w12_section, "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 "
+    "THEN 'Letter' ELSE 'A5' END AS paper_size, " + ", ".join(f"CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = {i} AND o_orderkey % 7 > 2 "
+        f"THEN (o_orderkey % 7 - 2)::DOUBLE ELSE 2.5 END AS {m}" for i, m in enumerate(wr.LAYOUT, 1)) + " FROM orders")
 
 
 def w12_unknown(s, d):
@@ -510,7 +571,8 @@ def w12_unknown(s, d):
     return wr.unknown_targets(r, r.select("doc_id", F.concat_ws(":", F.lit("target"), kind, key).alias("target_id"), "run_id"))
 
 
-add("w12_unknown_targets", w12_unknown, "SELECT doc_id, 'target:' || CASE paragraph_index % 4 WHEN 0 THEN 'inline' ELSE 'cell' END || ':' || CASE WHEN doc_id % 2 = 0 THEN run_id ELSE 'gone' END AS target_id, run_id, 'E_PATCH_TARGET_NOT_FOUND' AS error FROM runs WHERE paragraph_index % 4 = 3 OR paragraph_index % 4 = 0 AND doc_id % 2 = 1", CTE)
+add("w12_unknown_targets", w12_unknown, "SELECT doc_id, 'target:' || CASE paragraph_index % 4 WHEN 0 THEN 'inline' ELSE 'cell' END || ':' || CASE WHEN doc_id % 2 = 0 "
+    "THEN run_id ELSE 'gone' END AS target_id, run_id, 'E_PATCH_TARGET_NOT_FOUND' AS error FROM runs WHERE paragraph_index % 4 = 3 OR paragraph_index % 4 = 0 AND doc_id % 2 = 1", CTE)
 
 
 def node_table(s, d):
@@ -529,7 +591,8 @@ def w13(s, d):
 
 
 add("w13_edit_nodes", w13, """, n AS (SELECT *, (doc_id + paragraph_index) % 5 AS k FROM paragraphs)
- SELECT doc_id, paragraph_id AS path, 'w:p' AS tag, CASE WHEN k = 2 THEN 'new' ELSE text END AS text, 'role=' || role || CASE k WHEN 0 THEN '|style=new' WHEN 1 THEN '' ELSE '|style=' || style_name END AS attrs FROM n WHERE k <> 3
+ SELECT doc_id, paragraph_id AS path, 'w:p' AS tag, CASE WHEN k = 2 THEN 'new' ELSE text END AS text, 'role=' || role || CASE k WHEN 0 THEN '|style=new'
+  WHEN 1 THEN '' ELSE '|style=' || style_name END AS attrs FROM n WHERE k <> 3
  UNION ALL SELECT doc_id, paragraph_id || '/pPr', 'w:pPr', '', '' FROM n WHERE k = 4""", CTE)
 
 
@@ -544,7 +607,8 @@ def w13_replace(s, d):
 
 
 add("w13_replace_nodes", w13_replace, """, n AS (SELECT *, paragraph_index % 3 = 0 AS k FROM paragraphs)
- SELECT doc_id, paragraph_id AS path, 'w:p' AS tag, CASE WHEN k THEN 'new' ELSE text END AS text, CASE WHEN k THEN 'w:rsidR=' || doc_id ELSE 'role=' || role || '|style=' || style_name END AS attrs FROM n
+ SELECT doc_id, paragraph_id AS path, 'w:p' AS tag, CASE WHEN k THEN 'new' ELSE text END AS text, CASE WHEN k THEN 'w:rsidR=' || doc_id ELSE 'role=' || role || '|style=' || style_name END AS attrs
+  FROM n
  UNION ALL SELECT doc_id, paragraph_id || '/pPr', 'w:pPr', '', '' FROM n WHERE NOT k""", CTE)
 
 
@@ -567,7 +631,8 @@ def w13_nested(s, d):
 
 
 add("w13_nested_edits", w13_nested, """, k AS (SELECT doc_id, 's_' || paragraph_index // 4 AS s, 's_' || paragraph_index // 4 || '/p_' || paragraph_index AS p, run_index, doc_id + paragraph_index AS k FROM runs),
- n AS (SELECT DISTINCT doc_id, s AS path, 's' AS tag FROM k UNION ALL SELECT DISTINCT doc_id, p, 'p' FROM k UNION ALL SELECT doc_id, p || '/r_' || run_index, 'r' FROM k UNION ALL SELECT doc_id, p || '/r_' || run_index || '/t', 't' FROM k),
+ n AS (SELECT DISTINCT doc_id, s AS path, 's' AS tag FROM k UNION ALL SELECT DISTINCT doc_id, p, 'p' FROM k UNION ALL SELECT doc_id, p || '/r_' || run_index, 'r' FROM k UNION ALL
+  SELECT doc_id, p || '/r_' || run_index || '/t', 't' FROM k),
  e AS (SELECT * FROM k WHERE run_index = 0),
  replaced AS (SELECT DISTINCT doc_id, s AS path, '<w:s>' AS x FROM e WHERE k % 16 = 0 UNION ALL SELECT doc_id, p, '<w:p>' FROM e WHERE k % 7 = 0),
  removed AS (SELECT doc_id, p || '/r_0' AS path FROM e WHERE k % 5 = 0 UNION ALL SELECT doc_id, p FROM e WHERE k % 11 = 0),
@@ -577,7 +642,8 @@ add("w13_nested_edits", w13_nested, """, k AS (SELECT doc_id, 's_' || paragraph_
  left_ AS (SELECT * FROM both_ b WHERE NOT EXISTS (SELECT 1 FROM removed x WHERE x.doc_id = b.doc_id AND (b.path = x.path OR starts_with(b.path, x.path || '/'))))
  SELECT l.doc_id, l.path, coalesce(CASE WHEN old THEN CASE x WHEN '<w:s>' THEN 'w:s' WHEN '<w:p>' THEN 'w:p' END END, tag) AS tag,
  CASE WHEN t.doc_id IS NOT NULL THEN 'set' WHEN NOT old THEN '' WHEN x = '<w:s>' THEN 'new' WHEN x = '<w:p>' THEN 'newp' ELSE tag END AS text, CASE WHEN old AND x = '<w:s>' THEN 1 ELSE 0 END AS attrs
- FROM left_ l LEFT JOIN replaced r ON r.doc_id = l.doc_id AND r.path = l.path LEFT JOIN (SELECT doc_id, p AS path FROM e WHERE k % 2 = 0) t ON t.doc_id = l.doc_id AND t.path = l.path""", CTE)
+ FROM left_ l LEFT JOIN replaced r ON r.doc_id = l.doc_id AND r.path = l.path LEFT JOIN (SELECT doc_id, p AS path FROM e WHERE k % 2 = 0) t ON t.doc_id = l.doc_id
+  AND t.path = l.path""", CTE)
 
 
 def w14(s, d):
@@ -589,7 +655,8 @@ def w14(s, d):
 
 SQL["w14_style_definition_ops"] = "WITH " + STYLES + " SELECT doc_id, style_id AS path, 'font=' || coalesce(font_name, '-') || CASE WHEN style_id IN ('Body', 'Quote') THEN '|size=12' ELSE '' END AS attrs FROM styles"
 QUERIES["w14_style_definition_ops"] = w14
-add("w15_patch_history", lambda s, d: wr.patch_history(corpus.table(s, d, "events").select(c("user_id").alias("doc_id"), c("event_id").alias("patch_id"), c("ts").alias("applied_at"))).select("doc_id", "patch_id", "n"), "SELECT user_id AS doc_id, event_id AS patch_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS n FROM events")
+add("w15_patch_history", lambda s, d: wr.patch_history(corpus.table(s, d, "events").select(c("user_id").alias("doc_id"), c("event_id").alias("patch_id"), c("ts").alias("applied_at"))).select("doc_id", "patch_id", "n"),
+    "SELECT user_id AS doc_id, event_id AS patch_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS n FROM events")
 
 
 def w16(s, d):
@@ -599,7 +666,8 @@ def w16(s, d):
 
 
 _diff = lambda a, old, new: f"SELECT doc_id, run_no AS run_id, '{a}' AS attribute, {old} AS before, {new} AS after FROM styled WHERE {old} IS DISTINCT FROM {new}"
-add("w16_change_diff", w16, " UNION ALL ".join([_diff("font_name", "f0", "font_name"), _diff("font_size_pt", "s0::VARCHAR", "font_size_pt::VARCHAR"), _diff("font_color", "NULL::VARCHAR", "font_color"), _diff("is_bold", "b0::VARCHAR", "is_bold::VARCHAR"), _diff("highlight_color", "NULL::VARCHAR", "highlight_color")]), FOLD)
+add("w16_change_diff", w16, " UNION ALL ".join([_diff("font_name", "f0", "font_name"), _diff("font_size_pt", "s0::VARCHAR", "font_size_pt::VARCHAR"), _diff("font_color", "NULL::VARCHAR", "font_color"), _diff("is_bold", "b0::VARCHAR",
+    "is_bold::VARCHAR"), _diff("highlight_color", "NULL::VARCHAR", "highlight_color")]), FOLD)
 
 
 def w17(s, d):
@@ -629,13 +697,18 @@ def w17_states(s, d):
 
 
 add("w17_states_as_of", w17_states, """, l0 AS (SELECT doc_id, run_id, (paragraph_index * 8 + run_index)::BIGINT + 1 AS seq FROM runs WHERE (doc_id + paragraph_index * 2 + run_index) % 3 = 0),
- l1 AS (SELECT doc_id, run_id, seq, seq % 5 AS task, CASE WHEN seq % 2 = 0 THEN 'font_name' ELSE 'font_size_pt' END AS attribute, CASE WHEN seq % 2 = 0 THEN 'F' || seq % 4 ELSE (seq % 9 + 6)::VARCHAR END AS value FROM l0),
+ l1 AS (SELECT doc_id, run_id, seq, seq % 5 AS task, CASE WHEN seq % 2 = 0 THEN 'font_name' ELSE 'font_size_pt' END AS attribute, CASE
+  WHEN seq % 2 = 0 THEN 'F' || seq % 4 ELSE (seq % 9 + 6)::VARCHAR END AS value FROM l0),
  log AS (SELECT * FROM l1 UNION ALL SELECT doc_id, run_id, seq + 1000, task + 5, 'font_size_pt', '20' FROM l1 WHERE seq % 7 = 0),
  asked AS (SELECT doc_id, min(seq) - 1 AS version FROM log WHERE task = 2 + doc_id % 7 GROUP BY doc_id UNION SELECT doc_id, max(seq) FROM log GROUP BY doc_id),
  good AS (SELECT * FROM log WHERE task <> 2 + doc_id % 7),
- folded AS (SELECT a.doc_id, a.version, g.run_id, arg_max(value, seq) FILTER (attribute = 'font_name') AS f, arg_max(value, seq) FILTER (attribute = 'font_size_pt')::DOUBLE AS z FROM asked a JOIN good g ON g.doc_id = a.doc_id AND g.seq <= a.version GROUP BY ALL)
- SELECT a.doc_id, a.version, r.run_id, coalesce(f, font_name) AS font_name, coalesce(z, font_size_pt) AS font_size_pt FROM asked a JOIN runs r USING (doc_id) LEFT JOIN folded x ON x.doc_id = a.doc_id AND x.version = a.version AND x.run_id = r.run_id""", CTE)
-add("w18_write_summary", lambda s, d: wr.write_summary(corpus.steps(s, d).withColumn("dry_run", c("step_id") % 10 == 0)).select("step_id", "summary"), "SELECT step_id, CASE WHEN step_id % 10 = 0 THEN op_type || ': dry run, ' || n_targets || ' targets' WHEN n_targets = 1 THEN op_type || ': 1 target' WHEN n_targets = 0 THEN op_type || ': pending' ELSE op_type || ': ' || n_targets || ' targets' END AS summary FROM steps", views.STEPS)
+ folded AS (SELECT a.doc_id, a.version, g.run_id, arg_max(value, seq) FILTER (attribute = 'font_name') AS f, arg_max(value, seq) FILTER (attribute = 'font_size_pt')::DOUBLE AS z FROM asked a
+  JOIN good g ON g.doc_id = a.doc_id AND g.seq <= a.version GROUP BY ALL)
+ SELECT a.doc_id, a.version, r.run_id, coalesce(f, font_name) AS font_name, coalesce(z, font_size_pt) AS font_size_pt FROM asked a JOIN runs r USING (doc_id) LEFT JOIN folded x ON x.doc_id = a.doc_id
+  AND x.version = a.version AND x.run_id = r.run_id""", CTE)
+add("w18_write_summary", lambda s, d: wr.write_summary(corpus.steps(s, d).withColumn("dry_run", c("step_id") % 10 == 0)).select("step_id", "summary"), "SELECT step_id, CASE WHEN step_id % 10 = 0 "
+    "THEN op_type || ': dry run, ' || n_targets || ' targets' WHEN n_targets = 1 THEN op_type || ': 1 target' WHEN n_targets = 0 THEN op_type || ': pending' ELSE op_type || ': ' || n_targets || ' targets' END AS summary "
+        "FROM steps", views.STEPS)
 
 
 def flagship(s, d):
@@ -649,4 +722,5 @@ def flagship(s, d):
 
 
 add("flagship_change_counts", flagship, """, t AS (SELECT r.* FROM runs r JOIN paragraphs p USING (doc_id, paragraph_id) WHERE p.role = 'heading' AND trim(r.text) <> '')
- SELECT doc_id, 'font_name' AS attribute, count(*) AS n_changed FROM t WHERE font_name IS DISTINCT FROM 'Arial' GROUP BY 1 UNION ALL SELECT doc_id, 'font_size_pt', count(*) FROM t WHERE font_size_pt IS DISTINCT FROM 16 GROUP BY 1""", CTE)
+ SELECT doc_id, 'font_name' AS attribute, count(*) AS n_changed FROM t WHERE font_name IS DISTINCT FROM 'Arial' GROUP BY 1 UNION ALL SELECT doc_id, 'font_size_pt', count(*) FROM t
+  WHERE font_size_pt IS DISTINCT FROM 16 GROUP BY 1""", CTE)

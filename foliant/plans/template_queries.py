@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from foliant.operators import classify as cl
@@ -49,15 +51,18 @@ KEY_SQL = "CASE WHEN paragraph_index = 0 OR (doc_id + paragraph_index) % 53 = 0
 CONF_SQL = "(50 + (doc_id * 7 + paragraph_index * 3) % 52)::DOUBLE / 100"
 PREDICTIONS = CTE + f""",
 predicted AS (SELECT doc_id, paragraph_id, paragraph_index, {KEY_SQL} AS semantic_key, {CONF_SQL} AS confidence, role, text FROM paragraphs),
-predictions AS (SELECT * FROM predicted WHERE semantic_key IS NOT NULL UNION ALL SELECT doc_id, paragraph_id, paragraph_index, 'list' AS semantic_key, confidence / 2 AS confidence, role, text FROM predicted WHERE semantic_key IS NOT NULL AND (doc_id + paragraph_index) % 10 = 3),
+predictions AS (SELECT * FROM predicted WHERE semantic_key IS NOT NULL UNION ALL SELECT doc_id, paragraph_id, paragraph_index, 'list' AS semantic_key, confidence / 2 AS confidence, role, text
+  FROM predicted WHERE semantic_key IS NOT NULL AND (doc_id + paragraph_index) % 10 = 3),
 matched AS (SELECT * FROM predictions WHERE semantic_key IN {KEYS}),
-conflicts AS (SELECT doc_id, paragraph_id, paragraph_index, unnest(['list', 'body', 'heading']) AS semantic_key, 'torn-' || paragraph_index % 2 AS reason FROM paragraphs WHERE (doc_id + paragraph_index) % 12 = 5),
+conflicts AS (SELECT doc_id, paragraph_id, paragraph_index, unnest(['list', 'body', 'heading']) AS semantic_key, 'torn-' || paragraph_index % 2 AS reason FROM paragraphs
+  WHERE (doc_id + paragraph_index) % 12 = 5),
 {RULES_SQL}"""
 
 
 def predictions(s, d):
     p = corpus.paragraphs(s, d)
-    key = F.when((c("paragraph_index") == 0) | (K() % 53 == 0), "title").when(K() % 41 == 0, "Picture").when(K() % 43 == 0, "mystery").when(c("role") == "heading", "heading").when(c("role") == "body", "body").when(c("role") == "list_item", "list")
+    key = F.when((c("paragraph_index") == 0) | (K() % 53 == 0), "title").when(K() % 41 == 0, "Picture").when(K() % 43 == 0, "mystery").when(c("role") == "heading", "heading").when(c("role") == "body", "body").when(c("role") == "list_item",
+        "list")
     first = p.withColumn("semantic_key", key).filter("semantic_key IS NOT NULL")
     confidence = (50 + (c("doc_id") * 7 + c("paragraph_index") * 3) % 52).cast("double") / 100
     named = lambda k, x: F.struct(k.alias("semantic_key"), x.alias("confidence"))
@@ -97,13 +102,15 @@ def halved(rounds: int, most: int) -> str:
     out = ", h0 AS (SELECT doc_id, bucket, paragraph_id, paragraph_index, strlen(coalesce(text, '')) AS size, (row_number() OVER (PARTITION BY doc_id, bucket ORDER BY paragraph_index) - 1) // 12 AS ib, '' AS half FROM context)"
     for i in range(rounds):
         out += f""", m{i} AS (SELECT *, count(*) OVER ({part}) AS n, sum(size) OVER ({part}) AS total, row_number() OVER ({part} ORDER BY paragraph_index) AS at_ FROM h{i}),
- h{i + 1} AS (SELECT doc_id, bucket, paragraph_id, paragraph_index, size, ib, half || CASE WHEN total > {most} AND n > 1 THEN CASE WHEN at_ <= ceil(n / 2) THEN '0' ELSE '1' END ELSE '' END AS half FROM m{i})"""
+ h{i + 1} AS (SELECT doc_id, bucket, paragraph_id, paragraph_index, size, ib, half || CASE WHEN total > {most} AND n > 1 THEN CASE WHEN at_ <= ceil(n / 2) THEN '0' ELSE '1' END ELSE '' END AS half
+  FROM m{i})"""
     return out + f" SELECT doc_id, bucket, paragraph_id, (dense_rank() OVER (PARTITION BY doc_id, bucket ORDER BY ib, half) - 1)::INTEGER AS batch FROM h{rounds}"
 
 
 reg("c1_byte_batches", lambda s, d: cl.byte_batches(context(s, d), most=2000), halved(4, 2000), True)
 COERCED = f""", coerced AS (SELECT p.doc_id, p.paragraph_id, CASE WHEN lower(semantic_key) IN {cl.IMAGE_ALIASES} THEN 'cover_image' ELSE semantic_key END AS semantic_key, CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END AS confidence FROM predictions p)"""
-reg("c2_coerce_predictions", lambda s, d: cl.coerce_predictions(predictions(s, d), corpus.paragraphs(s, d), KEYS), COERCED + f" SELECT doc_id, paragraph_id, semantic_key, CASE WHEN semantic_key NOT IN {KEYS} THEN 'unknown_semantic' END AS note, {MEAN} AS confidence, count(*) AS n FROM coerced GROUP BY 1, 2, 3, 4")
+reg("c2_coerce_predictions", lambda s, d: cl.coerce_predictions(predictions(s, d), corpus.paragraphs(s, d), KEYS), COERCED + f" SELECT doc_id, paragraph_id, semantic_key, CASE WHEN semantic_key NOT IN {KEYS} "
+    f"THEN 'unknown_semantic' END AS note, {MEAN} AS confidence, count(*) AS n FROM coerced GROUP BY 1, 2, 3, 4")
 
 
 def agg_sql(source: str) -> str:
@@ -124,19 +131,25 @@ def c3_reasons(s, d):
 
 
 reg("c3_reasons", c3_reasons, " SELECT doc_id, semantic_key, array_to_string(list_sort(list(DISTINCT 'reason-' || paragraph_index % 3)), '; ') AS reasons FROM matched GROUP BY doc_id, semantic_key")
-reg("c3_unmatched_paragraphs", lambda s, d: cl.unmatched_paragraphs(corpus.paragraphs(s, d), matched(s, d), corpus.paragraphs(s, d).filter(K() % 25 == 0)), " SELECT doc_id, paragraph_id FROM paragraphs p WHERE (doc_id + paragraph_index) % 25 = 0 OR NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id)")
-reg("c3_overall_confidence", lambda s, d: cl.overall_confidence(cl.aggregate_predictions(matched(s, d))), f", a AS ({agg_sql('matched')}), k AS (SELECT *, len(string_split(paragraph_ids, '|')) AS n FROM a) SELECT doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS overall FROM k GROUP BY doc_id")
+reg("c3_unmatched_paragraphs", lambda s, d: cl.unmatched_paragraphs(corpus.paragraphs(s, d), matched(s, d), corpus.paragraphs(s, d).filter(K() % 25 == 0)), " SELECT doc_id, paragraph_id FROM paragraphs p "
+    "WHERE (doc_id + paragraph_index) % 25 = 0 OR NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id)")
+reg("c3_overall_confidence", lambda s, d: cl.overall_confidence(cl.aggregate_predictions(matched(s, d))), f", a AS ({agg_sql('matched')}), k AS (SELECT *, len(string_split(paragraph_ids, '|')) AS n FROM a) "
+    f"SELECT doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS overall FROM k GROUP BY doc_id")
 
 
 def c4(s, d):
     return cl.aggregate_conflicts(conflicts(s, d), KEYS).select("doc_id", "paragraph_id", _join("candidates").alias("candidates"), _join("reasons").alias("reasons"))
 
 
-reg("c4_aggregate_conflicts", c4, " SELECT doc_id, paragraph_id, string_agg(DISTINCT semantic_key, '|' ORDER BY rank) AS candidates, string_agg(DISTINCT reason, '|') AS reasons FROM conflicts JOIN rules USING (semantic_key) GROUP BY doc_id, paragraph_id".replace("string_agg(DISTINCT semantic_key, '|' ORDER BY rank)", "'heading|body|list'"))
+reg("c4_aggregate_conflicts", c4, " SELECT doc_id, paragraph_id, string_agg(DISTINCT semantic_key, '|' ORDER BY rank) AS candidates, string_agg(DISTINCT reason, '|') AS reasons FROM conflicts JOIN rules USING (semantic_key) "
+    "GROUP BY doc_id, paragraph_id".replace("string_agg(DISTINCT semantic_key, '|' ORDER BY rank)", "'heading|body|list'"))
 POSITION = """, placed AS (SELECT *, count(*) OVER w AS n, min(CASE WHEN trim(text) <> '' THEN paragraph_index END) OVER w AS ft FROM context WINDOW w AS (PARTITION BY doc_id)),
- position_ok AS (SELECT p.doc_id, p.paragraph_id, r.semantic_key FROM placed p JOIN rules r ON CASE position_hint WHEN 'near_top' THEN p.paragraph_index < greatest(2, floor(n * 0.2)) WHEN 'first_paragraph' THEN p.paragraph_index = 0 WHEN 'first_non_blank' THEN coalesce(p.paragraph_index = ft, true) ELSE true END)"""
-COMPATIBLE = POSITION + """, compatible AS (SELECT x.doc_id, x.paragraph_id, r.semantic_key FROM context x JOIN rules r ON (r.role IS NULL OR r.role = x.role) AND (r.in_table IS NULL OR r.in_table = x.in_table) AND (NOT r.require_image OR x.has_image)
- AND (r.allow_empty OR trim(x.text) <> '') AND (r.heading_level IS NULL OR coalesce(r.heading_level = x.heading_level, false)) JOIN position_ok k ON k.doc_id = x.doc_id AND k.paragraph_id = x.paragraph_id AND k.semantic_key = r.semantic_key)"""
+ position_ok AS (SELECT p.doc_id, p.paragraph_id, r.semantic_key FROM placed p JOIN rules r ON CASE position_hint WHEN 'near_top' THEN p.paragraph_index < greatest(2, floor(n * 0.2))
+  WHEN 'first_paragraph' THEN p.paragraph_index = 0 WHEN 'first_non_blank' THEN coalesce(p.paragraph_index = ft, true) ELSE true END)"""
+COMPATIBLE = POSITION + """, compatible AS (SELECT x.doc_id, x.paragraph_id, r.semantic_key FROM context x JOIN rules r ON (r.role IS NULL OR r.role = x.role) AND (r.in_table IS NULL
+  OR r.in_table = x.in_table) AND (NOT r.require_image OR x.has_image)
+ AND (r.allow_empty OR trim(x.text) <> '') AND (r.heading_level IS NULL OR coalesce(r.heading_level = x.heading_level, false)) JOIN position_ok k ON k.doc_id = x.doc_id
+  AND k.paragraph_id = x.paragraph_id AND k.semantic_key = r.semantic_key)"""
 reg("c5_compatible_semantics", lambda s, d: cl.compatible_semantics(context(s, d), rules(s)), COMPATIBLE + " SELECT * FROM compatible", True)
 
 
@@ -145,12 +158,15 @@ def c5_buckets(s, d):
     return cl.compatible_semantics(context(s, d), r)
 
 
-reg("c5_bucket_hints", c5_buckets, COMPATIBLE + " SELECT k.* FROM compatible k JOIN context x ON x.doc_id = k.doc_id AND x.paragraph_id = k.paragraph_id WHERE CASE k.semantic_key WHEN 'cover_image' THEN x.bucket = 'body' WHEN 'seal' THEN x.bucket = 'table_text' ELSE true END", True)
+reg("c5_bucket_hints", c5_buckets, COMPATIBLE + " SELECT k.* FROM compatible k JOIN context x ON x.doc_id = k.doc_id AND x.paragraph_id = k.paragraph_id WHERE CASE k.semantic_key WHEN 'cover_image' THEN x.bucket = 'body' WHEN 'seal' "
+    "THEN x.bucket = 'table_text' ELSE true END", True)
 reg("c6_position_ok", lambda s, d: cl.position_ok(context(s, d).drop("position"), rules(s)).select("doc_id", "paragraph_id", "semantic_key"), POSITION + " SELECT * FROM position_ok", True)
-TARGETS = COMPATIBLE + """, both_sources AS (SELECT doc_id, paragraph_id, semantic_key, 'low_confidence' AS source, confidence FROM matched WHERE confidence < 0.6 UNION ALL SELECT doc_id, paragraph_id, semantic_key, 'conflict', NULL FROM conflicts),
+TARGETS = COMPATIBLE + """, both_sources AS (SELECT doc_id, paragraph_id, semantic_key, 'low_confidence' AS source, confidence FROM matched WHERE confidence < 0.6 UNION ALL
+  SELECT doc_id, paragraph_id, semantic_key, 'conflict', NULL FROM conflicts),
  head AS (SELECT doc_id, paragraph_id, min(source) AS source, min(confidence) AS confidence FROM both_sources GROUP BY ALL),
  cands AS (SELECT doc_id, paragraph_id, semantic_key FROM both_sources UNION SELECT doc_id, paragraph_id, semantic_key FROM compatible UNION SELECT doc_id, paragraph_id, 'blank_or_unknown' FROM head),
- targets AS (SELECT h.doc_id, h.paragraph_id, h.source, h.confidence, array_to_string(list_sort(list(x.semantic_key)), '|') AS candidates FROM head h JOIN cands x ON x.doc_id = h.doc_id AND x.paragraph_id = h.paragraph_id GROUP BY ALL)"""
+ targets AS (SELECT h.doc_id, h.paragraph_id, h.source, h.confidence, array_to_string(list_sort(list(x.semantic_key)), '|') AS candidates FROM head h JOIN cands x ON x.doc_id = h.doc_id
+  AND x.paragraph_id = h.paragraph_id GROUP BY ALL)"""
 
 
 def targets(s, d):
@@ -164,13 +180,17 @@ def decisions(s, d):
     p = corpus.paragraphs(s, d).filter(K() % 9 != 8)
     m = c("paragraph_index") % 8
     key = F.when(m == 0, "blank_or_unknown").when(m <= 2, "body").when(m == 3, "nonsense").when(m == 4, "list")
-    return p.select("doc_id", "paragraph_id", "paragraph_index", key.alias("semantic_key"), F.when(m == 1, 0.3).when(m == 2, 0.95).when(m == 0, 0.1).alias("second_confidence"), F.when(m == 5, 2).otherwise(0).alias("n_candidates"), (m == 6).alias("unmatched"))
+    return p.select("doc_id", "paragraph_id", "paragraph_index", key.alias("semantic_key"), F.when(m == 1, 0.3).when(m == 2, 0.95).when(m == 0, 0.1).alias("second_confidence"), F.when(m == 5, 2).otherwise(0).alias("n_candidates"),
+        (m == 6).alias("unmatched"))
 
 
-DECIDED = TARGETS + """, decided AS (SELECT doc_id, paragraph_id, paragraph_index, CASE m WHEN 0 THEN 'blank_or_unknown' WHEN 1 THEN 'body' WHEN 2 THEN 'body' WHEN 3 THEN 'nonsense' WHEN 4 THEN 'list' END AS semantic_key,
+DECIDED = TARGETS + """, decided AS (SELECT doc_id, paragraph_id, paragraph_index, CASE m WHEN 0 THEN 'blank_or_unknown' WHEN 1 THEN 'body' WHEN 2 THEN 'body' WHEN 3 THEN 'nonsense'
+  WHEN 4 THEN 'list' END AS semantic_key,
  CASE m WHEN 1 THEN 0.3 WHEN 2 THEN 0.95 WHEN 0 THEN 0.1 END::DOUBLE AS second_confidence, m AS m FROM (SELECT *, paragraph_index % 8 AS m FROM paragraphs) WHERE (doc_id + paragraph_index) % 9 <> 8),
- outcomes AS (SELECT t.doc_id, t.paragraph_id, x.paragraph_index, x.semantic_key, x.second_confidence, CASE WHEN x.m IS NULL THEN 'rejected_invalid' WHEN semantic_key IS NOT NULL AND NOT list_contains(string_split(candidates, '|'), semantic_key) THEN 'rejected_invalid'
- WHEN semantic_key = 'blank_or_unknown' THEN 'accepted_blank_or_unknown' WHEN semantic_key IS NOT NULL AND second_confidence < 0.8 THEN 'rejected_low_confidence' WHEN semantic_key IS NOT NULL AND second_confidence IS NOT NULL THEN 'accepted'
+ outcomes AS (SELECT t.doc_id, t.paragraph_id, x.paragraph_index, x.semantic_key, x.second_confidence, CASE WHEN x.m IS NULL THEN 'rejected_invalid' WHEN semantic_key IS NOT NULL
+  AND NOT list_contains(string_split(candidates, '|'), semantic_key) THEN 'rejected_invalid'
+ WHEN semantic_key = 'blank_or_unknown' THEN 'accepted_blank_or_unknown' WHEN semantic_key IS NOT NULL AND second_confidence < 0.8 THEN 'rejected_low_confidence' WHEN semantic_key IS NOT NULL
+  AND second_confidence IS NOT NULL THEN 'accepted'
  WHEN semantic_key IS NOT NULL THEN 'accepted_without_confidence' WHEN x.m = 5 THEN 'rejected_conflict' WHEN x.m = 6 THEN 'rejected_unmatched' ELSE 'rejected_invalid' END AS outcome
  FROM targets t LEFT JOIN decided x ON x.doc_id = t.doc_id AND x.paragraph_id = t.paragraph_id)"""
 
@@ -187,11 +207,14 @@ def c9(s, d):
     return cl.apply_refinement(matched(s, d), ok).withColumn("paragraph_ids", _join("paragraph_ids"))
 
 
-reg("c9_apply_refinement", c9, DECIDED + """, acc AS (SELECT * FROM outcomes WHERE outcome LIKE 'accepted%'), mixed_rows AS (SELECT doc_id, paragraph_id, paragraph_index, semantic_key, confidence FROM matched m WHERE NOT EXISTS (SELECT 1 FROM acc a WHERE a.doc_id = m.doc_id AND a.paragraph_id = m.paragraph_id)
+reg("c9_apply_refinement", c9, DECIDED + """, acc AS (SELECT * FROM outcomes WHERE outcome LIKE 'accepted%'), mixed_rows AS (SELECT doc_id, paragraph_id, paragraph_index, semantic_key, confidence
+  FROM matched m WHERE NOT EXISTS (SELECT 1 FROM acc a WHERE a.doc_id = m.doc_id AND a.paragraph_id = m.paragraph_id)
  UNION ALL SELECT doc_id, paragraph_id, paragraph_index, semantic_key, second_confidence FROM acc) """ + agg_sql("mixed_rows"), True)
-reg("c10_semantic_alias", lambda s, d: predictions(s, d).select("doc_id", "paragraph_id", "confidence", cl.semantic_alias("semantic_key").alias("semantic_key")), COERCED.replace("CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END AS confidence", "confidence") + " SELECT doc_id, paragraph_id, confidence, semantic_key FROM coerced")
+reg("c10_semantic_alias", lambda s, d: predictions(s, d).select("doc_id", "paragraph_id", "confidence", cl.semantic_alias("semantic_key").alias("semantic_key")), COERCED.replace("CASE WHEN confidence BETWEEN 0 AND 1 "
+    "THEN confidence END AS confidence", "confidence") + " SELECT doc_id, paragraph_id, confidence, semantic_key FROM coerced")
 FALLBACK = """, none_matched AS (SELECT doc_id, paragraph_id FROM paragraphs p WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id)),
- fallback AS (SELECT x.doc_id, x.paragraph_id, x.paragraph_index, 'blank_or_unknown' AS semantic_key, NULL::DOUBLE AS confidence FROM context x JOIN none_matched USING (doc_id, paragraph_id) WHERE NOT has_image AND (trim(text) = '' OR bucket = 'unknown'))"""
+ fallback AS (SELECT x.doc_id, x.paragraph_id, x.paragraph_index, 'blank_or_unknown' AS semantic_key, NULL::DOUBLE AS confidence FROM context x JOIN none_matched USING (doc_id, paragraph_id)
+  WHERE NOT has_image AND (trim(text) = '' OR bucket = 'unknown'))"""
 
 
 def none_matched(s, d):
@@ -206,20 +229,31 @@ def with_fallback(s):
 DERIVED = [{"key": "content", "mode": "aggregate", "parents": ["body", "list"]}, {"key": "of_that", "mode": "refine", "parents": ["body"], "hints": ["of that", "the and"], "negative": ["stupid"]}]
 _REFINED = "(contains(lower(text), 'of that') OR contains(lower(text), 'the and') OR (trim(text) <> '' AND (contains('of that', lower(text)) OR contains('the and', lower(text))))) AND NOT contains(lower(text), 'stupid')"
 reg("c11_blank_fallback", lambda s, d: cl.blank_fallback(none_matched(s, d), context(s, d), with_fallback(s)), FALLBACK + " SELECT * FROM fallback", True)
-reg("c12_normalize_predictions", lambda s, d: cl.normalize_predictions(predictions(s, d), context(s, d), KEYS, with_fallback(s), DERIVED).withColumn("paragraph_ids", _join("paragraph_ids")), COERCED + f""", ok AS (SELECT z.doc_id, z.paragraph_id, p.paragraph_index, z.semantic_key, round((sum(z.confidence::DECIMAL(18, 6))::DOUBLE / count(z.confidence))::DECIMAL(38, 12), 6)::DOUBLE AS confidence FROM coerced z JOIN paragraphs p ON p.doc_id = z.doc_id AND p.paragraph_id = z.paragraph_id WHERE z.semantic_key IN {KEYS} GROUP BY ALL),
- fb AS (SELECT doc_id, paragraph_id, paragraph_index, 'blank_or_unknown' AS semantic_key, NULL::DOUBLE AS confidence FROM context x WHERE NOT has_image AND (trim(text) = '' OR bucket = 'unknown') AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = x.doc_id AND ok.paragraph_id = x.paragraph_id)),
+reg("c12_normalize_predictions", lambda s, d: cl.normalize_predictions(predictions(s, d), context(s, d), KEYS, with_fallback(s), DERIVED).withColumn("paragraph_ids", _join("paragraph_ids")),
+    COERCED + f""", ok AS (SELECT z.doc_id, z.paragraph_id, p.paragraph_index, z.semantic_key, round((sum(z.confidence::DECIMAL(18, 6))::DOUBLE / count(z.confidence))::DECIMAL(38, 12), 6)::DOUBLE AS confidence FROM coerced z JOIN paragraphs p ON p.doc_id = z.doc_id AND p.paragraph_id = z.paragraph_id WHERE z.semantic_key IN {KEYS} GROUP BY ALL),
+ fb AS (SELECT doc_id, paragraph_id, paragraph_index, 'blank_or_unknown' AS semantic_key, NULL::DOUBLE AS confidence FROM context x WHERE NOT has_image AND (trim(text) = '' OR bucket = 'unknown')
+  AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.doc_id = x.doc_id AND ok.paragraph_id = x.paragraph_id)),
  direct AS (SELECT * FROM ok UNION ALL SELECT * FROM fb),
  every_row AS (SELECT * FROM direct UNION ALL SELECT doc_id, paragraph_id, paragraph_index, 'content', confidence FROM direct WHERE semantic_key IN ('body', 'list')
- UNION ALL SELECT d.doc_id, d.paragraph_id, d.paragraph_index, 'of_that', confidence FROM direct d JOIN context x ON x.doc_id = d.doc_id AND x.paragraph_id = d.paragraph_id WHERE semantic_key = 'body' AND """ + _REFINED.replace("text", "x.text") + """) """ + agg_sql("every_row"), True)
-reg("c13_derive_semantics", lambda s, d: cl.derive_semantics(matched(s, d).select("doc_id", "paragraph_id", "semantic_key", "confidence"), context(s, d), DERIVED), f""" SELECT doc_id, count(DISTINCT paragraph_id) AS n_paragraphs, {MEAN} AS confidence, 'content' AS semantic_key FROM matched WHERE semantic_key IN ('body', 'list') GROUP BY doc_id
- UNION ALL SELECT doc_id, count(DISTINCT paragraph_id), {MEAN}, 'of_that' FROM matched WHERE semantic_key = 'body' AND (contains(lower(text), 'of that') OR contains(lower(text), 'the and') OR (trim(text) <> '' AND (contains('of that', lower(text)) OR contains('the and', lower(text))))) AND NOT contains(lower(text), 'stupid') GROUP BY doc_id""")
-reg("c14_unmatched_diagnostics", lambda s, d: cl.unmatched_diagnostics(none_matched(s, d), context(s, d), conflicts(s, d)).withColumn("candidates", _join("candidates")), FALLBACK + f""", torn AS (SELECT DISTINCT doc_id, paragraph_id FROM conflicts)
- SELECT x.doc_id, x.paragraph_id, x.role, x.bucket, x.paragraph_index, CASE WHEN length({T}) > 120 THEN substr({T}, 1, 117) || '...' ELSE {T} END AS excerpt, CASE WHEN t.doc_id IS NULL THEN 'no_candidate' ELSE 'conflict_excluded' END AS reason, CASE WHEN t.doc_id IS NULL THEN '' ELSE 'body|heading|list' END AS candidates
+ UNION ALL SELECT d.doc_id, d.paragraph_id, d.paragraph_index, 'of_that', confidence FROM direct d JOIN context x ON x.doc_id = d.doc_id AND x.paragraph_id = d.paragraph_id
+  WHERE semantic_key = 'body' AND """ + _REFINED.replace("text", "x.text") + """) """ + agg_sql("every_row"), True)
+reg("c13_derive_semantics", lambda s, d: cl.derive_semantics(matched(s, d).select("doc_id", "paragraph_id", "semantic_key", "confidence"), context(s, d), DERIVED), f"""
+  SELECT doc_id, count(DISTINCT paragraph_id) AS n_paragraphs, {MEAN} AS confidence, 'content' AS semantic_key FROM matched WHERE semantic_key IN ('body', 'list') GROUP BY doc_id
+ UNION ALL SELECT doc_id, count(DISTINCT paragraph_id), {MEAN}, 'of_that' FROM matched WHERE semantic_key = 'body' AND (contains(lower(text), 'of that') OR contains(lower(text), 'the and')
+  OR (trim(text) <> '' AND (contains('of that', lower(text)) OR contains('the and', lower(text))))) AND NOT contains(lower(text), 'stupid') GROUP BY doc_id""")
+reg("c14_unmatched_diagnostics", lambda s, d: cl.unmatched_diagnostics(none_matched(s, d), context(s, d), conflicts(s, d)).withColumn("candidates", _join("candidates")),
+    FALLBACK + f""", torn AS (SELECT DISTINCT doc_id, paragraph_id FROM conflicts)
+ SELECT x.doc_id, x.paragraph_id, x.role, x.bucket, x.paragraph_index, CASE WHEN length({T}) > 120 THEN substr({T}, 1, 117) || '...' ELSE {T} END AS excerpt, CASE
+  WHEN t.doc_id IS NULL THEN 'no_candidate' ELSE 'conflict_excluded' END AS reason, CASE WHEN t.doc_id IS NULL THEN '' ELSE 'body|heading|list' END AS candidates
  FROM context x JOIN none_matched n ON n.doc_id = x.doc_id AND n.paragraph_id = x.paragraph_id LEFT JOIN torn t ON t.doc_id = x.doc_id AND t.paragraph_id = x.paragraph_id""", True)
 reg("c15_unknown_semantics", lambda s, d: cl.unknown_semantics(predictions(s, d), KEYS), f" SELECT doc_id, semantic_key, count(DISTINCT paragraph_id) AS n_paragraphs FROM predictions WHERE semantic_key NOT IN {KEYS} GROUP BY ALL")
-reg("c16_local_context", lambda s, d: cl.local_context(context(s, d), targets(s, d).select("doc_id", "paragraph_id")), TARGETS + " SELECT t.doc_id, t.paragraph_id AS target_id, n.paragraph_id, (n.paragraph_index - p.paragraph_index)::INTEGER AS \"offset\" FROM targets t JOIN paragraphs p ON p.doc_id = t.doc_id AND p.paragraph_id = t.paragraph_id JOIN paragraphs n ON n.doc_id = t.doc_id AND abs(n.paragraph_index - p.paragraph_index) = 1", True)
-reg("c17_classify_default", lambda s, d: cl.classify(context(s, d), rules(s)), COMPATIBLE + """, h AS (SELECT x.doc_id, x.paragraph_id, x.semantic_key, r.rank, r.hint <> '' AND contains(lower(p.text), lower(r.hint)) AS hit FROM compatible x JOIN rules r ON r.semantic_key = x.semantic_key JOIN paragraphs p ON p.doc_id = x.doc_id AND p.paragraph_id = x.paragraph_id)
- SELECT doc_id, paragraph_id, arg_min(semantic_key, (CASE WHEN hit THEN 0 ELSE 100 END) + rank) AS semantic_key, CASE WHEN bool_or(hit) THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM h GROUP BY ALL""", True)
+reg("c16_local_context", lambda s, d: cl.local_context(context(s, d), targets(s, d).select("doc_id", "paragraph_id")), TARGETS + " "
+    "SELECT t.doc_id, t.paragraph_id AS target_id, n.paragraph_id, (n.paragraph_index - p.paragraph_index)::INTEGER AS \"offset\" FROM targets t JOIN paragraphs p ON p.doc_id = t.doc_id AND p.paragraph_id = t.paragraph_id "
+        "JOIN paragraphs n ON n.doc_id = t.doc_id AND abs(n.paragraph_index - p.paragraph_index) = 1", True)
+reg("c17_classify_default", lambda s, d: cl.classify(context(s, d), rules(s)), COMPATIBLE + """, h AS (SELECT x.doc_id, x.paragraph_id, x.semantic_key, r.rank, r.hint <> ''
+  AND contains(lower(p.text), lower(r.hint)) AS hit FROM compatible x JOIN rules r ON r.semantic_key = x.semantic_key JOIN paragraphs p ON p.doc_id = x.doc_id AND p.paragraph_id = x.paragraph_id)
+ SELECT doc_id, paragraph_id, arg_min(semantic_key, (CASE WHEN hit THEN 0 ELSE 100 END) + rank) AS semantic_key, CASE WHEN bool_or(hit) THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM h
+  GROUP BY ALL""", True)
 
 # ---------------------------------------------------------------- validation
 PER = f""", per AS (SELECT doc_id, semantic_key, string_agg(paragraph_id, '|' ORDER BY paragraph_index) AS ids, count(DISTINCT paragraph_id) AS n, min(paragraph_index) AS first, max(paragraph_index) AS last, {MEAN} AS confidence FROM matched GROUP BY doc_id, semantic_key)"""
@@ -231,19 +265,32 @@ def check(name: str, fn, sql: str, extra: str = PER) -> None:
 
 
 CHECK_SQL = {
-    "v1_low_confidence": (va.check_confidence, f"SELECT doc_id, 'semantic_confidence_too_low' AS error_code, semantic_key, ids AS paragraph_ids FROM per WHERE confidence < 0.8 UNION ALL SELECT doc_id, 'overall_confidence_too_low', NULL, '' FROM (SELECT doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS o FROM per GROUP BY doc_id) WHERE o < 0.8"),
-    "v2_required_missing": (va.check_required, "SELECT x.doc_id, 'required_semantic_missing' AS error_code, r.semantic_key, '' AS paragraph_ids FROM (SELECT DISTINCT doc_id FROM paragraphs) x, rules r WHERE required AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = x.doc_id AND m.semantic_key = r.semantic_key)"),
+    "v1_low_confidence": (va.check_confidence, f"SELECT doc_id, 'semantic_confidence_too_low' AS error_code, semantic_key, ids AS paragraph_ids FROM per WHERE confidence < 0.8 UNION ALL "
+        f"SELECT doc_id, 'overall_confidence_too_low', NULL, '' "
+        f"FROM (SELECT doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS o FROM per GROUP BY doc_id) WHERE o < 0.8"),
+    "v2_required_missing": (va.check_required, "SELECT x.doc_id, 'required_semantic_missing' AS error_code, r.semantic_key, '' AS paragraph_ids FROM (SELECT DISTINCT doc_id FROM paragraphs) x, rules r WHERE required "
+        "AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = x.doc_id AND m.semantic_key = r.semantic_key)"),
     "v3_single_multiple": (va.check_single, "SELECT doc_id, 'single_instance_semantic_has_multiple_matches' AS error_code, semantic_key, ids AS paragraph_ids FROM per JOIN rules USING (semantic_key) WHERE NOT multiple AND n > 1"),
-    "v4_occurrence": (va.check_occurrence, "SELECT x.doc_id, CASE WHEN coalesce(n, 0) < min_occurs THEN 'occurrence_below_min' ELSE 'occurrence_above_max' END AS error_code, r.semantic_key, coalesce(ids, '') AS paragraph_ids FROM (SELECT DISTINCT doc_id FROM paragraphs) x CROSS JOIN rules r LEFT JOIN per p ON p.doc_id = x.doc_id AND p.semantic_key = r.semantic_key WHERE coalesce(n, 0) < min_occurs OR coalesce(n, 0) > max_occurs"),
-    "v5_negative_example": (va.check_negative, "SELECT doc_id, 'negative_example_matched' AS error_code, semantic_key, paragraph_id AS paragraph_ids FROM matched JOIN rules USING (semantic_key) WHERE negative <> '' AND contains(lower(text), lower(negative))"),
-    "v6_text_hint_missing": (va.check_text_hints, "SELECT doc_id, 'text_hint_missing' AS error_code, semantic_key, string_agg(paragraph_id, '|' ORDER BY paragraph_index) AS paragraph_ids FROM matched JOIN rules USING (semantic_key) WHERE hint <> '' GROUP BY doc_id, semantic_key HAVING NOT bool_or(contains(lower(text), lower(hint)))"),
-    "v8_numbering_pattern": (va.check_numbering, f"SELECT doc_id, CASE WHEN m.role = 'body' THEN 'numbering_pattern_warning' ELSE 'numbering_pattern_not_allowed' END AS error_code, semantic_key, paragraph_id AS paragraph_ids FROM (SELECT *, {PREFIX_SQL} AS prefix FROM matched) m JOIN rules r USING (semantic_key) WHERE prefix IS NOT NULL AND numbering <> '' AND NOT regexp_matches(prefix, numbering) AND NOT (m.role = 'heading' AND r.heading_level IS NOT NULL)"),
-    "v9_placement": (va.check_placement, "SELECT p.doc_id, 'placement_rule_violation' AS error_code, p.semantic_key, p.ids AS paragraph_ids FROM per p JOIN rules r USING (semantic_key) JOIN per o ON o.doc_id = p.doc_id AND o.semantic_key = r.other WHERE NOT CASE placement WHEN 'before' THEN p.last < o.first WHEN 'after' THEN p.first > o.last WHEN 'immediately_before' THEN p.last + 1 = o.first ELSE p.first - 1 = o.last END"),
-    "v12_ordering": (va.check_ordering, "SELECT doc_id, 'semantic_order_violation' AS error_code, semantic_key, ids AS paragraph_ids FROM (SELECT p.*, lag(first) OVER (PARTITION BY doc_id ORDER BY rank) AS bef FROM per p JOIN rules USING (semantic_key)) WHERE first < bef"),
-    "v13_style_violation": (va.check_style, """SELECT * FROM (SELECT m.doc_id, CASE WHEN r.allow_empty AND NOT r.require_image AND (trim(m.text) = '' OR x.bucket = 'unknown') THEN NULL WHEN r.require_image AND NOT x.has_image THEN 'style_require_image' WHEN NOT r.allow_empty AND NOT r.require_image AND trim(m.text) = '' THEN 'style_empty'
- WHEN r.role <> m.role THEN 'style_role' WHEN r.in_table <> x.in_table THEN 'style_in_table' WHEN r.heading_level IS NOT NULL AND r.heading_level IS DISTINCT FROM x.heading_level THEN 'style_heading_level' END AS error_code, m.semantic_key, m.paragraph_id AS paragraph_ids
+    "v4_occurrence": (va.check_occurrence, "SELECT x.doc_id, CASE WHEN coalesce(n, 0) < min_occurs THEN 'occurrence_below_min' ELSE 'occurrence_above_max' END AS error_code, r.semantic_key, coalesce(ids, '') AS paragraph_ids "
+        "FROM (SELECT DISTINCT doc_id FROM paragraphs) x CROSS JOIN rules r LEFT JOIN per p ON p.doc_id = x.doc_id AND p.semantic_key = r.semantic_key WHERE coalesce(n, 0) < min_occurs OR coalesce(n, 0) > max_occurs"),
+    "v5_negative_example": (va.check_negative, "SELECT doc_id, 'negative_example_matched' AS error_code, semantic_key, paragraph_id AS paragraph_ids FROM matched JOIN rules USING (semantic_key) WHERE negative <> '' "
+        "AND contains(lower(text), lower(negative))"),
+    "v6_text_hint_missing": (va.check_text_hints, "SELECT doc_id, 'text_hint_missing' AS error_code, semantic_key, string_agg(paragraph_id, '|' ORDER BY paragraph_index) AS paragraph_ids FROM matched JOIN rules USING (semantic_key) "
+        "WHERE hint <> '' GROUP BY doc_id, semantic_key HAVING NOT bool_or(contains(lower(text), lower(hint)))"),
+    "v8_numbering_pattern": (va.check_numbering, f"SELECT doc_id, CASE WHEN m.role = 'body' THEN 'numbering_pattern_warning' ELSE 'numbering_pattern_not_allowed' END AS error_code, semantic_key, paragraph_id AS paragraph_ids "
+        f"FROM (SELECT *, {PREFIX_SQL} AS prefix FROM matched) m JOIN rules r USING (semantic_key) WHERE prefix IS NOT NULL AND numbering <> '' AND NOT regexp_matches(prefix, numbering) AND NOT (m.role = 'heading' "
+            f"AND r.heading_level IS NOT NULL)"),
+    "v9_placement": (va.check_placement, "SELECT p.doc_id, 'placement_rule_violation' AS error_code, p.semantic_key, p.ids AS paragraph_ids FROM per p JOIN rules r USING (semantic_key) JOIN per o ON o.doc_id = p.doc_id "
+        "AND o.semantic_key = r.other WHERE NOT CASE placement WHEN 'before' THEN p.last < o.first WHEN 'after' THEN p.first > o.last WHEN 'immediately_before' THEN p.last + 1 = o.first ELSE p.first - 1 = o.last END"),
+    "v12_ordering": (va.check_ordering, "SELECT doc_id, 'semantic_order_violation' AS error_code, semantic_key, ids AS paragraph_ids FROM (SELECT p.*, lag(first) OVER (PARTITION BY doc_id ORDER BY rank) AS bef FROM per p "
+        "JOIN rules USING (semantic_key)) WHERE first < bef"),
+    "v13_style_violation": (va.check_style, """SELECT * FROM (SELECT m.doc_id, CASE WHEN r.allow_empty AND NOT r.require_image AND (trim(m.text) = '' OR x.bucket = 'unknown') THEN NULL
+  WHEN r.require_image AND NOT x.has_image THEN 'style_require_image' WHEN NOT r.allow_empty AND NOT r.require_image AND trim(m.text) = '' THEN 'style_empty'
+ WHEN r.role <> m.role THEN 'style_role' WHEN r.in_table <> x.in_table THEN 'style_in_table' WHEN r.heading_level IS NOT NULL AND r.heading_level IS DISTINCT
+  FROM x.heading_level THEN 'style_heading_level' END AS error_code, m.semantic_key, m.paragraph_id AS paragraph_ids
  FROM matched m JOIN context x ON x.doc_id = m.doc_id AND x.paragraph_id = m.paragraph_id JOIN rules r ON r.semantic_key = m.semantic_key) WHERE error_code IS NOT NULL"""),
-    "v14_forbidden_match": (va.check_forbidden, """SELECT m.doc_id, 'forbidden_semantic_matched' AS error_code, m.semantic_key, m.paragraph_id AS paragraph_ids FROM matched m JOIN rules r USING (semantic_key) JOIN context x ON x.doc_id = m.doc_id AND x.paragraph_id = m.paragraph_id
+    "v14_forbidden_match": (va.check_forbidden, """SELECT m.doc_id, 'forbidden_semantic_matched' AS error_code, m.semantic_key, m.paragraph_id AS paragraph_ids FROM matched m
+  JOIN rules r USING (semantic_key) JOIN context x ON x.doc_id = m.doc_id AND x.paragraph_id = m.paragraph_id
  WHERE r.forbidden IN (x.role, x.bucket) OR x.role = 'heading' AND r.forbidden = 'heading_level_' || x.heading_level OR x.role = 'list_item' AND r.forbidden = 'list_item_level_' || x.list_level
  OR EXISTS (SELECT 1 FROM matched o WHERE o.doc_id = m.doc_id AND o.paragraph_id = m.paragraph_id AND o.semantic_key = r.forbidden AND r.forbidden <> m.semantic_key)"""),
 }
@@ -265,7 +312,8 @@ reg("v15_seal_evidence", v15, f" SELECT doc_id, 'seal_evidence_missing' AS error
 
 def contracts(s, d):
     p = corpus.table(s, d, "part")
-    sem = p.select((c("p_partkey") % 97).alias("template_id"), F.concat(F.lit("k"), (c("p_partkey") % 11).cast("string")).alias("key"), F.when(c("p_partkey") % 5 != 0, c("p_name")).alias("label"), F.when(c("p_partkey") % 7 == 0, 3).otherwise(1).alias("min_occurs"), F.lit(2).alias("max_occurs"))
+    sem = p.select((c("p_partkey") % 97).alias("template_id"), F.concat(F.lit("k"), (c("p_partkey") % 11).cast("string")).alias("key"), F.when(c("p_partkey") % 5 != 0, c("p_name")).alias("label"),
+        F.when(c("p_partkey") % 7 == 0, 3).otherwise(1).alias("min_occurs"), F.lit(2).alias("max_occurs"))
     der = p.select((c("p_partkey") % 97).alias("template_id"), F.concat(F.lit("d"), (c("p_partkey") % 13).cast("string")).alias("key"), F.concat(F.lit("k"), (c("p_partkey") % 17).cast("string")).alias("parent"))
     scope = F.when(c("p_partkey") % 4 == 0, "paragraph").when(c("p_partkey") % 4 == 1, "run").when(c("p_partkey") % 4 == 2, "galaxy")
     blocks = p.filter(c("p_partkey") % 3 != 0).select((c("p_partkey") % 97).alias("template_id"), F.concat(F.lit("k"), (c("p_partkey") % 11).cast("string")).alias("key"), scope.alias("scope"))
@@ -274,38 +322,92 @@ def contracts(s, d):
 
 
 QUERIES["v16_contract_issues"] = lambda s, d: va.contract_issues(*contracts(s, d))
-SQL["v16_contract_issues"] = """WITH sem AS (SELECT p_partkey % 97 AS template_id, 'k' || p_partkey % 11 AS key, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS label, CASE WHEN p_partkey % 7 = 0 THEN 3 ELSE 1 END AS lo FROM part),
- der AS (SELECT p_partkey % 97 AS template_id, 'd' || p_partkey % 13 AS key, 'k' || p_partkey % 17 AS parent FROM part), blk AS (SELECT p_partkey % 97 AS template_id, 'k' || p_partkey % 11 AS key, p_partkey % 4 AS scope FROM part WHERE p_partkey % 3 <> 0)
+SQL["v16_contract_issues"] = """WITH sem AS (SELECT p_partkey % 97 AS template_id, 'k' || p_partkey % 11 AS key, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS label, CASE
+  WHEN p_partkey % 7 = 0 THEN 3 ELSE 1 END AS lo FROM part),
+ der AS (SELECT p_partkey % 97 AS template_id, 'd' || p_partkey % 13 AS key, 'k' || p_partkey % 17 AS parent
+  FROM part), blk AS (SELECT p_partkey % 97 AS template_id, 'k' || p_partkey % 11 AS key, p_partkey % 4 AS scope FROM part WHERE p_partkey % 3 <> 0)
  SELECT template_id, 'label_required' AS error_code, key FROM sem WHERE label IS NULL OR trim(label) = '' UNION ALL SELECT template_id, 'duplicate_key', key FROM sem GROUP BY ALL HAVING count(*) > 1
  UNION ALL SELECT template_id, 'dangling_reference', key FROM der x WHERE NOT EXISTS (SELECT 1 FROM sem s WHERE s.template_id = x.template_id AND s.key = x.parent)
- UNION ALL SELECT template_id, 'operation_block_count', key FROM (SELECT DISTINCT template_id, key FROM sem) x WHERE (SELECT count(*) FROM blk b WHERE b.template_id = x.template_id AND b.key = x.key) <> 1 UNION ALL SELECT template_id, 'occurrence_range', key FROM sem WHERE lo > 2
+ UNION ALL SELECT template_id, 'operation_block_count', key FROM (SELECT DISTINCT template_id, key FROM sem) x WHERE (SELECT count(*) FROM blk b WHERE b.template_id = x.template_id
+  AND b.key = x.key) <> 1 UNION ALL SELECT template_id, 'occurrence_range', key FROM sem WHERE lo > 2
  UNION ALL SELECT template_id, 'scope_unknown', key FROM blk WHERE scope > 1
  UNION ALL SELECT DISTINCT template_id, 'version_unsupported', CASE WHEN template_id % 3 = 1 THEN '9.9' END FROM sem WHERE template_id % 3 <> 0"""
 # A sound contract, and what each of these faults, one in each template, must be reported as: (old, new, path, problem) ...
-SOUND = """{"template_meta":{"id":"t","name":"n","version":"1","schema_version":"2.0"},"semantic_blocks":[{"key":"body","label":"Body","description":"d","examples":["e"],"required":true,"multiple":true},{"key":"list","label":"List","description":"d","examples":["e"],"required":false,"multiple":true}],"derived_semantics":[{"key":"text","label":"Text","mode":"aggregate","inherits_from":["body","list"],"examples":["e"],"text_hints":["h"],"negative_examples":["x"],"operation":{"text_style":{},"paragraph_style":{},"language_font_overrides":{"zh":{"font_name":"SimSun"}}}}],"layout_rules":{"global_rules":{"document_scope":"full_document","ordering":["body","list"]},"semantic_rules":[{"semantic_key":"body","numbering_patterns":["^1"]}]},"patch_blocks":[{"semantic_key":"body","selector":{"part":"document","scope":"paragraph","match":{"ilvl":1,"style_id":"s","paragraph_ids":["p_1"]}},"operations":[{"type":"set_run_style","text_style":{}},{"type":"set_attr","name":"a"},{"type":"set_paragraph_style","style_id":"s"}]}],"classification_contract":{"scope":"paragraph","matches":[{"semantic_key":"body","paragraph_ids":["p_0"],"confidence":0.5,"reason":"r"}],"unmatched_paragraph_ids":[],"conflicts":[{"paragraph_id":"p_1","candidate_semantic_keys":["list"]}],"overall_confidence":1},"validation_policy":{"min_confidence":0.8,"enforce_validation":true}}"""
+SOUND = json.dumps(
+    {
+        "template_meta": {"id": "t", "name": "n", "version": "1", "schema_version": "2.0"},
+        "semantic_blocks": [
+            {"key": "body", "label": "Body", "description": "d", "examples": ["e"], "required": True, "multiple": True},
+            {"key": "list", "label": "List", "description": "d", "examples": ["e"], "required": False, "multiple": True},
+        ],
+        "derived_semantics": [
+            {
+                "key": "text",
+                "label": "Text",
+                "mode": "aggregate",
+                "inherits_from": ["body", "list"],
+                "examples": ["e"],
+                "text_hints": ["h"],
+                "negative_examples": ["x"],
+                "operation": {"text_style": {}, "paragraph_style": {}, "language_font_overrides": {"zh": {"font_name": "SimSun"}}},
+            },
+        ],
+        "layout_rules": {"global_rules": {"document_scope": "full_document", "ordering": ["body", "list"]}, "semantic_rules": [{"semantic_key": "body", "numbering_patterns": ["^1"]}]},
+        "patch_blocks": [
+            {
+                "semantic_key": "body",
+                "selector": {"part": "document", "scope": "paragraph", "match": {"ilvl": 1, "style_id": "s", "paragraph_ids": ["p_1"]}},
+                "operations": [{"type": "set_run_style", "text_style": {}}, {"type": "set_attr", "name": "a"}, {"type": "set_paragraph_style", "style_id": "s"}],
+            },
+        ],
+        "classification_contract": {
+            "scope": "paragraph",
+            "matches": [{"semantic_key": "body", "paragraph_ids": ["p_0"], "confidence": 0.5, "reason": "r"}],
+            "unmatched_paragraph_ids": [],
+            "conflicts": [{"paragraph_id": "p_1", "candidate_semantic_keys": ["list"]}],
+            "overall_confidence": 1,
+        },
+        "validation_policy": {"min_confidence": 0.8, "enforce_validation": True},
+    },
+    separators=(",", ":"),
+)
 _OLD = '"operation_blocks":[{"semantic_key":"body","text_style":{},"paragraph_style":{}},{"semantic_key":"list","text_style":{},"paragraph_style":{},"language_font_overrides":{"en":{"font_name":"Arial"}}}],"patch_blocks":['
 _PATCH = SOUND[SOUND.index('"patch_blocks":[') : SOUND.index(',"classification_contract"')]
 _EMPTY = _OLD + "]"
 FAULTS = [
-    ("", "", []), ('"schema_version":"2.0"', '"schema_version":"1.0"', [("template_meta.schema_version", "wrong choice")]), ('"id":"t",', "", [("template_meta.id", "missing")]), ('"name":"n"', '"name":" "', [("template_meta.name", "wrong text")]),
-    ('"version":"1"', '"version":1', [("template_meta.version", "wrong text")]), ('{"key":"list","label"', '{"key":"body","label"', [("semantic_blocks.body", "duplicate"), ("derived_semantics[0].inherits_from[1]", "undeclared"), ("layout_rules.global_rules.ordering[1]", "undeclared"), ("classification_contract.conflicts[0].candidate_semantic_keys[0]", "undeclared")]),
-    ('"label":"Body",', "", [("semantic_blocks[0].label", "missing")]), ('"description":"d","examples":["e"],"required":true', '"description":"d","examples":[],"required":"yes"', [("semantic_blocks[0].examples", "wrong texts"), ("semantic_blocks[0].required", "wrong boolean")]),
-    ('"key":"text"', '"key":"list"', [("derived_semantics.list", "duplicate")]), ('"mode":"aggregate"', '"mode":"mix"', [("derived_semantics[0].mode", "wrong choice")]), ('["body","list"],"examples"', '["body","lost"],"examples"', [("derived_semantics[0].inherits_from[1]", "undeclared")]),
-    ('"text_hints":["h"]', '"text_hints":[""]', [("derived_semantics[0].text_hints[0]", "wrong text")]), ('"negative_examples":["x"]', '"negative_examples":[]', [("derived_semantics[0].negative_examples", "wrong texts")]), ('"operation":{"text_style":{},', '"operation":{', [("derived_semantics[0].operation.text_style", "missing")]),
+    ("", "", []), ('"schema_version":"2.0"', '"schema_version":"1.0"', [("template_meta.schema_version", "wrong choice")]), ('"id":"t",', "", [("template_meta.id", "missing")]), ('"name":"n"', '"name":" "', [("template_meta.name",
+        "wrong text")]),
+    ('"version":"1"', '"version":1', [("template_meta.version", "wrong text")]), ('{"key":"list","label"', '{"key":"body","label"', [("semantic_blocks.body", "duplicate"), ("derived_semantics[0].inherits_from[1]", "undeclared"),
+        ("layout_rules.global_rules.ordering[1]", "undeclared"), ("classification_contract.conflicts[0].candidate_semantic_keys[0]", "undeclared")]),
+    ('"label":"Body",', "", [("semantic_blocks[0].label", "missing")]), ('"description":"d","examples":["e"],"required":true', '"description":"d","examples":[],"required":"yes"', [("semantic_blocks[0].examples", "wrong texts"),
+        ("semantic_blocks[0].required", "wrong boolean")]),
+    ('"key":"text"', '"key":"list"', [("derived_semantics.list", "duplicate")]), ('"mode":"aggregate"', '"mode":"mix"', [("derived_semantics[0].mode", "wrong choice")]), ('["body","list"],"examples"', '["body","lost"],"examples"',
+        [("derived_semantics[0].inherits_from[1]", "undeclared")]),
+    ('"text_hints":["h"]', '"text_hints":[""]', [("derived_semantics[0].text_hints[0]", "wrong text")]), ('"negative_examples":["x"]', '"negative_examples":[]', [("derived_semantics[0].negative_examples", "wrong texts")]),
+        ('"operation":{"text_style":{},', '"operation":{', [("derived_semantics[0].operation.text_style", "missing")]),
     ('{"zh":{"font_name":"SimSun"}}', '{"zh":{"font_name":""},"fr":{}}', [("derived_semantics[0].operation.language_font_overrides.zh.font_name", "wrong text"), ("derived_semantics[0].operation.language_font_overrides.fr", "unsupported")]),
     ('{"zh":{"font_name":"SimSun"}}', '{"en":{"font_size":1}}', [("derived_semantics[0].operation.language_font_overrides.en.font_name", "missing"), ("derived_semantics[0].operation.language_font_overrides.en.font_size", "unsupported")]),
     ('"full_document"', '"page"', [("layout_rules.global_rules.document_scope", "wrong choice")]), ('"ordering":["body","list"]', '"ordering":["body","lost"]', [("layout_rules.global_rules.ordering[1]", "undeclared")]),
-    ('{"semantic_key":"body","numbering_patterns":["^1"]}', '{"semantic_key":"lost","numbering_patterns":[]}', [("layout_rules.semantic_rules[0].semantic_key", "undeclared"), ("layout_rules.semantic_rules[0].numbering_patterns", "wrong texts")]),
-    (_PATCH, '"patch_blocks":[]', [("patch_blocks", "no_blocks")]), (_PATCH, _EMPTY, []), (_PATCH, _EMPTY.replace('"body","text_style"', '"list","text_style"'), [("operation_blocks.body", "block_count"), ("operation_blocks.list", "block_count")]),
+    ('{"semantic_key":"body","numbering_patterns":["^1"]}', '{"semantic_key":"lost","numbering_patterns":[]}', [("layout_rules.semantic_rules[0].semantic_key", "undeclared"), ("layout_rules.semantic_rules[0].numbering_patterns",
+        "wrong texts")]),
+    (_PATCH, '"patch_blocks":[]', [("patch_blocks", "no_blocks")]), (_PATCH, _EMPTY, []), (_PATCH, _EMPTY.replace('"body","text_style"', '"list","text_style"'), [("operation_blocks.body", "block_count"), ("operation_blocks.list",
+        "block_count")]),
     (_PATCH, _EMPTY.replace('"paragraph_style":{}},{', '"paragraph_style":1},{'), [("operation_blocks[0].paragraph_style", "wrong object")]), ('"patch_blocks":[{', '"operation_blocks":[{}],"patch_blocks":[{', []),
-    ('"part":"document"', '"part":"margin"', [("patch_blocks[0].selector.part", "wrong choice")]), ('"scope":"paragraph","match"', '"scope":"galaxy","match"', [("patch_blocks[0].selector.scope", "wrong choice")]), ('"ilvl":1', '"ilvl":-1', [("patch_blocks[0].selector.match.ilvl", "wrong ordinal")]),
-    ('"ilvl":1', '"section_index":1.5', [("patch_blocks[0].selector.match.section_index", "wrong ordinal")]), ('"style_id":"s","paragraph_ids":["p_1"]', '"style_id":null,"paragraph_ids":[]', [("patch_blocks[0].selector.match.style_id", "wrong text"), ("patch_blocks[0].selector.match.paragraph_ids", "wrong texts")]),
-    ('"set_run_style","text_style":{}', '"set_run_style"', [("patch_blocks[0].operations[0].text_style", "missing")]), ('"set_run_style"', '"paint"', [("patch_blocks[0].operations[0].type", "wrong choice")]), ('"name":"a"', '"name":" "', [("patch_blocks[0].operations[1].name", "wrong text")]),
+    ('"part":"document"', '"part":"margin"', [("patch_blocks[0].selector.part", "wrong choice")]), ('"scope":"paragraph","match"', '"scope":"galaxy","match"', [("patch_blocks[0].selector.scope", "wrong choice")]), ('"ilvl":1', '"ilvl":-1',
+        [("patch_blocks[0].selector.match.ilvl", "wrong ordinal")]),
+    ('"ilvl":1', '"section_index":1.5', [("patch_blocks[0].selector.match.section_index", "wrong ordinal")]), ('"style_id":"s","paragraph_ids":["p_1"]', '"style_id":null,"paragraph_ids":[]', [("patch_blocks[0].selector.match.style_id",
+        "wrong text"), ("patch_blocks[0].selector.match.paragraph_ids", "wrong texts")]),
+    ('"set_run_style","text_style":{}', '"set_run_style"', [("patch_blocks[0].operations[0].text_style", "missing")]), ('"set_run_style"', '"paint"', [("patch_blocks[0].operations[0].type", "wrong choice")]), ('"name":"a"', '"name":" "',
+        [("patch_blocks[0].operations[1].name", "wrong text")]),
     ('"set_paragraph_style","style_id":"s"', '"set_paragraph_style"', [("patch_blocks[0].operations[2].paragraph_style", "missing")]), ('"set_attr"', '"set_numbering_level"', [("patch_blocks[0].operations[1].numbering_level", "missing")]),
-    ('{"scope":"paragraph","matches"', '{"scope":"run","matches"', [("classification_contract.scope", "wrong choice")]), ('"confidence":0.5', '"confidence":1.5', [("classification_contract.matches[0].confidence", "wrong confidence")]), ('"reason":"r"', '"reason":""', [("classification_contract.matches[0].reason", "wrong text")]),
-    ('"paragraph_ids":["p_0"]', '"paragraph_ids":"p_0"', [("classification_contract.matches[0].paragraph_ids", "wrong texts")]), ('"unmatched_paragraph_ids":[]', '"unmatched_paragraph_ids":[7]', [("classification_contract.unmatched_paragraph_ids[0]", "wrong text")]),
-    ('"candidate_semantic_keys":["list"]', '"candidate_semantic_keys":["lost"]', [("classification_contract.conflicts[0].candidate_semantic_keys[0]", "undeclared")]), ('"paragraph_id":"p_1",', "", [("classification_contract.conflicts[0].paragraph_id", "missing")]),
-    ('"overall_confidence":1', '"overall_confidence":true', [("classification_contract.overall_confidence", "wrong confidence")]), ('"min_confidence":0.8', '"min_confidence":"0.8"', [("validation_policy.min_confidence", "wrong confidence")]), ('"enforce_validation":true', '"reject_style_violations":0', [("validation_policy.reject_style_violations", "wrong boolean")]),
+    ('{"scope":"paragraph","matches"', '{"scope":"run","matches"', [("classification_contract.scope", "wrong choice")]), ('"confidence":0.5', '"confidence":1.5', [("classification_contract.matches[0].confidence", "wrong confidence")]),
+        ('"reason":"r"', '"reason":""', [("classification_contract.matches[0].reason", "wrong text")]),
+    ('"paragraph_ids":["p_0"]', '"paragraph_ids":"p_0"', [("classification_contract.matches[0].paragraph_ids", "wrong texts")]), ('"unmatched_paragraph_ids":[]', '"unmatched_paragraph_ids":[7]',
+        [("classification_contract.unmatched_paragraph_ids[0]", "wrong text")]),
+    ('"candidate_semantic_keys":["list"]', '"candidate_semantic_keys":["lost"]', [("classification_contract.conflicts[0].candidate_semantic_keys[0]", "undeclared")]), ('"paragraph_id":"p_1",', "",
+        [("classification_contract.conflicts[0].paragraph_id", "missing")]),
+    ('"overall_confidence":1', '"overall_confidence":true', [("classification_contract.overall_confidence", "wrong confidence")]), ('"min_confidence":0.8', '"min_confidence":"0.8"', [("validation_policy.min_confidence",
+        "wrong confidence")]), ('"enforce_validation":true', '"reject_style_violations":0', [("validation_policy.reject_style_violations", "wrong boolean")]),
     ('{"template_meta"', "{template_meta", [("", "broken")]), (',"validation_policy":{"min_confidence":0.8,"enforce_validation":true}', "", [("validation_policy", "missing")]),
 ]
 
@@ -364,15 +466,21 @@ _ROLE_SQL = "[" + ", ".join("NULL" if r is None else f"'{r}'" for r in _MANY_ROL
 MANY = f""", m_rules AS (SELECT k % 97 AS template_id, 'k' || k AS semantic_key, k::INTEGER AS rank, k % 3 = 0 AS required, k % 5 <> 0 AS multiple, (k % 2)::INTEGER AS min_occurs, (k % 7 + 2)::INTEGER AS max_occurs,
  CASE k % 4 WHEN 0 THEN 'the' WHEN 1 THEN 'of' ELSE '' END AS hint, CASE WHEN k % 9 = 0 THEN 'thon' ELSE '' END AS negative, ['none', 'near_top', 'none', 'first_non_blank', 'none', 'first_paragraph', 'none'][k % 7 + 1] AS position_hint,
  CASE WHEN k % 6 = 0 THEN '^[0-9]+' ELSE '' END AS numbering, CASE k % 8 WHEN 0 THEN 'before' WHEN 1 THEN 'after' END AS placement, 'k' || CASE WHEN k > 97 THEN k - 97 ELSE k + 97 END AS other,
- {_ROLE_SQL} AS role, CASE WHEN k % 10 = 0 THEN false END AS in_table, k % 13 = 0 AS require_image, k % 2 = 0 AS allow_empty, CASE WHEN k % 12 = 0 THEN 2 END AS heading_level, CASE WHEN k % 11 = 0 THEN 'body' END AS forbidden
+ {_ROLE_SQL} AS role, CASE WHEN k % 10 = 0 THEN false END AS in_table, k % 13 = 0 AS require_image, k % 2 = 0 AS allow_empty, CASE WHEN k % 12 = 0 THEN 2 END AS heading_level, CASE
+  WHEN k % 11 = 0 THEN 'body' END AS forbidden
  FROM (SELECT p_partkey AS k FROM part WHERE p_partkey <= 97 * 5)),
- facts AS (SELECT *, paragraph_index < greatest(2, floor(n_paragraphs * 0.2)) AS near_top, coalesce(paragraph_index = min(CASE WHEN trim(text) <> '' THEN paragraph_index END) OVER (PARTITION BY doc_id), true) AS is_first_text FROM context),
- fits AS (SELECT f.doc_id, f.paragraph_id, f.text, r.template_id, r.semantic_key, r.required, r.rank, r.hint FROM facts f JOIN m_rules r ON (r.role IS NULL OR r.role = f.role) AND (r.in_table IS NULL OR r.in_table = f.in_table) AND (NOT r.require_image OR f.has_image)
-  AND (r.allow_empty OR trim(f.text) <> '') AND (r.heading_level IS NULL OR coalesce(r.heading_level = f.heading_level, false)) AND CASE position_hint WHEN 'near_top' THEN near_top WHEN 'first_paragraph' THEN f.paragraph_index = 0 WHEN 'first_non_blank' THEN is_first_text ELSE true END),
- scored AS (SELECT doc_id, template_id, count(DISTINCT paragraph_id) AS n_covered, (SELECT count(*) FROM m_rules r WHERE r.template_id = f.template_id AND required) - count(DISTINCT CASE WHEN required THEN semantic_key END) AS n_missing FROM fits f GROUP BY doc_id, template_id),
+ facts AS (SELECT *, paragraph_index < greatest(2, floor(n_paragraphs * 0.2)) AS near_top, coalesce(paragraph_index = min(CASE
+  WHEN trim(text) <> '' THEN paragraph_index END) OVER (PARTITION BY doc_id), true) AS is_first_text FROM context),
+ fits AS (SELECT f.doc_id, f.paragraph_id, f.text, r.template_id, r.semantic_key, r.required, r.rank, r.hint FROM facts f JOIN m_rules r ON (r.role IS NULL OR r.role = f.role) AND (r.in_table IS NULL
+  OR r.in_table = f.in_table) AND (NOT r.require_image OR f.has_image)
+  AND (r.allow_empty OR trim(f.text) <> '') AND (r.heading_level IS NULL OR coalesce(r.heading_level = f.heading_level, false)) AND CASE position_hint WHEN 'near_top' THEN near_top
+  WHEN 'first_paragraph' THEN f.paragraph_index = 0 WHEN 'first_non_blank' THEN is_first_text ELSE true END),
+ scored AS (SELECT doc_id, template_id, count(DISTINCT paragraph_id) AS n_covered, (SELECT count(*) FROM m_rules r WHERE r.template_id = f.template_id AND required) - count(DISTINCT CASE
+  WHEN required THEN semantic_key END) AS n_missing FROM fits f GROUP BY doc_id, template_id),
  chosen AS (SELECT doc_id, template_id, n_covered, n_missing FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_covered DESC, n_missing, template_id) = 1),
  hits AS (SELECT f.*, hint <> '' AND contains(lower(text), hint) AS hit FROM fits f JOIN chosen USING (doc_id, template_id)),
- best AS (SELECT template_id, doc_id, paragraph_id, arg_min(semantic_key, CASE WHEN hit THEN rank ELSE rank + 1000000 END) AS semantic_key, CASE WHEN bool_or(hit) THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM hits GROUP BY ALL)"""
+ best AS (SELECT template_id, doc_id, paragraph_id, arg_min(semantic_key, CASE WHEN hit THEN rank ELSE rank + 1000000 END) AS semantic_key, CASE
+  WHEN bool_or(hit) THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM hits GROUP BY ALL)"""
 reg("c5_best_templates", lambda s, d: tm.best_templates(context(s, d), many_rules(s, d)), MANY + " SELECT * FROM chosen", True)
 
 
@@ -401,17 +509,24 @@ MANY_ISSUES = MANY + f""", m AS (SELECT b.*, x.paragraph_index, x.role, x.text F
   FROM m JOIN m_rules r USING (template_id, semantic_key) JOIN facts f ON f.doc_id = m.doc_id AND f.paragraph_id = m.paragraph_id)
  SELECT template_id, doc_id, error_code, semantic_key, paragraph_ids FROM (
  SELECT template_id, doc_id, 'semantic_confidence_too_low' AS error_code, semantic_key, ids AS paragraph_ids FROM m_per WHERE confidence < 0.8
- UNION ALL SELECT template_id, doc_id, 'overall_confidence_too_low', NULL, '' FROM (SELECT template_id, doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS o FROM m_per GROUP BY ALL) WHERE o < 0.8
+ UNION ALL SELECT template_id, doc_id, 'overall_confidence_too_low', NULL, '' FROM (SELECT template_id, doc_id, {mean('sum(confidence::DECIMAL(18, 6) * n)', 'sum(n)')} AS o FROM m_per GROUP BY ALL)
+  WHERE o < 0.8
  UNION ALL SELECT template_id, doc_id, 'required_semantic_missing', semantic_key, '' FROM asked WHERE required AND n = 0
  UNION ALL SELECT template_id, doc_id, 'single_instance_semantic_has_multiple_matches', semantic_key, ids FROM asked WHERE NOT multiple AND n > 1
- UNION ALL SELECT template_id, doc_id, CASE WHEN n < min_occurs THEN 'occurrence_below_min' ELSE 'occurrence_above_max' END, semantic_key, coalesce(ids, '') FROM asked WHERE n < min_occurs OR n > max_occurs
- UNION ALL SELECT m.template_id, m.doc_id, 'text_hint_missing', m.semantic_key, string_agg(paragraph_id, '|' ORDER BY paragraph_index) FROM m JOIN m_rules r USING (template_id, semantic_key) WHERE r.hint <> '' GROUP BY m.template_id, m.doc_id, m.semantic_key HAVING NOT bool_or(contains(lower(m.text), r.hint))
- UNION ALL SELECT p.template_id, p.doc_id, 'placement_rule_violation', p.semantic_key, p.ids FROM m_per p JOIN m_rules r USING (template_id, semantic_key) JOIN m_per q ON q.doc_id = p.doc_id AND q.semantic_key = r.other WHERE NOT CASE placement WHEN 'before' THEN p.last < q.first WHEN 'after' THEN p.first > q.last END
+ UNION ALL SELECT template_id, doc_id, CASE WHEN n < min_occurs THEN 'occurrence_below_min' ELSE 'occurrence_above_max' END, semantic_key, coalesce(ids, '') FROM asked WHERE n < min_occurs
+  OR n > max_occurs
+ UNION ALL SELECT m.template_id, m.doc_id, 'text_hint_missing', m.semantic_key, string_agg(paragraph_id, '|' ORDER BY paragraph_index) FROM m JOIN m_rules r USING (template_id, semantic_key)
+  WHERE r.hint <> '' GROUP BY m.template_id, m.doc_id, m.semantic_key HAVING NOT bool_or(contains(lower(m.text), r.hint))
+ UNION ALL SELECT p.template_id, p.doc_id, 'placement_rule_violation', p.semantic_key, p.ids FROM m_per p JOIN m_rules r USING (template_id, semantic_key) JOIN m_per q ON q.doc_id = p.doc_id
+  AND q.semantic_key = r.other WHERE NOT CASE placement WHEN 'before' THEN p.last < q.first WHEN 'after' THEN p.first > q.last END
  UNION ALL SELECT template_id, doc_id, 'semantic_order_violation', semantic_key, ids FROM o WHERE first < bef
  UNION ALL SELECT template_id, doc_id, 'negative_example_matched', semantic_key, paragraph_id FROM mr WHERE negative <> '' AND contains(lower(text), negative)
- UNION ALL SELECT template_id, doc_id, 'position_hint_violation', semantic_key, paragraph_id FROM mr WHERE NOT CASE position_hint WHEN 'near_top' THEN near_top WHEN 'first_paragraph' THEN paragraph_index = 0 WHEN 'first_non_blank' THEN is_first_text ELSE true END
- UNION ALL SELECT template_id, doc_id, CASE WHEN role = 'body' THEN 'numbering_pattern_warning' ELSE 'numbering_pattern_not_allowed' END, semantic_key, paragraph_id FROM (SELECT *, {PREFIX_SQL} AS prefix FROM mr) WHERE prefix IS NOT NULL AND numbering <> '' AND NOT regexp_matches(prefix, numbering) AND NOT (role = 'heading' AND want_level IS NOT NULL)
- UNION ALL SELECT template_id, doc_id, CASE WHEN allow_empty AND NOT require_image AND (trim(text) = '' OR bucket = 'unknown') THEN NULL WHEN require_image AND NOT has_image THEN 'style_require_image' WHEN NOT allow_empty AND NOT require_image AND trim(text) = '' THEN 'style_empty' WHEN want_role <> role THEN 'style_role'
+ UNION ALL SELECT template_id, doc_id, 'position_hint_violation', semantic_key, paragraph_id FROM mr WHERE NOT CASE position_hint WHEN 'near_top' THEN near_top
+  WHEN 'first_paragraph' THEN paragraph_index = 0 WHEN 'first_non_blank' THEN is_first_text ELSE true END
+ UNION ALL SELECT template_id, doc_id, CASE WHEN role = 'body' THEN 'numbering_pattern_warning' ELSE 'numbering_pattern_not_allowed' END, semantic_key, paragraph_id
+  FROM (SELECT *, {PREFIX_SQL} AS prefix FROM mr) WHERE prefix IS NOT NULL AND numbering <> '' AND NOT regexp_matches(prefix, numbering) AND NOT (role = 'heading' AND want_level IS NOT NULL)
+ UNION ALL SELECT template_id, doc_id, CASE WHEN allow_empty AND NOT require_image AND (trim(text) = '' OR bucket = 'unknown') THEN NULL WHEN require_image
+  AND NOT has_image THEN 'style_require_image' WHEN NOT allow_empty AND NOT require_image AND trim(text) = '' THEN 'style_empty' WHEN want_role <> role THEN 'style_role'
   WHEN want_table <> in_table THEN 'style_in_table' WHEN want_level IS NOT NULL AND want_level IS DISTINCT FROM heading_level THEN 'style_heading_level' END, semantic_key, paragraph_id FROM mr
  UNION ALL SELECT template_id, doc_id, 'forbidden_semantic_matched', semantic_key, paragraph_id FROM mr WHERE forbidden IN (role, bucket)) WHERE error_code IS NOT NULL"""
 reg("v0_issues_by_template", many_issues, MANY_ISSUES, True)
@@ -492,7 +607,8 @@ def items(s, d):
     return pl.write_plan(p1(s, d), pl.block_operations(style_blocks(s)))
 
 
-reg("p2_block_operations", lambda s, d: matched(s, d).groupBy(c("semantic_key").alias("block")).agg(F.count("*").alias("n")).join(pl.block_operations(style_blocks(s)), "block"), PLAN + BLOCK_OPS + " SELECT b.*, m.n FROM block_ops b JOIN (SELECT semantic_key AS block, count(*) AS n FROM matched GROUP BY ALL) m ON m.block = b.block")
+reg("p2_block_operations", lambda s, d: matched(s, d).groupBy(c("semantic_key").alias("block")).agg(F.count("*").alias("n")).join(pl.block_operations(style_blocks(s)), "block"), PLAN + BLOCK_OPS + " SELECT b.*, m.n FROM block_ops b "
+    "JOIN (SELECT semantic_key AS block, count(*) AS n FROM matched GROUP BY ALL) m ON m.block = b.block")
 
 
 def p3(s, d):
@@ -506,7 +622,8 @@ reg("p4_write_plan", items, PLAN + BLOCK_OPS + " SELECT * FROM items")
 
 
 def p4_indents(s, d):
-    blocks = cl.rules_table(s, [("body", "Arial", 10.5, None, None, 2.0), ("heading", None, None, None, None, 1.5)], "block STRING, font_name STRING, font_size_pt DOUBLE, space_before_pt DOUBLE, space_after_pt DOUBLE, first_line_indent_chars DOUBLE")
+    blocks = cl.rules_table(s, [("body", "Arial", 10.5, None, None, 2.0), ("heading", None, None, None, None, 1.5)],
+        "block STRING, font_name STRING, font_size_pt DOUBLE, space_before_pt DOUBLE, space_after_pt DOUBLE, first_line_indent_chars DOUBLE")
     return pl.write_plan(p1(s, d), pl.block_operations(blocks))
 
 
@@ -530,9 +647,11 @@ def faulty(s, d):
     return i.unionByName(i.filter("paragraph_id = 'p_1' AND doc_id % 5 = 3")).filter("doc_id % 5 <> 4 OR op <> 'set_space_before'")
 
 
-FAULTY = PLAN + BLOCK_OPS + """, once AS (SELECT doc_id, block, paragraph_id, op, CASE WHEN doc_id % 5 = 1 AND op = 'set_font' THEN 'style_name' ELSE attribute END AS attribute, CASE WHEN doc_id % 5 = 2 AND op = 'set_size' THEN ' ' ELSE value END AS value, item_id FROM items),
+FAULTY = PLAN + BLOCK_OPS + """, once AS (SELECT doc_id, block, paragraph_id, op, CASE WHEN doc_id % 5 = 1 AND op = 'set_font' THEN 'style_name' ELSE attribute END AS attribute, CASE
+  WHEN doc_id % 5 = 2 AND op = 'set_size' THEN ' ' ELSE value END AS value, item_id FROM items),
  faulty AS (SELECT * FROM (SELECT * FROM once UNION ALL SELECT * FROM once WHERE paragraph_id = 'p_1' AND doc_id % 5 = 3) WHERE doc_id % 5 <> 4 OR op <> 'set_space_before'),
- problems AS (SELECT doc_id, 'duplicate_operation_id' AS error_code, item_id FROM faulty GROUP BY doc_id, item_id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'unsupported_legacy_field', item_id FROM faulty WHERE attribute = 'style_name'
+ problems AS (SELECT doc_id, 'duplicate_operation_id' AS error_code, item_id FROM faulty GROUP BY doc_id, item_id HAVING count(*) > 1 UNION ALL SELECT doc_id, 'unsupported_legacy_field', item_id
+  FROM faulty WHERE attribute = 'style_name'
  UNION ALL SELECT doc_id, 'intent_missing', item_id FROM faulty WHERE trim(value) = '' UNION ALL SELECT doc_id, 'uncompilable_item', item_id FROM faulty WHERE op = 'set_space_before')"""
 _WRITES = ("set_font", "set_size", "set_space_after")
 reg("p6_plan_issues", lambda s, d: pl.plan_issues(faulty(s, d), _WRITES), FAULTY + " SELECT * FROM problems")
@@ -542,15 +661,19 @@ reg("p6_executable_plan", lambda s, d: pl.executable_plan(faulty(s, d), pl.plan_
 def p7(s, d):
     k = c("doc_id") + c("paragraph_index") * 3 + c("run_index")
     r = corpus.runs(s, d)
-    steps = r.select("doc_id", c("run_id").alias("step_id"), F.when(k % 7 == 0, " ").otherwise("set_font").alias("op_type"), F.when(k % 5 == 0, "").when(k % 5 == 1, "TBD").otherwise(c("run_id")).alias("target_id"), F.when(k % 11 != 0, "x").alias("payload"))
+    steps = r.select("doc_id", c("run_id").alias("step_id"), F.when(k % 7 == 0, " ").otherwise("set_font").alias("op_type"), F.when(k % 5 == 0, "").when(k % 5 == 1, "TBD").otherwise(c("run_id")).alias("target_id"), F.when(k % 11 != 0,
+        "x").alias("payload"))
     return pl.plan_validation(steps, nodes(s, d)).select("doc_id", "step_id", "error")
 
 
 reg("p7_plan_validation", p7, NODES + """, k AS (SELECT *, doc_id + paragraph_index * 3 + run_index AS k FROM runs)
- SELECT k.doc_id, k.run_id AS step_id, CASE WHEN k % 7 = 0 THEN 'E_OPERATION_MISSING' WHEN k % 5 = 0 THEN 'E_TARGET_MISSING' WHEN k % 5 = 1 THEN 'E_TARGET_PLACEHOLDER' WHEN k % 11 = 0 THEN 'E_PAYLOAD_EMPTY' WHEN n.doc_id IS NULL THEN 'E_TARGET_UNKNOWN' END AS error FROM k LEFT JOIN (SELECT DISTINCT doc_id, run_id FROM nodes) n ON n.doc_id = k.doc_id AND n.run_id = k.run_id""")
+ SELECT k.doc_id, k.run_id AS step_id, CASE WHEN k % 7 = 0 THEN 'E_OPERATION_MISSING' WHEN k % 5 = 0 THEN 'E_TARGET_MISSING' WHEN k % 5 = 1 THEN 'E_TARGET_PLACEHOLDER'
+  WHEN k % 11 = 0 THEN 'E_PAYLOAD_EMPTY' WHEN n.doc_id IS NULL THEN 'E_TARGET_UNKNOWN' END AS error FROM k LEFT JOIN (SELECT DISTINCT doc_id, run_id FROM nodes) n ON n.doc_id = k.doc_id
+  AND n.run_id = k.run_id""")
 
 
-reg("p7_plan_level_issues", lambda s, d: pl.plan_level_issues(corpus.table(s, d, "documents"), p1(s, d), nodes(s, d).filter("doc_id % 9 <> 0")), NODES + PLAN + " SELECT doc_id, 'E_PLAN_EMPTY' AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM plan) UNION ALL SELECT doc_id, 'E_DOCUMENT_EMPTY' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM nodes WHERE doc_id % 9 <> 0)")
+reg("p7_plan_level_issues", lambda s, d: pl.plan_level_issues(corpus.table(s, d, "documents"), p1(s, d), nodes(s, d).filter("doc_id % 9 <> 0")), NODES + PLAN + " SELECT doc_id, 'E_PLAN_EMPTY' AS error FROM documents "
+    "WHERE doc_id NOT IN (SELECT doc_id FROM plan) UNION ALL SELECT doc_id, 'E_DOCUMENT_EMPTY' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM nodes WHERE doc_id % 9 <> 0)")
 
 
 def patched(s, d):
@@ -561,8 +684,10 @@ def patched(s, d):
 
 MODIFIED = ", modified AS (SELECT DISTINCT doc_id, paragraph_id FROM runs WHERE paragraph_index % 4 = 0 OR run_index = 2)"
 reg("p8_modified_paragraphs", lambda s, d: pl.modified_paragraphs(patched(s, d), corpus.runs(s, d)), MODIFIED + " SELECT * FROM modified")
-reg("p9_numbering_warnings", lambda s, d: pl.numbering_warnings(pl.modified_paragraphs(patched(s, d), corpus.runs(s, d)), corpus.paragraphs(s, d)), MODIFIED + f" SELECT doc_id, 'body_numbering_prefix' AS code, paragraph_id, prefix FROM (SELECT p.doc_id, p.paragraph_id, {PREFIX_SQL} AS prefix FROM paragraphs p JOIN modified m ON m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id WHERE role = 'body') WHERE prefix IS NOT NULL")
-reg("p10_execution_artifacts", lambda s, d: pl.execution_artifacts(stated(s, d).join(corpus.paragraphs(s, d).select("doc_id", "paragraph_id", c("part_kind").alias("part_path")), ["doc_id", "paragraph_id"])), ITEM_STATUS + " SELECT doc_id, count(DISTINCT block) AS n_blocks, count(DISTINCT (block, op)) AS n_patch_sets, count(DISTINCT part_kind) AS n_parts, count(DISTINCT paragraph_id) AS n_targets, count(*) AS n_items, count(*) FILTER (status = 'ok') AS n_executed, count(DISTINCT CASE WHEN status = 'unwritable' THEN paragraph_id END) AS n_skipped FROM stated JOIN (SELECT doc_id, paragraph_id, part_kind FROM paragraphs) USING (doc_id, paragraph_id) GROUP BY ALL")
+reg("p9_numbering_warnings", lambda s, d: pl.numbering_warnings(pl.modified_paragraphs(patched(s, d), corpus.runs(s, d)), corpus.paragraphs(s, d)), MODIFIED + f" SELECT doc_id, 'body_numbering_prefix' AS code, paragraph_id, prefix "
+    f"FROM (SELECT p.doc_id, p.paragraph_id, {PREFIX_SQL} AS prefix FROM paragraphs p JOIN modified m ON m.doc_id = p.doc_id AND m.paragraph_id = p.paragraph_id WHERE role = 'body') WHERE prefix IS NOT NULL")
+reg("p10_execution_artifacts", lambda s, d: pl.execution_artifacts(stated(s, d).join(corpus.paragraphs(s, d).select("doc_id", "paragraph_id", c("part_kind").alias("part_path")), ["doc_id", "paragraph_id"])), ITEM_STATUS + " "
+    "SELECT doc_id, count(DISTINCT block) AS n_blocks, count(DISTINCT (block, op)) AS n_patch_sets, count(DISTINCT part_kind) AS n_parts, count(DISTINCT paragraph_id) AS n_targets, count(*) AS n_items, count(*) FILTER (status = 'ok') AS n_executed, count(DISTINCT CASE WHEN status = 'unwritable' THEN paragraph_id END) AS n_skipped FROM stated JOIN (SELECT doc_id, paragraph_id, part_kind FROM paragraphs) USING (doc_id, paragraph_id) GROUP BY ALL")
 
 
 def p11(s, d):
@@ -571,7 +696,8 @@ def p11(s, d):
     return pl.run_report(docs, gate, docs.filter("doc_id % 6 = 1"), stated(s, d).filter("status = 'unwritable'"))
 
 
-reg("p11_run_report", p11, ITEM_STATUS + ", bad AS (SELECT DISTINCT doc_id FROM stated WHERE status = 'unwritable') SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'failed_validation' WHEN d.doc_id % 6 = 1 THEN 'failed_planning' WHEN b.doc_id IS NOT NULL THEN 'failed_execution' ELSE 'executed' END AS status FROM documents d LEFT JOIN bad b ON b.doc_id = d.doc_id")
+reg("p11_run_report", p11, ITEM_STATUS + ", bad AS (SELECT DISTINCT doc_id FROM stated WHERE status = 'unwritable') SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'failed_validation' WHEN d.doc_id % 6 = 1 THEN 'failed_planning' "
+    "WHEN b.doc_id IS NOT NULL THEN 'failed_execution' ELSE 'executed' END AS status FROM documents d LEFT JOIN bad b ON b.doc_id = d.doc_id")
 
 
 def p12(s, d):
@@ -581,7 +707,8 @@ def p12(s, d):
 
 
 QUERIES["p12_stage_timings"] = p12
-SQL["p12_stage_timings"] = "WITH w AS (SELECT user_id AS run_id, " + ", ".join(f"coalesce(sum(value) FILTER (event_id % 5 = {i}), 0) AS {x}" for i, x in enumerate(pl.STAGES)) + " FROM events GROUP BY ALL) SELECT run_id, " + ", ".join(f"round({'greatest(0, classification - refinement)' if x == 'classification' else x}, 4) AS {x}" for x in pl.STAGES) + " FROM w"
+SQL["p12_stage_timings"] = "WITH w AS (SELECT user_id AS run_id, " + ", ".join(f"coalesce(sum(value) FILTER (event_id % 5 = {i}), 0) AS {x}" for i,
+    x in enumerate(pl.STAGES)) + " FROM events GROUP BY ALL) SELECT run_id, " + ", ".join(f"round({'greatest(0, classification - refinement)' if x == 'classification' else x}, 4) AS {x}" for x in pl.STAGES) + " FROM w"
 
 
 def p13(s, d):
@@ -589,7 +716,8 @@ def p13(s, d):
 
 
 reg("p13_refinement_summary", p13, DECIDED + """, own AS (SELECT doc_id, paragraph_id, outcome FROM outcomes WHERE outcome <> 'rejected_invalid' AND doc_id % 2 = 0),
- lines AS (SELECT * FROM own UNION ALL SELECT DISTINCT doc_id, paragraph_id, 'rejected_conflict' FROM conflicts x WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = x.doc_id)) SELECT *, paragraph_id || ': ' || outcome AS line FROM lines""", True)
+ lines AS (SELECT * FROM own UNION ALL SELECT DISTINCT doc_id, paragraph_id, 'rejected_conflict' FROM conflicts x WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = x.doc_id))
+  SELECT *, paragraph_id || ': ' || outcome AS line FROM lines""", True)
 
 
 def p14(s, d):
@@ -597,7 +725,8 @@ def p14(s, d):
     return pl.first_issue(v, corpus.paragraphs(s, d).filter("in_table").select("doc_id", c("paragraph_index").alias("seq"), F.lit("E_TABLE").alias("error_code")))
 
 
-reg("p14_first_issue", p14, """, v AS (SELECT doc_id, 0 AS source, paragraph_index AS seq, 'low_' || semantic_key AS error_code FROM matched WHERE confidence < 0.55 UNION ALL SELECT doc_id, 1, paragraph_index, 'E_TABLE' FROM paragraphs WHERE in_table)
+reg("p14_first_issue", p14, """, v AS (SELECT doc_id, 0 AS source, paragraph_index AS seq, 'low_' || semantic_key AS error_code FROM matched WHERE confidence < 0.55 UNION ALL
+  SELECT doc_id, 1, paragraph_index, 'E_TABLE' FROM paragraphs WHERE in_table)
  SELECT doc_id, source, error_code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source, seq, error_code) AS n FROM v) WHERE n = 1""")
 
 _TARGET_BLOCKS = [("title", "paragraph", ""), ("body", "run", ""), ("heading", "style", "Heading2"), ("list", "numbering_level", "3"), ("body", "settings", "updateFields"), ("title", "section", ""), ("list", "path", "/w:body")]
@@ -613,6 +742,8 @@ def j15(s, d):
 reg("j15_template_selector_targets", j15, NODES + f""", b(semantic_key, scope, key) AS (VALUES {', '.join(map(str, _TARGET_BLOCKS))}), e AS (SELECT DISTINCT doc_id, semantic_key FROM matched),
  sec AS (SELECT doc_id, unnest(range(0, doc_id % 2 + 1)) AS section FROM documents)
  SELECT DISTINCT doc_id, semantic_key, scope, 'target:block:' || paragraph_id AS target_id FROM matched JOIN b USING (semantic_key) WHERE scope = 'paragraph'
- UNION ALL SELECT DISTINCT n.doc_id, semantic_key, scope, 'target:inline:' || run_id FROM nodes n JOIN matched m ON m.doc_id = n.doc_id AND m.paragraph_id = n.paragraph_id JOIN b USING (semantic_key) WHERE scope = 'run'
+ UNION ALL SELECT DISTINCT n.doc_id, semantic_key, scope, 'target:inline:' || run_id FROM nodes n JOIN matched m ON m.doc_id = n.doc_id AND m.paragraph_id = n.paragraph_id JOIN b USING (semantic_key)
+  WHERE scope = 'run'
  UNION ALL SELECT e.doc_id, semantic_key, scope, 'target:section:' || section FROM e JOIN sec ON sec.doc_id = e.doc_id JOIN b USING (semantic_key) WHERE scope = 'section'
- UNION ALL SELECT doc_id, semantic_key, scope, CASE scope WHEN 'style' THEN 'target:style:' WHEN 'settings' THEN 'target:settings:' WHEN 'numbering_level' THEN 'target:numbering:' ELSE '' END || key FROM e JOIN b USING (semantic_key) WHERE scope IN ('style', 'settings', 'numbering_level', 'path')""")
+ UNION ALL SELECT doc_id, semantic_key, scope, CASE scope WHEN 'style' THEN 'target:style:' WHEN 'settings' THEN 'target:settings:' WHEN 'numbering_level' THEN 'target:numbering:' ELSE '' END || key
+  FROM e JOIN b USING (semantic_key) WHERE scope IN ('style', 'settings', 'numbering_level', 'path')""")

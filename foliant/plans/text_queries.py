@@ -163,7 +163,8 @@ order_line(
 )
 order_line(
     "f18_unit_conversions",
-    lambda: {"half_points": tx.to_half_points("l_quantity"), "twips": tx.to_twips("l_quantity"), "line": tx.to_line("l_quantity"), "cm": tx.cm_to_twips("l_quantity"), "px": tx.emu_to_px(c("l_partkey") * 9525), "pt": tx.pt_to_px("l_quantity")},
+    lambda: {"half_points": tx.to_half_points("l_quantity"), "twips": tx.to_twips("l_quantity"), "line": tx.to_line("l_quantity"), "cm": tx.cm_to_twips("l_quantity"), "px": tx.emu_to_px(c("l_partkey") * 9525),
+        "pt": tx.pt_to_px("l_quantity")},
     """round(l_quantity * 2)::BIGINT AS half_points, round(l_quantity * 20)::BIGINT AS twips, round(l_quantity * 240)::BIGINT AS line, round(l_quantity * 567)::BIGINT AS cm,
  round(l_partkey * 9525 / 9525::DOUBLE, 2) AS px, round(l_quantity * 96 / 72, 2) AS pt""",
 )
@@ -176,7 +177,8 @@ NUMBERS = ["12", "-3", "abc", " 7.5 ", "0"]
 _n = f"try_cast(trim({NUMBERS}[l_partkey % 5 + 1]) AS DOUBLE)"
 _first = lambda: F.element_at(F.array(*map(F.lit, NUMBERS)), (c("l_partkey") % 5 + 1).cast("int"))
 order_line(
-    "f20_first_number", lambda: {"positive": tx.first_number("positive", _first(), c("l_suppkey") + 1), "non_negative": tx.first_number("non_negative", _first(), c("l_suppkey") + 1), "whole": tx.first_number("integer", _first(), c("l_suppkey") + 1)},
+    "f20_first_number", lambda: {"positive": tx.first_number("positive", _first(), c("l_suppkey") + 1), "non_negative": tx.first_number("non_negative", _first(), c("l_suppkey") + 1), "whole": tx.first_number("integer", _first(),
+        c("l_suppkey") + 1)},
     f"""coalesce(CASE WHEN {_n} > 0 THEN {_n} END, (l_suppkey + 1)::DOUBLE) AS positive, coalesce(CASE WHEN {_n} >= 0 THEN {_n} END, (l_suppkey + 1)::DOUBLE) AS non_negative,
  coalesce(CASE WHEN {_n} > 0 AND {_n} = floor({_n}) THEN {_n} END, (l_suppkey + 1)::DOUBLE) AS whole""",
 )
@@ -186,23 +188,27 @@ MARKS = ["Todo", " tbd ", "Target", "real"]
 paragraph("f22_is_placeholder", lambda: tx.is_placeholder(F.element_at(F.array(*map(F.lit, MARKS)), (c("doc_id") % 4 + 1).cast("int"))), f"lower(trim({MARKS}[doc_id % 4 + 1])) IN ('placeholder', 'unused', 'target', 'todo', 'tbd')")
 ASKED = ["Body", "list item", "List-Item", "all  text", "headings", "paragraph-ids"]
 _asked = f"regexp_replace(lower(trim({ASKED}[doc_id % 6 + 1])), '[\\s-]+', '_', 'g')"
-paragraph("f23_selector_scope", lambda: tx.selector_scope(F.element_at(F.array(*map(F.lit, ASKED)), (c("doc_id") % 6 + 1).cast("int"))), f"CASE WHEN {_asked} IN ('body', 'heading', 'list_item', 'paragraph_ids', 'all_text') THEN {_asked} END")
+paragraph("f23_selector_scope", lambda: tx.selector_scope(F.element_at(F.array(*map(F.lit, ASKED)), (c("doc_id") % 6 + 1).cast("int"))), f"CASE WHEN {_asked} IN ('body', 'heading', 'list_item', 'paragraph_ids', 'all_text') "
+    f"THEN {_asked} END")
 paragraph("f24_id_list", lambda: F.array_join(F.array_sort(tx.id_list("text")), "|"), f"array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ','), lambda x: {strip('x')}), lambda x: x <> ''))), '|')")
 GOALS = ["把正文设为宋体", "正文和列表项", "普通正文加粗", "标题加粗", "正文 bullet"]
 _goal = lambda: F.element_at(F.array(*map(F.lit, GOALS)), (c("doc_id") % 5 + 1).cast("int"))
 _g = f"{GOALS}[doc_id % 5 + 1]"
 paragraph(
     "f25_expand_body_scope", lambda: tx.expand_body_scope(_goal(), "text"),
-    f"contains(text || chr(10) || {_g}, '正文') AND NOT contains({_g}, '普通正文和项目符号/编号段落') AND NOT regexp_matches(text || chr(10) || {_g}, '(?i)(list_item|列表项|列表段落|项目符号|编号段落|编号列表|有序列表|无序列表|bullet|numbered)') AND NOT regexp_matches(text || chr(10) || {_g}, '(普通正文|纯正文|正文（不含列表）|正文\\(不含列表\\)|不含列表|不包括列表|排除列表)')",
+    f"contains(text || chr(10) || {_g}, '正文') AND NOT contains({_g}, '普通正文和项目符号/编号段落') AND NOT regexp_matches(text || chr(10) || {_g}, '(?i)(list_item|列表项|列表段落|项目符号|编号段落|编号列表|有序列表|无序列表|bullet|numbered)') "
+        f"AND NOT regexp_matches(text || chr(10) || {_g}, '(普通正文|纯正文|正文（不含列表）|正文\\(不含列表\\)|不含列表|不包括列表|排除列表)')",
 )
 STEP_IDS = ["set_heading_1", "BODY-font", "list_all_text", "all_text_x", "paragraph_7", "misc"]
 _id = f"lower({STEP_IDS}[doc_id % 6 + 1])"
 paragraph(
     "f26_scope_from_step", lambda: tx.scope_from_step(F.element_at(F.array(*map(F.lit, STEP_IDS)), (c("doc_id") % 6 + 1).cast("int"))),
-    f"CASE WHEN contains({_id}, 'heading') THEN 'heading' WHEN contains({_id}, 'body') THEN 'body' WHEN contains({_id}, 'list') THEN 'list_item' WHEN contains({_id}, 'all_text') THEN 'all_text' WHEN contains({_id}, 'paragraph') THEN 'paragraph_ids' END",
+    f"CASE WHEN contains({_id}, 'heading') THEN 'heading' WHEN contains({_id}, 'body') THEN 'body' WHEN contains({_id}, 'list') THEN 'list_item' WHEN contains({_id}, 'all_text') THEN 'all_text' WHEN contains({_id}, 'paragraph') "
+        f"THEN 'paragraph_ids' END",
 )
 _case = lambda x, pairs: f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + " END"
-over(corpus.steps, "f27_labels", lambda: {"scope_label": tx.scope_label("scope"), "operation_label": tx.operation_label("op_type")}, f"{_case('scope', tx.SCOPE_LABELS)} AS scope_label, {_case('op_type', tx.OPERATION_LABELS)} AS operation_label", ("step_id",), views.STEPS, source="steps")
+over(corpus.steps, "f27_labels", lambda: {"scope_label": tx.scope_label("scope"), "operation_label": tx.operation_label("op_type")},
+    f"{_case('scope', tx.SCOPE_LABELS)} AS scope_label, {_case('op_type', tx.OPERATION_LABELS)} AS operation_label", ("step_id",), views.STEPS, source="steps")
 _clean = strip("regexp_replace(text, '\\s+', ' ', 'g')")
 paragraph("f28_clean_sentence", lambda: tx.clean_sentence("text"), f"CASE WHEN {_clean} = '' OR regexp_matches({_clean}, '[。！？.!?]$') THEN {_clean} ELSE {_clean} || '。' END")
 paragraph("f29_pattern_match", lambda: tx.pattern_match("text", ["^[0-9]+\\. ", "(unclosed", "^\\(3\\)"]), "regexp_matches(text, '^[0-9]+\\. ') OR text = '(unclosed' OR regexp_matches(text, '^\\(3\\)')")
@@ -215,4 +221,5 @@ def u1_register_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["u1_register_functions"] = u1_register_functions
-SQL["u1_register_functions"] = views.query(f"SELECT doc_id, paragraph_index, {COMPARABLE} AS comparable, CASE WHEN length(trim(text)) > 20 THEN substr(trim(text), 1, 17) || '...' ELSE trim(text) END AS short, contains(lower(text), 'the') AS has_the, round(doc_id / 2.0 * 2)::BIGINT AS half_points FROM paragraphs", views.PARAGRAPHS)
+SQL["u1_register_functions"] = views.query(f"SELECT doc_id, paragraph_index, {COMPARABLE} AS comparable, CASE WHEN length(trim(text)) > 20 "
+    f"THEN substr(trim(text), 1, 17) || '...' ELSE trim(text) END AS short, contains(lower(text), 'the') AS has_the, round(doc_id / 2.0 * 2)::BIGINT AS half_points FROM paragraphs", views.PARAGRAPHS)

@@ -10,11 +10,13 @@ ROLE_BY_NAME = f"""CASE WHEN {LEVEL} IS NOT NULL THEN 'heading' WHEN {BODY_STYLE
 RAW = """raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS pos FROM documents),
 raw_paragraphs AS (SELECT doc_id, 'p_' || pos AS paragraph_id, pos AS paragraph_index,
  CASE WHEN (doc_id + pos) % 11 = 5 THEN '' ELSE ['1. ', '2.1 ', '(3) ', 'A. ', '一、', '0.7003', '', '', ''][(doc_id + pos) % 9 + 1] || line END AS text,
- CASE WHEN (doc_id + pos) % 13 = 0 THEN 'heading 2' WHEN (doc_id + pos) % 17 = 1 THEN '标题3' WHEN (doc_id + pos) % 19 = 2 THEN 'Title' WHEN (doc_id + pos) % 23 = 3 THEN 'Subtitle' ELSE 'Normal' END AS style_name,
+ CASE WHEN (doc_id + pos) % 13 = 0 THEN 'heading 2' WHEN (doc_id + pos) % 17 = 1 THEN '标题3' WHEN (doc_id + pos) % 19 = 2 THEN 'Title'
+  WHEN (doc_id + pos) % 23 = 3 THEN 'Subtitle' ELSE 'Normal' END AS style_name,
  CASE WHEN (doc_id + pos) % 7 = 0 THEN ((doc_id + pos) % 3)::VARCHAR WHEN (doc_id + pos) % 7 = 1 THEN 'x' END AS num_ilvl,
  (doc_id + pos) % 7 <= 1 AS is_numbered, (doc_id + pos) % 10 = 7 AS in_table,
  (CASE WHEN (doc_id + pos) % 8 = 3 THEN (doc_id + pos) % 2 + 1 ELSE 0 END)::INTEGER AS n_images,
- CASE WHEN (doc_id + pos) % 29 = 0 THEN 'header' WHEN (doc_id + pos) % 29 = 1 THEN 'footer' WHEN (doc_id + pos) % 31 = 0 THEN 'footnotes' WHEN (doc_id + pos) % 37 = 0 THEN 'endnotes' ELSE 'main_document' END AS part_kind
+ CASE WHEN (doc_id + pos) % 29 = 0 THEN 'header' WHEN (doc_id + pos) % 29 = 1 THEN 'footer' WHEN (doc_id + pos) % 31 = 0 THEN 'footnotes'
+  WHEN (doc_id + pos) % 37 = 0 THEN 'endnotes' ELSE 'main_document' END AS part_kind
  FROM raw_lines)"""
 
 PARAGRAPHS = RAW + f""",
