@@ -542,19 +542,19 @@ reg("u3_custom_check", u3, PER + " " + CHECK_SQL["v3_single_multiple"][1] + " UN
 # ---------------------------------------------------------------- planning
 
 
-DERIVED = "template_id STRING, seq INT, key STRING, mode STRING, parents ARRAY<STRING>"
-BLOCKS = "template_id STRING, block STRING, scope STRING"
+DERIVED_SCHEMA = "template_id STRING, seq INT, key STRING, mode STRING, parents ARRAY<STRING>"
+BLOCK_SCHEMA = "template_id STRING, block STRING, scope STRING"
 
 
 def blocks_of(s, *keys):
-    return s.createDataFrame([("", k, "paragraph") for k in keys], BLOCKS)
+    return s.createDataFrame([("", k, "paragraph") for k in keys], BLOCK_SCHEMA)
 
 
 def p1(s, d):
     m = matched(s, d)
     refined = F.when(c("semantic_key").isin("body", "list") & F.lower("text").contains("of that"), "of_that")
     held = m.select("doc_id", "paragraph_id", F.explode(F.array_compact(F.array("semantic_key", refined))).alias("semantic_key"))
-    return pl.atomic_plan(held, s.createDataFrame([("", 0, "of_that", "refine", ["body", "list"])], DERIVED), blocks_of(s, *KEYS, "of_that"))
+    return pl.atomic_plan(held, s.createDataFrame([("", 0, "of_that", "refine", ["body", "list"])], DERIVED_SCHEMA), blocks_of(s, *KEYS, "of_that"))
 
 
 PLAN = """, plan AS (SELECT DISTINCT doc_id, CASE WHEN semantic_key IN ('body', 'list') AND lower(text) LIKE '%of that%' THEN 'of_that' ELSE semantic_key END AS block, paragraph_id FROM matched)"""
@@ -572,8 +572,8 @@ def p1_siblings(s, d):
     held = m.select("doc_id", "paragraph_id", "semantic_key")
     for rows in cl.derived_rows(m.drop("text"), context(s, d), _CLAIMS):
         held = held.unionByName(rows.select("doc_id", "paragraph_id", "semantic_key"))
-    derived = s.createDataFrame([("", i, x["key"], x["mode"], x["parents"]) for i, x in enumerate(_CLAIMS)], DERIVED)
-    blocks = s.createDataFrame([("", k, "paragraph") for k in _WITH_BLOCK] + [("", "seal", "section")], BLOCKS)
+    derived = s.createDataFrame([("", i, x["key"], x["mode"], x["parents"]) for i, x in enumerate(_CLAIMS)], DERIVED_SCHEMA)
+    blocks = s.createDataFrame([("", k, "paragraph") for k in _WITH_BLOCK] + [("", "seal", "section")], BLOCK_SCHEMA)
     return pl.atomic_plan(held, derived, blocks, corpus.table(s, d, "documents"))
 
 

@@ -1,4 +1,7 @@
-"""Literal cases: single operators on small inputs."""
+"""Literal cases: single operators on small inputs.
+
+Fixed values: the inputs and expected outputs below state what the formats and labels ask for; the code around them is own.
+"""
 
 from __future__ import annotations
 
