@@ -22,7 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, slices
 
 SPACE, NONE = "▁", -np.inf
-KNOWN_WORDS, KNOWN_IDS, KNOWN_PAIRS = 800_000, 8_000_000, 500_000
+KNOWN_WORDS, KNOWN_IDS, KNOWN_PAIRS, KNOWN_PARTS = 800_000, 8_000_000, 500_000, 400_000
+LETTER = re.compile(r"[^\W\d_]")
+
+
+def part_pattern(pieces: dict[str, int]) -> str:
+    """Parts of a word that no piece reaches beyond: blanks with the letters or with the other signs after them.
+
+    A word may be cut wherever no piece holds the two signs beside the cut. Letters that stand beside other signs in a
+    piece count as such signs; a vocabulary whose pieces hold a blank after another sign leaves words whole.
+    """
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:])}
+    if any(b == SPACE != a for a, b in pairs):
+        return "(?s:.+)"
+    odd: set[str] = set()
+    letter = lambda c: c not in odd and LETTER.match(c) is not None
+    while more := {c for a, b in pairs if a != SPACE and letter(a) != letter(b) for c in (a, b) if letter(c)}:
+        odd |= more
+    own = (f"(?![{re.escape(''.join(sorted(odd)))}])" if odd else "") + LETTER.pattern
+    return f"{SPACE}*(?:{own})+|{SPACE}*(?:(?!{SPACE}|{own})(?s:.))+|{SPACE}+"
 
 
 class Pieces:
@@ -57,6 +75,8 @@ class Pieces:
         # No piece goes on with a blank after another sign, so a text falls apart before such blanks.
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)").findall
+        self.parts = re.compile(part_pattern(self.id)).findall
+        self.known: dict[str, list[int]] = {}  # ids of parts
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def marked(self, text: str) -> str:
@@ -118,10 +138,20 @@ class Pieces:
         return out
 
     def ids(self, word: str) -> list[int]:
-        out = []
-        for piece in self.split(word):
-            found = self.id.get(piece)
-            out += [found] if found is not None else [self.byte[b] for b in piece.encode()]
+        """The ids of a word, part by part; those of short parts are kept."""
+        out: list[int] = []
+        for part in self.parts(word):
+            own = self.known.get(part)
+            if own is None:
+                own = []
+                for piece in self.split(part):
+                    found = self.id.get(piece)
+                    own += [found] if found is not None else [self.byte[b] for b in piece.encode()]
+                if len(part) <= 32:
+                    if len(self.known) >= KNOWN_PARTS:
+                        self.known.clear()
+                    self.known[part] = own
+            out += own
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -223,19 +253,20 @@ def piece_ids(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, offsets, decoded in encoded(batches, model_path):
-            yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        for doc_id, rows, decoded in encoded(batches, model_path):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(rows, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def encoded(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[str]]]:
-    """doc_id, flat ids, row offsets and decoded texts of batches (doc_id, text)."""
+def encoded(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[tuple[pa.Array, list[list[int]], list[str]]]:
+    """doc_id, ids and decoded texts of batches (doc_id, text)."""
     model = Pieces(model_path)
     lexicon = piece_lexicon(model)
     for batch in slices(batches):
         ids, offsets = lexicon.ids([model.words(model.marked(t or "")) for t in batch.column(1).to_pylist()])
-        yield batch.column(0), ids, offsets, [model.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
+        rows = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+        yield batch.column(0), rows, list(map(model.decode, rows))
 
 
 def piece_digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -244,10 +275,10 @@ def piece_digests(docs: DataFrame, model_path: str, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = []
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for doc_id, ids, offsets, decoded in encoded(batches, model_path):
+        for doc_id, rows, decoded in encoded(batches, model_path):
             names = names or [str(i) for i in range(1 << 17)]
-            own = [sha(",".join(map(names.__getitem__, ids[a:b].tolist()))) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(offsets), pa.int64()), pa.array(own, pa.string()), pa.array(map(sha, decoded), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            own = [sha(",".join(map(names.__getitem__, row))) for row in rows]
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(map(len, rows), pa.int64()), pa.array(own, pa.string()), pa.array(map(sha, decoded), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
