@@ -144,16 +144,17 @@ def materialize(final: DataFrame, sources: DataFrame, path: str, bucket_rows: in
 
 
 def materialized(spark: SparkSession, name: str, path: str | None = None, schema: str | None = None, buckets: int | None = None) -> DataFrame:
-    """A bucketed table by its name; with path, schema and buckets it is declared first, for a session that has not written it.
-
-    A join on doc_id and more may use the buckets of doc_id alone once Spark needn't see all keys in them.
-    """
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    """A bucketed table by its name; with path, schema and buckets it is declared first, for a session that has not written it."""
     if path is not None:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
 
 
+def join_by_buckets(spark: SparkSession) -> None:
+    """From now on joins of the session on doc_id and more use buckets of doc_id alone; by default Spark wants all keys in them."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def rebuild_paragraphs(nodes: DataFrame) -> DataFrame:
     """A new paragraph for each node of a document without a package, in node order."""
     from pyspark.sql import Window

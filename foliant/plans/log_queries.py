@@ -167,6 +167,7 @@ def s12_joined(s, d):
 
     from .table_queries import styles
 
+    pk.join_by_buckets(s)
     folder = f"{ev.shared_folder(s)}/corpus-{uuid.uuid4().hex}"
     docs = corpus.table(s, d, "documents")
     runs = corpus.runs(s, d).select("doc_id", "run_id", c("style_name").alias("style_id"))

@@ -88,6 +88,7 @@ def test_materialised_tables_join_without_a_shuffle(spark, tmp_path):
     runs = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("style_id"))
     left, n = pk.materialize(runs, docs.filter("doc_id < 40"), f"{tmp_path}/runs", buckets=4)
     right, _ = pk.materialize(runs.withColumn("font", F.lit("f")), docs, f"{tmp_path}/styles", buckets=4)
+    pk.join_by_buckets(spark)
     joined = left.join(right.hint("merge"), ["doc_id", "style_id"])
     assert n == 160 and joined.count() == 160
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
