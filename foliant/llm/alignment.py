@@ -24,13 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, documents, mix, slices, stage
+from .common import documents, mix, slices, stage
 from .pieces import SPACE, Lexicon, Pieces
 from .token_counts import _UNUSUAL, WHITE, Merger, byte_symbols
 
 BUCKET_PAIRS = 1 << 14
 AT_ONCE = 1 << 21  # pairs of one pass: its hash, pairs and counts take 50 MB of each task
 FAN_IN = 16
+PORTION_BYTES = 1 << 19
 KNOWN_WORDS = 300_000  # of each side: a task holds two lexicons
 # The split of byte-level tokenizers, a fixed value, with white space as the tokenizer's library sees it.
 _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
@@ -82,7 +83,7 @@ class PieceTokens:
 
 
 def encode(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """(doc_id, a, b): ids of blank and text by A and of the text by B, as little-endian unsigned 32-bit values.
+    """(doc_id, a, b): ids of blank and text by A and of the text by B, packed as unit() says.
 
     Null and empty texts, and those whose tokens don't join to blank and text, have none. A gives back every byte, B
     all but U+2581, which it turns into a blank, two bytes less: so the lengths tell.
@@ -98,33 +99,38 @@ def encode(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Dat
             whole = want >= 0
             for size, (ids, at) in zip(sizes, sides):
                 whole &= np.diff(np.append(0, np.cumsum(size[ids]))[at]) == want
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(packed(ids, at, whole) for ids, at in sides)], ["doc_id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(packed(ids, at, whole, unit(len(size))) for size, (ids, at) in zip(sizes, sides))], ["doc_id", "a", "b"])
 
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, "doc_id long, a binary, b binary")
 
 
-def packed(ids: np.ndarray, at: np.ndarray, whole: np.ndarray) -> pa.Array:
-    data = ids.astype("<u4").tobytes()
-    return pa.array([data[4 * s : 4 * e] if w else b"" for w, s, e in zip(whole.tolist(), at[:-1].tolist(), at[1:].tolist())], pa.binary())
+def unit(vocabulary: int) -> np.dtype:
+    """Little-endian unsigned integers of the size that a vocabulary's ids need."""
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
+def packed(ids: np.ndarray, at: np.ndarray, whole: np.ndarray, kind: np.dtype) -> pa.Array:
+    data, n = ids.astype(kind).tobytes(), kind.itemsize
+    return pa.array([data[n * s : n * e] if w else b"" for w, s, e in zip(whole.tolist(), at[:-1].tolist(), at[1:].tolist())], pa.binary())
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the ids of each, in column a, take about SLICE_BYTES."""
+    """Batches cut so that the ids of each, in column a, take about PORTION_BYTES."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index("a"))).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PORTION_BYTES, side="right")))
             yield batch.slice(start, end - start)
             start = end
 
 
-def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def ragged(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and row offsets of a column of packed ids."""
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     body = column.buffers()[2]
-    flat = np.frombuffer(body, np.uint8)[at[0] : at[-1]].view("<u4") if body is not None else np.zeros(0, "<u4")
-    return flat.astype(np.int64), (at.astype(np.int64) - at[0]) // 4
+    flat = np.frombuffer(body, np.uint8)[at[0] : at[-1]].view(kind) if body is not None else np.zeros(0, kind)
+    return flat.astype(np.int64), (at.astype(np.int64) - at[0]) // kind.itemsize
 
 
 @dataclass
@@ -147,7 +153,7 @@ def align(batch: pa.RecordBatch, a_size: np.ndarray, b_size: np.ndarray) -> Alig
 
     Ends are marks on a line of bytes, so one sweep over the line finds the stretches and numbers the tokens at each.
     """
-    (a, a_at), (b, b_at) = (ragged(batch.column(batch.schema.get_field_index(c))) for c in "ab")
+    (a, a_at), (b, b_at) = (ragged(batch.column(batch.schema.get_field_index(c)), unit(len(size))) for c, size in (("a", a_size), ("b", b_size)))
     a_ends, b_ends = np.cumsum(a_size[a]), np.cumsum(b_size[b])
     line = np.zeros((2, (int(a_ends[-1]) if len(a_ends) else 0) + 1), bool)
     line[0, a_ends], line[1, b_ends] = True, True
