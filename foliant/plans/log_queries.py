@@ -293,8 +293,13 @@ reg("e20_stage_errors", lambda s, d: au.stage_errors(corpus.steps(s, d)), "SELEC
 # ---------------------------------------------------------------- streams
 
 
+def table_path(d: str, name: str) -> str:
+    """A table's path as a pattern: a stream takes a plain path for a folder only, and a table may be one file or a folder."""
+    return f"{d}/{name}.parque[t]"
+
+
 def stream(s, d):
-    return ev.stream_events(s, d, "events.parquet")
+    return ev.stream_events(s, table_path(d, "events"))
 
 
 reg("r1_stream_events", lambda s, d: ev.available(stream(s, d)).select("event_id", "user_id", "event_type", "value"), "SELECT event_id, user_id, event_type, value FROM events")
@@ -353,7 +358,7 @@ reg("r6_stream_latest", r6, "SELECT user_id, arg_max(event_id, (ts, event_id)) A
 
 
 def r7(s, d):
-    p = s.readStream.schema(corpus.table(s, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    p = s.readStream.schema(corpus.table(s, d, "documents").schema).parquet(table_path(d, "documents"))
     lines = p.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     prefix = F.element_at(F.array(*map(F.lit, corpus.PREFIXES)), ((c("doc_id") + c("pos")) % 9 + 1).cast("int"))
     ps = lines.select("doc_id", F.concat(F.lit("p_"), c("pos").cast("string")).alias("paragraph_id"), F.concat(prefix, "line").alias("text"), F.when(c("pos") == 0, "heading").otherwise("body").alias("role"))
