@@ -212,9 +212,9 @@ def normalize_predictions(predictions: DataFrame, context: DataFrame, semantics:
     return aggregate_predictions(rows)
 
 
-def derived_rows(predictions: DataFrame, context: DataFrame, derived: list[dict]) -> list[DataFrame]:
-    """The rows of each derived semantic. aggregate: all paragraphs of the parents; refine: those whose text holds (or
-    is part of) an example or hint and holds no negative one. The derived semantics are few: a filter each."""
+def derived_rows(predictions: DataFrame, context: DataFrame, derived: list[dict], parts: bool = True) -> list[DataFrame]:
+    """The rows of each derived semantic. aggregate: all paragraphs of the parents; refine: those whose text holds (or,
+    with parts, is part of) an example or hint and holds no negative one. The derived semantics are few: a filter each."""
     p = predictions.join(context.select("doc_id", "paragraph_id", F.lower("text").alias("low")), ["doc_id", "paragraph_id"])
     out = []
     for d in derived:
@@ -222,7 +222,9 @@ def derived_rows(predictions: DataFrame, context: DataFrame, derived: list[dict]
         if d["mode"] == "refine":
             good, bad = F.lit(False), F.lit(False)
             for hint in d["hints"]:
-                good = good | F.col("low").contains(hint.lower()) | ((F.trim("low") != "") & F.lit(hint.lower()).contains(F.col("low")))
+                good = good | F.col("low").contains(hint.lower())
+                if parts:
+                    good = good | ((F.trim("low") != "") & F.lit(hint.lower()).contains(F.col("low")))
             for hint in d.get("negative", ()):
                 bad = bad | F.col("low").contains(hint.lower())
             rows = rows.filter(good & ~bad)

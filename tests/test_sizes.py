@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from foliant import registry
 from tests.oracle import actual, expected
 
@@ -17,3 +19,12 @@ def test_streams_read_tables_of_several_files(spark, sf, tmp_path):
     folder = put(spark, sf, tmp_path, "documents", "events")
     for name in ("r7_stream_template_warnings", "r1_stream_events"):
         assert actual(registry.QUERIES[name](spark, folder)) == expected(sf, registry.SQL[name])
+
+
+def test_claims_of_a_text_that_is_part_of_a_hint(spark, sf, tmp_path):
+    """The texts "a" and "the" are part of the hints, but do not hold them: the refinements leave them where they are."""
+    kept = spark.read.parquet(f"{sf}/documents.parquet").limit(20).withColumn("text", F.repeat(F.lit("a\nThe\nof that\n"), 40))
+    kept.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    (part,) = (tmp_path / "rows").glob("part-*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    assert actual(registry.QUERIES["p1_sibling_claims"](spark, str(tmp_path))) == expected(str(tmp_path), registry.SQL["p1_sibling_claims"])
