@@ -54,6 +54,7 @@ OPERATION_FIELDS = (
     ("set_numbering_level", "numbering_level", "object"), ("set_settings_flag", "settings", "object"),
 )
 OPEN_OBJECTS = (".language_font_overrides", ("zh", "en")), (".language_font_overrides.zh", ("font_name",)), (".language_font_overrides.en", ("font_name",))
+BATCH_ROWS = 20_000
 ROWS = "template_id string, path string, pattern string, parent string, name string, kind string, value string"
 
 
@@ -65,10 +66,14 @@ def contract_rows(contracts: DataFrame) -> DataFrame:
     """
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in ROWS.split(", ")]
         kinds = {dict: "object", list: "array", str: "text", bool: "boolean", int: "number", float: "number", type(None): "null"}
+        rows: list[tuple] = []
         for pdf in frames:
-            rows = []
             for template, text in zip(pdf["template_id"], pdf["contract"]):
+                if len(rows) >= BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
                 try:
                     stack = [("", "", None, "", json.loads(text or ""))]
                 except ValueError:
@@ -84,7 +89,8 @@ def contract_rows(contracts: DataFrame) -> DataFrame:
                         stack += [(f"{path}{dot}{k}", f"{pattern}{dot}{k}", path, k, x) for k, x in v.items()]
                     elif isinstance(v, list):
                         stack += [(f"{path}[{i}]", f"{pattern}[]", path, f"[{i}]", x) for i, x in enumerate(v)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return contracts.select(F.col("template_id").cast("string").alias("template_id"), "contract").mapInPandas(walk, ROWS)
 
@@ -106,7 +112,7 @@ def contract_problems(rows: DataFrame, catalogue: tuple = CATALOGUE) -> DataFram
     block_count, unsupported, broken. All problems of a contract come out, not the first alone.
 
     The catalogue is a small broadcast table; every check is a join with it or an aggregation per template. Operation
-    blocks count only in contracts without patch blocks.
+    blocks count only in contracts without patch blocks. Each check reads the rows again: give them as a written table.
     """
     spark = rows.sparkSession
     cat = F.broadcast(spark.createDataFrame([(p, r, n, a, p.rpartition(".")[0], p.rpartition(".")[2]) for p, r, n, a in catalogue], "pattern STRING, rule STRING, needed BOOLEAN, allowed STRING, over STRING, field STRING"))

@@ -28,3 +28,9 @@ def test_claims_of_a_text_that_is_part_of_a_hint(spark, sf, tmp_path):
     (part,) = (tmp_path / "rows").glob("part-*.parquet")
     part.rename(tmp_path / "documents.parquet")
     assert actual(registry.QUERIES["p1_sibling_claims"](spark, str(tmp_path))) == expected(str(tmp_path), registry.SQL["p1_sibling_claims"])
+
+
+def test_contracts_are_walked_once(spark, sf):
+    """Every check reads the same written rows: none has the walk over the JSON texts in its plan."""
+    df = registry.QUERIES["v16_contract_problems"](spark, sf)
+    assert "MapInPandas" not in df._jdf.queryExecution().toString()
