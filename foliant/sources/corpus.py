@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.sources import packages as pg
+
 # Line numbers repeat within an order; part, supplier and quantity make the order of operations total.
 SEQ = lambda: F.col("l_linenumber") * F.lit(10**12).cast("long") + F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")
 PREFIXES = ["1. ", "2.1 ", "(3) ", "A. ", "一、", "0.7003", "", "", ""]
@@ -149,40 +151,41 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rels = F.lit(f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rel}</Relationships>')
     parts = {"word/document.xml": document, "word/header1.xml": header, "word/styles.xml": styles, "word/_rels/document.xml.rels": rels}
 
-    def close(frames):
+    def close(batches):
         import io
         import zipfile
 
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in frames:
-            out = []
-            for doc, *xml in pdf.itertuples(index=False):
+        def zipped():
+            for doc, *xml in pg.rows_of(batches):
                 buffer = io.BytesIO()
                 with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
                     for name, x in zip(parts_named, xml):
                         z.writestr(name, x)
-                out.append((doc, b"no package" if doc % 50 == 7 else buffer.getvalue()))
-            yield pd.DataFrame(out, columns=["doc_id", "content"])
+                yield doc, b"no package" if doc % 50 == 7 else buffer.getvalue()
+
+        yield from pg.batches_of(zipped(), pa.schema([("doc_id", pa.int64()), ("content", pa.binary())]))
 
     parts_named = list(parts)
-    return docs.select("doc_id", *[x.alias(f"x{i}") for i, x in enumerate(parts.values())]).mapInPandas(close, "doc_id long, content binary")
+    return docs.select("doc_id", *[x.alias(f"x{i}") for i, x in enumerate(parts.values())]).mapInArrow(close, "doc_id long, content binary")
 
 
 def write_packages(spark: SparkSession, sf_dir: str, folder: str) -> str:
     """packages() as files folder/<doc_id mod 7>/<doc_id div 7>.docx, so that names come again in other folders."""
 
-    def put(frames):
-        import pandas as pd
+    def put(batches):
+        import pyarrow as pa
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
-        for pdf in frames:
-            for doc, content in zip(pdf["doc_id"], pdf["content"]):
-                store.create_dir(f"{root}/{doc % 7}", recursive=True)
-                with store.open_output_stream(f"{root}/{doc % 7}/{doc // 7}.docx") as f:
-                    f.write(content)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    packages(spark, sf_dir).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+        n = 0
+        for doc, content in pg.rows_of(batches):
+            store.create_dir(f"{root}/{doc % 7}", recursive=True)
+            with store.open_output_stream(f"{root}/{doc % 7}/{doc // 7}.docx") as f:
+                f.write(content)
+            n += 1
+        yield pa.record_batch({"n": [n]})
+
+    packages(spark, sf_dir).mapInArrow(put, "n long").agg(F.sum("n")).collect()
     return folder

@@ -87,14 +87,19 @@ class PackageReader(DataSourceReader):
             held += f.size
         return [*out, Files(files)] if files else [Files([])]
 
-    def read(self, partition: Files) -> Iterator:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        """Batches of a bounded size; rows would be gathered by the ten thousand, whatever their length."""
         from foliant.functions.structure import part_kind_of
 
         store, _ = _store(self.root)
-        for path, doc in partition.files:
-            with store.open_input_file(path) as f:
-                for row in packages.part_rows(doc, Seekable(f), self.kinds):
-                    yield (*row, part_kind_of(row[1]) if row[1] else None)
+
+        def rows() -> Iterator[tuple]:
+            for path, doc in partition.files:
+                with store.open_input_file(path) as f:
+                    for row in packages.part_rows(doc, Seekable(f), self.kinds):
+                        yield (*row, part_kind_of(row[1]) if row[1] else None)
+
+        yield from packages.batches_of(rows(), packages.PART_SCHEMA.append(pa.field("kind", pa.string())))
 
 
 def package_files(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:

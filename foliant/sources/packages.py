@@ -24,8 +24,8 @@ from foliant.functions import text as tx
 PART_ORDER = ("main_document", "header", "footer", "footnotes", "endnotes")
 BLOCK_PARENTS = ("body", "hdr", "ftr", "footnote", "endnote", "tc")
 PARTS = "doc_id string, part_path string, xml string, error string"
-PART_NAMES = ["doc_id", "part_path", "xml", "error"]
-BATCH_CHARS, BATCH_NODES = 8 << 20, 20_000
+PART_SCHEMA = pa.schema([(name, pa.string()) for name in ("doc_id", "part_path", "xml", "error")])
+BATCH_CHARS, BATCH_NODES = 4 << 20, 5_000
 NODES = "doc_id string, part_path string, node int, tag string, ord int, attrs map<string,string>, text string, path array<struct<tag:string,node:int,ord:int>>"
 
 
@@ -60,18 +60,25 @@ def part_rows(doc: str | None, package, kinds: frozenset[str] | None) -> Iterato
         yield doc, None, None, f"{type(e).__name__}: {e}"
 
 
-def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of a bounded number of characters."""
-    columns, held = [[], [], [], []], 0
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of record batches one by one: a batch's large values are never all held as Python objects."""
+    for b in batches:
+        for row in zip(*b.columns):
+            yield tuple(v.as_py() for v in row)
+
+
+def batches_of(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of a bounded number of characters or bytes."""
+    columns, held = [[] for _ in schema], 0
     for row in rows:
         for column, v in zip(columns, row):
             column.append(v)
-        held += len(row[2] or "") + 100
+            held += len(v) if isinstance(v, (str, bytes)) else 8
         if held > BATCH_CHARS:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], PART_NAMES)
-            columns, held = [[], [], [], []], 0
+            yield pa.record_batch(columns, schema=schema)
+            columns, held = [[] for _ in schema], 0
     if columns[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], PART_NAMES)
+        yield pa.record_batch(columns, schema=schema)
 
 
 def package_parts(packages: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -82,8 +89,7 @@ def package_parts(packages: DataFrame, kinds: tuple[str, ...] | None = None) ->
     wanted = None if kinds is None else frozenset(kinds)
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = ((doc, content) for b in batches for doc, content in zip(b.column(0).to_pylist(), b.column(1)))
-        yield from _batches(row for doc, content in docs for row in part_rows(doc, io.BytesIO(content.as_py() or b""), wanted))
+        yield from batches_of((row for doc, content in rows_of(batches) for row in part_rows(doc, io.BytesIO(content or b""), wanted)), PART_SCHEMA)
 
     return with_kind(packages.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(unzip, PARTS))
 
@@ -148,31 +154,30 @@ def xml_nodes(parts: DataFrame) -> DataFrame:
             return found
 
         out = _Nodes()
-        for b in batches:
-            for doc, part, xml in zip(*(c.to_pylist() for c in b.columns)):
-                number = 0
-                try:
-                    root = ElementTree.fromstring(xml.encode("utf-8", "replace"))
-                    stack = [(root, (), (), (), 0)]
-                except ElementTree.ParseError as e:
-                    stack = []
-                    out.add(doc, part, 0, "#error", 0, {}, str(e), ("#error",), (0,), (0,))
-                while stack:
-                    element, tags, nodes, ords, place = stack.pop()
-                    tags, nodes, ords = (*tags, local(element.tag)), (*nodes, number), (*ords, place)
-                    out.add(doc, part, number, tags[-1], place, {local(k): v for k, v in element.attrib.items()}, element.text, tags, nodes, ords)
-                    if len(out.node) >= BATCH_NODES:
-                        yield out.batch()
-                        out = _Nodes()
-                    number += 1
-                    seen: dict[str, int] = {}
-                    below = []
-                    for child in element:
-                        n = seen.get(child.tag, 0)
-                        below.append((child, tags, nodes, ords, n))
-                        seen[child.tag] = n + 1
-                    below.reverse()
-                    stack += below
+        for doc, part, xml in rows_of(batches):
+            number = 0
+            try:
+                root = ElementTree.fromstring(xml.encode("utf-8", "replace"))
+                stack = [(root, (), (), (), 0)]
+            except ElementTree.ParseError as e:
+                stack = []
+                out.add(doc, part, 0, "#error", 0, {}, str(e), ("#error",), (0,), (0,))
+            while stack:
+                element, tags, nodes, ords, place = stack.pop()
+                tags, nodes, ords = (*tags, local(element.tag)), (*nodes, number), (*ords, place)
+                out.add(doc, part, number, tags[-1], place, {local(k): v for k, v in element.attrib.items()}, element.text, tags, nodes, ords)
+                if len(out.node) >= BATCH_NODES:
+                    yield out.batch()
+                    out = _Nodes()
+                number += 1
+                seen: dict[str, int] = {}
+                below = []
+                for child in element:
+                    n = seen.get(child.tag, 0)
+                    below.append((child, tags, nodes, ords, n))
+                    seen[child.tag] = n + 1
+                below.reverse()
+                stack += below
         if out.node:
             yield out.batch()
 

@@ -63,3 +63,15 @@ def test_broken_and_empty_packages(spark, tmp_path):
     assert got == {"bad": (None, None), "none": (None, None)}
     (tmp_path / "nothing").mkdir()
     assert package_files(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_batches_of_packages_are_bounded(tmp_path, monkeypatch):
+    """The reader and the unzipping give batches of a bounded size, and rows of a batch become Python objects one by one."""
+    from foliant.sources.package_files import Files, PackageReader
+
+    monkeypatch.setattr(pg, "BATCH_CHARS", 1000)
+    for i in range(10):
+        put(tmp_path, f"{i}.docx", package(document=f"<d>{'x' * 700}</d>"))
+    files = Files([(str(tmp_path / f"{i}.docx"), str(i)) for i in range(10)])
+    got = list(PackageReader({"path": str(tmp_path)}).read(files))
+    assert [b.num_rows for b in got] == [2] * 5 and [r[0] for r in pg.rows_of(got)] == [str(i) for i in range(10)]
