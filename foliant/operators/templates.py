@@ -8,8 +8,13 @@ filter on the joined row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from foliant.functions import text as tx
 from foliant.sources.shared import written
@@ -31,6 +36,7 @@ def expanded(rules: DataFrame) -> DataFrame:
     return rules.withColumn("role_key", F.explode(role)).withColumn("table_key", F.explode(flag)).drop("role", "in_table")
 
 
+BATCH_DOCS = 1024
 FACTS = ("role", "in_table", "has_image", "blank", "heading_level", "near_top", "is_first", "is_first_text")
 
 
@@ -54,18 +60,67 @@ def best_templates(context: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, template_id, n_covered, n_missing): for each document the template that accepts most of its paragraphs,
     then the one that lacks fewest required semantics, then the first by id. A document that none fits has no row.
 
-    Paragraphs of one document that rules can't tell apart are counted together first, so a document meets all templates
-    with its few kinds of paragraphs; the templates' sums combine before they are shuffled.
+    Paragraphs that rules can't tell apart are of one kind; a corpus has few kinds (thousands at most), so which rules
+    accept a kind is found once for all documents. A document is one row of counts by kind, and batches of documents
+    meet all templates in matrix products: no row for a document and template is ever moved.
     """
-    kinds = paragraph_facts(context).groupBy("doc_id", *FACTS).agg(F.count("*").alias("n")).withColumn("kind_id", F.xxhash64(*FACTS))
+    kinds = paragraph_facts(context).groupBy("doc_id", *FACTS).agg(F.count("*").alias("n")).withColumn("kind", F.xxhash64(*FACTS))
+    docs = written(kinds.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "n", *FACTS)).alias("kinds")))
     r = expanded(rules.select("template_id", "semantic_key", "required", "role", "in_table", "require_image", "allow_empty", F.col("heading_level").alias("want_level"), "position_hint"))
-    fit = kinds.join(r, (F.col("role") == F.col("role_key")) & (F.col("in_table") == F.col("table_key"))).filter(accepts())
-    one = fit.groupBy("doc_id", "template_id", "kind_id").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("required"), F.col("semantic_key"))).alias("met"))
-    per = one.groupBy("doc_id", "template_id").agg(F.sum("n").alias("n_covered"), F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("n_met"))
-    needs = rules.groupBy("template_id").agg(F.countDistinct(F.when(F.col("required"), F.col("semantic_key"))).alias("n_required"))
-    per = per.join(F.broadcast(needs), "template_id").withColumn("n_missing", F.col("n_required") - F.col("n_met"))
-    best = per.groupBy("doc_id").agg(F.min(F.struct((-F.col("n_covered")).alias("less"), "n_missing", "template_id")).alias("x"))
-    return best.select("doc_id", "x.template_id", (-F.col("x.less")).alias("n_covered"), "x.n_missing")
+    few = docs.select(F.explode("kinds").alias("x")).select("x.kind", *[f"x.{f}" for f in FACTS]).distinct()
+    fit = few.join(F.broadcast(r), (F.col("role") == F.col("role_key")) & (F.col("in_table") == F.col("table_key"))).filter(accepts())
+    fits = fit.select("kind", "template_id", "semantic_key", F.coalesce("required", F.lit(False))).distinct().collect()  # kinds times rules
+    needs = rules.groupBy("template_id").agg(F.countDistinct(F.when(F.col("required"), F.col("semantic_key"))).alias("n"))
+    need = {x["template_id"]: x["n"] for x in needs.collect() if x["template_id"] is not None}
+    best = _best_by_counts(fits, need, to_arrow_type(rules.schema["template_id"].dataType))
+    types = {f.name: f.dataType.simpleString() for f in rules.schema.fields + docs.schema.fields}
+    flat = docs.select("doc_id", F.transform("kinds", lambda x: F.struct(x["kind"].alias("kind"), x["n"].alias("n"))).alias("kinds"))
+    return flat.mapInArrow(best, f"doc_id {types['doc_id']}, template_id {types['template_id']}, n_covered long, n_missing long")
+
+
+def _best_by_counts(fits: list, need: dict, template_type: pa.DataType):
+    """A worker that gives rows (doc_id, kinds: kind and count) their best template.
+
+    fits: (kind, template, semantic, required), what accepts what; need: how many semantics each template requires.
+    """
+    templates = sorted(need)
+    place = {t: i for i, t in enumerate(templates)}
+    known = np.array(sorted({k for k, *_ in fits}), np.int64)
+    wanted = sorted({(place[t], s) for _, t, s, required in fits if t in place and required})
+    at = {w: i for i, w in enumerate(wanted)}
+    covers, meets = np.zeros((len(known), len(templates))), np.zeros((len(known), len(wanted)))
+    for k, t, s, required in fits:
+        if t in place:
+            row = np.searchsorted(known, k)
+            covers[row, place[t]] = 1
+            if required:
+                meets[row, at[place[t], s]] = 1
+    owner = np.zeros((len(wanted), len(templates)))
+    owner[np.arange(len(wanted)), [t for t, _ in wanted]] = 1
+    asked = np.array([need[t] for t in templates], np.float64)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows if len(known) else 0, BATCH_DOCS):
+                b = whole.slice(start, BATCH_DOCS)
+                flat = b.column(1).flatten()
+                kind, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                doc = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                col = np.minimum(np.searchsorted(known, kind), len(known) - 1)
+                ok = known[col] == kind
+                counts = np.zeros((b.num_rows, len(known)))
+                counts[doc[ok], col[ok]] = n[ok]
+                covered = counts @ covers
+                missing = asked - (((counts > 0) @ meets) > 0) @ owner
+                most = covered.max(axis=1)
+                chosen = np.where(covered == most[:, None], missing, np.inf).argmin(axis=1)  # the first of equals
+                kept = np.flatnonzero(most > 0)
+                ids = pa.array([templates[i] for i in chosen[kept]], template_type)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(kept)), ids, pa.array(most[kept].astype(np.int64)), pa.array(missing[kept, chosen[kept]].astype(np.int64))], ["doc_id", "template_id", "n_covered", "n_missing"]
+                )
+
+    return best
 
 
 def classify_by_templates(context: DataFrame, rules: DataFrame, chosen: DataFrame) -> DataFrame:

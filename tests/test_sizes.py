@@ -34,3 +34,9 @@ def test_contracts_are_walked_once(spark, sf):
     """Every check reads the same written rows: none has the walk over the JSON texts in its plan."""
     df = registry.QUERIES["v16_contract_problems"](spark, sf)
     assert "MapInPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_documents_meet_templates_without_rows_for_both(spark, sf):
+    """The best template of a document comes from its counts by kind: no join or aggregation by document and template."""
+    plan = registry.QUERIES["c5_best_templates"](spark, sf)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
