@@ -40,13 +40,13 @@ BATCH_DOCS = 1024
 FACTS = ("role", "in_table", "has_image", "blank", "heading_level", "near_top", "is_first", "is_first_text")
 
 
-def paragraph_facts(context: DataFrame) -> DataFrame:
-    """What rules ask of a paragraph: (doc_id, paragraph_id, FACTS)."""
+def paragraph_facts(context: DataFrame, *more: str | Column) -> DataFrame:
+    """What rules ask of a paragraph: (doc_id, paragraph_id, FACTS), and more columns made of its own."""
     c = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", "text", "role", "in_table", "has_image", "heading_level"))
     near = F.col("paragraph_index") < F.greatest(F.lit(2), F.floor(F.col("n") * 0.2))
     first_text = F.coalesce(F.col("paragraph_index") == F.col("first_text"), F.lit(True))
     return c.select("doc_id", "paragraph_id", "role", "in_table", "has_image", (F.trim("text") == "").alias("blank"), "heading_level", near.alias("near_top"), (F.col("paragraph_index") == 0).alias("is_first"),
-        first_text.alias("is_first_text"))
+        first_text.alias("is_first_text"), *more)
 
 
 def accepts() -> Column:
@@ -126,11 +126,13 @@ def _best_by_counts(fits: list, need: dict, template_type: pa.DataType):
 def classify_by_templates(context: DataFrame, rules: DataFrame, chosen: DataFrame) -> DataFrame:
     """(template_id, doc_id, paragraph_id, semantic_key, confidence): each paragraph by the rules of its document's template,
     the first semantic by rank that accepts it, one whose hint its text holds first."""
-    mine = paragraph_facts(context).join(chosen.select("doc_id", "template_id"), "doc_id")
+    mine = paragraph_facts(context, F.lower("text").alias("low")).join(chosen.select("doc_id", "template_id"), "doc_id")
     r = expanded(rules.select("template_id", "semantic_key", "rank", "hint", "role", "in_table", "require_image", "allow_empty", F.col("heading_level").alias("want_level"), "position_hint"))
-    fit = mine.join(r.withColumnRenamed("role_key", "role").withColumnRenamed("table_key", "in_table"), ["template_id", "role", "in_table"]).filter(accepts())
-    fit = fit.join(context.select("doc_id", "paragraph_id", "text"), ["doc_id", "paragraph_id"])
-    hit = (F.col("hint") != "") & F.lower("text").contains(F.lower("hint"))
+    fit = mine.join(F.broadcast(r.withColumnRenamed("role_key", "role").withColumnRenamed("table_key", "in_table")), ["template_id", "role", "in_table"]).filter(accepts())
+    hit = (F.col("hint") != "") & F.col("low").contains(F.lower("hint"))
+    # The comparison is done before rows are sorted by paragraph, so none of them carries its text there.
+    fit = fit.select("template_id", "doc_id", "paragraph_id", "semantic_key", "rank", hit.alias("hit"))
+    hit = F.col("hit")
     best = fit.groupBy("template_id", "doc_id", "paragraph_id").agg(F.min_by("semantic_key", F.struct(~hit, "rank")).alias("semantic_key"), F.max(hit).alias("by_hint"))
     return best.select("template_id", "doc_id", "paragraph_id", "semantic_key", F.when(F.col("by_hint"), 0.9).otherwise(0.6).alias("confidence"))
 

@@ -40,3 +40,9 @@ def test_documents_meet_templates_without_rows_for_both(spark, sf):
     """The best template of a document comes from its counts by kind: no join or aggregation by document and template."""
     plan = registry.QUERIES["c5_best_templates"](spark, sf)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_templates_classify_in_one_pass_over_the_paragraphs(spark, sf):
+    """A paragraph's text is compared with hints where its facts are found: the paragraphs are not joined once more."""
+    plan = registry.QUERIES["c17_classify_by_templates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
