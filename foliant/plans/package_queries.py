@@ -36,11 +36,11 @@ def parts(s: SparkSession, d: str, kinds: tuple[str, ...] | None = None) -> Data
     return pg.package_parts(corpus.packages(s, d), kinds)
 
 
-def parsed(s: SparkSession, d: str, kinds: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and parts of all packages, or of some kinds of parts, each written once: zips are opened and XML is walked
-    once for all that read them."""
+def parsed(s: SparkSession, d: str, kinds: tuple[str, ...] | None = None, tags: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and parts of all packages, or of some kinds of parts and some tags, each written once: zips are opened and
+    XML is walked once for all that read them."""
     found = written(parts(s, d, kinds))
-    return written(pg.xml_nodes(found)), found.drop("xml")
+    return written(pg.xml_nodes(found, tags)), found.drop("xml")
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ reg("s1_read_runs", s1_runs, """, r AS (SELECT *, regexp_replace(text, '[\\x00-\
 
 
 def t1(s, d):
-    return numbered(pg.document_blocks(*parsed(s, d, CONTENT)).select("doc_id", "part_path", "node_type", "ordinal"))
+    return numbered(pg.document_blocks(*parsed(s, d, CONTENT, ("p", "tbl", "sectPr"))).select("doc_id", "part_path", "node_type", "ordinal"))
 
 
 reg("t1_read_blocks", t1, """, kinds AS (SELECT doc_id, CASE WHEN in_table THEN 'table' ELSE 'paragraph' END AS node_type, paragraph_index FROM sound)
@@ -105,7 +105,7 @@ reg("t1_read_blocks", t1, """, kinds AS (SELECT doc_id, CASE WHEN in_table THEN
 
 
 def t3(s, d):
-    return numbered(pg.document_cells(*parsed(s, d, CONTENT)).drop("part_path"))
+    return numbered(pg.document_cells(*parsed(s, d, CONTENT, ("p",))).drop("part_path"))
 
 
 reg("t3_read_cells", t3, """, t AS (SELECT doc_id, paragraph_index, (doc_id + paragraph_index) % 20 = 17 AS nested, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) - 1 AS n
@@ -138,7 +138,7 @@ reg("s5_read_part_models", s5, """SELECT doc_id, 'word/' || name || '.xml' AS pa
 
 
 def s8(s, d):
-    nodes, _ = parsed(s, d, ("main_document", "relationships"))
+    nodes, _ = parsed(s, d, ("main_document", "relationships"), ("sectPr", "headerReference", "footerReference", "Relationship"))
     return numbered(pk.header_footer_bindings(pg.section_rows(nodes), pk.relationship_edges(pg.relationship_rows(nodes))))
 
 

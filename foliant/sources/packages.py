@@ -136,12 +136,14 @@ class _Nodes:
         )
 
 
-def xml_nodes(parts: DataFrame) -> DataFrame:
+def xml_nodes(parts: DataFrame, tags: tuple[str, ...] | None = None) -> DataFrame:
     """One row per element, numbered in document order, with local names, its own text and the path from the root.
 
-    ord counts siblings of one tag. A part that is not well-formed is one row of tag #error with the message as text.
+    With tags only elements of these names are rows; their numbers and paths stay those among all. ord counts siblings of one tag. A part that is not well-formed is one row of tag #error with the message as text.
     """
 
+    asked = None if tags is None else frozenset(tags)
+
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, str] = {}
 
@@ -165,7 +167,8 @@ def xml_nodes(parts: DataFrame) -> DataFrame:
             while stack:
                 element, tags, nodes, ords, place = stack.pop()
                 tags, nodes, ords = (*tags, local(element.tag)), (*nodes, number), (*ords, place)
-                out.add(doc, part, number, tags[-1], place, {local(k): v for k, v in element.attrib.items()}, element.text, tags, nodes, ords)
+                if asked is None or tags[-1] in asked:
+                    out.add(doc, part, number, tags[-1], place, {local(k): v for k, v in element.attrib.items()}, element.text, tags, nodes, ords)
                 if len(out.node) >= BATCH_NODES:
                     yield out.batch()
                     out = _Nodes()

@@ -75,3 +75,11 @@ def test_batches_of_packages_are_bounded(tmp_path, monkeypatch):
     files = Files([(str(tmp_path / f"{i}.docx"), str(i)) for i in range(10)])
     got = list(PackageReader({"path": str(tmp_path)}).read(files))
     assert [b.num_rows for b in got] == [2] * 5 and [r[0] for r in pg.rows_of(got)] == [str(i) for i in range(10)]
+
+
+def test_nodes_of_some_tags_keep_their_numbers(spark):
+    parts = spark.createDataFrame([("a", "x.xml", "<d><p><t>1</t></p><t/><p/></d>"), ("b", "x.xml", "<d>")], "doc_id string, part_path string, xml string")
+    every = {r["node"]: r.asDict(True) for r in pg.xml_nodes(parts).filter("doc_id = 'a'").collect()}
+    got = pg.xml_nodes(parts, ("p",)).collect()
+    assert [r["tag"] for r in got if r["doc_id"] == "b"] == ["#error"]
+    assert [r.asDict(True) for r in got if r["doc_id"] == "a"] == [every[1], every[4]]
