@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ def normalize_text(c: Column | str) -> Column:
     return strip(c)
 
 
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is computed once however often then names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def chatml_blocks(c: Column | str) -> Column:
     """array<struct<role, content, closed>> of a transcript; a blank role ends it, the last block may be open."""
     blocks = F.transform(
@@ -65,33 +72,38 @@ def chatml_blocks(c: Column | str) -> Column:
             F.rtrim(F.regexp_replace(b, "\\n$", "")).endswith(END).alias("closed"),
         ),
     )
-    stop = F.array_position(F.transform(blocks, lambda b: b["role"]), "")
-    return F.when(stop > 0, F.slice(blocks, 1, (stop - 1).cast("int"))).otherwise(blocks)
+    stop = lambda b: F.array_position(F.transform(b, lambda x: x["role"]), "")
+    return _with(blocks, lambda b: F.when(stop(b) > 0, F.slice(b, 1, (stop(b) - 1).cast("int"))).otherwise(b))
 
 
 def assistant_output(c: Column | str) -> Column:
     """The words before the first marker, else the last non-empty assistant block, else the text without markers."""
-    text = normalize_text(c)
-    at = F.instr(text, START)
-    before = normalize_text(F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))))
-    said = F.filter(chatml_blocks(text), lambda b: (b["role"] == "assistant") & (b["content"] != ""))
-    last = F.try_element_at(said, F.lit(-1))["content"]
-    bare = normalize_text(F.replace(F.replace(text, F.lit(START), F.lit("")), F.lit(END), F.lit("")))
-    return F.when(at == 0, text).when(before != "", before).otherwise(F.coalesce(normalize_text(last), bare))
+
+    def output(text: Column) -> Column:
+        at = F.instr(text, START)
+        before = normalize_text(F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))))
+        said = F.filter(chatml_blocks(text), lambda b: (b["role"] == "assistant") & (b["content"] != ""))
+        last = F.try_element_at(said, F.lit(-1))["content"]
+        bare = normalize_text(F.replace(F.replace(text, F.lit(START), F.lit("")), F.lit(END), F.lit("")))
+        return F.when(at == 0, text).when(before != "", before).otherwise(F.coalesce(normalize_text(last), bare))
+
+    return _with(normalize_text(c), output)
 
 
 def transcript_markdown(c: Column | str) -> Column:
     """Closed system and conversation blocks under headings; an open assistant block becomes an open tag at the end."""
-    text = normalize_text(c)
-    blocks = chatml_blocks(text)
     show = lambda b: F.concat(F.lit("<"), b["role"], F.lit(">\n"), b["content"], F.lit("\n</"), b["role"], F.lit(">\n\n"))
-    talk = F.filter(blocks, lambda b: b["role"].isin("user", "assistant"))
-    shown = F.filter(talk, lambda b: (b["role"] == "user") | b["closed"])
-    system = F.filter(blocks, lambda b: (b["role"] == "system") & b["closed"])
     part = lambda head, rows, on: F.when(F.size(on) > 0, F.concat(F.lit(head), F.array_join(F.transform(rows, show), ""))).otherwise("")
-    still = F.exists(talk, lambda b: (b["role"] == "assistant") & ~b["closed"])
-    body = F.concat(part("## System\n", system, system), part("## Conversation\n", shown, talk), F.when(still, "## Assistant\n<assistant>").otherwise(""))
-    return F.when(F.size(blocks) == 0, text).otherwise(F.coalesce(F.nullif(strip(body), F.lit("")), text))
+
+    def body(blocks: Column) -> Column:
+        talk = F.filter(blocks, lambda b: b["role"].isin("user", "assistant"))
+        shown = F.filter(talk, lambda b: (b["role"] == "user") | b["closed"])
+        system = F.filter(blocks, lambda b: (b["role"] == "system") & b["closed"])
+        still = F.exists(talk, lambda b: (b["role"] == "assistant") & ~b["closed"])
+        whole = F.concat(part("## System\n", system, system), part("## Conversation\n", shown, talk), F.when(still, "## Assistant\n<assistant>").otherwise(""))
+        return F.when(F.size(blocks) > 0, F.nullif(strip(whole), F.lit("")))
+
+    return _with(normalize_text(c), lambda text: F.coalesce(_with(chatml_blocks(text), body), text))
 
 
 def truncate_text(c: Column | str, n: int) -> Column:

@@ -46,3 +46,10 @@ def test_templates_classify_in_one_pass_over_the_paragraphs(spark, sf):
     """A paragraph's text is compared with hints where its facts are found: the paragraphs are not joined once more."""
     plan = registry.QUERIES["c17_classify_by_templates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode(") == 1
+
+
+def test_transcripts_are_cut_into_blocks_once(spark, sf):
+    """The pattern of blocks, which goes over a whole transcript, stands once in what is computed for it."""
+    for name in ("f3_assistant_output", "f4_transcript_markdown"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1, name
