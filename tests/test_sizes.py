@@ -53,3 +53,19 @@ def test_transcripts_are_cut_into_blocks_once(spark, sf):
     for name in ("f3_assistant_output", "f4_transcript_markdown"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all(") == 1, name
+
+
+def test_language_split_has_one_pattern_and_no_arrays_beside_it(spark, sf):
+    """Stretches come out of one pattern: no expression that works through the pieces of a text once more."""
+    plan = registry.QUERIES["w8_split_language"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "transform(" not in plan
+
+
+def test_language_split_of_mixed_punctuation(spark):
+    """Punctuation goes with what follows its block, else with what precedes it; next to blanks only, with neither."""
+    from foliant.operators import write
+
+    texts = {"a,中": ["en:a", "zh:,中"], "中, a": ["zh:中,", "unknown: ", "en:a"], ",. ": ["unknown:,. "], "。a,b。": ["en:。a,b。"], " -中-文- ": ["unknown: ", "zh:-中-文-", "unknown: "]}
+    rows = write.split_language(spark.createDataFrame(list(texts), "string").selectExpr("value AS text", "value AS run_id")).collect()
+    got = {t: [f"{r.language}:{r.text}" for r in sorted(rows, key=lambda r: r.seg) if r.run_id == t] for t in texts}
+    assert got == texts
