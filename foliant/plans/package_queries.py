@@ -73,7 +73,7 @@ reg("s1_scan_files", s1_source, f"""SELECT doc_id % 7 || '/' || doc_id // 7 AS d
 
 
 def s1_paragraphs(s, d):
-    out = pg.document_paragraphs(*parsed(s, d, CONTENT))
+    out = pg.document_paragraphs(pg.xml_nodes(parts(s, d, CONTENT), pg.PARAGRAPH_TAGS))
     return numbered(out.select("doc_id", "part_path", "paragraph_id", "text", "style_id", "num_ilvl", "in_table", "n_images", c("line_spacing.value").alias("line_spacing")))
 
 
@@ -84,7 +84,7 @@ reg("s1_read_paragraphs", s1_paragraphs, """, clean AS (SELECT *, regexp_replace
 
 
 def s1_runs(s, d):
-    runs = pg.document_runs(*parsed(s, d, CONTENT))
+    runs = pg.document_runs(pg.xml_nodes(parts(s, d, CONTENT), pg.RUN_TAGS))
     out = ops.run_properties(runs, ("doc_id", "run_id", "text"))
     return numbered(out.select("doc_id", "run_id", "text", "font_size_pt", "is_bold", "is_underline"))
 

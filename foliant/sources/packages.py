@@ -201,13 +201,16 @@ def _toggle(tag: str) -> Column:
     return F.when(F.col("tag") == tag, F.coalesce(F.col("attrs")["val"], F.lit("")))
 
 
+def _run_values(here: Column) -> dict[str, Column]:
+    """Raw properties of a node below a properties element, as operators.structure.run_properties takes them."""
+    fonts = {n: _val("rFonts", a) for a, n in (("eastAsia", "east_asia"), ("ascii", "ascii"), ("hAnsi", "h_ansi"), ("cs", "cs"))}
+    values = {n: _val(t) for t, n in (("sz", "sz"), ("color", "color"), ("highlight", "highlight"), ("rStyle", "char_style"))}
+    toggles = {t: _toggle(t) for t in ("b", "i", "u", "strike", "caps")}
+    return {n: F.when(here, x) for n, x in (fonts | values | toggles).items()}
+
+
 def _run_columns(here: Column) -> list[Column]:
-    """Raw properties below a properties element, as operators.structure.run_properties takes them."""
-    pick = lambda c: F.max(F.when(here, c))
-    fonts = [pick(_val("rFonts", a)).alias(n) for a, n in (("eastAsia", "east_asia"), ("ascii", "ascii"), ("hAnsi", "h_ansi"), ("cs", "cs"))]
-    values = [pick(_val(t)).alias(n) for t, n in (("sz", "sz"), ("color", "color"), ("highlight", "highlight"), ("rStyle", "char_style"))]
-    toggles = [pick(_toggle(t)).alias(n) for t, n in (("b", "b"), ("i", "i"), ("u", "u"), ("strike", "strike"), ("caps", "caps"))]
-    return [*fonts, *values, *toggles]
+    return [F.max(x).alias(n) for n, x in _run_values(here).items()]
 
 
 def _in_paragraphs(nodes: DataFrame) -> DataFrame:
@@ -227,38 +230,65 @@ def paragraph_ids(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     return own.join(order, ["doc_id", "part_path"]).withColumn("paragraph_index", place)
 
 
-def document_paragraphs(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row per paragraph: id, anchor, text, style id, numbering, alignment, line spacing, table, image and formula facts."""
-    inside = _in_paragraphs(nodes)
+PARAGRAPH_TAGS = ("p", "t", "pStyle", "ilvl", "numId", "jc", "spacing", "drawing", "pict", "oMath")
+RUN_TAGS = ("p", "t", "rFonts", "sz", "color", "highlight", "rStyle", "b", "i", "u", "strike", "caps")
+
+
+def _by_document(nodes: DataFrame, parts: DataFrame | None, *columns: Column) -> DataFrame:
+    """Nodes of block paragraphs as narrow rows (doc_id, part_order, part_path, para, run_index, columns), shuffled by document.
+
+    Aggregations by paragraph or run and windows by document then need no other shuffle, and sort what they need only.
+    Without parts, the kind of a part is what its path says, as in package_parts().
+    """
+    if parts is None:
+        placed = with_kind(nodes).filter(F.col("kind").isin(*PART_ORDER))
+    else:
+        placed = nodes.join(parts.filter(F.col("kind").isin(*PART_ORDER)).select("doc_id", "part_path", "part_order"), ["doc_id", "part_path"])
+    keys = ("doc_id", "part_order", "part_path", F.col("para.node").alias("para"), F.col("run.ord").alias("run_index"))
+    return _in_paragraphs(placed).select(*keys, *columns).repartition("doc_id")
+
+
+def _text_of(texts: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(texts)), lambda x: x["text"]), "")
+
+
+def document_paragraphs(nodes: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """One row per paragraph: id, anchor, text, style id, numbering, alignment, line spacing, table, image and formula facts.
+
+    Of the nodes it reads PARAGRAPH_TAGS only. One shuffle, by document.
+    """
     own = lambda tag, n: (F.col("tag") == tag) & (F.try_element_at("path", F.col("p") + 1)["tag"] == "pPr") & (F.size("path") == F.col("p") + n)
-    texts = F.array_sort(F.collect_list(F.when((F.col("tag") == "t") & F.col("run").isNotNull(), F.struct("node", F.coalesce("text", F.lit("")).alias("text")))))
-    pick = lambda cond, attr="val": F.max(F.when(cond, F.col("attrs")[attr]))
-    facts = inside.groupBy("doc_id", "part_path", F.col("para.node").alias("para")).agg(
-        F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"),
-        pick(own("pStyle", 2)).alias("style_id"), pick(own("ilvl", 3)).alias("num_ilvl"), pick(own("numId", 3)).alias("num_id"),
-        pick(own("jc", 2)).alias("alignment"), pick(own("spacing", 2), "line").alias("line"), pick(own("spacing", 2), "lineRule").alias("line_rule"),
-        F.count_if(F.col("tag").isin("drawing", "pict")).cast("int").alias("n_images"), F.count_if(F.col("tag").isin("oMath")).cast("int").alias("n_formulas"),
-    )
-    ids = paragraph_ids(nodes, parts)
+    value = lambda tag, n, attr="val": F.when(own(tag, n), F.col("attrs")[attr])
     step = lambda x: F.when(F.array_contains(F.array(*map(F.lit, ("p", "tbl", "tr", "tc", "r"))), x["tag"]), F.concat(x["tag"], F.lit("["), x["ord"].cast("string"), F.lit("]"))).otherwise(x["tag"])
-    anchor = F.concat(F.lit("/"), F.array_join(F.transform("path", step), "/"))
-    out = ids.withColumn("in_table", F.exists("path", lambda x: x["tag"] == "tc")).withColumn("anchor", anchor).drop("path")
-    return (
-        out.join(facts, ["doc_id", "part_path", "para"]).withColumn("paragraph_id", F.concat(F.lit("p_"), F.col("paragraph_index").cast("string")))
-        .withColumn("text", tx.strip("text")).withColumn("line_spacing", tx.line_spacing(F.col("line"), F.col("line_rule")))
+    is_p = (F.col("tag") == "p") & (F.size("path") == F.col("p"))
+    read = {
+        "style_id": value("pStyle", 2), "num_ilvl": value("ilvl", 3), "num_id": value("numId", 3), "alignment": value("jc", 2), "line": value("spacing", 2, "line"), "line_rule": value("spacing", 2, "lineRule"),
+        "in_table": F.when(is_p, F.exists("path", lambda x: x["tag"] == "tc")), "anchor": F.when(is_p, F.concat(F.lit("/"), F.array_join(F.transform("path", step), "/"))),
+    }
+    said = F.when((F.col("tag") == "t") & F.col("run").isNotNull(), F.struct("node", F.coalesce("text", F.lit("")).alias("text")))
+    wanted = nodes.filter(F.col("tag").isin(*PARAGRAPH_TAGS))
+    rows = _by_document(wanted, parts, said.alias("said"), F.col("tag").isin("drawing", "pict").alias("image"), (F.col("tag") == "oMath").alias("formula"), *[x.alias(n) for n, x in read.items()])
+    facts = rows.groupBy("doc_id", "part_order", "part_path", "para").agg(
+        _text_of(F.col("said")).alias("text"), *[F.max(n).alias(n) for n in read], F.count_if("image").cast("int").alias("n_images"), F.count_if("formula").cast("int").alias("n_formulas")
     )
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("part_order", "part_path", "para")) - 1
+    out = facts.withColumn("paragraph_index", place).withColumn("paragraph_id", F.concat(F.lit("p_"), F.col("paragraph_index").cast("string")))
+    return out.withColumn("text", tx.strip("text")).withColumn("line_spacing", tx.line_spacing(F.col("line"), F.col("line_rule")))
 
 
-def document_runs(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row per run with text: ids p_i_r_j (j counts all runs of the paragraph), text and raw direct properties."""
-    inside = _in_paragraphs(nodes).filter("run is not null")
-    texts = F.array_sort(F.collect_list(F.when(F.col("tag") == "t", F.struct("node", F.coalesce("text", F.lit("")).alias("text")))))
-    direct = (F.try_element_at("path", F.col("p") + 2)["tag"] == "rPr") & (F.size("path") == F.col("p") + 3)
-    runs = inside.groupBy("doc_id", "part_path", F.col("para.node").alias("para"), F.col("run.ord").alias("run_index")).agg(
-        F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"), *_run_columns(direct)
-    )
-    ids = paragraph_ids(nodes, parts).drop("path", "part_order")
-    out = runs.filter("text <> ''").join(ids, ["doc_id", "part_path", "para"])
+def document_runs(nodes: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """One row per run with text: ids p_i_r_j (j counts all runs of the paragraph), text and raw direct properties.
+
+    Of the nodes it reads RUN_TAGS only. One shuffle, by document: a paragraph's own row, which has no run, counts it.
+    """
+    direct = F.col("run").isNotNull() & (F.try_element_at("path", F.col("p") + 2)["tag"] == "rPr") & (F.size("path") == F.col("p") + 3)
+    said = F.when((F.col("tag") == "t") & F.col("run").isNotNull(), F.struct("node", F.coalesce("text", F.lit("")).alias("text")))
+    raw = _run_values(direct)
+    rows = _by_document(nodes.filter(F.col("tag").isin(*RUN_TAGS)), parts, said.alias("said"), *[x.alias(n) for n, x in raw.items()])
+    runs = rows.groupBy("doc_id", "part_order", "part_path", "para", "run_index").agg(_text_of(F.col("said")).alias("text"), *[F.max(n).alias(n) for n in raw])
+    order = Window.partitionBy("doc_id").orderBy("part_order", "part_path", "para", F.col("run_index").asc_nulls_first())
+    place = F.count_if(F.col("run_index").isNull()).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    out = runs.withColumn("paragraph_index", place.cast("int")).filter("run_index is not null and text <> ''").drop("part_order")
     out = out.withColumn("paragraph_id", F.concat(F.lit("p_"), F.col("paragraph_index").cast("string")))
     return out.withColumn("run_id", F.concat("paragraph_id", F.lit("_r_"), F.col("run_index").cast("string")))
 

@@ -69,3 +69,10 @@ def test_language_split_of_mixed_punctuation(spark):
     rows = write.split_language(spark.createDataFrame(list(texts), "string").selectExpr("value AS text", "value AS run_id")).collect()
     got = {t: [f"{r.language}:{r.text}" for r in sorted(rows, key=lambda r: r.seg) if r.run_id == t] for t in texts}
     assert got == texts
+
+
+def test_paragraphs_and_runs_take_one_shuffle(spark, sf):
+    """Beside the one that makes the packages: nodes go to their document once, no join meets them and no table is written."""
+    for name in ("s1_read_paragraphs", "s1_read_runs"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and "table-" not in plan, name
