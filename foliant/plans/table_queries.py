@@ -11,6 +11,7 @@ from foliant.operators import select as sel
 from foliant.operators import structure as ops
 from foliant.operators import write as wr
 from foliant.sources import corpus
+from foliant.sources.shared import written
 
 from . import views
 from .text_queries import PREFIX_SQL, T, _ALIASES, strip
@@ -681,7 +682,7 @@ _STYLE = ("font_name", "font_size_pt")
 
 def w17_states(s, d):
     """Every document as before its first failed task and as of its end; a snapshot was taken halfway, failed writes and all."""
-    r = corpus.runs(s, d)
+    r = written(corpus.runs(s, d).select("doc_id", "paragraph_index", "run_index", "run_id", *_STYLE))  # texts are cut once for all that follows
     k = c("doc_id") + c("paragraph_index") * 2 + c("run_index")
     log = r.filter(k % 3 == 0).withColumn("seq", (c("paragraph_index") * 8 + c("run_index")).cast("long") + 1).withColumn("task", c("seq") % 5)
     name = F.when(c("seq") % 2 == 0, "font_name").otherwise("font_size_pt")

@@ -76,3 +76,9 @@ def test_paragraphs_and_runs_take_one_shuffle(spark, sf):
     for name in ("s1_read_paragraphs", "s1_read_runs"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and "table-" not in plan, name
+
+
+def test_states_cut_texts_once(spark, sf):
+    """Snapshots, log, versions and rollbacks all read the runs that were written once, without their texts."""
+    plan = registry.QUERIES["w17_states_as_of"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "text#" not in plan
