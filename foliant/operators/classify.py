@@ -117,9 +117,13 @@ def rules_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def _placed(context: DataFrame) -> DataFrame:
-    """context with the number of its document's paragraphs (n) and the first one that is not blank (first_text)."""
+    """context with the number of its document's paragraphs (n) and the first one that is not blank (first_text).
+
+    The rows go to their document with all their columns: a context that has blank needs no text for it.
+    """
     whole = Window.partitionBy("doc_id")
-    first = F.min(F.when(F.trim("text") != "", F.col("paragraph_index"))).over(whole)
+    blank = F.col("blank") if "blank" in context.columns else F.trim("text") == ""
+    first = F.min(F.when(~blank, F.col("paragraph_index"))).over(whole)
     return context.withColumn("n", F.count("*").over(whole)).withColumn("first_text", first)
 
 
@@ -145,7 +149,7 @@ def compatible_semantics(context: DataFrame, rules: DataFrame) -> DataFrame:
         "semantic_key", F.col("role").alias("want_role"), F.col("in_table").alias("want_table"), F.col("require_image").alias("want_image"), F.col("allow_empty").alias("may_be_empty"),
         F.col("heading_level").alias("want_level"), bucket.alias("want_bucket"), F.col("position_hint").alias("want_place"),
     )
-    c = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", "text", "role", "bucket", "in_table", "has_image", "heading_level")).withColumn("blank", F.trim("text") == "").drop("text")
+    c = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", (F.trim("text") == "").alias("blank"), "role", "bucket", "in_table", "has_image", "heading_level"))
     ok = (
         (F.col("want_role").isNull() | (F.col("want_role") == F.col("role"))) & (F.col("want_table").isNull() | (F.col("want_table") == F.col("in_table")))
         & (F.col("want_bucket").isNull() | (F.col("want_bucket") == F.col("bucket")))

@@ -41,12 +41,16 @@ FACTS = ("role", "in_table", "has_image", "blank", "heading_level", "near_top",
 
 
 def paragraph_facts(context: DataFrame, *more: str | Column) -> DataFrame:
-    """What rules ask of a paragraph: (doc_id, paragraph_id, FACTS), and more columns made of its own."""
-    c = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", "text", "role", "in_table", "has_image", "heading_level"))
+    """What rules ask of a paragraph: (doc_id, paragraph_id, FACTS), and more columns made of its own.
+
+    A text goes to its document's other paragraphs only if one of more holds it.
+    """
+    blank = (F.trim("text") == "").alias("blank")
+    c = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", blank, "role", "in_table", "has_image", "heading_level", *more))
     near = F.col("paragraph_index") < F.greatest(F.lit(2), F.floor(F.col("n") * 0.2))
     first_text = F.coalesce(F.col("paragraph_index") == F.col("first_text"), F.lit(True))
-    return c.select("doc_id", "paragraph_id", "role", "in_table", "has_image", (F.trim("text") == "").alias("blank"), "heading_level", near.alias("near_top"), (F.col("paragraph_index") == 0).alias("is_first"),
-        first_text.alias("is_first_text"), *more)
+    c = c.withColumn("near_top", near).withColumn("is_first", F.col("paragraph_index") == 0).withColumn("is_first_text", first_text)
+    return c.drop("paragraph_index", "n", "first_text")
 
 
 def accepts() -> Column:
@@ -153,8 +157,9 @@ def rule_issues(docs: DataFrame, matched: DataFrame, context: DataFrame, rules:
     many = "template_id" in rules.columns
     docs, matched, rules = of_template(docs), of_template(matched), of_template(rules)
     keys = ["template_id", "doc_id"]
-    facts = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", "text", F.col("role").alias("own_role"), "bucket", F.col("in_table").alias("own_table"), "has_image", F.col("heading_level").alias("own_level"), "list_level"))
-    facts = facts.drop("text").withColumnRenamed("paragraph_index", "own_index")
+    blank = (F.trim("text") == "").alias("blank")
+    facts = _placed(context.select("doc_id", "paragraph_id", "paragraph_index", blank, F.col("role").alias("own_role"), "bucket", F.col("in_table").alias("own_table"), "has_image", F.col("heading_level").alias("own_level"), "list_level"))
+    facts = facts.drop("blank").withColumnRenamed("paragraph_index", "own_index")
     r = rules.select(
         "template_id", "semantic_key", "rank", "negative", "hint", "position_hint", "numbering", "forbidden", F.col("role").alias("want_role"), F.col("in_table").alias("want_table"),
         "require_image", "allow_empty", F.col("heading_level").alias("want_level"),

@@ -82,3 +82,19 @@ def test_states_cut_texts_once(spark, sf):
     """Snapshots, log, versions and rollbacks all read the runs that were written once, without their texts."""
     plan = registry.QUERIES["w17_states_as_of"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and "text#" not in plan
+
+
+def test_texts_stay_where_only_their_blankness_is_asked_for(spark, sf):
+    """Rows that go to their document for counts and places carry no text, unless the caller asks for one of its own."""
+    from foliant.operators import templates
+    from foliant.plans import template_queries as tq
+
+    def below_window(df):
+        plan = df._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "Window":
+            plan = plan.children().head()
+        return plan.children().head().output().mkString(" ")
+
+    x = tq.context(spark, sf)
+    assert "blank" in below_window(templates.paragraph_facts(x)) and "text" not in below_window(templates.paragraph_facts(x))
+    assert "low" in below_window(templates.paragraph_facts(x, F.lower("text").alias("low")))
