@@ -30,6 +30,7 @@ LOCAL_COMMON, LOCAL_SHINGLES = 8, 1 << 19  # a shingle of so many of the documen
 COMMON_LIMIT = 200_000  # most common shingles that the order knows: a broadcast of 3 MB
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 1 << 18
+MAP_BITS, MAP_PART = 1 << 27, 1 << 15  # most bits of a map of keys, a broadcast of 16 MB, and those of a row of it
 _SALTS = [np.uint64(0), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)]
 BITS = 4  # words of 64 bits of each prefix vector
 
@@ -312,6 +313,21 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     return met.select("rows").mapInArrow(check, EDGES)
 
 
+def likely(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """rows less most of those whose key kept lacks, so that an exact join moves few others; every row whose key kept has stays.
+
+    A bit of a map that is broadcast stands for each key of kept: 64 bits or more for a key up to two million keys. Beyond
+    that the map stays at MAP_BITS and more other rows stay, which costs their move only.
+    """
+    bits = min(MAP_BITS, max(MAP_PART, 1 << (64 * kept.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits).cast("long"))
+    part, bit = F.floor(place / MAP_PART), place % MAP_PART
+    held = kept.select(part.alias("_part"), bit.alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    met = rows.withColumn("_part", part).withColumn("_bit", bit).join(F.broadcast(held), "_part")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.filter((F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)) % 2) == 1).select(*rows.columns)
+
+
 def whole_sets(rows: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     """node, component and s, the set's sorted hashes, of all placed (node, row, component), from their whole texts."""
 
@@ -321,7 +337,7 @@ def whole_sets(rows: DataFrame, placed: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), got], ["node", "component", "s"])
 
     # A merge join at every size: it leaves repeated rows side by side, so that dropping them moves no text again.
-    texts = rows.select("row", "text").join(placed.hint("merge"), "row").dropDuplicates(["row"])
+    texts = likely(rows.select("row", "text"), placed, "row").join(placed.hint("merge"), "row").dropDuplicates(["row"])
     return texts.select("node", "component", "text").mapInArrow(sets, "node long, component long, s binary")
 
 

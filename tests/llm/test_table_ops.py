@@ -121,6 +121,19 @@ def test_jaccard_odd(spark, odd, none):
     assert jaccard_join.one_of_each(none).count() == 0 and jaccard_join.one_of_each(odd).columns == odd.columns
 
 
+def test_jaccard_moves_texts_of_candidates_only(spark, monkeypatch):
+    """The texts that are read again pass a map of the candidates' keys first: none of theirs is lost, few others move."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "unhex(md5(cast(id AS string))) AS row", "concat('text ', id) AS text")
+    kept = rows.filter("doc_id % 100 = 7").selectExpr("doc_id AS node", "row", "0L AS component")
+    assert "_map" in jaccard_join.whole_sets(rows, kept, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert jaccard_join.whole_sets(rows, kept, 4).count() == 200
+    for bits, most in ((1 << 27, 1000), (1 << 15, 1000)):
+        monkeypatch.setattr(jaccard_join, "MAP_BITS", bits)
+        found = [r["doc_id"] for r in jaccard_join.likely(rows, kept, "row").collect()]
+        assert len(set(found)) == len(found) < most and {i for i in range(20_000) if i % 100 == 7} <= set(found)
+    assert jaccard_join.likely(rows, kept.limit(0), "row").count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (5, 5)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u LONG, v LONG")).collect()}
