@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -76,8 +76,9 @@ class Pieces:
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)").findall
         self.parts = re.compile(part_pattern(self.id)).findall
-        self.known: dict[str, list[int]] = {}  # ids of parts
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # ids of parts
+        self.pairs: dict[str, dict[str, bool]] = {}  # left to right
+        self.n_pairs = 0
 
     def marked(self, text: str) -> str:
         """The text as the model sees it: blanks visible, one in front; an empty text stays empty."""
@@ -99,9 +100,12 @@ class Pieces:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether two pieces stay as they are beside each other, also kept in pairs; an empty left asks for the right one alone."""
-        if len(self.pairs) >= KNOWN_PAIRS:
-            self.pairs.clear()
-        known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        if self.n_pairs >= KNOWN_PAIRS:
+            for rights in self.pairs.values():  # emptied, not replaced: split() holds one of them
+                rights.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.pairs.setdefault(left, {})[right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def split(self, word: str) -> list[str]:
@@ -113,8 +117,9 @@ class Pieces:
                 longest[~end] = size
         failed: bytearray | None = None
         out: list[str] = []
-        known, shorter = self.pairs.get, self.shorter.get
+        pairs, shorter = self.pairs, self.shorter.get
         at, size, last = 0, longest[0] if n else 0, ""
+        known = pairs.setdefault(last, {}).get
         while at < n:
             if size == 0:
                 failed = failed or bytearray(n // 8 + 1)
@@ -123,35 +128,43 @@ class Pieces:
                 out.pop()
                 at -= len(last)
                 last = out[-1] if out else ""
+                known = pairs.setdefault(last, {}).get
                 continue
             end = at + size
             piece = word[at:end]
-            fits = known((last, piece))
+            fits = known(piece)
             if fits is None:
                 fits = self.compatible(last, piece)
             if fits and not (failed and failed[end >> 3] >> (end & 7) & 1):
                 out.append(piece)
                 at, last = end, piece
-                size = longest[at] if at < n else 0
+                if at == n:
+                    break
+                size = longest[at]
+                known = (pairs.get(last) or pairs.setdefault(last, {})).get
             else:
                 size = shorter(piece, 0)
         return out
 
-    def ids(self, word: str) -> list[int]:
-        """The ids of a word, part by part; those of short parts are kept."""
-        out: list[int] = []
+    def add_ids(self, word: str, out: list[int]) -> None:
+        """Append the ids of a word, part by part; those of short parts are kept, as tuples: garbage collection passes over these."""
+        known = self.known
         for part in self.parts(word):
-            own = self.known.get(part)
+            own = known.get(part)
             if own is None:
-                own = []
-                for piece in self.split(part):
-                    found = self.id.get(piece)
-                    own += [found] if found is not None else [self.byte[b] for b in piece.encode()]
+                found = list(map(self.id.get, pieces := self.split(part)))
+                if None in found:
+                    found = [i for piece, at in zip(pieces, found) for i in ([at] if at is not None else [self.byte[b] for b in piece.encode()])]
+                own = tuple(found)
                 if len(part) <= 32:
-                    if len(self.known) >= KNOWN_PARTS:
-                        self.known.clear()
-                    self.known[part] = own
+                    if len(known) >= KNOWN_PARTS:
+                        known.clear()
+                    known[part] = own
             out += own
+
+    def ids(self, word: str) -> list[int]:
+        out: list[int] = []
+        self.add_ids(word, out)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -203,6 +216,14 @@ def characters(run: bytearray) -> str:
         return "".join(out)
 
 
+class Codes(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        return code
+
+
 class Lexicon:
     """Ids of words that are learnt once and kept in a table of bounded size; rows of words to flat ids."""
 
@@ -211,7 +232,7 @@ class Lexicon:
         self._reset()
 
     def _reset(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,17 +240,15 @@ class Lexicon:
         if len(self.code) > self.known or len(self.flat) > KNOWN_IDS:
             self._reset()
         words = list(chain.from_iterable(rows))
-        codes = list(map(self.code.get, words))
-        if None in codes:
-            new = list({w for w, c in zip(words, codes) if c is None})
+        seen = len(self.code)
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if len(self.code) > seen:
+            new = list(islice(reversed(self.code), len(self.code) - seen))[::-1]
             ids, n = self.learn(new)
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
             self.length = np.concatenate([self.length, n])
             self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-            codes = list(map(self.code.__getitem__, words))
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        codes = np.array(codes, np.int64)
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
         at = np.repeat(self.start[codes] - (ends - lengths), lengths)
@@ -239,8 +258,12 @@ class Lexicon:
 
 def piece_lexicon(model: Pieces) -> Lexicon:
     def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [model.ids(w) for w in words]
-        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+        ids: list[int] = []
+        ends = np.zeros(len(words), np.int64)
+        for k, w in enumerate(words):
+            model.add_ids(w, ids)
+            ends[k] = len(ids)
+        return np.array(ids, np.int32), np.diff(ends, prepend=0)
 
     return Lexicon(learn)
 

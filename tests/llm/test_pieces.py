@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gc
 import hashlib
 
 import numpy as np
@@ -48,6 +49,34 @@ def test_long_words(text):
     assert OWN_BYTES.encode([text])[0].tolist() == OTHER.encode(text, add_special_tokens=False).ids
 
 
+def test_what_is_kept_costs_no_collections_and_is_bounded(monkeypatch):
+    """Garbage collection has nothing to follow in the ids of parts; full tables are emptied in the middle of a word."""
+    text = "The unusualness of reclassifications, 12345 straßenbahnhaltestellen and 🙂 zzyzx-qwrtp " * 3
+    own = pieces.Pieces(MODEL)
+    assert own.encode(text) == LIBRARY.encode(text) and own.known
+    gc.collect()
+    assert not any(map(gc.is_tracked, own.known.values()))
+    monkeypatch.setattr(pieces, "KNOWN_PAIRS", 3)
+    monkeypatch.setattr(pieces, "KNOWN_PARTS", 2)
+    own = pieces.Pieces(MODEL)
+    assert own.encode(text) == LIBRARY.encode(text)
+    assert sum(map(len, own.pairs.values())) <= 3 and len(own.known) <= 2
+
+
+def test_lexicon_learns_a_word_once():
+    asked = []
+
+    def learn(words):
+        asked.extend(words)
+        return np.array([len(w) for w in words]), np.ones(len(words), np.int64)
+
+    lexicon = pieces.Lexicon(learn)
+    for rows in ([["bb", "a", "bb"], [], ["ccc"]], [["a", "dddd"], ["bb"]]):
+        ids, at = lexicon.ids(rows)
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [[len(w) for w in row] for row in rows]
+    assert asked == ["bb", "a", "ccc", "dddd"]
+
+
 def test_pieces_of_odd_rows(spark, odd, none):
     want = sorted((r["doc_id"] or 0, len(i := LIBRARY.encode(r["text"] or "")), sha(",".join(map(str, i))), sha(LIBRARY.decode(i))) for r in odd.collect())
     assert sorted((r[0] or 0, *r[1:]) for r in pieces.piece_digests(odd, MODEL).collect()) == want
