@@ -13,7 +13,7 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, slices
-from .token_counts import CACHE_WORDS, Merger, Splitter
+from .token_counts import CACHE_WORDS, END_WORD, Merger, Splitter
 
 CAPACITY = 4096
-END_ID, END_WORD = 2, "\0end"
+END_ID = 2
 BLOCK_TOKENS = 1 << 18
 SENTENCE_PENALTY, INNER_PENALTY, GRID = 4, 10, 16
 
 
 class Encoder:
     """Token ids of texts as the tokenizers library gives them: new words go through Merger, whose ids are the
-    library's (tests compare them), and their ids are kept in a table of bounded size."""
+    library's (tests compare them), and their ids are kept in a table of bounded size. Each different word of a batch
+    is looked up once."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -44,7 +45,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        fixed = {**self.split.special, END_WORD: END_ID}
+        fixed = {END_WORD: END_ID, **{" " + token: i for token, i in self.split.special.items()}}
         self.code = {w: c for c, w in enumerate(fixed)}
         self.flat = np.array(list(fixed.values()), np.uint32)
         self.length = np.ones(len(fixed), np.int64)
@@ -59,25 +60,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, END_ID after each, and the row offsets."""
-        rows = []
-        for text in texts:
-            row: list[str] = []
-            for words, special in self.split.pieces(text):
-                row += words
-                if special is not None:
-                    row.append(special)
-            row.append(END_WORD)
-            rows.append(row)
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        words, place, text_ends = self.split.table(texts)
         if len(self.code) > CACHE_WORDS:
             self._reset()
-        self._learn(list(set(chain.from_iterable(rows)).difference(self.code)))
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(codes < 0)
+        codes[new] = len(self.code) + np.arange(len(new))
+        self._learn([words[i] for i in new.tolist()])
+        codes = codes[place]
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
         at = np.repeat(self.start[codes] - (ends - lengths), lengths)
         at += np.arange(len(at))
-        return self.flat[at], np.concatenate([[0], ends[np.cumsum(sizes) - 1]]).astype(np.int64)
+        return self.flat[at], np.append(0, ends[text_ends])
 
 
 def candidates(ids: np.ndarray, offsets: np.ndarray, ends_sentence: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -38,6 +39,52 @@ def test_tokens_are_the_librarys(text):
     assert flat.tolist() == ids(text) + [2] and offsets.tolist() == [0, len(flat)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(some.lists(some.lists(some.sampled_from(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'r", "''", "_'", "ab", "É", "ß", "l", "7", "½", "一", " ", "\n", "\x1c", "\xa0", ".", "...", "\0end", "<|endoftext|>", "<|ENDOFTEXT|>", " <|startoftext|>", "<|"]), max_size=12).map("".join), max_size=6))
+def test_batches_are_the_librarys(texts):
+    """Plain texts, those with unusual characters and those with special strings, mixed in one batch."""
+    flat, offsets = ENCODER.encode(texts)
+    assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids(t) + [2] for t in texts]
+    assert COUNTER.counts(texts).tolist() == [len(ids(t)) for t in texts]
+
+
+def test_plain_characters_are_the_librarys():
+    """Every character that plain texts may hold, between others."""
+    texts = [t for c in map(chr, range(0x250)) for t in (f"a{c}b", f"1{c}'s", f".{c}'re {c}{c}")]
+    flat, offsets = ENCODER.encode(texts)
+    assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [ids(t) + [2] for t in texts]
+
+
+def test_each_word_is_looked_up_once_a_batch():
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+        def get(self, *args):
+            Counted.n += 1
+            return super().get(*args)
+
+    encoder = packing.Encoder(PATH)
+    encoder.code = Counted(encoder.code)
+    flat, offsets = encoder.encode(["one two three. " * 1000] * 3)
+    assert len(flat) == offsets[-1] == 12_003 and Counted.n <= 10
+
+
+def test_merge_ranks():
+    """The hash table gives each pair its rank, and no other pair any."""
+    spec = json.load(open(PATH, encoding="utf-8"))
+    merge, vocab = token_counts.Merger(spec), spec["model"]["vocab"]
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+    left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
+    assert merge._rank(left, right).tolist() == list(range(len(pairs)))
+    known = set(zip(left.tolist(), right.tolist()))
+    other = [k for k, pair in enumerate(zip(right.tolist(), left.tolist())) if pair not in known]
+    assert (merge._rank(right[other], left[other]) == len(pairs)).all()
+
+
 def test_special_strings():
     for text in ("<|endoftext|>a<|startoftext|>", "a<|endoftext|", "<|ENDOFTEXT|>", "aaaaaaaaaaa", "'s's'll"):
         assert COUNTER.counts([text])[0] == len(ids(text))
