@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,14 +56,17 @@ OPERATION_FIELDS = (
 )
 OPEN_OBJECTS = (".language_font_overrides", ("zh", "en")), (".language_font_overrides.zh", ("font_name",)), (".language_font_overrides.en", ("font_name",))
 BATCH_ROWS = 20_000
-ROWS = "template_id string, path string, pattern string, parent string, name string, kind string, value string"
+ROWS = "template_id string, path string, pattern string, parent string, name string, kind string, value string, members array<string>, blocks string"
+# What the operation of a type must have: a field, its rule, and a field that does as well.
+NEEDED_FIELDS = (*[(of, field, rule, field) for of, field, rule in OPERATION_FIELDS], ("set_paragraph_style", "paragraph_style", "", "style_id"))
 
 
 def contract_rows(contracts: DataFrame) -> DataFrame:
-    """(template_id, path, pattern, parent, name, kind, value) of every value of JSON texts (template_id, contract).
+    """(template_id, path, pattern, parent, name, kind, value, members, blocks) of every value of JSON texts (template_id, contract).
 
-    The pattern is the path without places in arrays; an array or object has its number of members as value. A text
-    that is no JSON is one row of kind broken.
+    The pattern is the path without places in arrays; an array or object has its number of members as value, an object
+    their names as members. Blocks names the array of blocks that counts in the whole contract: operation_blocks only
+    without patch_blocks, blank without both. A text that is no JSON is one row of kind broken.
     """
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,15 +79,18 @@ def contract_rows(contracts: DataFrame) -> DataFrame:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
                 try:
-                    stack = [("", "", None, "", json.loads(text or ""))]
+                    whole = json.loads(text or "")
+                    stack = [("", "", None, "", whole)]
+                    arrays = [k for k in ("patch_blocks", "operation_blocks") if isinstance(whole, dict) and isinstance(whole.get(k), list) and whole[k]]
+                    blocks = arrays[0] if arrays else ""
                 except ValueError:
                     stack = []
-                    rows.append((template, "", "", None, "", "broken", None))
+                    rows.append((template, "", "", None, "", "broken", None, None, ""))
                 while stack:
                     path, pattern, parent, name, v = stack.pop()
                     kind = kinds[type(v)]
                     shown = str(len(v)) if isinstance(v, (dict, list)) else json.dumps(v) if not isinstance(v, str) else v
-                    rows.append((template, path, pattern, parent, name, kind, None if v is None else shown))
+                    rows.append((template, path, pattern, parent, name, kind, None if v is None else shown, list(v) if isinstance(v, dict) else None, blocks))
                     if isinstance(v, dict):
                         dot = "." if path else ""
                         stack += [(f"{path}{dot}{k}", f"{pattern}{dot}{k}", path, k, x) for k, x in v.items()]
@@ -95,15 +102,14 @@ def contract_rows(contracts: DataFrame) -> DataFrame:
     return contracts.select(F.col("template_id").cast("string").alias("template_id"), "contract").mapInPandas(walk, ROWS)
 
 
-def _fails(rule: Column) -> Column:
-    """Whether a row's kind and value break its rule."""
-    kind, value = F.col("kind"), F.col("value")
+def _fails(rule: Column, kind: Column, value: Column, allowed: Column) -> Column:
+    """Whether a kind and value break a rule."""
     blank = (kind != "text") | (F.trim(value) == "")
     number = F.when(kind == "number", value.try_cast("double"))
     return (
         F.when(rule == "object", kind != "object").when(rule.isin("array", "any_texts"), kind != "array").when(rule.isin("texts", "filled"), (kind != "array") | (value == "0"))
         .when(rule.isin("text", "key"), blank).when(rule == "boolean", kind != "boolean").when(rule == "confidence", number.isNull() | (number < 0) | (number > 1))
-        .when(rule == "ordinal", number.isNull() | (number < 0) | (number != F.floor(number))).when(rule == "choice", (kind != "text") | ~F.array_contains(F.split("allowed", "\\|"), value))
+        .when(rule == "ordinal", number.isNull() | (number < 0) | (number != F.floor(number))).when(rule == "choice", (kind != "text") | ~F.array_contains(F.split(allowed, "\\|"), value))
     )
 
 
@@ -111,51 +117,52 @@ def contract_problems(rows: DataFrame, catalogue: tuple = CATALOGUE) -> DataFram
     """(template_id, path, problem) of contract_rows: missing, wrong (by its rule), undeclared, duplicate, no_blocks,
     block_count, unsupported, broken. All problems of a contract come out, not the first alone.
 
-    The catalogue is a small broadcast table; every check is a join with it or an aggregation per template. Operation
-    blocks count only in contracts without patch blocks. Each check reads the rows again: give them as a written table.
+    The catalogue is a small broadcast table. What a row shows by itself, or an object by the names of its members, is
+    checked where it is read; fields of operations and semantic keys are few rows and take one aggregation each, so the
+    plan stays small and only these rows move. The rows are read four times: give them as a written table.
     """
     spark = rows.sparkSession
-    cat = F.broadcast(spark.createDataFrame([(p, r, n, a, p.rpartition(".")[0], p.rpartition(".")[2]) for p, r, n, a in catalogue], "pattern STRING, rule STRING, needed BOOLEAN, allowed STRING, over STRING, field STRING"))
-    says = lambda df, problem, path=F.col("path"): df.select("template_id", path.alias("path"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"))
-    patched = rows.filter("path = 'patch_blocks' and kind = 'array' and value <> '0'").select("template_id")
-    legacy = rows.filter("path like 'operation_blocks%'").join(patched, "template_id", "left_semi").select("template_id", "path")
-    live = rows.join(legacy, ["template_id", "path"], "left_anti")
-    typed = live.join(cat.select("pattern", "rule", "allowed"), "pattern")
-    wrong = typed.filter(_fails(F.col("rule")))
-    out = says(rows.filter("kind = 'broken'"), "broken").unionByName(says(wrong, F.concat(F.lit("wrong "), "rule")))
-
-    def missing(expected: DataFrame) -> DataFrame:
-        return says(expected.join(rows.select("template_id", F.col("path").alias("want")), ["template_id", "want"], "left_anti"), "missing", F.col("want"))
-
-    under = F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "field")
-    needs = live.filter("kind = 'object'").join(cat.filter("needed").select(F.col("over").alias("pattern"), "field"), "pattern")
-    out = out.unionByName(missing(needs.select("template_id", under.alias("want"))))
-    kinds = F.broadcast(spark.createDataFrame(list(OPERATION_FIELDS), "value STRING, field STRING, rule STRING"))
-    ops = live.filter("pattern = 'patch_blocks[].operations[].type'").join(kinds, "value").select("template_id", F.concat("parent", F.lit("."), "field").alias("want"), "rule")
-    out = out.unionByName(missing(ops))
-    fields = ops.join(live.select("template_id", F.col("path").alias("want"), "kind", "value"), ["template_id", "want"]).withColumn("allowed", F.lit(""))
-    out = out.unionByName(says(fields.filter(_fails(F.col("rule"))), F.concat(F.lit("wrong "), "rule"), F.col("want")))
-    styles = live.filter("pattern = 'patch_blocks[].operations[].type' and value = 'set_paragraph_style'").select("template_id", "parent")
-    given = live.filter("name in ('paragraph_style', 'style_id')").select("template_id", "parent")
-    out = out.unionByName(says(styles.join(given, ["template_id", "parent"], "left_anti"), "missing", F.concat("parent", F.lit(".paragraph_style"))))
-
-    keys = live.filter("pattern = 'semantic_blocks[].key' and kind = 'text'").select("template_id", "value")
-    refers = typed.filter("rule = 'key' and kind = 'text' and trim(value) <> ''")
-    out = out.unionByName(says(refers.join(keys.distinct(), ["template_id", "value"], "left_anti"), "undeclared"))
-    derived = live.filter("pattern = 'derived_semantics[].key' and kind = 'text'").select("template_id", "value")
-    twice = lambda df, path: says(df.groupBy("template_id", "value").count().filter("count > 1"), "duplicate", F.concat(F.lit(path), "value"))
-    out = out.unionByName(twice(keys, "semantic_blocks.")).unionByName(twice(derived, "derived_semantics."))
-    out = out.unionByName(says(derived.join(keys.distinct(), ["template_id", "value"], "left_semi").distinct(), "duplicate", F.concat(F.lit("derived_semantics."), "value")))
-
-    sets = rows.groupBy("template_id").agg(*[F.max(F.when((F.col("path") == p) & (F.col("kind") == "array"), F.col("value").try_cast("int"))).alias(p) for p in ("patch_blocks", "operation_blocks")],
-        F.max(F.col("kind") == "broken").alias("broken"))
-    bare = sets.filter(~F.col("broken") & (F.coalesce("patch_blocks", F.lit(0)) == 0) & (F.coalesce("operation_blocks", F.lit(0)) == 0))
-    out = out.unionByName(says(bare, "no_blocks", F.lit("patch_blocks")))
-    old = sets.filter((F.coalesce("patch_blocks", F.lit(0)) == 0) & (F.col("operation_blocks") > 0)).select("template_id")
-    counted = live.filter("pattern = 'operation_blocks[].semantic_key'").groupBy("template_id", "value").agg(F.count("*").alias("n"))
-    per = keys.distinct().join(old, "template_id", "left_semi").join(counted, ["template_id", "value"], "left").filter("coalesce(n, 0) <> 1")
-    out = out.unionByName(says(per, "block_count", F.concat(F.lit("operation_blocks."), "value")))
-    for end, names in OPEN_OBJECTS:
-        inside = live.filter(F.regexp_replace("pattern", "\\.[^.]*$", "").endswith(end) & ~F.col("name").isin(*names))
-        out = out.unionByName(says(inside, "unsupported"))
-    return out.distinct()
+    path, pattern, name, kind, value = (F.col(c) for c in ("path", "pattern", "name", "kind", "value"))
+    problem = lambda at, what: F.struct(at.alias("path"), (F.lit(what) if isinstance(what, str) else what).alias("problem"))
+    found = lambda checks: F.array_compact(F.array(*[F.when(when, problem(at, what)) for when, at, what in checks]))
+    says = lambda df, problems: df.select("template_id", F.inline(problems))
+    wrong = F.concat(F.lit("wrong "), "rule")
+    live = rows.filter(~path.startswith("operation_blocks") | (F.col("blocks") != "patch_blocks"))
+
+    needed: dict[str, list[str]] = {p: [] for p, *_ in catalogue}
+    for p, _, must, _ in catalogue:
+        over, _, field = p.rpartition(".")
+        needed.setdefault(over, []).extend([field] if must else [])
+    rules = [(p, r, a, needed[p]) for p, r, _, a in catalogue] + [(p, None, None, needed[p]) for p in needed.keys() - {p for p, *_ in catalogue}]
+    cat = F.broadcast(spark.createDataFrame(rules, "pattern STRING, rule STRING, allowed STRING, needed ARRAY<STRING>"))
+    typed = live.join(cat, "pattern", "left")
+    above = F.regexp_replace("pattern", "\\.[^.]*$", "")
+    checks = [
+        (kind == "broken", path, "broken"),
+        (_fails(F.col("rule"), kind, value, F.col("allowed")), path, wrong),
+        (F.col("parent").isNull() & (kind != "broken") & (F.col("blocks") == ""), F.lit("patch_blocks"), "no_blocks"),
+        *[(above.endswith(end) & ~name.isin(*names), path, "unsupported") for end, names in OPEN_OBJECTS],
+    ]
+    out = says(typed.filter(reduce(Column.__or__, [when for when, *_ in checks])), found(checks))
+    lost = typed.filter(kind == "object").select("template_id", "path", F.explode(F.array_except("needed", "members")).alias("field"))
+    out = out.unionByName(lost.select("template_id", F.concat(path, F.when(path == "", "").otherwise("."), "field").alias("path"), F.lit("missing").alias("problem")))
+
+    fields = live.filter((pattern == F.concat(F.lit("patch_blocks[].operations[]."), name)) & name.isin("type", *{x for _, field, _, other in NEEDED_FIELDS for x in (field, other)}))
+    operations = fields.groupBy("template_id", "parent").agg(F.max(F.when(name == "type", value)).alias("type"), F.collect_list(F.struct("name", "kind", "value")).alias("members"))
+    kinds = F.broadcast(spark.createDataFrame(list(NEEDED_FIELDS), "type STRING, field STRING, rule STRING, other STRING"))
+    asked = operations.join(kinds, "type").withColumn("given", F.filter("members", lambda x: x["name"].isin(F.col("field"), F.col("other"))))
+    at = F.concat("parent", F.lit("."), "field")
+    out = out.unionByName(says(asked, found([(F.size("given") == 0, at, "missing"), (F.exists("given", lambda x: _fails(F.col("rule"), x["kind"], x["value"], F.lit(""))), at, wrong)])))
+
+    semantic, derived = ((pattern == p) & (kind == "text") for p in ("semantic_blocks[].key", "derived_semantics[].key"))
+    block = pattern == "operation_blocks[].semantic_key"
+    refers = pattern.isin([p for p, r, *_ in catalogue if r == "key"]) & (kind == "text") & (F.trim(value) != "")
+    counts = [F.count_if(x).alias(n) for x, n in ((semantic, "declared"), (derived, "derived"), (block, "n"))]
+    keys = live.filter(semantic | derived | block | refers).groupBy("template_id", "value").agg(*counts, F.max("blocks").alias("blocks"), F.collect_list(F.when(refers, path)).alias("paths"))
+    checks = [
+        (F.col("declared") > 1, F.concat(F.lit("semantic_blocks."), value), "duplicate"),
+        ((F.col("derived") > 1) | ((F.col("derived") > 0) & (F.col("declared") > 0)), F.concat(F.lit("derived_semantics."), value), "duplicate"),
+        ((F.col("declared") > 0) & (F.col("blocks") == "operation_blocks") & (F.col("n") != 1), F.concat(F.lit("operation_blocks."), value), "block_count"),
+    ]
+    undeclared = F.transform(F.filter("paths", lambda _: F.col("declared") == 0), lambda p: problem(p, "undeclared"))
+    return out.unionByName(says(keys, F.concat(found(checks), undeclared))).distinct()

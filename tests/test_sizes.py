@@ -36,6 +36,29 @@ def test_contracts_are_walked_once(spark, sf):
     assert "MapInPandas" not in df._jdf.queryExecution().toString()
 
 
+def test_contract_checks_take_few_passes(spark, sf):
+    """A driver holds the plans of all checks: they share scans, and only fields of operations, keys and problems are moved."""
+    plan = registry.QUERIES["v16_contract_problems"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 4 and plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_contract_checks_of_members_and_operations(spark):
+    """A member whose name holds a dot is no member of an object below; fields count for the operation that holds them."""
+    from foliant.operators import contract as ct
+
+    texts = {
+        "dot": '{"template_meta":{},"template_meta.id":"t"}',
+        "ops": '{"patch_blocks":[{"operations":[{"type":"set_attr"},{"type":"set_text","name":"a"},{"type":"set_attr","name":""},{"type":"set_paragraph_style"}]}]}',
+        "old": '{"semantic_blocks":[{"key":"a"},{"key":"b"}],"operation_blocks":[{"semantic_key":"a"},{"semantic_key":"lost"}]}',
+    }
+    got = ct.contract_problems(ct.contract_rows(spark.createDataFrame(list(texts.items()), "template_id STRING, contract STRING"))).collect()
+    of = lambda template, under: {(r.path, r.problem) for r in got if r.template_id == template and r.path.startswith(under)}
+    assert ("template_meta.id", "missing") in of("dot", "template_meta")
+    at = "patch_blocks[0].operations"
+    assert of("ops", at) == {(f"{at}[0].name", "missing"), (f"{at}[2].name", "wrong text"), (f"{at}[3].paragraph_style", "missing")}
+    assert of("old", "operation_blocks.") == {("operation_blocks.b", "block_count")} and ("operation_blocks[1].semantic_key", "undeclared") in of("old", "")
+
+
 def test_documents_meet_templates_without_rows_for_both(spark, sf):
     """The best template of a document comes from its counts by kind: no join or aggregation by document and template."""
     plan = registry.QUERIES["c5_best_templates"](spark, sf)._jdf.queryExecution().toString()
